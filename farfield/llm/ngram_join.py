@@ -147,20 +147,43 @@ def overlap(a: np.ndarray, b: np.ndarray, need: int) -> int:
     return have
 
 
+def _distinct_sets(nodes: pa.Array, texts: pa.Array, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of the distinct nodes of a batch, and each row's place among them."""
+    _, first, place = np.unique(nodes.to_numpy(), return_index=True, return_inverse=True)
+    return [s for block in T.blocks(texts.take(pa.array(first))) for s in shingle_sets(block, k)], place
+
+
 def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = _bounds(num, den)
         for batch in batches:
-            sets = []
-            for column in (2, 3):
-                sets.append([s for block in T.blocks(batch.column(column)) for s in shingle_sets(block, k)])
-            keep = [(o := overlap(x, y, bounds.overlap(len(x), len(y)))) >= 0 and den * o >= num * (len(x) + len(y) - o) for x, y in zip(*sets, strict=True)]
+            (one, at), (two, bt) = (_distinct_sets(batch.column(i), batch.column(i + 2), k) for i in (0, 1))
+            keep = []
+            for i, j in zip(at.tolist(), bt.tolist(), strict=True):
+                x, y = one[i], two[j]
+                o = overlap(x, y, bounds.overlap(len(x), len(y)))
+                keep.append(o >= 0 and den * o >= num * (len(x) + len(y) - o))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
 
+def _incidence(k: int):
+    """(node, component, n, gram): the non-zero entries of the rows that are still open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in T.blocks(batch.column(2)):
+                sets = shingle_sets(block, k)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                nodes, labels = (batch.column(i).slice(block.first, block.rows).to_numpy() for i in (0, 1))
+                grams = T.signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, sizes)) for x in (nodes, labels, sizes)] + [pa.array(grams)], names=["node", "component", "n", "gram"])
+
+    return run
+
+
 class JaccardJoin:
     """The links and components of a table of documents; see ``near_groups``."""
 
@@ -180,9 +203,28 @@ class JaccardJoin:
     def _linked(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
         return both.mapInArrow(_verify(self.k, self.num, self.den), "a long, b long")
 
+    def _candidates(self, held: DataFrame) -> DataFrame:
+        """Pairs (a < b) of different components that may reach the bound, from (node, component, text).
+
+        The columns are ordered from rare to frequent. A row is known by its first columns alone, as many as any
+        partner must share one of; of two rows that share a column, the entries after it bound their overlap.
+        """
+        num, den = self.num, self.den
+        entries = stored(held.select("node", "component", "text").mapInArrow(_incidence(self.k), "node long, component long, n long, gram long"), "entries")
+        frequency = entries.groupBy("gram").agg(F.count("*").alias("df"))
+        order = Window.partitionBy("node").orderBy("df", "gram")
+        ranked = entries.join(frequency, "gram").withColumn("at", F.row_number().over(order) - 1)
+        gram = Window.partitionBy("gram")
+        first = ranked.where(f"df > 1 and at <= n - ceil({num} * n / {den})")
+        first = first.withColumns({"low": F.min("component").over(gram), "high": F.max("component").over(gram)}).where("low < high").select("gram", "node", "component", "n", "at")
+        one, two = (first.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "n", "at")]) for side in "xy")
+        fits = f"""x_component != y_component and x_node < y_node and {num} * x_n <= {den} * y_n and {num} * y_n <= {den} * x_n
+            and least(x_n - x_at, y_n - y_at) * {num + den} >= {num} * (x_n + y_n)"""
+        return one.join(two, "gram").where(fits).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
     def groups(self) -> DataFrame:
         per_class = (
             self._sets(sign=True)
@@ -199,13 +241,9 @@ class JaccardJoin:
         label = components(links)
         # what the hubs left open: rows that share a signature and lie in different components
         held = shared.join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-        held = held.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group)}).where("low < high").select("sig", "node", "component")
-        held = stored(held, "open")
-        one = held.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"))
-        two = held.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-        rest = one.join(two, "sig").where("ca != cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = self._linked(rest, texts)
-        label = components(links.union(more))
+        held = held.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group)}).where("low < high")
+        rest = self._candidates(held.select("node", "component").distinct().join(texts, "node")).join(pairs, ["a", "b"], "left_anti")
+        label = components(links.union(self._linked(rest, texts)))
         sets = self._sets(sign=False).select("doc_id", "n", "node")
         whole = sets.join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
         least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
