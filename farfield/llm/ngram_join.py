@@ -259,3 +259,15 @@ def near_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> D
     nothing. Repeated rows are returned as often as they come. Other columns are ignored. No rows give no rows.
     """
     return JaccardJoin(docs, k, num, den).groups()
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, less near-duplicates: of each group the row with the least doc_id stays.
+
+    A row that comes more than once (same id and text) stays once; rows with a null doc_id all stay.
+    """
+    stay = near_groups(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    keyed = docs.withColumns({"__at": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.col("text").cast("string"))})
+    joined = keyed.join(stay, keyed["__at"] == stay["__id"], "left")
+    place = F.row_number().over(Window.partitionBy("__at", "__th").orderBy("__th"))
+    return joined.where("__id is not null or __at is null").withColumn("__n", place).where("__n = 1 or __at is null").select(*docs.columns)

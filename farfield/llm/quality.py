@@ -136,3 +136,19 @@ def score(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held_rest: int
     held = F.coalesce(crc_mod("doc_id", held_mod) == held_rest, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _keep(model, text_at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model | None = model.value
+        for batch in batches:
+            scores = [m.score(counts(block)) if m else np.ones(block.rows) for block in T.blocks(batch.column(text_at))]
+            yield batch.filter(pa.array(np.concatenate(scores) >= least)) if scores else batch
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``least`` or more; all of them if nothing is labelled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
+    return docs.mapInArrow(_keep(shared, docs.columns.index("text"), least), docs.schema)
