@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from farfield.plans import scores
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (scores,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
