@@ -54,6 +54,6 @@ def systematic_order(df: DataFrame, by: list[str], stratum: list[str], seed: int
 
     Rows are shuffled within their stratum; row k of n sorts at (k + 0.5) / n, then by stratum and key.
     """
-    slots = sized(shuffled(df, [*by, *stratum], seed, operation, key, "__slot"), [*by, *stratum], "__n")
-    slots = slots.withColumn("__at", (F.col("__slot") + 0.5) / F.col("__n"))
-    return ranked(slots, by, ["__at", *stratum, key], unit_range("__at"), name).drop("__slot", "__n", "__at")
+    slots = sized(shuffled(df, [*by, *stratum], seed, operation, key, "__slot"), [*by, *stratum], "__strata")
+    slots = slots.withColumn("__at", (F.col("__slot") + 0.5) / F.col("__strata"))
+    return ranked(slots, by, ["__at", *stratum, key], unit_range("__at"), name).drop("__slot", "__strata", "__at")

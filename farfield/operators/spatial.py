@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farfield.functions.columns import EARTH_KM, finite, haversine_km, hash_order, sphere
+from farfield.sources.scratch import cut
 
 
 def require_finite(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -72,7 +73,7 @@ def leave_one_out(samples: DataFrame, key: str, domain: str, radius_km: float) -
     known = samples.where(F.col(domain).isNotNull() & ~F.col(domain).isin("unknown", "nan", ""))
     holdouts = known.select(F.col(domain).alias("holdout")).distinct()
     rows = known.crossJoin(F.broadcast(holdouts)).withColumn("role", F.when(F.col(domain) == F.col("holdout"), "target").otherwise("source"))
-    gone = purged(rows.where("role = 'source'"), rows.where("role = 'target'"), key, radius_km, by=("holdout",))
+    gone = cut(purged(rows.where("role = 'source'"), rows.where("role = 'target'"), key, radius_km, by=("holdout",)), "purged")
     kept = rows.join(gone.withColumn("__gone", F.lit(1)), ["holdout", key], "left").where("__gone is null").drop("__gone")
     return kept, gone
 
@@ -123,7 +124,7 @@ def footprints(target: DataFrame, by: str = "holdout") -> DataFrame:
         for (g, a, b), h in held.items():
             yield pd.DataFrame({"g": g, "lat0": a, "lon0": b, "px": h[:, 0], "py": h[:, 1]})
 
-    def whole(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h = _hull(rows[["px", "py"]].to_numpy())
         return pd.DataFrame({by: [key[0]], "lat0": [key[1]], "lon0": [key[2]], "hull": [[{"x": float(p), "y": float(q)} for p, q in h]]})
 

@@ -208,17 +208,15 @@ def leaves(population: DataFrame, assigned: DataFrame, purged: DataFrame, exclud
 
 def leaf_problems(rows: DataFrame) -> DataFrame:
     """(holdout, stable_id, problem): repeated ids, unknown states, parts that don't go with the state, blank fields."""
-    twice = rows.groupBy("holdout", "stable_id").agg(F.count("*").alias("n")).where("n > 1").select("holdout", "stable_id", F.lit("repeated").alias("problem"))
     rules = {
         "status": "status is null or status not in ('assigned', 'purged', 'excluded')",
         "partition": "(status = 'assigned') != (partition in ('source_train', 'source_val', 'source_test', 'target_label_pool', 'target_test'))",
         "domain": "domain is null or trim(domain) = ''",
         "reason": "status != 'assigned' and (reason is null or trim(reason) = '')",
     }
-    out = twice
-    for name, rule in rules.items():
-        out = out.unionByName(rows.where(rule).select("holdout", "stable_id", F.lit(name).alias("problem")))
-    return out
+    per = rows.groupBy("holdout", "stable_id").agg(F.count("*").alias("n"), *[F.max(F.when(F.expr(rule), F.lit(name))).alias(f"p_{name}") for name, rule in rules.items()])
+    problems = F.filter(F.array(F.when(F.col("n") > 1, F.lit("repeated")), *[F.col(f"p_{name}") for name in rules]), lambda x: x.isNotNull())
+    return per.select("holdout", "stable_id", F.explode(problems).alias("problem"))
 
 
 def leaf_summary(rows: DataFrame, by: list[str]) -> DataFrame:
