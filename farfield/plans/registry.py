@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from farfield.plans import design, inputs, results, scores
+from farfield.plans import design, fits, inputs, results, scores
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (scores, design, results, inputs):
+for _module in (scores, design, results, inputs, fits):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
