@@ -172,17 +172,18 @@ def surrogate(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
     Texts without PII come back as they are, null as null. Repeated rows and null ids get the same replacements. The
     surrogates depend on ``key`` and on the distinct entities of the table alone, not on how it is partitioned. No rows
-    give no rows. Other columns pass through; columns named ``__key`` or ``__may`` must not exist.
+    give no rows. Other columns pass through (an n_entities of the input is replaced); names that start with two underscores
+    are kept for this operator.
     """
     rows = _rows(docs)
     found = mentions(rows)
     known = stored(found, "mentions")
     written = known.join(mapping(known, key), ["kind", "canon"]).select("key", "at", F.expr(MENTION).alias("w"))
-    per_doc = written.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "w"))).alias("found"))
-    hit = rows.where("__may").join(per_doc, F.col("__key") == F.col("key"), "left")
+    per_doc = written.groupBy(F.col("key").alias("__pk")).agg(F.array_sort(F.collect_set(F.struct("at", "w"))).alias("__found"))
+    hit = rows.where("__may").join(per_doc, F.col("__key") == F.col("__pk"), "left")
     pieces = F.split("text", PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(pieces, F.col("found.w"), lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
-    hit = hit.withColumn("n_entities", F.coalesce(F.size("found"), F.lit(0))).withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(rebuilt))
-    names = [*docs.columns, "n_entities"]
+    rebuilt = F.array_join(F.zip_with(pieces, F.col("__found.w"), lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
+    hit = hit.withColumn("n_entities", F.coalesce(F.size("__found"), F.lit(0))).withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(rebuilt))
+    names = [*[c for c in docs.columns if c != "n_entities"], "n_entities"]
     clean = rows.where("not __may").withColumn("n_entities", F.lit(0))
     return hit.select(*names).union(clean.select(*names))
