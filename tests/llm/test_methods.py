@@ -1,0 +1,295 @@
+"""Each operator against brute force, an exact round trip, or what held-out rows say."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from oracle import SF, differs, views
+
+import __spark_entry__ as entry
+from farfield.llm import components, decontam, html_diff, langid, lm, mpeg, ngram_join, packing, pii, quality, rlz_dedup
+from farfield.llm import text as T
+from farfield.llm.queries import ORACLE_SQL, QUERIES
+
+
+def words(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+
+
+def mutated(rng, base, p):
+    return [rng.choice(VOCABULARY) if rng.random() < p else w for w in base]
+
+
+VOCABULARY = [f"v{i}" for i in range(400)]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Texts with copies, near copies of several distances and shared passages."""
+    rng = random.Random(11)
+    base = [[rng.choice(VOCABULARY) for _ in range(rng.randint(3, 260))] for _ in range(25)]
+    passage = [rng.choice(VOCABULARY) for _ in range(80)]
+    texts = []
+    for b in base:
+        texts.append(b)
+        for p in (0, 0.005, 0.02, 0.04, 0.1):
+            texts.append(mutated(rng, b, p))
+        texts.append(b[: len(b) // 2] + passage + b[len(b) // 2 :])
+    rng.shuffle(texts)
+    rows = [(i * 3 + 1, " ".join(t)) for i, t in enumerate(texts)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    con = views(SF)
+    assert not differs(spark, con, name, QUERIES[name], ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 70)])
+def test_jaccard_components_match_brute_force(corpus, k, num):
+    rows, docs = corpus
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            o = len(sets[a] & sets[b])
+            if a < b and 100 * o >= num * (len(sets[a]) + len(sets[b]) - o):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(docs, k, num, 100).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_size_classes_hold_every_pair_that_may_link():
+    b = ngram_join.Bounds(90, 100)
+    for s in range(1, 700):
+        top = s * 100 // 90
+        assert b.level(top) - b.level(s) <= 1
+    for level in range(30):
+        most, n = b.blocks(level)
+        assert n > most
+
+
+def test_components_of_paths_and_stars(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 150)}
+
+
+@pytest.mark.parametrize("window", [12, 20, 50])
+def test_substrings_match_brute_force(corpus, window):
+    rows, docs = corpus
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rlz_dedup.digest(rlz_dedup.remove_repeats(docs, window)).collect()}
+    assert got == rlz_dedup.reference_parse(dict(rows), window)
+
+
+def test_factors_point_into_their_reference(corpus):
+    rows, docs = corpus
+    texts = {i: t.split() for i, t in rows}
+    seen = 0
+    for r in rlz_dedup.remove_repeats(docs).collect():
+        for f in r["factors"]:
+            a, n = f["start"], f["words"]
+            assert f["ref_doc_id"] < r["doc_id"] and n >= 50
+            assert texts[r["doc_id"]][a : a + n] == texts[f["ref_doc_id"]][f["ref_start"] : f["ref_start"] + n]
+            seen += 1
+    assert seen
+
+
+def test_bit_parallel_lcs():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        got = sorted(html_diff.common(a, b))
+        rest = iter(b)
+        assert len(got) == table[-1][-1] and all(a[i] in rest for i in got)
+
+
+def test_differencing_deletes_what_pages_share(spark):
+    page = "<html><head><title>t</title></head><body><div>Site name</div><div>{}</div><p>{}</p><div>All rights reserved</div></body></html>"
+    rows = [(i, f"http://x.example/a/{i}", page.format(f"Head {i}", f"Body &amp; text <b>n</b>{i}")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i} Body & text n{i}" for i in range(6)}
+
+
+def test_furniture_and_comments_go():
+    page = '<body><header>H</header><nav>N</nav><div class="cookie-notice">C</div><article><header><h1>T</h1></header><p>a<br>b<p>c<section class="comments"><p>x</section><form>f</form></article><aside>s</aside><script>"<p>"</script><footer>F</footer>'
+    assert [t for t, _ in html_diff.lines(page)] == ["T", "a b", "c"]
+
+
+def test_tokens_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["Don't STOP—now… it's 1,234.5", "école ÉCOLE İstanbul ſtraße", "a<|endoftext|>b", "x" * 9000, "日本 ́é ﬁ ½", "tab\tnew\nline\x0b\x1cend\xa0nbsp", "", "p.!?q ### ’s 's"] * 2
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    for text, (ids, _) in zip(texts, packing.Encoder(packing.default_tokenizer()).encode(texts), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_cuts_cost_the_least():
+    rng = random.Random(4)
+    for _ in range(200):
+        length = rng.randint(5, 12)
+        points, penalties = [0], [0]
+        for _ in range(rng.randint(1, 9)):
+            points.append(points[-1] + rng.randint(1, length))
+            penalties.append(rng.choice([0, 1, 5]))
+
+        def cost(ends):
+            at, c = 0, 0
+            for e in ends:
+                c += length - (points[e] - at) + penalties[e]
+                at = points[e]
+            return c
+
+        best = math.inf
+        inner = list(range(1, len(points) - 1))
+        for mask in range(1 << len(inner)):
+            ends = [i for b, i in enumerate(inner) if mask >> b & 1] + [len(points) - 1]
+            if all(points[e] - points[s] <= length for s, e in zip([0, *ends], ends, strict=False)):
+                best = min(best, cost(ends))
+        assert cost(packing.best_cuts(np.array(points), np.array(penalties), length)) == best
+
+
+def test_packing_tiles_documents_and_sequences(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = packing.pack(docs).toPandas()
+    for _, g in rows.sort_values("start").groupby("doc_id"):
+        assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == g.doc_tokens.iloc[0]
+    sizes = []
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
+        sizes.append(g.length.sum())
+    padding = sum(0 if s & (s - 1) == 0 else 4096 - s for s in sizes)
+    assert max(sizes) <= 4096 and padding < 0.01 * sum(sizes)
+
+
+def test_mpeg_reader_resynchronises():
+    payload = mpeg.padded(bytes(range(256)) * 30)
+    stream = mpeg.write(payload)
+    s = mpeg.read(stream)
+    assert s.data == payload and s.bad_checksums == 0 and s.skipped_bytes == 0 and s.table_frames == len(s.offsets)
+    assert s.table_bytes == len(stream) - s.offsets[0] + 960 and s.duration_us == len(s.offsets) * 24000
+    junk = stream[: s.offsets[2]] + b"\xff\xfa junk \xff" + stream[s.offsets[2] :]
+    t = mpeg.read(junk)
+    assert t.data == payload and t.skipped_bytes == 9 and len(t.offsets) == len(s.offsets)
+    broken = bytearray(stream)
+    broken[s.offsets[1] + 10] ^= 1
+    assert mpeg.read(bytes(broken)).bad_checksums == 1
+    assert mpeg.crc16(b"123456789") == 0xAEE7
+
+
+def test_held_out_languages_and_quality(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    r = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (r.lang_pred == r.lang).mean() > 0.97
+    q = quality.score(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert (q.predicted == q.quality).mean() > 0.9
+
+
+def test_scores_match_plain_counting(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    texts = dict(docs.select("doc_id", "text").collect())
+    tokens = {i: [*words(t), b"\n"] for i, t in texts.items()}
+    c = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r in lm.score(docs).collect():
+        ws = tokens[r["doc_id"]]
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
+
+
+def test_automaton_sums_to_one_and_walks_like_a_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200)
+    a = lm.fit(docs)
+    assert np.abs((10.0**a.weight).sum(axis=1) - 1).max() < 1e-5
+    texts = ["the of and", "", "é " * 2000, docs.first()["text"]]
+    block = next(T.blocks(pa.array(texts)))
+    stream, bounds = lm.streams(block)
+    got = a.walk(stream, bounds)
+    for k in range(len(texts)):
+        state = a.start
+        for at in range(bounds[k], bounds[k + 1]):
+            assert got[at] == a.weight[state, stream[at]]
+            state = a.step[state, stream[at]]
+
+
+def test_leaks_with_substitutions_are_found(spark):
+    rng = random.Random(9)
+    items = [[rng.choice(VOCABULARY) for _ in range(30)] for _ in range(10)]
+    rows = []
+    for i in range(40):
+        text = [rng.choice(VOCABULARY) for _ in range(200)]
+        if i % 2:
+            item = list(items[i % 10])
+            for j in (7, 15, 23):
+                item[j] = "changed"
+            text[50:50] = [w.upper() + "!!" for w in item]
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontam.report(docs, bench).where("contaminated").collect()}
+    assert got == {i: [i % 10] for i in range(1, 40, 2)}
+
+
+def test_surrogates_keep_identity_kind_and_format(spark):
+    rows = [
+        (1, "Mr. John Smith and Mrs Anna Lee: call +1 (509) 555-6973, card 4111 1111 1111 1111, ip 10.1.2.3, key token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""),
+        (2, "JOHN@X.EXAMPLE john@x.example mary@x.example 4111111111111111 Frau Anna Lee ssn 123-45-6789 г-жа Мария Иванова"),
+        (3, "nothing here, version 3."),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.surrogate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == rows[2][1]
+    for secret in ("Smith", "Lee", "509", "4111 1111 1111 1111", "4111111111111111", "04dbebab", "john", "JOHN", "mary", "123-45-6789", "Иванова", ".1.2.3"):
+        assert secret not in got[1] + got[2]
+    one = re.search(r"card (\d{4} \d{4} \d{4} \d{4})", got[1])[1].replace(" ", "")
+    assert one in got[2] and sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(one)) % 10 == 0
+    upper, lower, other = re.findall(r"\S+@\S+", got[2])
+    assert upper == lower.upper() and other != lower and other.split("@")[1] == lower.split("@")[1]
+    assert re.search(r"Mrs (\w+ \w+)", got[1])[1] == re.search(r"Frau (\w+ \w+)", got[2])[1]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]) and re.search(r"ip 10\.\d+\.\d+\.\d+", got[1]) and re.search("[а-я]", got[2])
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    # 20,000 entities in a format with few places: distinct ones must stay distinct and differ from all entities
+    entities = spark.range(20_000).selectExpr("'ssn' as kind", "lpad(cast(100000000 + id * 37 as string), 9, '0') as canon")
+    got = pii.mapping(entities, "k").toPandas()
+    assert len(got) == got.s.nunique() == 20_000 and not set(got.s) & set(got.canon)
+
+
+def test_pipeline_matches_its_stages(spark):
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = quality.keep_good(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    groups = ngram_join.near_groups(kept, 5, 80, 100).toPandas()
+    bench = decontam.report(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).toPandas()
+    want = set(groups[groups.doc_id == groups.component_id].doc_id) - set(bench[bench.contaminated].doc_id)
+    assert set(pieces.doc_id) == want and len(want) > 500
+
+
+def test_queries_are_registered():
+    names = entry.queries()
+    assert {f"op{i}_" for i in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} and "pipeline" in names
