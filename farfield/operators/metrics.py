@@ -49,8 +49,8 @@ def f1_thresholds(df: DataFrame, by: list[str], y: str = "y_true", p: str = "pro
 
 def calibration_error(df: DataFrame, by: list[str], hit: str = "y_true", p: str = "prob", name: str = "ece") -> DataFrame:
     """(by, ece): mean distance of hit rate and confidence over ten bins, weighted by their rows."""
-    bins = df.withColumn("__bin", calibration_bin(F.col(p))).groupBy(*by, "__bin").agg(F.sum(F.col(hit).cast("double")).alias("h"), F.sum(p).alias("c"), F.count("*").alias("n"))
-    return bins.groupBy(*by).agg((F.sum(F.abs(F.col("h") - F.col("c"))) / F.sum("n")).alias(name))
+    bins = df.withColumn("__bin", calibration_bin(F.col(p))).groupBy(*by, "__bin").agg(F.sum(F.col(hit).cast("double")).alias("__h"), F.sum(p).alias("__c"), F.count("*").alias("__n"))
+    return bins.groupBy(*by).agg((F.sum(F.abs(F.col("__h") - F.col("__c"))) / F.sum("__n")).alias(name))
 
 
 def auc(df: DataFrame, by: list[str], y: str = "y_true", p: str = "prob") -> DataFrame:
