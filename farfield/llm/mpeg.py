@@ -135,6 +135,11 @@ def _checksum_holds(b: bytes, at: int, side: int) -> bool:
     return _good_checks[part]
 
 
+def _confirmed(b: bytes, at: int, end: int, head: tuple[int, int, int, int, bool], locked: bool) -> bool:
+    """Whether a header that may be chance is one: the next frame or the end follows, or, in step, its checksum holds."""
+    return at + head[0] == end or _header(b, at + head[0]) is not None or locked and head[4] and _checksum_holds(b, at, head[3])
+
+
 def read(b: bytes) -> Stream:
     """Parse a stream. Bytes that belong to no confirmed frame are skipped and counted; a cut last frame is one of them."""
     out = Stream()
@@ -143,7 +148,7 @@ def read(b: bytes) -> Stream:
     parts, first, locked = [], True, False
     while at < end:
         head = _header(b, at)
-        if head is None or at + head[0] > end or not (locked or at + head[0] == end or _header(b, at + head[0])):
+        if head is None or at + head[0] > end or not _confirmed(b, at, end, head, locked):
             nxt = b.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             out.skipped_bytes += nxt - at
