@@ -95,13 +95,20 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def train(texts: list[str | None], labels: list[int], rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model | None:
     if not texts:
         return None
-    x = np.concatenate([counts(b) for b in T.blocks(pa.array(texts, pa.large_string()))])
-    weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.sqrt(x) * weight
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64)) if len(x) > WIDTH else np.linalg.eigh((x @ x.T).astype(np.float64))
-    top = np.argsort(-values)[: min(rank, len(x))]
-    axes = vectors[:, top] if len(x) > WIDTH else (x.T @ vectors[:, top]) / np.sqrt(np.maximum(values[top], 1e-9))
-    axes = axes.astype(np.float32)
+    x = np.empty((len(texts), WIDTH), np.float32)
+    at = 0
+    for block in T.blocks(pa.array(texts, pa.large_string()), limit=1 << 19):
+        x[at : at + block.rows] = counts(block)
+        at += block.rows
+    weight = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    np.sqrt(x, out=x)
+    x *= weight
+    # the leading axes by subspace iteration: no matrix as wide as the counts is ever squared
+    width = min(rank, len(x))
+    basis = np.random.default_rng(3).normal(size=(WIDTH, min(width + 16, len(x)))).astype(np.float32)
+    for _ in range(8):
+        basis = np.linalg.qr(x.T @ np.linalg.qr(x @ basis)[0])[0]
+    axes = np.ascontiguousarray(basis @ np.linalg.svd(x @ basis, full_matrices=False)[2].T[:, :width])
     return Model(weight, axes, np.ascontiguousarray(_unit(x @ axes).T), np.asarray(labels, np.float64), neighbours)
 
 
