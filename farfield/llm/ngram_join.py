@@ -14,6 +14,7 @@ Hashes have 64 bits; equal hashes count as equal n-grams and sets.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,7 +59,7 @@ class Bounds:
         while self.edges[-1] <= size:
             at = self.edges[-1]
             self.edges.append(max(at + 1, (at - 1) * self.den // self.num + 1))
-        return int(np.searchsorted(self.edges, size, side="right")) - 1
+        return bisect_right(self.edges, size) - 1
 
     def differ(self, s: int, t: int) -> int:
         return (s + t) * (self.den - self.num) // (self.den + self.num)
@@ -69,7 +70,6 @@ class Bounds:
 
     def blocks(self, level: int) -> tuple[int, int]:
         """The most columns that two sets up to this class may differ in, and the number of blocks."""
-        self.level(self.edges[-1])
         while len(self.edges) < level + 2:
             self.level(self.edges[-1])
         top = self.edges[level + 1] - 1
