@@ -5,8 +5,8 @@ at most D = (s + t)(den - num) // (den + num) columns, so of more than D blocks
 both rows: only rows that agree on a whole block can reach the bound. Each row emits one signature a block, for the
 number of blocks that its size class and the next larger one need; equal signatures are the candidate products. Overlap
 counts of the candidates are then accumulated block by block, and a pair is dropped as soon as what is left cannot reach
-the overlap that its sizes ask for. Rows with equal sets are one class from the start; a class is compared with one hub
-of each of its signatures, and after that only with rows of other components, so that a group of copies makes a star
+the overlap that its sizes ask for. Rows with equal sets are one class from the start; a class is compared with the hub that
+shares most of its signatures, and after that only with rows of other components, so that a group of copies makes a star
 and not all its pairs, while no link between components is lost.
 
 Hashes have 64 bits; equal hashes count as equal n-grams and sets.
@@ -236,7 +236,9 @@ class JaccardJoin:
         group = Window.partitionBy("sig")
         shared = stored(signed.withColumns({"hub": F.min("node").over(group), "top": F.max("node").over(group)}).where("hub < top").drop("top"), "shared")
         texts = stored(self._texts(shared.select("node", "rep", "th").distinct()), "texts")
-        pairs = shared.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        # one pair for each row: the hub with which it shares the most signatures; all others are decided below
+        met = shared.where("node > hub").groupBy("hub", "node").agg(F.count("*").alias("n"))
+        pairs = met.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("a")).select("a", F.col("node").alias("b"))
         links = stored(self._linked(pairs, texts), "links")
         label = components(links)
         # what the hubs left open: rows that share a signature and lie in different components
