@@ -74,7 +74,7 @@ class Bounds:
             self.level(self.edges[-1])
         top = self.edges[level + 1] - 1
         most = self.differ(top, top)
-        return most, most + 2 + most // 20
+        return most, most + 2 + most // 4
 
 
 @lru_cache(maxsize=64)
@@ -87,16 +87,15 @@ def _salts(level: int, blocks: int) -> np.ndarray:
     return T.mix(np.arange(1, blocks + 1, dtype=np.uint64) * _PART + np.array([level + 1], np.uint64) * _LEVEL)
 
 
-def signatures(found: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """A hash of the columns in each block, for this set's size class and the next.
+def signatures(found: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, need): a hash of the columns in each block, for this set's size class and the next.
 
-    Blocks without a column are left out if more blocks have one than may differ: one of those is then shared with any
-    set that links, and that set emits it as well.
+    Blocks without a column are left out if more blocks have one than may differ: some of those are then shared with any
+    set that links, and that set emits them as well. ``need`` is how many signatures of the class at least are shared with
+    each set that links there. The lowest bit of a signature tells the two classes apart.
     """
-    if not len(found):
-        return found
-    own, out = bounds.level(len(found)), []
-    for level in (own, own + 1):
+    out, need = [found[:0]], [np.zeros(0, np.int32)]
+    for level in (own := bounds.level(len(found)), own + 1) if len(found) else ():
         most, n = bounds.blocks(level)
         if not most:
             continue  # only equal sets link
@@ -104,9 +103,11 @@ def signatures(found: np.ndarray, bounds: Bounds) -> np.ndarray:
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, part, T.mix(found ^ _PART))
         full = np.bincount(part, minlength=n) > 0
-        signed = T.mix(sums ^ _salts(level, n))
-        out.append(signed[full] if full.sum() > most else signed)
-    return np.concatenate(out) if out else found[:0]
+        signed = (T.mix(sums ^ _salts(level, n)) & ~np.uint64(1)) | np.uint64(level & 1)
+        spare = int(full.sum()) - most
+        out.append(signed[full] if spare > 0 else signed)
+        need.append(np.full(len(out[-1]), max(1, spare), np.int32))
+    return np.concatenate(out), np.concatenate(need)
 
 
 def _rows(k: int, num: int, den: int, sign: bool):
@@ -123,9 +124,11 @@ def _rows(k: int, num: int, den: int, sign: bool):
                 columns = [ids, hashes, pa.array([len(s) for s in sets], pa.int64()), pa.array(T.signed(one)), pa.array(T.signed(T.mix(one ^ T.mix(two))))]
                 if sign:
                     each = [signatures(s, bounds) for s in sets]
-                    values = T.signed(np.concatenate(each)) if each else np.zeros(0, np.int64)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(values)))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "check", "node", "sigs"][: len(columns)])
+                    ends = pa.array(np.cumsum([0, *(len(x) for x, _ in each)]), pa.int32())
+                    for k_, kind in ((0, np.uint64), (1, np.int32)):
+                        values = np.concatenate([np.zeros(0, kind), *(x[k_] for x in each)])
+                        columns.append(pa.ListArray.from_arrays(ends, pa.array(T.signed(values) if not k_ else values)))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "check", "node", "sigs", "needs"][: len(columns)])
 
     return run
 
@@ -192,7 +195,7 @@ class JaccardJoin:
         self.rows = id_text(docs).withColumn("th", F.xxhash64("text"))
 
     def _sets(self, sign: bool) -> DataFrame:
-        schema = "doc_id long, th long, n long, check long, node long" + ", sigs array<long>" * sign
+        schema = "doc_id long, th long, n long, check long, node long" + ", sigs array<long>, needs array<int>" * sign
         return self.rows.select("doc_id", "text", "th").mapInArrow(_rows(self.k, self.num, self.den, sign), schema)
 
     def _texts(self, keys: DataFrame) -> DataFrame:
@@ -226,16 +229,17 @@ class JaccardJoin:
         return one.join(two, "gram").where(fits).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
     def groups(self) -> DataFrame:
-        per_class = (
-            self._sets(sign=True)
-            .where("n > 0 and doc_id is not null")
-            .groupBy("node")
-            .agg(F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th"), F.first("sigs").alias("sigs"))
-        )
-        signed = per_class.select("node", "rep", "th", F.explode("sigs").alias("sig"))
+        sets = stored(self._sets(sign=False), "sets")
+        signed = self._sets(sign=True).where("n > 0 and doc_id is not null").groupBy("node").agg(F.first(F.struct("sigs", "needs")).alias("s"))
+        signed = signed.select("node", F.explode(F.arrays_zip("s.sigs", "s.needs")).alias("z")).select("node", F.col("z.sigs").alias("sig"), F.col("z.needs").alias("need"))
         group = Window.partitionBy("sig")
-        shared = stored(signed.withColumns({"hub": F.min("node").over(group), "top": F.max("node").over(group)}).where("hub < top").drop("top"), "shared")
-        texts = stored(self._texts(shared.select("node", "rep", "th").distinct()), "texts")
+        alike = lambda d: d.withColumns({"hub": F.min("node").over(group), "top": F.max("node").over(group)}).where("hub < top").drop("top")
+        met = stored(alike(signed).drop("hub"), "met")
+        side = F.col("sig").bitwiseAND(1).alias("side")
+        enough = met.groupBy("node", side).agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("node", "side")
+        shared = stored(alike(met.select("sig", "node", side).join(enough, ["node", "side"]).select("sig", "node")), "shared")
+        places = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th"))
+        texts = stored(self._texts(shared.select("node").distinct().join(places, "node")), "texts")
         # one pair for each row: the hub with which it shares the most signatures; all others are decided below
         met = shared.where("node > hub").groupBy("hub", "node").agg(F.count("*").alias("n"))
         pairs = met.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("a")).select("a", F.col("node").alias("b"))
@@ -246,8 +250,7 @@ class JaccardJoin:
         held = held.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group)}).where("low < high")
         rest = self._candidates(held.select("node", "component").distinct().join(texts, "node")).join(pairs, ["a", "b"], "left_anti")
         label = components(links.union(self._linked(rest, texts)))
-        sets = self._sets(sign=False).select("doc_id", "n", "node")
-        whole = sets.join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
+        whole = sets.select("doc_id", "n", "node").join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
         least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
         lone = whole.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return whole.where("n > 0 and doc_id is not null").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")).union(lone)
