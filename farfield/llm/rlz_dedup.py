@@ -146,6 +146,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     places = stored(open_docs.mapInArrow(_windows(window), "block long, doc_id long, h1 long, at int, fresh boolean"), "blocks")
     new = F.when(F.col("fresh"), F.col("doc_id"))
     index = places.groupBy("block").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("at", new).alias("ref_at")).where("ref_doc < last").drop("last")
+    index = stored(index, "index")  # both sides of the next join are then dealt out anew, and a block of very many documents can be split
     hits = places.join(index, "block").where("ref_doc < doc_id").groupBy("doc_id", "h1").agg(F.collect_list(F.struct("at", "ref_doc", "ref_at")).alias("hits"))
     copies = known.select("doc_id", "h1", "h2").distinct().join(first.where("n > 1"), ["h1", "h2"]).where("first_id < doc_id").select("doc_id", "h1", F.col("first_id").alias("copy_of"))
     marks = hits.join(copies, ["doc_id", "h1"], "full")
