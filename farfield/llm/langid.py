@@ -74,7 +74,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 4.
         return None
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
-    x = np.concatenate([bags(b) for b in T.blocks(pa.array(texts, pa.large_string()))])
+    x = np.concatenate([bags(b) for b in T.blocks(pa.array(texts, pa.large_string()), most=256)])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     cut = len(y) * 4 // 5 if len(y) >= 50 else len(y)
@@ -119,7 +119,7 @@ def _predict(model):
         m: Model | None = model.value
         for batch in batches:
             pred, score, rejected = [], [], []
-            for block in T.blocks(batch.column(2)):
+            for block in T.blocks(batch.column(2), most=256):
                 p = m.probabilities(bags(block)) if m else np.zeros((block.rows, 1))
                 for k, row in enumerate(p):
                     if m is None or not has_letter(block.text_bytes(k)):

@@ -24,7 +24,8 @@ WIDTH = PAIRS + SHAPES + ENDS + EXTRA
 RANK = 48
 NEIGHBOURS = 31
 SAMPLE_ROWS = 4096
-PRODUCT_ROWS = 512
+PRODUCT_ROWS = 128
+BLOCK = {"limit": 1 << 19, "most": 512}  # what is counted at a time
 _CLASS = np.full(256, 5, np.uint64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 1
 _CLASS[[44, 46]] = 4
@@ -97,7 +98,7 @@ def train(texts: list[str | None], labels: list[int], rank: int = RANK, neighbou
         return None
     x = np.empty((len(texts), WIDTH), np.float32)
     at = 0
-    for block in T.blocks(pa.array(texts, pa.large_string()), limit=1 << 19):
+    for block in T.blocks(pa.array(texts, pa.large_string()), **BLOCK):
         x[at : at + block.rows] = counts(block)
         at += block.rows
     weight = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
@@ -116,7 +117,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = model.value
         for batch in batches:
-            scores = [m.score(counts(block)) if m else np.full(block.rows, 0.5) for block in T.blocks(batch.column(2))]
+            scores = [m.score(counts(block)) if m else np.full(block.rows, 0.5) for block in T.blocks(batch.column(2), **BLOCK)]
             values = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64()), pa.array((values >= 0.3).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -149,7 +150,7 @@ def _keep(model, text_at: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = model.value
         for batch in batches:
-            scores = [m.score(counts(block)) if m else np.ones(block.rows) for block in T.blocks(batch.column(text_at))]
+            scores = [m.score(counts(block)) if m else np.ones(block.rows) for block in T.blocks(batch.column(text_at), **BLOCK)]
             yield batch.filter(pa.array(np.concatenate(scores) >= least)) if scores else batch
 
     return run

@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 2048
 _RNG = np.random.default_rng(20240917)
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _TABLE.copy()
@@ -102,12 +103,13 @@ class Block:
         return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, most: int = BLOCK_ROWS) -> Iterator[Block]:
+    """Blocks of about ``limit`` bytes and at most ``most`` rows; a longer document is a block of its own."""
     data, offsets = buffers(column)
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(rows, max(first + 1, last))
+        last = min(rows, first + most, max(first + 1, last))
         yield Block(data, offsets[first : last + 1], first)
         first = last
 
