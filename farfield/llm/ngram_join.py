@@ -249,7 +249,8 @@ class JaccardJoin:
         held = shared.join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
         held = held.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group)}).where("low < high")
         rest = self._candidates(held.select("node", "component").distinct().join(texts, "node")).join(pairs, ["a", "b"], "left_anti")
-        label = components(links.union(self._linked(rest, texts)))
+        stars = label.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        label = components(stars.union(self._linked(rest, texts)))
         whole = sets.select("doc_id", "n", "node").join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
         least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
         lone = whole.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
