@@ -1,17 +1,21 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into text lines at its block elements. Pages are ordered by host and path, so that the page before (or,
-at the start of a run, after) has the nearest URL of the host; the longest common subsequence of the two pages' lines
-holds what they share. Shared lines are deleted, except inside what a page marks as its article, where equal lines are
-text that repeats and not furniture, and except between copies, which share nearly all. Elements that are never part of
-an article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out by their
-tag, role, class or id before the comparison, as such lines often differ from page to page.
+A page is cut into text lines at its block elements. Pages are ordered by host and path, so that the different pages just
+before and after (``NEAR`` each) have the nearest URLs of the host; the longest common subsequence of the lines of two
+pages holds what they share. A line is deleted if a near page shares it; inside what a page marks as its article, where
+single equal lines are text that repeats, if ``SEVERAL`` near pages do. Near pages that are copies don't count. Elements
+that are never part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
+are left out by their tag, role, class or id before the comparison, as such lines often differ from page to page.
+
+A page that shares most of the text (of the article, where one is marked) is a copy. Without a mark it may be a short text
+under a large template instead: then what is not shared differs in its words, and a third page has the template, too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +41,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 _CLOSES = {tag: frozenset("p".split()) for tag in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 _CLOSES |= {"li": frozenset(["li", "p"]), "dd": frozenset(["dd", "dt", "p"]), "dt": frozenset(["dd", "dt", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 _SCOPE = frozenset("article aside body div footer form header html li main nav ol section table td th ul".split())
+NEAR = 2
+SEVERAL = 2
 COPY_SHARE = 0.6
 Line = tuple[str, bool]
 
@@ -146,50 +152,80 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def difference(own: list[Line], other: list[Line] | None) -> str:
-    """The lines of a page that its nearest page doesn't share, joined by one space."""
-    shared: set[int] = set()
-    if other and own:
-        shared = common([x for x, _ in own], [x for x, _ in other])
-        size = sum(len(x) for x, _ in own)
-        if sum(len(own[i][0]) for i in shared) > COPY_SHARE * size:
-            shared = set()
-    marked = any(article for _, article in own)
-    return " ".join(text for i, (text, article) in enumerate(own) if (article if marked else i not in shared))
+def _templated(own: list[str], other: list[str], shared: set[int], thirds: list[set[int]]) -> bool:
+    """Whether two pages that share most of their text are different texts under one template."""
+    rest = [own[i] for i in range(len(own)) if i not in shared]
+    theirs = Counter(other) - Counter(own[i] for i in shared)
+    a, b = ({w for line in lines_ for w in line.lower().split()} for lines_ in (rest, theirs))
+    if not a or not b or 2 * len(a & b) > min(len(a), len(b)):
+        return False
+    size = lambda found: sum(len(own[i]) for i in found)
+    return any(2 * size(shared & t) > size(shared) for t in thirds)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by host and path. A page is held back until the next one is read, which may be its nearest."""
-    previous = None  # host and lines of the page before the held one
-    held = None  # page_id, url, host, lines
+def difference(own: list[Line], near: list[list[Line]]) -> str:
+    """The lines of a page that its near pages don't share, joined by one space."""
+    distinct = [n for k, n in enumerate(near) if n and n != own and n not in near[:k]]
+    texts = [text for text, _ in own]
+    others = [[text for text, _ in n] for n in distinct]
+    found = [common(texts, other) for other in others]
+    marked = any(article for _, article in own)
+    size = sum(len(text) for text, article in own if article or not marked)
+    times: Counter[int] = Counter()
+    for k, shared in enumerate(found):
+        most = sum(len(own[i][0]) for i in shared if own[i][1] or not marked) > COPY_SHARE * size
+        if not most or not marked and _templated(texts, others[k], shared, found[:k] + found[k + 1 :]):
+            times.update(shared)
+    return " ".join(text for i, (text, article) in enumerate(own) if times[i] < (SEVERAL if article else 1))
 
-    def text_of(nxt) -> str:
-        if held[3] is None:
-            return ""
-        near = previous if previous and previous[0] == held[2] else (nxt[2], nxt[3]) if nxt and nxt[2] == held[2] else None
-        return difference(held[3], near[1] if near else None)
 
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by host and path. Pages of equal lines in a row are one entry; it is held back until ``NEAR`` more
+    entries of its host are read."""
+    host = None
+    run: list[tuple[list[Line], list[tuple]]] = []  # entries of the host: lines, (page_id, url) of the pages
+    at = 0  # the first of them that is held back
     rows: list[tuple] = []
 
-    def batch_of() -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 3
-        rows.clear()
+    def settle(last: bool) -> None:
+        nonlocal at
+        while at < len(run) - (0 if last else NEAR):
+            own, pages = run[at]
+            text = difference(own, [n for n, _ in run[max(0, at - NEAR) : at] + run[at + 1 : at + 1 + NEAR]])
+            rows.extend((page_id, url, text) for page_id, url in pages)
+            pages.clear()
+            at += 1
+        if at > NEAR:
+            del run[: at - NEAR]
+            at = NEAR
+
+    def batch_of(k: int) -> pa.RecordBatch:
+        cols = list(zip(*rows[:k], strict=True))
+        del rows[:k]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["page_id", "url", "text"])
 
     for batch in batches:
         columns = [batch.column(i) for i in range(4)]
         for i in range(batch.num_rows):
-            page_id, url, page, host = (c[i].as_py() for c in columns)
-            now = (page_id, url, host, lines(page) if page is not None else None)
-            if held is not None:
-                rows.append((held[0], held[1], text_of(now)))
-                previous = (held[2], held[3])
-            held = now
-            if len(rows) >= 1000:
-                yield batch_of()
-    if held is not None:
-        rows.append((held[0], held[1], text_of(None)))
-    yield batch_of()
+            page_id, url, page, now = (c[i].as_py() for c in columns)
+            if now != host:
+                settle(True)
+                host, at = now, 0
+                run.clear()
+            if page is None:
+                rows.append((page_id, url, ""))
+            else:
+                found = lines(page)
+                if run and run[-1][0] == found:
+                    run[-1][1].append((page_id, url))
+                else:
+                    run.append((found, [(page_id, url)]))
+                    settle(False)
+            while len(rows) >= 1000:
+                yield batch_of(1000)
+    settle(True)
+    while rows:
+        yield batch_of(1000)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -197,7 +233,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Pages are dealt out by ranges of (host, path), so a host with very many pages is split by path. Null html: empty
     text. Null or odd urls share a host of their own. Repeated rows count as each other's copies: nothing is deleted
-    between them. A page alone on its host keeps all lines outside its furniture. Other columns are ignored.
+    between them. A page alone on its host keeps all lines outside its furniture. Of two pages alone on their host that
+    mark no article and share most of their text nothing is deleted: no third page tells a template from a copy. Other
+    columns are ignored.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(

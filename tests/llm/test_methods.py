@@ -133,6 +133,23 @@ def test_differencing_deletes_what_pages_share(spark):
     assert got == {i: f"Head {i} Body & text n{i}" for i in range(6)}
 
 
+def test_differencing_decides_each_line():
+    def extracted(pages):
+        columns = [pa.array(list(range(len(pages)))), pa.array([f"http://x.example/{i}" for i in range(len(pages))]), pa.array(pages), pa.array(["x"] * len(pages))]
+        batch = pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "html", "host"])
+        return [t for b in html_diff._extract(iter([batch])) for t in b.column(2).to_pylist()]
+
+    # own text outside of the marked element stays, shared lines go on both sides of its border, once repeated lines stay
+    page = "<body><div>Our site</div><div>own body {0}</div><article><p>about {0}</p><p>more of us</p><p>{1}</p></article></body>"
+    words = ["one", "two", "two", "four", "five", "six"]
+    assert extracted([page.format(i, w) for i, w in enumerate(words)]) == [f"own body {i} about {i} {w}" for i, w in enumerate(words)]
+    # a short text under a large template, and copies of a long one
+    large = "".join(f"<p>a line of the template, number {i}</p>" for i in range(20))
+    assert extracted([f"<body>{large}<p>{w}</p></body>" for w in ("red", "green", "blue")]) == ["red", "green", "blue"]
+    copies = [f"<body>{large}<p>edited {w} in a few words</p></body>" for w in ("here", "there", "here")]
+    assert all(t.startswith("a line") for t in extracted(copies))
+
+
 def test_furniture_and_comments_go():
     page = '<body><header>H</header><nav>N</nav><div class="cookie-notice">C</div><article><header><h1>T</h1></header><p>a<br>b<p>c<section class="comments"><p>x</section><form>f</form></article><aside>s</aside><script>"<p>"</script><footer>F</footer>'
     assert [t for t, _ in html_diff.lines(page)] == ["T", "a b", "c"]
