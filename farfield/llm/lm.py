@@ -1,15 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
 A text is its words (A-Z lower-cased) with a space after each and an end mark. Byte n-grams up to ``ORDER``, counted over
-all training texts, are smoothed by absolute discounting; contexts become states, kept n-grams become arcs, and each
-state has a failure arc to its longest proper suffix with the weight that makes its arcs sum to one. The failure arcs are
-closed into a table (state x byte), so one left-to-right traversal carries the state and adds up log-probabilities. The
-state depends on the last ``ORDER - 1`` bytes alone: a long text is walked in stretches that start a few bytes early.
-
-A context becomes a state if its share of all training bytes is ``STATE_SHARE`` or more. So at most 1 / STATE_SHARE
-contexts of each length can be states, whatever the size of the corpus, and that bounds what is broadcast; counts cover
-everything. Word counts for the base score are exact: the words of a share of ``HEAD_SHARE`` or more are broadcast (at
-most 1 / HEAD_SHARE), all others are joined.
+all training texts, are smoothed by absolute discounting; contexts become states, n-grams become arcs, and each state has
+a failure arc to its longest proper suffix with the weight that makes its arcs sum to one. A context is a state if it
+comes ``LEAST`` times, so the states grow with the corpus.
+
+The state depends on the last ``ORDER - 1`` bytes alone, so the weight of a step is a function of the n-gram of ORDER bytes
+that ends there. The failure arcs are closed into a table (n-gram, weight) of all n-grams of the corpus, made order by
+order with shuffles on contexts and suffixes. A table of at most ``MOST`` n-grams is broadcast; of a larger one those that
+have a share of 1 / MOST or more are, and all other steps are joined with it. The score of a text is the sum of its steps.
+
+Word counts for the base score are exact: the words of a share of ``HEAD_SHARE`` or more are broadcast (at most
+1 / HEAD_SHARE), all others are joined.
 """
 
 from __future__ import annotations
@@ -19,17 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farfield.llm import text as T
 from farfield.llm.scratch import crc_mod, id_text, stored
 
 ORDER = 6
-STATE_SHARE = 4e-5
+LEAST = 2
+MOST = 1 << 22
 HEAD_SHARE = 1e-6
 DISCOUNT = 0.75
-MIX = 0.5  # of the automaton; the rest is the share of the word among all
 END = 10  # closes a text; a word holds no such byte
 STRETCH = 1024
 MERGE_GRAMS = 1 << 21
@@ -73,7 +75,10 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _count(kind: str):
-    """(key, n): byte n-grams or words with their counts, added up within a task as far as a bounded table allows."""
+    """(key, n): byte n-grams or words with their counts, added up within a task as far as a bounded table allows.
+
+    For n-grams a second column may mark held-out texts: their n-grams come with a count of 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
@@ -83,9 +88,17 @@ def _count(kind: str):
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "n"])
 
         for batch in batches:
+            held = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else np.zeros(batch.num_rows, bool)
             for block in T.blocks(batch.column(0)):
                 if kind == "grams":
-                    found = packed(*streams(block))
+                    stream, bounds = streams(block)
+                    found = packed(stream, bounds)
+                    apart = np.repeat(held[block.first : block.first + block.rows], np.diff(bounds))
+                    if apart.any():
+                        k = np.unique(found[apart])
+                        keys.append(k), counts.append(np.zeros(len(k), np.int64))
+                        size += len(k)
+                        found = found[~apart]
                 else:
                     found = np.concatenate([T.signed(block.word_hashes(lower=True)), np.full(block.rows, END_WORD)])
                 k, c = np.unique(found, return_counts=True)
@@ -107,7 +120,10 @@ END_WORD = np.int64(-(2**62) + 11)  # stands for the end among word hashes
 
 @dataclass(frozen=True)
 class Automaton:
-    """States by context. step[s, b] and weight[s, b]: the state after byte b in state s, and the log10 probability."""
+    """States by context. step[s, b] and weight[s, b]: the state after byte b in state s, and the log10 probability.
+
+    The dense form, for small corpora; ``closed`` holds the same weights for any corpus.
+    """
 
     step: np.ndarray
     weight: np.ndarray
@@ -175,20 +191,10 @@ class Automaton:
             state[:live] = flat_step[cell]
         return out
 
-    def tokens(self, block: T.Block) -> tuple[np.ndarray, np.ndarray]:
-        """The log10 probability of each word of a block, and of the end of each document."""
-        stream, bounds = streams(block)
-        by_byte = self.walk(stream, bounds)
-        sizes = block.ends - block.starts + 1
-        starts = np.cumsum(sizes) - sizes + block.document_of_word()
-        return (np.add.reduceat(np.append(by_byte, np.float32(0)).astype(float), np.stack([starts, starts + sizes], axis=1).ravel())[::2] if len(sizes) else np.zeros(0)), by_byte[bounds[1:] - 1].astype(float)
-
 
 def fit(train: DataFrame) -> Automaton:
-    """An automaton from the texts of ``train`` (text). What reaches the driver are the states and their arcs."""
+    """The dense automaton of the texts of a small ``train`` (text): all its states and their arcs reach the driver."""
     grams = stored(train.select("text").mapInArrow(_count("grams"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, STATE_SHARE * total)
     contexts, arcs = [], []
     for k in range(ORDER):
         found = grams.groupBy(F.expr(f"key & {(1 << 8 * (k + 1)) - 1}L").alias("gram")).agg(F.sum("n").alias("n"))
@@ -197,53 +203,89 @@ def fit(train: DataFrame) -> Automaton:
             rows = found.toArrow()
         else:
             found = found.withColumn("context", F.shiftright("gram", 8))
-            states = found.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least).select("context")
+            states = found.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST).select("context")
             rows = found.join(states, "context").select("gram", "n").toArrow()
             contexts.append(np.unique(rows.column("gram").to_numpy() >> 8))
         arcs.append((rows.column("gram").to_numpy(), rows.column("n").to_numpy()))
     return Automaton.build(contexts, arcs)
 
 
-def _mixed(automaton: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """log10 of the interpolated probability of tokens."""
-    return np.log10(MIX * 10.0**automaton + (1 - MIX) * 10.0**base)
+def closed(grams: DataFrame) -> DataFrame:
+    """(key, n, weight) for each n-gram of ``grams`` (key, n): the log10 probability of its last byte after the others."""
+    lower = None
+    for k in range(ORDER):
+        mask = (1 << 8 * (k + 1)) - 1
+        counts = grams.groupBy(F.expr(f"key & {mask}L").alias("gram")).agg(F.sum("n").alias("n"))
+        context = Window.partitionBy(F.shiftright("gram", 8))
+        level = counts.withColumns({"total": F.sum("n").over(context), "kinds": F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(context)})
+        if lower is None:
+            level = level.withColumn("lower", F.lit(1 / 256))
+        else:
+            level = level.withColumn("suffix", F.expr(f"gram & {mask >> 8}L")).join(lower, "suffix")
+        own = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("lower")
+        least = LEAST if k else 1
+        p = F.when(F.col("total") >= least, own / F.col("total")).otherwise(F.col("lower"))
+        lower = level.select(F.col("gram").alias("suffix"), "n", p.alias("lower"))
+        if k < ORDER - 1:
+            lower = lower.drop("n")
+    return lower.select(F.col("suffix").alias("key"), "n", F.log10("lower").cast("float").alias("weight"))
+
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` stand in the sorted ``keys``, and whether they do."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
-def _score(shared, head):
+def _score(steps, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: Automaton = shared.value
+        grams, weights = steps.value
         keys, logs, end, least = head.value
         for batch in batches:
             for block in T.blocks(batch.column(1)):
-                by_word, by_end = automaton.tokens(block)
-                words = T.signed(block.word_hashes(lower=True))
-                at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-                known = keys[at] == words
+                stream, bounds = streams(block)
+                found, place = np.unique(packed(stream, bounds), return_inverse=True)
+                at, held = _place(grams, found)
+                score = np.add.reduceat(np.where(held, weights[at], np.float32(0)).astype(float)[place], bounds[:-1])
+                at, known = _place(keys, T.signed(block.word_hashes(lower=True)))
                 owner = block.document_of_word()
-                sums = [np.bincount(owner[known], weights=x, minlength=block.rows) for x in (logs[at[known]], _mixed(by_word[known], logs[at[known]]))]
-                rest = ~known
-                unseen = np.bincount(owner[rest], weights=_mixed(by_word[rest], np.full(rest.sum(), least)), minlength=block.rows)
+                base = np.bincount(owner[known], weights=logs[at[known]], minlength=block.rows)
                 n_known = np.bincount(owner[known], minlength=block.rows)
-                ends = _mixed(by_end, np.full(block.rows, end))
-                columns = [block.n_words + 1, n_known.astype(np.int64), sums[0] + end, sums[1] + unseen + ends]
+                columns = [block.n_words + 1, n_known.astype(np.int64), base + end, score]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), *map(pa.array, columns)], names=["key", "n_tokens", "head_known", "head_base", "head_score"])
 
     return run
 
 
-def _rare(shared, head):
-    """(word, key, p) of the words that the head doesn't hold; p: log10 by the automaton."""
+def _rare_words(head):
+    """(word, key) of the words that the head doesn't hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: Automaton = shared.value
         keys = head.value[0]
         for batch in batches:
             for block in T.blocks(batch.column(1)):
                 words = T.signed(block.word_hashes(lower=True))
-                rest = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, words), len(keys) - 1)] != words)
+                rest = np.flatnonzero(~_place(keys, words)[1])
                 rows = block.document_of_word()[rest] + block.first
-                by_word, _ = automaton.tokens(block)
-                yield pa.RecordBatch.from_arrays([pa.array(words[rest]), batch.column(0).take(pa.array(rows)), pa.array(by_word[rest].astype(np.float32))], names=["word", "key", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[rest]), batch.column(0).take(pa.array(rows))], names=["word", "key"])
+
+    return run
+
+
+def _rare_steps(steps):
+    """(gram, key, times) of the n-grams that the broadcast table doesn't hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = steps.value[0]
+        for batch in batches:
+            for block in T.blocks(batch.column(1)):
+                stream, bounds = streams(block)
+                found, place = np.unique(packed(stream, bounds), return_inverse=True)
+                rare = np.flatnonzero(~_place(grams, found)[1][place])
+                owner = np.searchsorted(bounds, rare, side="right") - 1
+                pairs, times = np.unique(place[rare] * block.rows + owner, return_counts=True)
+                rows = pa.array(pairs % block.rows + block.first)
+                yield pa.RecordBatch.from_arrays([pa.array(found[pairs // block.rows]), batch.column(0).take(rows), pa.array(times)], names=["gram", "key", "times"])
 
     return run
 
@@ -253,7 +295,8 @@ def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2) -> DataFrame:
 
     Learns from the rows whose crc32(doc_id) mod ``held_mod`` is not ``held_rest``; a null doc_id is never held out. Null
     text reads as empty: one token, the end. Repeated rows are answered alike and counted as often as they come. With no
-    training row every token is unknown, and the automaton gives every byte the same probability.
+    training row every token is unknown, and the automaton gives every byte the same probability. ``score`` is that of the
+    automaton alone.
     """
     spark = docs.sparkSession
     held = F.coalesce(crc_mod("doc_id", held_mod) == held_rest, F.lit(False))
@@ -275,15 +318,25 @@ def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2) -> DataFrame:
         keys, logs = np.array([np.iinfo(np.int64).max]), np.zeros(1)
     end = float(np.log10(end_count + 1.0) - scale)
     head = spark.sparkContext.broadcast((keys, logs, end, -float(scale)))
-    automaton = spark.sparkContext.broadcast(fit(train))
+    grams = stored(rows.select("text", "held_out").mapInArrow(_count("grams"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    arcs = stored(closed(grams), "arcs")
+    size, total = arcs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    often = F.col("n") >= total / MOST if size > MOST else F.lit(True)
+    frequent = arcs.where(often).select("key", "weight").toArrow()
+    order = np.argsort(frequent.column("key").to_numpy())
+    columns = [frequent.column(c).to_numpy()[order] for c in ("key", "weight")] if len(order) else [np.full(1, -1), np.zeros(1, np.float32)]
+    steps = spark.sparkContext.broadcast(columns)
     texts = rows.select("key", "text")
-    main = texts.mapInArrow(_score(automaton, head), "key long, n_tokens long, head_known long, head_base double, head_score double")
-    rare = texts.mapInArrow(_rare(automaton, head), "word long, key long, p float")
-    least, own = F.lit(-float(scale)), F.log10(F.col("n") + 1.0) - float(scale)
-    mixed = lambda base: F.log10(MIX * F.pow(F.lit(10.0), F.col("p").cast("double")) + (1 - MIX) * F.pow(F.lit(10.0), base))
-    # the head's pass took these words for unknown ones; a row that repeats k times sends its words k times
-    gains = rare.join(words.where(F.col("n") < HEAD_SHARE * n), "word")
-    per_key = gains.groupBy("key").agg(F.count("*").alias("known"), F.sum(own).alias("logs"), F.sum(mixed(own) - mixed(least)).alias("gain"))
+    main = texts.mapInArrow(_score(steps, head), "key long, n_tokens long, head_known long, head_base double, head_score double")
+    own = F.log10(F.col("n") + 1.0) - float(scale)
+    # a row that repeats k times sends its words and n-grams k times
+    rare = texts.mapInArrow(_rare_words(head), "word long, key long").join(words.where(F.col("n") < HEAD_SHARE * n), "word")
+    per_key = rare.groupBy("key").agg(F.count("*").alias("known"), F.sum(own).alias("logs"))
+    if size > MOST:
+        rest = texts.mapInArrow(_rare_steps(steps), "gram long, key long, times long").join(arcs.where(~often).select(F.col("key").alias("gram"), "weight"), "gram")
+        per_key = per_key.join(rest.groupBy("key").agg(F.sum(F.col("times") * F.col("weight").cast("double")).alias("steps")), "key", "full")
+    else:
+        per_key = per_key.withColumn("steps", F.lit(0.0))
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"))
     joined = main.join(copies.join(per_key, "key", "left"), "key")
     each = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
@@ -295,6 +348,6 @@ def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2) -> DataFrame:
         "n_tokens",
         (known + (1 if end_count else 0)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("head_base") + each("logs") + unknown * least).alias("base_score"),
-        (F.col("head_score") + each("gain")).alias("score"),
+        (F.col("head_base") + each("logs") + unknown * F.lit(-float(scale))).alias("base_score"),
+        (F.col("head_score") + each("steps")).alias("score"),
     )

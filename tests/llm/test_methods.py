@@ -252,6 +252,17 @@ def test_automaton_sums_to_one_and_walks_like_a_loop(spark):
             state = a.step[state, stream[at]]
 
 
+def test_scores_use_every_state_of_the_corpus(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    texts = dict(docs.select("doc_id", "text").collect())
+    a = lm.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 != 2").select("text"))
+    stream, bounds = lm.streams(next(T.blocks(pa.array(list(texts.values())), 1 << 30)))
+    expected = dict(zip(texts, np.add.reduceat(a.walk(stream, bounds).astype(float), bounds[:-1]), strict=True))
+    for most in (lm.MOST, 1000):  # all steps from the broadcast table, and most steps from the join
+        monkeypatch.setattr(lm, "MOST", most)
+        assert {r["doc_id"]: r["score"] for r in lm.score(docs).collect()} == pytest.approx(expected, rel=1e-5)
+
+
 def test_leaks_with_substitutions_are_found(spark):
     rng = random.Random(9)
     items = [[rng.choice(VOCABULARY) for _ in range(30)] for _ in range(10)]
