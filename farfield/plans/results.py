@@ -81,7 +81,9 @@ def h7_region_bootstrap(spark, sf_dir):
 
 @query()
 def h8_sample_bootstrap(spark, sf_dir):
-    return rounded(A.sample_bootstrap(_rows(spark, sf_dir), ["model"], ["holdout", "row_id"], "seed", "value"))
+    side = F.when(F.col("regime") == "random_id", "id").when(F.col("regime") == "geographic_ood", "ood")
+    sums, mean = {"total": F.col("value"), "n": F.lit(1)}, F.col("total") / F.when(F.col("n") > 0, F.col("n"))
+    return rounded(A.sample_bootstrap(_rows(spark, sf_dir), ["model"], side, "seed", "holdout", ["row_id"], "row_id", sums, mean))
 
 
 def _confound(table: str, a: str, b: str) -> str:
