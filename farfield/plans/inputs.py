@@ -59,10 +59,8 @@ def a12_heterogeneous_union(spark, sf_dir):
 
 @query("with s as (select c_custkey as k, case c_custkey % 6 when 0 then 'target_test' when 1 then 'source_val' when 2 then 'source_test' when 3 then 'target_label_pool' when 4 then '' else 'source_train' end as p, case when c_custkey % 6 = 4 then case when c_custkey % 4 = 0 then 'purged' else 'excluded' end else 'assigned' end as st from {customer}) select cast(k as varchar) as stable_id, cast(row_number() over (order by case when st = 'assigned' then case p when 'source_train' then 0 when 'source_val' then 1 when 'source_test' then 2 when 'target_label_pool' then 3 else 4 end when st = 'purged' then 5 else 6 end, k) as int) as line from s")
 def a14_assignment_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = load(spark, sf_dir, "select cast(c_custkey as string) as stable_id, case c_custkey % 6 when 0 then 'target_test' when 1 then 'source_val' when 2 then 'source_test' when 3 then 'target_label_pool' when 4 then '' else 'source_train' end as partition, case when c_custkey % 6 = 4 then case when c_custkey % 4 = 0 then 'purged' else 'excluded' end else 'assigned' end as status from {customer}")
-    return rows.select("stable_id", F.row_number().over(Window.orderBy(*A.assignment_order())).alias("line"))
+    return A.numbered(rows).select("stable_id", F.col("line").cast("int").alias("line"))
 
 
 @query()

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farfield.functions.columns import window_year
+from farfield.operators.ranks import ranked
+from farfield.sources.scratch import cut
 
 ASSIGNMENTS = "stable_id string, partition string, status string, domain string, reason string"
 LABEL_ACCESS = "stable_id string, population string, source_rank int, target_rank int"
@@ -106,6 +108,15 @@ def assignment_order() -> list[Column]:
     return [place, F.when(number, 0).otherwise(1), F.when(number, F.col("stable_id")).cast("long"), F.col("stable_id")]
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds the 1-based ``line`` of each row in the assignment order: counts of ranges of the order, and ranks within each.
+
+    The ranges are stored, as a second sampling of them may differ.
+    """
+    dealt = cut(rows.repartitionByRange(*assignment_order()).withColumn("__range", F.spark_partition_id()), "ranges")
+    return ranked(dealt, [], assignment_order(), F.col("__range"), "line").drop("__range").withColumn("line", F.col("line") + 1)
+
+
 def with_rejects(rows: DataFrame, rules: dict[str, str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejects with a reason): the first rule that a row breaks; with ``strict`` a reject raises."""
     reason = F.coalesce(*[F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in rules.items()])

@@ -214,3 +214,16 @@ def test_sample_bootstrap_keeps_seeds_and_regions(spark):
     assert got["n_seeds"] == 3 and abs(got["id"] - 0.6) < 1e-9 and abs(got["ood"] - 0.25) < 1e-9 and abs(got["delta"] - 0.35) < 1e-9
     # each seed's mean of four drawn regions has a deviation of 0.056, three of them 0.032
     assert 0.25 < got["lo"] < 0.32 < 0.38 < got["hi"] < 0.45
+
+
+def test_lines_are_numbered_by_ranges(spark):
+    import __spark_entry__ as entry
+
+    ids = [(str(i), p, "assigned") for i, p in zip(random.Random(3).sample(range(10_000), 300), ["source_val", "source_train", "target_test"] * 100, strict=True)] + [(f"x{i}", "", s) for i in range(20) for s in ("purged", "excluded")]
+    df = spark.createDataFrame(ids, "stable_id string, partition string, status string")
+    got = [r["stable_id"] for r in sorted(files.numbered(df).collect(), key=lambda r: r["line"])]
+    place = lambda r: {"source_train": 0, "source_val": 1, "target_test": 4}.get(r[1], 5 if r[2] == "purged" else 6)
+    assert got == [r[0] for r in sorted(ids, key=lambda r: (place(r), not r[0].isdigit(), int(r[0]) if r[0].isdigit() else 0, r[0]))]
+    # the only window without a partition adds up the counts of ranges
+    plan = entry.queries()["a14_assignment_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Window [row_number" in x] and all("__range" in x or "__spread" in x for x in plan.splitlines() if "Window [row_number" in x)
