@@ -144,7 +144,7 @@ def d21_leaf_summary(spark, sf_dir):
 
 @query()
 def d14_footprint_exclusion(spark, sf_dir):
-    kept, _ = G.leave_one_out(_samples(spark, sf_dir).where("abs(lat) < 50"), "sample_id", "domain", KM)
+    kept, _ = G.leave_one_out(_samples(spark, sf_dir), "sample_id", "domain", KM)
     hulls = G.footprints(kept.where("role = 'target'"))
     return G.in_footprint(kept.where("role = 'source'"), hulls, 50.0).groupBy("holdout").agg(F.count("*").alias("n_inside"))
 
@@ -156,7 +156,7 @@ def d15_spatial_clusters(spark, sf_dir):
 
 @query()
 def d27_geography_audit(spark, sf_dir):
-    kept, _ = G.leave_one_out(_samples(spark, sf_dir).where("abs(lat) < 50"), "sample_id", "region", 5.0)
+    kept, _ = G.leave_one_out(_samples(spark, sf_dir), "sample_id", "region", 5.0)
     target = kept.where("role = 'target'")
     return rounded(G.geography_audit(kept.where("role = 'source'"), target, G.footprints(target), "sample_id", 50.0, 200.0))
 

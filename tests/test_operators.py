@@ -227,3 +227,11 @@ def test_lines_are_numbered_by_ranges(spark):
     # the only window without a partition adds up the counts of ranges
     plan = entry.queries()["a14_assignment_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert [x for x in plan.splitlines() if "Window [row_number" in x] and all("__range" in x or "__spread" in x for x in plan.splitlines() if "Window [row_number" in x)
+
+
+@pytest.mark.parametrize("name", ["d14_footprint_exclusion", "d27_geography_audit"])
+def test_geography_reads_all_samples(spark, monkeypatch, name):
+    seen, plain = [], spatial.leave_one_out
+    monkeypatch.setattr(spatial, "leave_one_out", lambda df, *a: (seen.append(df), plain(df, *a))[1])
+    __import__("__spark_entry__").queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen[0].count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
