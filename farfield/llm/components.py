@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating large-star and small-star steps."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from farfield.llm.scratch import stored
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """(node, component) of a forest: ``links`` (a, b) has each b once, with a < b; component is the root above b.
+
+    Pointers are doubled; a row is followed only until its pointer is a root, so rows of a star are joined once.
+    """
+    pointers = links.select(F.col("b").alias("node"), F.col("a").alias("up"))
+    done, going = None, pointers
+    while True:
+        above = pointers.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        step = stored(going.join(above, "up", "left").select("node", "up", "over"), "roots")
+        ended = step.where("over is null").select("node", "up")
+        done = ended if done is None else done.union(ended)
+        going = step.where("over is not null").select("node", F.col("over").alias("up"))
+        if going.isEmpty():
+            return done.withColumnRenamed("up", "component")
+        pointers = done.union(going)
+
+
 def _lowest(edges: DataFrame) -> DataFrame:
     """For each end u of an edge, the least of u and its neighbours. Aggregated before the shuffle, so a hub is no hot key."""
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,20 +43,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _unfinished(edges: DataFrame) -> DataFrame:
+    """(v): the lower ends of edges that aren't all of a star: v has a lower neighbour, or a neighbour of v has one besides v or a higher one."""
+    lower = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    more = lower.where("low < high").select("u").union(edges.select(F.col("v").alias("u"))).distinct()
+    return edges.join(more, "u").select("v").union(lower.select("u")).distinct()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node in ``links``: component is the least node that it reaches.
 
-    Each round's edges are written to the shared folder; their number never grows. Stars need one round, a path of
-    n nodes about log(n). Nodes without a link are not returned; no links give no rows.
+    By alternating large-star and small-star steps. Each round's edges are written to the shared folder; their number
+    never grows, and components that are stars already leave the rounds. A path of n nodes takes about log(n) rounds.
+    Nodes without a link are not returned; no links give no rows.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
     edges = stored(links.select(hi.alias("u"), lo.alias("v")).where("u > v").distinct(), "edges")
-    seen = None
+    stars = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == seen:
+        marked = edges.join(_unfinished(edges).withColumn("open", F.lit(True)), "v", "left").select("u", "v", F.coalesce("open", F.lit(False)).alias("open"))
+        marked = stored(marked, "marked")
+        ended = marked.where("not open").select("u", "v")
+        stars = ended if stars is None else stars.union(ended)
+        edges = marked.where("open").select("u", "v")
+        if edges.isEmpty():
             break
-        seen = now
         edges = stored(_small_star(_large_star(edges)), "edges")
-    pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -24,10 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farfield.llm import text as T
-from farfield.llm.components import components
-from farfield.llm.scratch import id_text, stored
+from farfield.llm.components import components, roots
+from farfield.llm.scratch import free_names, id_text, stored
 
 OVERLAP_BLOCKS = 8
+HOT = 32
+#: which rows of an entry may pair: all, those that don't link with their hub, those that do with those that don't
+ALONE, PEERS, AROUND = 0, 1, 2
+KEY = ["kind", "hub", "gram", "class"]
+ORDERS = ("d", "xxhash64(node, 1)", "xxhash64(node, 2)")
 _SET, _PART, _LEVEL = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -172,17 +177,34 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def _incidence(k: int):
-    """(node, component, n, gram): the non-zero entries of the rows that are still open."""
+ENTRIES = "hub long, node long, component long, linked boolean, n long, h long, d long, level int, gram long"
+
+
+def _entries(k: int, num: int, den: int):
+    """``ENTRIES``: one row for each element of the difference between a row's set and its hub's (no hub: the empty set).
+
+    n, h and d are the sizes of the set, of the hub's set and of the difference; level is the size class; linked says
+    whether the row links with the hub.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = _bounds(num, den)
+        names = [x.split()[0] for x in ENTRIES.split(", ")]
         for batch in batches:
+            hubs = batch.column(3)
+            sets, place = (None, None) if not batch.num_rows else _distinct_sets(hubs, batch.column(4), k)
             for block in T.blocks(batch.column(2)):
-                sets = shingle_sets(block, k)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                nodes, labels = (batch.column(i).slice(block.first, block.rows).to_numpy() for i in (0, 1))
-                grams = T.signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, sizes)) for x in (nodes, labels, sizes)] + [pa.array(grams)], names=["node", "component", "n", "gram"])
+                found = shingle_sets(block, k)
+                rows = range(block.first, block.first + block.rows)
+                of = [sets[place[i]] for i in rows]
+                differ = [np.setxor1d(x, y, assume_unique=True) if len(y) else x for x, y in zip(found, of, strict=True)]
+                n, h, d = (np.array([len(s) for s in x], np.int64) for x in (found, of, differ))
+                linked = (den + num) * d <= (den - num) * (n + h)
+                level = np.array([bounds.level(int(x)) for x in n], np.int32)
+                node, component, hub = (batch.column(i).slice(block.first, block.rows).to_numpy() for i in (0, 1, 3))
+                gram = T.signed(np.concatenate(differ))
+                columns = [pa.array(np.repeat(x, d)) for x in (hub, node, component, linked, n, h, d, level)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(gram)], names=names)
 
     return run
 
@@ -209,52 +231,135 @@ class JaccardJoin:
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
         return both.mapInArrow(_verify(self.k, self.num, self.den), "a long, b long")
 
-    def _candidates(self, held: DataFrame) -> DataFrame:
-        """Pairs (a < b) of different components that may reach the bound, from (node, component, text).
+    def _ranked(self, entries: DataFrame) -> DataFrame:
+        """The entries that more than one row of the hub holds, with their place ``at`` in the row's order from rare to frequent."""
+        often = entries.groupBy("hub", "gram").agg(F.count("*").alias("df")).where("df > 1")
+        row = Window.partitionBy("hub", "node")
+        place = F.col("d") - F.count("*").over(row) + F.row_number().over(row.orderBy("df", "gram")) - 1
+        return entries.join(often, ["hub", "gram"]).withColumn("at", place)
+
+    def _shown(self, ranked: DataFrame, required: str, kind: int) -> DataFrame:
+        """Prefix entries by size class: what a row needs to hold in common with any partner decides how many it shows."""
+        each = ranked.withColumn("required", F.expr(required)).where("at + greatest(1, required) <= d")
+        columns = ["hub", "gram", "node", "component", "linked", "n", "d", "level", "at"]
+        return each.select(F.lit(kind).alias("kind"), *columns, F.explode(F.expr("array(level, level + 1)")).alias("class"))
 
-        The columns are ordered from rare to frequent. A row is known by its first columns alone, as many as any
-        partner must share one of; of two rows that share a column, the entries after it bound their overlap.
+    def _fits(self) -> str:
+        """Whether two entries x and y that meet may belong to rows that link.
+
+        Sets of sizes s and t link if they differ in at most (s + t)(den - num)/(den + num) elements. They differ in
+        d_x + d_y less twice what their differences from the hub share, and what comes after the entry bounds that.
         """
         num, den = self.num, self.den
-        entries = stored(held.select("node", "component", "text").mapInArrow(_incidence(self.k), "node long, component long, n long, gram long"), "entries")
-        frequency = entries.groupBy("gram").agg(F.count("*").alias("df"))
-        order = Window.partitionBy("node").orderBy("df", "gram")
-        ranked = entries.join(frequency, "gram").withColumn("at", F.row_number().over(order) - 1)
-        gram = Window.partitionBy("gram")
-        first = ranked.where(f"df > 1 and at <= n - ceil({num} * n / {den})")
-        first = first.withColumns({"low": F.min("component").over(gram), "high": F.max("component").over(gram)}).where("low < high").select("gram", "node", "component", "n", "at")
-        one, two = (first.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "n", "at")]) for side in "xy")
-        fits = f"""x_component != y_component and x_node < y_node and {num} * x_n <= {den} * y_n and {num} * y_n <= {den} * x_n
-            and least(x_n - x_at, y_n - y_at) * {num + den} >= {num} * (x_n + y_n)"""
-        return one.join(two, "gram").where(fits).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+        return f"""x.component != y.component and greatest(x.level, y.level) = x.class and {num} * x.n <= {den} * y.n and {num} * y.n <= {den} * x.n
+            and 2 * {den + num} * least(x.d - x.at, y.d - y.at) >= {den + num} * (x.d + y.d) - {den - num} * (x.n + y.n)"""
+
+    def _contract(self, shown: DataFrame, tested: DataFrame, texts: DataFrame, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """One comparison for each row: with the first row, by ``order``, of the entries that it shows, the one it meets most often.
+
+        Returns the entries with the components that result, the pairs compared so far, and the merged components.
+        """
+        first = F.struct(((F.col("kind") == AROUND) & ~F.col("linked")).alias("apart"), F.expr(order).alias("place"), "node", "component", "linked", "n", "d", "level", "at", "class")
+        ends = shown.groupBy(KEY).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(first).alias("y")).where("low < high")
+        x = F.struct("node", "component", "linked", "n", "d", "level", "at", "class")
+        near = shown.join(ends, KEY).select("kind", x.alias("x"), "y").where(self._fits()).where(f"kind != {AROUND} or y.linked and not x.linked")
+        pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+        ends = [F.col("x.node").alias("node"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")]
+        counts = near.select(*pair, *ends).join(tested, ["a", "b"], "left_anti").groupBy("node", "a", "b", "ca", "cb").agg(F.count("*").alias("times"))
+        best = counts.groupBy("node").agg(F.max(F.struct("times", "a", "b", "ca", "cb")).alias("p")).select("p.a", "p.b", "p.ca", "p.cb").distinct()
+        best = stored(best, "compared")
+        merged = components(self._linked(best.select("a", "b").distinct(), texts).join(best, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = stored(merged, "merged")
+        return self._renamed(shown, merged), tested.union(best.select("a", "b")), merged
+
+    def _renamed(self, shown: DataFrame, merged: DataFrame) -> DataFrame:
+        """Entries with their components after a merge, without those that meet no other component any more."""
+        top = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        named = shown.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
+        ends = named.groupBy(KEY).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(KEY)
+        return stored(named.join(ends, KEY), "open")
+
+    def _rest(self, held: DataFrame, texts: DataFrame, tested: DataFrame) -> DataFrame:
+        """(a, b): components among ``held`` (node, component) that links join.
+
+        The columns are ordered from rare to frequent; a row shows its first ones, as many as any partner must share one
+        of. Rows that meet in a column of at most ``HOT`` rows may be paired. A column that more rows show belongs to a family
+        of texts, and its rows are recentred: each is compared with the least row of the column (of its size class), and
+        its difference from that hub takes the place of its set. What the family has in common drops out, so that
+        its rows meet only in what they have changed alike. Two rows that both link with the hub need no pair. Before all
+        that meet are paired, ``ORDERS`` rounds compare each row with one other and merge what links.
+        """
+        num, den = self.num, self.den
+        both, apart = den + num, den - num
+        # the least that a row shares with a partner of the size that allows most, for a row that doesn't link with its hub
+        size = f"least(greatest(h, ({num} * n + {den - 1}) div {den}), {den} * n div {num})"
+        open_ = f"ceil(({both} * (d + abs({size} - h)) - {apart} * (n + {size})) / {2 * both})"
+        # the same if the partner doesn't link with the hub
+        other = f"floor(({both} * d + {apart} * (h - n)) / {2 * both}) + 1"
+        make = _entries(self.k, num, den)
+        start = held.join(texts, "node").select("node", "component", "text", F.lit(0).cast("long").alias("hub"), F.lit("").alias("hub_text"))
+        shown = stored(self._shown(self._ranked(stored(start.mapInArrow(make, ENTRIES), "entries")), open_, ALONE), "shown")
+        ends = shown.groupBy(KEY).agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least")).where("low < high")
+        shown = stored(shown.join(ends.drop("low", "high"), KEY), "shown")
+        members = stored(shown.where(F.col("rows") > HOT).where("node != least").select("node", "component", F.col("least").alias("hub")).distinct(), "members")
+        hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
+        around = members.join(texts, "node").join(hub_texts, "hub").select("node", "component", "text", "hub", "hub_text")
+        entries = stored(around.mapInArrow(make, ENTRIES), "entries")
+        ranked = stored(self._ranked(entries), "ranked")
+        far = ranked.where("not linked")
+        shown = shown.where(F.col("rows") <= HOT).select(*(few := self._shown(far, other, PEERS)).columns).union(few)
+        shown = shown.union(self._shown(ranked.where("linked"), other, AROUND)).union(self._shown(far, open_, AROUND))
+        of_hub = held.select(F.col("node").alias("hub"), F.col("component").alias("b"))
+        merged = [stored(components(entries.where("linked").select("hub", F.col("component").alias("a")).distinct().join(of_hub, "hub")), "merged")]
+        shown = self._renamed(shown, merged[0])
+        for order in ORDERS:
+            shown, tested, more = self._contract(shown, tested, texts, order)
+            merged.append(more)
+        x, y = (shown.select(*KEY, F.struct("node", "component", "linked", "n", "d", "level", "at", "class").alias(side)) for side in "xy")
+        which = f"if(kind = {AROUND}, x.linked and not y.linked, x.node < y.node)"
+        pairs = x.join(y, KEY).where(f"{self._fits()} and {which}")
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
+        pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = self._linked(pairs.select("a", "b").distinct(), texts).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        for each in merged:
+            links = links.union(each.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return links
 
     def groups(self) -> DataFrame:
+        """(doc_id, th, n_shingles, component_id) for every row; th is a hash of the text."""
         sets = stored(self._sets(sign=False), "sets")
         signed = self._sets(sign=True).where("n > 0 and doc_id is not null").groupBy("node").agg(F.first(F.struct("sigs", "needs")).alias("s"))
         signed = signed.select("node", F.explode(F.arrays_zip("s.sigs", "s.needs")).alias("z")).select("node", F.col("z.sigs").alias("sig"), F.col("z.needs").alias("need"))
-        group = Window.partitionBy("sig")
-        alike = lambda d: d.withColumns({"hub": F.min("node").over(group), "top": F.max("node").over(group)}).where("hub < top").drop("top")
-        met = stored(alike(signed).drop("hub"), "met")
         side = F.col("sig").bitwiseAND(1).alias("side")
+        met = stored(_several(signed, "sig", "node").drop("low"), "met")
         enough = met.groupBy("node", side).agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("node", "side")
-        shared = stored(alike(met.select("sig", "node", side).join(enough, ["node", "side"]).select("sig", "node")), "shared")
+        shared = stored(_several(met.select("sig", "node", side).join(enough, ["node", "side"]).select("sig", "node"), "sig", "node").withColumnRenamed("low", "hub"), "shared")
         places = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th"))
         texts = stored(self._texts(shared.select("node").distinct().join(places, "node")), "texts")
         # one pair for each row: the hub with which it shares the most signatures; all others are decided below
-        met = shared.where("node > hub").groupBy("hub", "node").agg(F.count("*").alias("n"))
-        pairs = met.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("a")).select("a", F.col("node").alias("b"))
-        links = stored(self._linked(pairs, texts), "links")
-        label = components(links)
+        best = shared.where("node > hub").groupBy("hub", "node").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
+        pairs = stored(best.select("a", F.col("node").alias("b")), "pairs")
+        label = roots(stored(self._linked(pairs, texts), "links"))
         # what the hubs left open: rows that share a signature and lie in different components
-        held = shared.join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-        held = held.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group)}).where("low < high")
-        rest = self._candidates(held.select("node", "component").distinct().join(texts, "node")).join(pairs, ["a", "b"], "left_anti")
-        stars = label.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        label = components(stars.union(self._linked(rest, texts)))
-        whole = sets.select("doc_id", "n", "node").join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
+        named = shared.select("sig", "node").join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        held = stored(_several(named, "sig", "component").select("node", "component").distinct(), "held")
+        links = self._rest(held, texts, pairs)
+        merged = components(links).select(F.col("node").alias("root"), F.col("component").alias("top"))
+        whole = sets.select("doc_id", "th", "n", "node").join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
+        whole = whole.join(merged, "root", "left").withColumn("root", F.coalesce("top", "root"))
         least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-        lone = whole.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-        return whole.where("n > 0 and doc_id is not null").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")).union(lone)
+        lone = whole.where("n = 0 or doc_id is null").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        rows = whole.where("n > 0 and doc_id is not null").join(least, "root")
+        return rows.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")).union(lone)
+
+
+def _several(rows: DataFrame, key: str, what: str) -> DataFrame:
+    """The rows whose key holds more than one value of ``what``, with the least one as ``low``.
+
+    Aggregated before the shuffle and joined back, so that a join, which can be split, carries a hot key.
+    """
+    ends = rows.groupBy(key).agg(F.min(what).alias("low"), F.max(what).alias("high")).where("low < high").drop("high")
+    return rows.join(ends, key)
 
 
 def near_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -264,7 +369,7 @@ def near_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> D
     Null or wordless text: no shingles, linked with nothing, its own component. Null doc_id: component null, linked with
     nothing. Repeated rows are returned as often as they come. Other columns are ignored. No rows give no rows.
     """
-    return JaccardJoin(docs, k, num, den).groups()
+    return JaccardJoin(docs, k, num, den).groups().drop("th")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -272,8 +377,10 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
     A row that comes more than once (same id and text) stays once; rows with a null doc_id all stay.
     """
-    stay = near_groups(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    keyed = docs.withColumns({"__at": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.col("text").cast("string"))})
-    joined = keyed.join(stay, keyed["__at"] == stay["__id"], "left")
-    place = F.row_number().over(Window.partitionBy("__at", "__th").orderBy("__th"))
-    return joined.where("__id is not null or __at is null").withColumn("__n", place).where("__n = 1 or __at is null").select(*docs.columns)
+    at, th, copies = free_names(docs, "at", "th", "copies")
+    stay = JaccardJoin(docs, k, num, den).groups().where("doc_id = component_id").groupBy("doc_id", "th").agg(F.count("*").alias(copies))
+    stay = stored(stay.select(F.col("doc_id").alias(at), F.col("th").alias(th), copies), "stay")
+    keyed = docs.withColumns({at: F.col("doc_id").cast("long"), th: F.xxhash64(F.col("text").cast("string"))})
+    once = keyed.join(stay.where(F.col(copies) == 1), [at, th])
+    often = keyed.join(stay.where(F.col(copies) > 1), [at, th]).dropDuplicates([at, th])
+    return once.union(often).select(*docs.columns).union(docs.where("doc_id is null"))

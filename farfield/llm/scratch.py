@@ -58,3 +58,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def crc_mod(column: str, modulus: int):
     """crc32 of an id written as decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        free = f"__{name}"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(free)
+    return out
