@@ -52,9 +52,14 @@ def floor_normalised(gaps: DataFrame, chance: str) -> DataFrame:
     return gaps.withColumn("normalised_drop", F.when(room > 1e-9, (F.col("id") - F.col("ood")) / F.when(room > 1e-9, room)))
 
 
-def chance_level(metric: Column, n_classes: Column) -> Column:
-    """What guessing scores: 0.5 for rank and two-class scores, one over the classes for balanced ones, 0 else."""
-    return F.when(metric.isin("auc", "macro_auc"), 0.5).when(metric.contains("balanced_accuracy"), 1 / F.greatest(n_classes, F.lit(2))).otherwise(0.0)
+def chance_level(metric: Column, n_classes: Column, positive_rate: Column, majority_rate: Column) -> Column:
+    """What guessing scores: 0.5 for rank scores, one over the classes for balanced accuracy, the share of the largest class
+    for accuracy, and F1 of always saying yes. Other metrics have no such floor: null."""
+    rank = metric.isin("auc", "macro_auc")
+    balanced = metric.isin("balanced_accuracy", "calibrated_balanced_accuracy")
+    yes = F.when(positive_rate > 0, 2 * positive_rate / (1 + positive_rate))
+    share = 1 / F.greatest(F.coalesce(n_classes.cast("int"), F.lit(2)), F.lit(2))
+    return F.when(rank, 0.5).when(balanced, share).when(metric == "accuracy", majority_rate).when(metric.isin("f1", "calibrated_f1"), yes)
 
 
 def worst_region(rows: DataFrame, by: list[str], region: str, seed: str, value: str, lower_is_better: bool = False) -> DataFrame:

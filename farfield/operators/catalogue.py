@@ -12,9 +12,10 @@ from farfield.operators import metrics as M
 from farfield.operators import spatial, splits
 from farfield.operators.ranks import ranked, shuffled
 
-#: fixed values: groups of bands by modality or band name
-RADAR, TERRAIN, WEATHER = ("s1",), ("elevation", "slope", "aspect"), ("climate",)
-VISIBLE, RED_EDGE, NEAR, SHORTWAVE, INDEXES = ("b2", "b3", "b4"), ("b5", "b6", "b7"), ("b8", "b8a"), ("b11", "b12"), ("ndvi", "ndwi", "evi")
+#: fixed values: terrain among the climate bands, groups of the optical bands, and the last rank of each adaptation bucket
+TERRAIN = ("elevation", "slope", "dem")
+OPTICAL = {"visible": ("b2", "b3", "b4"), "red_edge": ("b5", "b6", "b7", "b8a"), "nir": ("b8",), "swir": ("b11", "b12"), "index": ("ndvi",)}
+BUCKETS = {"native": 2, "minor_adaptation": 4, "moderate_adaptation": 6}
 
 
 def provenance(stable_id: Column) -> Column:
@@ -54,16 +55,20 @@ def box_centre(rings: Column) -> tuple[Column, Column]:
 
 
 def band_group(modality: Column, band: Column) -> Column:
-    m, b = F.lower(modality), F.lower(band)
-    out = F.when(m.isin(*RADAR), "sar").when(b.isin(*TERRAIN), "topography").when(m.isin(*WEATHER), "climate")
-    for names, group in ((VISIBLE, "visible"), (RED_EDGE, "red_edge"), (NEAR, "nir"), (SHORTWAVE, "swir"), (INDEXES, "index")):
+    """The group of a band: radar and climate by modality, all else by the band's name whatever its case."""
+    b = F.lower(band)
+    out = F.when(modality == "s1", "sar").when((modality == "climate") & b.isin(*TERRAIN), "topography").when(modality == "climate", "climate")
+    for group, names in OPTICAL.items():
         out = out.when(b.isin(*names), group)
     return out.otherwise("other")
 
 
 def severity(rank: Column) -> Column:
-    """How much a model's inputs must be adapted, from its compatibility rank (0 is best)."""
-    return F.when(rank <= 0, "none").when(rank == 1, "mild").when(rank == 2, "moderate").otherwise("severe")
+    """How much a model's inputs must be adapted, from its compatibility rank (1 is best); a pair without a rank is unranked."""
+    out = F.when(rank.isNull(), "unranked")
+    for bucket, last in BUCKETS.items():
+        out = out.when(rank <= last, bucket)
+    return out.otherwise("major_adaptation")
 
 
 def available_modalities(acquisitions: DataFrame, samples: DataFrame, by: str) -> DataFrame:

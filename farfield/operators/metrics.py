@@ -283,12 +283,39 @@ def rescore_problems(new: DataFrame, old: DataFrame, by: list[str], metrics: dic
     return a.join(b, same, "full").select(*[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in by], problems.alias("problems")).where(F.size("problems") > 0)
 
 
-#: fixed values: direction of each metric; a metric that isn't listed has none
-HIGHER = "f1 calibrated_f1 diagnostic_calibrated_f1_target_optimal auc balanced_accuracy calibrated_balanced_accuracy macro_f1 weighted_f1 accuracy macro_auc shared_macro_f1 shared_weighted_f1 shared_balanced_accuracy shared_accuracy miou pixel_accuracy tile_miou_mean tile_miou_worst"
-LOWER = "ece top_label_ece_all brier union_brier nll shared_ece shared_nll shared_brier aurc"
-
-
-def metric_table(spark) -> DataFrame:
-    """(metric, direction, role)."""
-    rows = [(m, d, "diagnostic" if m.startswith("diagnostic") else "deployment") for d, names in (("higher", HIGHER), ("lower", LOWER)) for m in names.split()]
-    return spark.createDataFrame(rows, "metric string, direction string, role string")
+#: fixed values: the metrics of each task, which of them decide on deployment and which only explain, and their direction
+CALIBRATION = "ece top_label_ece_all nll brier union_brier shared_ece shared_nll shared_brier unseen_prevalence"
+METRICS = {
+    "binary": "f1 auc balanced_accuracy calibrated_f1 calibrated_balanced_accuracy ece brier nll worst_group_f1 worst_group_balanced_accuracy worst_group_calibrated_f1 worst_group_calibrated_balanced_accuracy worst_group_score",
+    "multiclass": "macro_f1 weighted_f1 balanced_accuracy accuracy macro_auc worst_group_macro_f1 worst_group_weighted_f1 worst_group_balanced_accuracy worst_group_accuracy worst_group_score shared_macro_f1 shared_balanced_accuracy shared_accuracy n_classes_unseen n_classes_seen " + CALIBRATION,
+    "segmentation": "miou pixel_accuracy macro_f1 weighted_f1 mean_per_tile_miou worst_tile_miou n_tiles_scored " + CALIBRATION,
+}
+DEPLOYMENT = {
+    "binary": "calibrated_f1 calibrated_balanced_accuracy worst_group_calibrated_f1 worst_group_calibrated_balanced_accuracy",
+    "multiclass": "macro_f1 balanced_accuracy worst_group_macro_f1 worst_group_balanced_accuracy",
+    "segmentation": "miou mean_per_tile_miou worst_tile_miou",
+}
+DIAGNOSTIC = {
+    "binary": "f1 auc balanced_accuracy diagnostic_calibrated_f1_target_optimal diagnostic_optimal_threshold_test ece brier nll",
+    "multiclass": "weighted_f1 accuracy macro_auc shared_macro_f1 shared_balanced_accuracy shared_accuracy n_classes_unseen n_classes_seen " + CALIBRATION,
+    "segmentation": "pixel_accuracy macro_f1 weighted_f1 n_tiles_scored " + CALIBRATION,
+}
+LOWER = "ece brier nll top_label_ece_all union_brier shared_ece shared_nll shared_brier unseen_prevalence n_classes_unseen"
+STRUCTURAL = "n_classes_seen n_tiles_scored"
+
+
+def direction(metric: Column) -> Column:
+    """higher_is_better, lower_is_better or structural (a count); a metric outside of the universe is unknown."""
+    universe = {m for names in METRICS.values() for m in names.split()}
+    higher = sorted(universe - {*LOWER.split(), *STRUCTURAL.split()})
+    known = F.when(metric.isin(*LOWER.split()), "lower_is_better").when(metric.isin(*STRUCTURAL.split()), "structural")
+    return known.when(metric.isin(*higher), "higher_is_better").otherwise("unknown")
+
+
+def role(task: Column, metric: Column) -> Column:
+    """deployment or diagnostic, by task; null where a task has no such role for the metric."""
+    out = F.lit(None).cast("string")
+    for name, table in (("deployment", DEPLOYMENT), ("diagnostic", DIAGNOSTIC)):
+        for t, metrics in table.items():
+            out = F.when((task == t) & metric.isin(*metrics.split()), name).otherwise(out)
+    return out

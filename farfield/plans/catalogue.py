@@ -34,9 +34,10 @@ def b2_provenance(spark, sf_dir):
     return rows.select("c_custkey", K.provenance(F.col("id")).alias("source"))
 
 
-@query("select n_name, case substr(n_name, 1, 2) when 'CH' then 'china' when 'GE' then 'germany' else substr(n_name, 1, 2) end as country from {nation}")
+@query("select c_custkey, case substr(n_name, 1, 2) when 'CH' then 'china' when 'GE' then 'germany' else substr(n_name, 1, 2) end as country from {customer} join {nation} on c_nationkey = n_nationkey")
 def b3_country_prefix(spark, sf_dir):
-    return load(spark, sf_dir, "select n_name from {nation}").select("n_name", K.by_prefix(F.col("n_name"), {"CH": "china", "GE": "germany"}).alias("country"))
+    rows = load(spark, sf_dir, "select c_custkey, n_name from {customer} join {nation} on c_nationkey = n_nationkey")
+    return rows.select("c_custkey", K.by_prefix(F.col("n_name"), {"CH": "china", "GE": "germany"}).alias("country"))
 
 
 @query("select cast(month(d) - 1 as int) as slot, cast(case when year(d) > 0 then dayofyear(make_date(2000, month(d), 15)) end as int) as doy, count(*) as n from (select cast(o_orderdate as date) as d from {orders}) group by 1, 2")
@@ -61,10 +62,10 @@ def b12_scrubbed(spark, sf_dir):
     return rows.groupBy("o_orderpriority").agg(F.round(F.sum(C.scrubbed(F.col("v"))), 2).alias("total"))
 
 
-@query(f"with {_S} select sample_id, round(lat + 5e-1, 6) as lat, round(lon + 1e0, 6) as lon from s where lon < 17e1")
+@query(f"with {_S} select sample_id, round(lat + 5e-1, 6) as lat, round(lon + case when lon < 17e1 then 1e0 else -1e0 end, 6) as lon from s")
 def b14_box_centre(spark, sf_dir):
-    rows = load(spark, sf_dir, SAMPLES).where("lon < 170")
-    ring = F.array(F.array(F.array("lon", "lat"), F.array(F.col("lon") + 2, F.col("lat")), F.array(F.col("lon") + 2, F.col("lat") + 1)))
+    rows = load(spark, sf_dir, SAMPLES).withColumn("far", F.col("lon") + F.when(F.col("lon") < 170, 2).otherwise(-2))
+    ring = F.array(F.array(F.array("lon", "lat"), F.array(F.col("far"), F.col("lat")), F.array(F.col("far"), F.col("lat") + 1)))
     lat, lon = K.box_centre(ring)
     return rounded(rows.select("sample_id", lat.alias("lat"), lon.alias("lon")))
 
@@ -75,30 +76,42 @@ def b15_tile_code(spark, sf_dir):
     return rows.select("c_custkey", K.tile_code(F.col("raw")).alias("tile"))
 
 
-_BANDS = "('s2', 'B4'), ('s2', 'b8a'), ('s1', 'vv'), ('climate', 'tmean'), ('s2', 'B11'), ('s2', 'b5'), ('s2', 'ndvi'), ('srtm', 'slope'), ('x', 'y')"
+#: bands of both spellings, among them names that count in one modality alone
+_BANDS = [("s2", "B4"), ("s2", "b8a"), ("s1", "VV"), ("climate", "tmean"), ("s2", "B11"), ("s2", "b5"), ("s2", "NDVI"), ("climate", "slope"), ("climate", "DEM"), ("s2", "slope"), ("s2", "B8"), ("s2", "NDWI"), ("s1", "B4"), ("climate", "B2"), ("srtm", "elevation"), ("s2", "B1")]
 
 
-@query(f"with b as (select * from (values {_BANDS}) as t(modality, band)) select n_name, modality, band, case when modality = 's1' then 'sar' when band = 'slope' then 'topography' when modality = 'climate' then 'climate' when band = 'B4' then 'visible' when band = 'b5' then 'red_edge' when band = 'b8a' then 'nir' when band = 'B11' then 'swir' when band = 'ndvi' then 'index' else 'other' end as band_group from b cross join {{nation}}")
+def _banded(orders: str) -> str:
+    pick = lambda i: " ".join(f"when {k} then '{b[i]}'" for k, b in enumerate(_BANDS))
+    return f"select o_orderkey, case o_orderkey % {len(_BANDS)} {pick(0)} end as modality, case o_orderkey % {len(_BANDS)} {pick(1)} end as band from {orders}"
+
+
+@query(
+    f"""with b as ({_banded("{orders}")}) select o_orderkey, modality, band, case when modality = 's1' then 'sar' when modality = 'climate' and upper(band) in ('ELEVATION', 'SLOPE', 'DEM') then 'topography'
+    when modality = 'climate' then 'climate' when upper(band) in ('B2', 'B3', 'B4') then 'visible' when upper(band) in ('B5', 'B6', 'B7', 'B8A') then 'red_edge' when upper(band) = 'B8' then 'nir'
+    when upper(band) in ('B11', 'B12') then 'swir' when upper(band) = 'NDVI' then 'index' else 'other' end as band_group from b"""
+)
 def b17_band_group(spark, sf_dir):
-    bands = spark.createDataFrame([("s2", "B4"), ("s2", "b8a"), ("s1", "vv"), ("climate", "tmean"), ("s2", "B11"), ("s2", "b5"), ("s2", "ndvi"), ("srtm", "slope"), ("x", "y")], "modality string, band string")
-    rows = load(spark, sf_dir, "select n_name from {nation}").crossJoin(F.broadcast(bands))
-    return rows.select("n_name", "modality", "band", K.band_group(F.col("modality"), F.col("band")).alias("band_group"))
+    return load(spark, sf_dir, _banded("{orders}")).withColumn("band_group", K.band_group(F.col("modality"), F.col("band")))
 
 
 _MODALITIES = "select c_nationkey as bench, case c_custkey % 3 when 0 then 's2' when 1 then 's1' else 'climate' end as modality from {customer} where c_nationkey % 4 <> 0 or c_custkey % 3 = 0"
 
 
-@query(f"with m as ({_MODALITIES}), k as (select bench, string_agg(distinct modality, ',' order by modality) as m from m group by 1) select n_nationkey as bench, trim(both ',' from case when n_nationkey % 2 = 0 then replace(replace(coalesce(',' || m, '') || ',latlon', ',s1', '#s1'), ',s2', '#s2') else coalesce(m, '') end) as modalities from {{nation}} left join k on n_nationkey = bench where n_nationkey % 2 = 1")
+_PLACED = "select c_nationkey as bench, case when c_nationkey % 2 = 0 and c_custkey % 5 = 0 then 1e0 else 0e0 end as lat, 0e0 as lon from {customer}"
+
+
+@query(f"with x as (select bench, modality from ({_MODALITIES}) union select bench, 'latlon' from ({_PLACED}) where lat <> 0), b as (select bench from ({_PLACED}) union select bench from ({_MODALITIES})) select b.bench, coalesce(string_agg(modality, ',' order by modality), '') as modalities from b left join x on b.bench = x.bench group by 1")
 def b18_available_modalities(spark, sf_dir):
-    acquisitions = load(spark, sf_dir, _MODALITIES)
-    samples = load(spark, sf_dir, "select n_nationkey as bench, case when n_nationkey % 2 = 0 then 1e0 else 0e0 end as lat, 0e0 as lon from {nation}")
-    found = K.available_modalities(acquisitions, samples, "bench")
-    return found.where("bench % 2 = 1").select("bench", F.array_join("modalities", ",").alias("modalities"))
+    found = K.available_modalities(load(spark, sf_dir, _MODALITIES), load(spark, sf_dir, _PLACED), "bench")
+    return found.select("bench", F.array_join("modalities", ",").alias("modalities"))
+
 
+_RANKED = "select c_custkey, case when c_custkey % 10 > 0 then cast(c_custkey % 10 as int) end as r from {customer}"
 
-@query("select n_name, case when n_nationkey % 5 = 0 then 'none' when n_nationkey % 5 = 1 then 'mild' when n_nationkey % 5 = 2 then 'moderate' else 'severe' end as severity from {nation}")
+
+@query(f"with q as ({_RANKED}) select c_custkey, case when r is null then 'unranked' when r between 1 and 2 then 'native' when r between 3 and 4 then 'minor_adaptation' when r between 5 and 6 then 'moderate_adaptation' else 'major_adaptation' end as severity from q")
 def b20_severity(spark, sf_dir):
-    return load(spark, sf_dir, "select n_name, n_nationkey % 5 as r from {nation}").select("n_name", K.severity(F.col("r")).alias("severity"))
+    return load(spark, sf_dir, _RANKED).select("c_custkey", K.severity(F.col("r")).alias("severity"))
 
 
 @query("with l as (select o_custkey, count(*) as a, count(distinct o_orderpriority) as b from {orders} group by 1) select a, b, count(*) as n from l group by 1, 2")
@@ -141,10 +154,13 @@ def d24_population_problems(spark, sf_dir):
     return K.population_problems(rows, population, "c_custkey")
 
 
-@query("with h as (select n_regionkey as tile, count(*) as n from {nation} where n_nationkey <> 7 group by 1), e as (select r_regionkey as tile, cast(5 as bigint) as expected from {region} where r_regionkey <> 4) select coalesce(h.tile, e.tile) as tile, n, expected from h full join e on h.tile = e.tile where n is distinct from expected")
+_EXPECTED = "select c_nationkey as tile, count(*) + case when c_nationkey = 7 then 1 else 0 end as expected from {customer} where c_nationkey <> 4 group by c_nationkey"
+
+
+@query(f"with h as (select c_nationkey as tile, count(*) as n from {{customer}} where c_nationkey <> 9 group by 1), e as ({_EXPECTED}) select coalesce(h.tile, e.tile) as tile, n, expected from h full join e on h.tile = e.tile where n is distinct from expected")
 def d26_universe_problems(spark, sf_dir):
-    tiles = load(spark, sf_dir, "select n_regionkey as tile from {nation} where n_nationkey <> 7")
-    return K.universe_problems(tiles, load(spark, sf_dir, "select r_regionkey as tile, cast(5 as bigint) as expected from {region} where r_regionkey <> 4"), "tile")
+    tiles = load(spark, sf_dir, "select c_nationkey as tile from {customer} where c_nationkey <> 9")
+    return K.universe_problems(tiles, load(spark, sf_dir, _EXPECTED), "tile")
 
 
 @query(f"with {_S}, n as (select count(*) as n from s) select cast(k.k as int) as seed, 'random_id' as regime, n as total from n cross join (select 0 as k union all select 1) k")
@@ -153,11 +169,15 @@ def d31_generated_splits(spark, sf_dir):
     return made.where("regime = 'random_id'").groupBy("seed", "regime").agg(F.count_distinct("sample_id").alias("total"))
 
 
-@query("select 'x' as region, 'x' as problem where false")
+#: an order of each region's samples, with one fault a region: an id that isn't there, one left out, one twice, a gap
+_ORDERS = f"""select region, case when region = 'AFRICA' and o = 0 then -1 when region = 'ASIA' and o = 1 then first_id else sample_id end as stable_id, case when region = 'EUROPE' and o > 2 then o + 1 else o end as place
+    from (select region, sample_id, row_number() over (partition by region order by sample_id) - 1 as o, min(sample_id) over (partition by region) as first_id from ({SAMPLES})) where not (region = 'AMERICA' and o = 5)"""
+
+
+@query("select * from (values ('AFRICA', 'unknown ids'), ('AMERICA', 'size'), ('ASIA', 'repeated ids'), ('EUROPE', 'places')) as t(region, problem)")
 def e16_order_problems(spark, sf_dir):
-    rows = load(spark, sf_dir, SAMPLES).withColumn("partition", F.lit("source_train"))
-    access = B.label_access(rows, ["region"], "sample_id", 0)
-    return K.order_problems(access, rows.select("region", F.col("sample_id").alias("stable_id")), ["region"], "stable_id", "source_rank")
+    population = load(spark, sf_dir, SAMPLES).select("region", F.col("sample_id").alias("stable_id"))
+    return K.order_problems(load(spark, sf_dir, _ORDERS), population, ["region"], "stable_id", "place")
 
 
 @query("with p as (select distinct l_orderkey as k, cast(l_orderkey % 4 as int) as g from {lineitem}), r as (select *, row_number() over (partition by g order by md5(concat_ws('|', '0', 'patches', cast(k as varchar))), k) - 1 as r, md5(concat_ws('|', '0', 'patch-group', cast(g as varchar))) as h from p), o as (select *, row_number() over (order by r, h, k) as o from r) select k, g from o where o <= 50")
@@ -178,10 +198,34 @@ def g5_named_metric(spark, sf_dir):
     return rounded(K.named_metric(load(spark, sf_dir, BINARY), ["cell"], "brier"))
 
 
-@query(f"with b as ({BINARY}) select cell, 'brier' as metric, 'lower' as direction, round(avg((prob - y_true) * (prob - y_true)), 6) as value from b group by 1")
+_DIRECTIONS = {
+    "higher_is_better": "f1 auc balanced_accuracy calibrated_f1 calibrated_balanced_accuracy worst_group_f1 worst_group_balanced_accuracy worst_group_calibrated_f1 worst_group_calibrated_balanced_accuracy worst_group_score macro_f1 weighted_f1 accuracy macro_auc worst_group_macro_f1 worst_group_weighted_f1 worst_group_accuracy shared_macro_f1 shared_balanced_accuracy shared_accuracy miou pixel_accuracy mean_per_tile_miou worst_tile_miou",
+    "lower_is_better": "ece brier nll top_label_ece_all union_brier shared_ece shared_nll shared_brier unseen_prevalence n_classes_unseen",
+    "structural": "n_classes_seen n_tiles_scored",
+}
+#: metrics of result rows: all of the universe, and one that isn't in it
+_NAMES = sorted({m for names in _DIRECTIONS.values() for m in names.split()}) + ["some_new_metric"]
+_MEASURED = f"select o_orderkey, element_at(split('{','.join(_NAMES)}', ','), cast(o_orderkey % {len(_NAMES)} as int) + 1) as metric from {{orders}}"
+_MEASURED_SQL = f"select o_orderkey, string_split('{','.join(_NAMES)}', ',')[cast(o_orderkey % {len(_NAMES)} as int) + 1] as metric from {{orders}}"
+
+
+@query(f"with m as ({_MEASURED_SQL}) select o_orderkey, metric, case {' '.join(f'when metric in ({chr(39)}' + (chr(39) + ', ' + chr(39)).join(n.split()) + f'{chr(39)}) then {chr(39)}{d}{chr(39)}' for d, n in _DIRECTIONS.items())} else 'unknown' end as direction from m")
 def g13_metric_direction(spark, sf_dir):
-    scores = K.named_metric(load(spark, sf_dir, BINARY), ["cell"], "brier").withColumn("metric", F.lit("brier"))
-    return rounded(scores.join(M.metric_table(spark), "metric").select("cell", "metric", "direction", "value"))
+    return load(spark, sf_dir, _MEASURED).withColumn("direction", M.direction(F.col("metric")))
+
+
+_ROLE_ROWS = "select l_orderkey, l_linenumber, element_at(array('binary', 'multiclass', 'segmentation'), cast(l_orderkey % 3 as int) + 1) as task, element_at(array('f1', 'calibrated_f1', 'macro_f1', 'miou', 'ece', 'worst_tile_miou', 'balanced_accuracy'), cast(l_linenumber as int)) as metric from {lineitem}"
+_ROLE_SQL = _ROLE_ROWS.replace("element_at(array(", "list_extract(list_value(")
+
+
+@query(
+    f"""with m as ({_ROLE_SQL}) select l_orderkey, l_linenumber, task, metric, case
+    when task = 'binary' then case when metric = 'calibrated_f1' then 'deployment' when metric in ('f1', 'balanced_accuracy', 'ece') then 'diagnostic' end
+    when task = 'multiclass' then case when metric in ('macro_f1', 'balanced_accuracy') then 'deployment' when metric = 'ece' then 'diagnostic' end
+    when metric in ('miou', 'worst_tile_miou') then 'deployment' when metric in ('macro_f1', 'ece') then 'diagnostic' end as role from m"""
+)
+def g13_metric_role(spark, sf_dir):
+    return load(spark, sf_dir, _ROLE_ROWS).withColumn("role", M.role(F.col("task"), F.col("metric")))
 
 
 @query(f"with r as ({ROWS}) select model, 'gaps are missing' as problem from r where model = 'ASIA' group by 1")

@@ -15,7 +15,7 @@ from farfield.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-SEED, KM = 0, 60.0
+SEED, KM = 0, 300.0
 
 
 def query(sql: str | None = None):
@@ -77,10 +77,25 @@ def d4_partition_source_sizes(spark, sf_dir):
     return rows.groupBy("partition").agg(F.count("*").alias("n"))
 
 
-@query("select 'x' as value, 'x' as partition, cast(0 as bigint) as n, cast(0 as bigint) as low, cast(0 as bigint) as high where false")
+_DEALT = "case sample_id % 10 when 0 then 'source_val' when 1 then 'source_test' else 'source_train' end"
+_QUOTAS = " union all ".join(
+    f"""select v.value, c.partition, coalesce(h.n, 0) as n, cast(v.nv * c.cap // t.total as bigint) as low, cast((v.nv * c.cap + t.total - 1) // t.total as bigint) as high
+        from (select {x} as value, count(*) as nv from x group by 1) v cross join (select partition, count(*) as cap from x group by 1) c cross join (select count(*) as total from x) t
+        left join (select {x} as value, partition, count(*) as n from x group by 1, 2) h on h.value = v.value and h.partition = c.partition"""
+    for x in ("label", "region")
+)
+
+
+@query(f"with {_S}, x as (select *, {_DEALT} as partition from s) select 'dealt' as rows, * from ({_QUOTAS}) where n < low or n > high")
 def d5_marginal_audit(spark, sf_dir):
-    rows = S.partition_source(_samples(spark, sf_dir), "label", "region", "sample_id", SEED).select("label", "region", "partition")
-    return S.marginal_problems(rows, "label").unionByName(S.marginal_problems(rows, "region"))
+    """Rows dealt out by id miss quotas; rows that the partition dealt out miss none."""
+    samples = _samples(spark, sf_dir)
+    tables = {"dealt": samples.withColumn("partition", F.expr(_DEALT)), "partition": cut(S.partition_source(samples, "label", "region", "sample_id", SEED).select("label", "region", "partition"), "parts")}
+    found = [S.marginal_problems(rows, by).withColumn("rows", F.lit(name)) for name, rows in tables.items() for by in ("label", "region")]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 @query()
@@ -108,10 +123,10 @@ def d13_distance_purge(spark, sf_dir):
 
 @query(
     f"""with {_S}, g as (select a.domain as holdout, b.sample_id from s a join s b on a.domain <> b.domain and {_KM} <= {KM}e0 group by 1, 2)
-    select d.domain as holdout, case when s.domain = d.domain then 'target' else 'source' end as role, count(*) as n from s cross join (select distinct domain from s) d left join g on g.holdout = d.domain and g.sample_id = s.sample_id where g.sample_id is null group by 1, 2"""
+    select d.domain as holdout, s.sample_id, case when s.domain = d.domain then 'target' else 'source' end as role from s cross join (select distinct domain from s) d left join g on g.holdout = d.domain and g.sample_id = s.sample_id where g.sample_id is null"""
 )
 def d10_leave_one_domain_out(spark, sf_dir):
-    return G.leave_one_out(_samples(spark, sf_dir), "sample_id", "domain", KM)[0].groupBy("holdout", "role").agg(F.count("*").alias("n"))
+    return G.leave_one_out(_samples(spark, sf_dir), "sample_id", "domain", KM)[0].select("holdout", "sample_id", "role")
 
 
 def _leaves(spark, sf_dir):
@@ -132,14 +147,23 @@ def d19_leaf_status(spark, sf_dir):
     return _leaves(spark, sf_dir).groupBy("holdout", "status", "reason").agg(F.count("*").alias("n"))
 
 
-@query("select 'x' as holdout, cast(0 as bigint) as stable_id, 'x' as problem where false")
+#: leaf rows with planted faults: an id twice, an unknown state, an assigned row without a part, a blank domain, a purge without a reason
+_FAULTY = f"""select region as holdout, sample_id as stable_id, case when sample_id % 50 in (1, 2, 4, 6) then '' else 'source_train' end as partition, case sample_id % 50 when 1 then 'lost' when 4 then 'purged' when 6 then 'purged' else 'assigned' end as status,
+    case when sample_id % 50 = 3 then ' ' else domain end as domain, case when sample_id % 50 in (1, 6) then 'near_ood' else '' end as reason from ({SAMPLES})"""
+_TWICE = f"{_FAULTY} union all select region, sample_id, 'source_train', 'assigned', domain, '' from ({SAMPLES}) where sample_id % 50 = 5"
+
+
+@query(f"with {_S} select region as holdout, sample_id as stable_id, case sample_id % 50 when 1 then 'status' when 2 then 'partition' when 3 then 'domain' when 4 then 'reason' else 'repeated' end as problem from s where sample_id % 50 between 1 and 5")
 def d20_leaf_problems(spark, sf_dir):
-    return S.leaf_problems(_leaves(spark, sf_dir))
+    """The faults that were planted, and none in the leaves that the regimes made."""
+    return S.leaf_problems(load(spark, sf_dir, _TWICE)).unionByName(S.leaf_problems(_leaves(spark, sf_dir)))
 
 
-@query()
+@query(f"with l as ({_FAULTY}), c as (select holdout, partition, status, domain, count(*) as c from l group by 1, 2, 3, 4) select holdout, partition, status, cast(sum(c) as bigint) as n, string_agg(domain || ':' || c, ',' order by domain) as domains from c group by 1, 2, 3")
 def d21_leaf_summary(spark, sf_dir):
-    return S.leaf_summary(_leaves(spark, sf_dir), ["holdout"])
+    found = S.leaf_summary(load(spark, sf_dir, _FAULTY), ["holdout"])
+    listed = F.transform(F.map_entries("domains"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return found.withColumn("domains", F.array_join(listed, ","))
 
 
 @query()
@@ -172,22 +196,20 @@ def d23_domain_census(spark, sf_dir):
     return per.groupBy("region").agg(F.count("*").alias("n_domains"), F.sum(F.when(F.col("k") < 5, 1).otherwise(0)).alias("n_partial"))
 
 
-@query("with e as (select n_name from {nation}), r as (select n.n_name, count(*) as c from {customer} join {nation} n on c_nationkey = n_nationkey where c_custkey % 7 = 0 group by 1) select coalesce(e.n_name, r.n_name) as n_name, case when c is null then 'missing' when c > 1 then 'duplicate' end as problem from e full join r on e.n_name = r.n_name where c is null or c > 1")
-def d17_coverage(spark, sf_dir):
-    nations = load(spark, sf_dir, "select n_name, n_nationkey from {nation}")
-    realised = load(spark, sf_dir, "select c_nationkey as n_nationkey from {customer} where c_custkey % 7 = 0").join(nations, "n_nationkey").select("n_name")
-    return S.coverage_problems(nations, realised, ["n_name"])
+_MADE = "select c_nationkey, c_mktsegment from {customer} where not (c_nationkey = 3 and c_mktsegment = 'BUILDING') group by 1, 2 union all select c_nationkey, c_mktsegment from {customer} where c_nationkey = 4 group by 1, 2 union all select 99, c_mktsegment from {customer} group by 2"
 
 
+@query(f"with e as (select distinct c_nationkey, c_mktsegment from {{customer}}), r as (select c_nationkey, c_mktsegment, count(*) as c from ({_MADE}) group by 1, 2) select coalesce(e.c_nationkey, r.c_nationkey) as c_nationkey, coalesce(e.c_mktsegment, r.c_mktsegment) as c_mktsegment, case when c is null then 'missing' when e.c_nationkey is null then 'unexpected' else 'duplicate' end as problem from e full join r on e.c_nationkey = r.c_nationkey and e.c_mktsegment = r.c_mktsegment where c is null or c > 1 or e.c_nationkey is null")
+def d17_coverage(spark, sf_dir):
+    expected = load(spark, sf_dir, "select c_nationkey, c_mktsegment from {customer}")
+    return S.coverage_problems(expected, load(spark, sf_dir, _MADE), ["c_nationkey", "c_mktsegment"])
 
 
-@query("select n_name, 'region' as \"column\", r_name as frozen, 'EAST' as current from {nation} join {region} on n_regionkey = r_regionkey where r_name = 'ASIA'")
+@query("select cast(c_custkey as varchar) as id, 'region' as \"column\", r_name as frozen, 'EAST' as current from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey where r_name = 'ASIA'")
 def d25_structure_drift(spark, sf_dir):
-    frozen = load(spark, sf_dir, "select n_name, r_name as region from {nation} join {region} on n_regionkey = r_regionkey")
+    frozen = load(spark, sf_dir, "select cast(c_custkey as string) as id, r_name as region from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey")
     current = frozen.withColumn("region", F.when(F.col("region") == "ASIA", "EAST").otherwise(F.col("region")))
-    return S.structure_drift(frozen, current, "n_name", ["region"])
-
-
+    return S.structure_drift(frozen, current, "id", ["region"])
 
 
 @query(f"with {_S}, {_systematic('s', 'region', 'label', 'fraction', 'q')}, n as (select region, count(*) as n from s group by 1) select q.region, sample_id from q join n on q.region = n.region where o < least(n - 1, greatest(2, cast(round_even(n * 25e-2, 0) as bigint)))")
@@ -235,9 +257,15 @@ def e9_label_access(spark, sf_dir):
     return _access(spark, sf_dir)[0]
 
 
-@query("select 'x' as region, 'x' as population, 'x' as problem where false")
+@query("select * from (values ('AFRICA', 'source', 'ranks are not contiguous'), ('ASIA', 'target', 'wrong column'), ('EUROPE', 'test', 'id in two places')) as t(region, population, problem)")
 def e10_label_access_problems(spark, sf_dir):
-    return B.label_access_problems(_access(spark, sf_dir)[0], ["region"])
+    """Planted: a region without its first rank, one with ranks in the other column, one with a test id twice."""
+    access = cut(_access(spark, sf_dir)[0], "access")
+    bad = access.where("not (region = 'AFRICA' and population = 'source' and source_rank = 0)")
+    swap = (F.col("region") == "ASIA") & (F.col("population") == "target")
+    bad = bad.withColumns({"source_rank": F.when(swap, F.col("target_rank")).otherwise(F.col("source_rank")), "target_rank": F.when(~swap, F.col("target_rank"))})
+    twice = access.where("region = 'EUROPE' and population = 'test'").groupBy("region", "population").agg(F.min("stable_id").alias("stable_id"))
+    return B.label_access_problems(bad.unionByName(twice, allowMissingColumns=True), ["region"])
 
 
 _POOLS = "po as (select region, 0 as seed, sum(case when partition = 'source_train' then 1 else 0 end) as n_source, sum(case when partition = 'target_label_pool' then 1 else 0 end) as n_target from x group by 1)"
@@ -266,13 +294,13 @@ _BUDGET = 50
 @query(
     f"""with {_S}, {_ASSIGN}, {_ACCESS}, rt as (select * from (values {", ".join(f"('allocation@{f}', {100 - f}, {f}, 'budget')" for f in (0, 25, 50, 75, 100))}, {", ".join(f"('source_plus_target@{f}', 100, {f}, 'pool')" for f in (5, 10, 25, 50))}, ('source_full', 100, 0, 'pool'), ('target_full', 0, 100, 'pool')) as t(route, sp, tp, kind)),
     z as (select region, population, count(*) as n from ac group by 1, 2),
-    g as (select ac.region, route, population, o, case when kind = 'budget' then case when population = 'target' then floor({_BUDGET} * tp / 100e0 + 5e-1) else {_BUDGET} - floor({_BUDGET} * tp / 100e0 + 5e-1) end else floor(n * case when population = 'source' then sp else tp end / 100e0 + 5e-1) end as k
+    g as (select ac.region, route, population, stable_id, o, case when kind = 'budget' then case when population = 'target' then floor({_BUDGET} * tp / 100e0 + 5e-1) else {_BUDGET} - floor({_BUDGET} * tp / 100e0 + 5e-1) end else floor(n * case when population = 'source' then sp else tp end / 100e0 + 5e-1) end as k
         from ac join z using (region, population) cross join rt where population <> 'test')
-    select region, route, population, count(*) as n from g where o < k group by 1, 2, 3"""
+    select region, route, population, stable_id from g where o < k"""
 )
 def e15_route_sizes(spark, sf_dir):
     members = B.route_members(_access(spark, sf_dir)[0], ["region"], B.route_table(spark), _BUDGET)
-    return members.groupBy("region", "route", "population").agg(F.count("*").alias("n"))
+    return members.select("region", "route", "population", "stable_id")
 
 
 @query(

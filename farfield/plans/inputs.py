@@ -50,10 +50,10 @@ def a11_dropping(spark, sf_dir):
     return dropped.crossJoin(kept.agg(F.count("*").alias("kept"))).select("dropped", "kept")
 
 
-@query("select n_name as name, n_regionkey as region, cast(null as double) as balance from {nation} union all select c_name, null, c_acctbal from {customer} where c_custkey <= 20")
+@query("select n_name as name, n_regionkey as region, cast(null as double) as balance from {nation} union all select c_name, null, c_acctbal from {customer}")
 def a12_heterogeneous_union(spark, sf_dir):
     nations = load(spark, sf_dir, "select n_name as name, n_regionkey as region from {nation}")
-    customers = load(spark, sf_dir, "select c_name as name, c_acctbal as balance from {customer} where c_custkey <= 20")
+    customers = load(spark, sf_dir, "select c_name as name, c_acctbal as balance from {customer}")
     return A.union_of([nations, customers])
 
 
@@ -63,19 +63,22 @@ def a14_assignment_order(spark, sf_dir):
     return A.numbered(rows).select("stable_id", F.col("line").cast("int").alias("line"))
 
 
-@query()
+_ROW = "md5(concat_ws('|', cast(o_orderkey as varchar), cast(o_custkey as varchar), o_orderpriority))"
+
+
+@query(f"select o_orderstatus, count(*) as n, sha256(concat_ws('|', cast(count(*) as varchar), cast(sum(cast('0x' || substr({_ROW}, 1, 15) as bigint)) as varchar), cast(sum(cast('0x' || substr({_ROW}, 16, 15) as bigint)) as varchar))) as digest from {{orders}} group by 1")
 def a17_table_digest(spark, sf_dir):
-    return A.row_digest(load(spark, sf_dir, "select * from {orders}"), ["o_orderstatus"], ["o_orderkey"], ["o_custkey", "o_totalprice"])
+    return A.row_digest(load(spark, sf_dir, "select * from {orders}"), ["o_orderstatus"], ["o_orderkey"], ["o_custkey", "o_orderpriority"])
 
 
 _RULES = "case when lower(n_name) like '%united%' then 'anglo' when lower(n_name) like '%ina%' then 'ina' else lower(n_name) end"
 
 
-@query(f"select n_name, {_RULES} as canonical from {{nation}}")
+@query(f"select c_custkey, {_RULES} as canonical from {{customer}} join {{nation}} on c_nationkey = n_nationkey")
 def b1_canonical_region(spark, sf_dir):
     name = F.lower("n_name")
     canonical = F.when(name.contains("united"), "anglo").when(name.contains("ina"), "ina").otherwise(name)
-    return load(spark, sf_dir, "select n_name from {nation}").select("n_name", canonical.alias("canonical"))
+    return load(spark, sf_dir, "select c_custkey, n_name from {customer} join {nation} on c_nationkey = n_nationkey").select("c_custkey", canonical.alias("canonical"))
 
 
 @query("select p_partkey, cast(dense_rank() over (order by substr(p_brand, 1, 7)) - 1 as int) as class_id from {part}")
@@ -205,13 +208,18 @@ def c9_tiles(spark, sf_dir):
     return T.tiles(rows, "r", "c", "label", void=3).groupBy("patch", "tile_row", "tile_col").agg(F.count("*").alias("n"), F.sum("pixel_index").alias("index_sum"))
 
 
-@query("select c_mktsegment as band, count(*) as n, round(sum(c_acctbal), 2) as total from {customer} group by 1")
+@query(
+    """with v as (select c_custkey as s, c_mktsegment as band, c_acctbal as v from {customer}), own as (select * from v where band = 'BUILDING'),
+    p as (select s, v, row_number() over (order by md5(concat_ws('|', '0', 'perturb-from', cast(s as varchar))), s) - 1 as f, row_number() over (order by md5(concat_ws('|', '0-to', 'perturb-to', cast(s as varchar))), s) - 1 as t, count(*) over () as n from own),
+    k as (select max(case when f = t then 0 else 1 end) as moved from p), d as (select a.s, b.v from p a cross join k join p b on b.f = (a.t + 1 - k.moved) % a.n)
+    select v.s, v.band, cast(coalesce(d.v, v.v) as double) as v from v left join d on v.s = d.s"""
+)
 def c12_permuted_band(spark, sf_dir):
     rows = load(spark, sf_dir, "select c_custkey as s, c_mktsegment as band, c_acctbal as v from {customer}")
-    out = T.perturbed(rows, "s", "band", "v", "BUILDING")
-    return out.groupBy("band").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
+    return T.perturbed(rows, "s", "band", "v", "BUILDING").select("s", "band", "v")
 
 
-@query("select n_regionkey as key, arg_min(n_name, n_nationkey) as name from {nation} group by 1")
+@query("select o_custkey as key, arg_min(o_orderpriority, o_orderkey) as name from {orders} group by 1")
 def b27_first_names(spark, sf_dir):
-    return T.first_name(load(spark, sf_dir, "select n_regionkey as key, n_name as name, n_nationkey as o from {nation}"), "key", "name", "o")
+    return T.first_name(load(spark, sf_dir, "select o_custkey as key, o_orderpriority as name, o_orderkey as o from {orders}"), "key", "name", "o")
+
