@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farfield.llm.scratch import stored
 
+FEW = 1 << 16  # edges that one task may finish
+
 
 def roots(links: DataFrame) -> DataFrame:
     """(node, component) of a forest: ``links`` (a, b) has each b once, with a < b; component is the root above b.
@@ -50,23 +55,38 @@ def _unfinished(edges: DataFrame) -> DataFrame:
     return edges.join(more, "u").select("v").union(lower.select("u")).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of a task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(node, component) for every node in ``links``: component is the least node that it reaches.
 
     By alternating large-star and small-star steps. Each round's edges are written to the shared folder; their number
     never grows, and components that are stars already leave the rounds. A path of n nodes takes about log(n) rounds.
-    Nodes without a link are not returned; no links give no rows.
+    Once at most ``few`` edges are left, one task finishes them. Nodes without a link are not returned; no links give no rows.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
     edges = stored(links.select(hi.alias("u"), lo.alias("v")).where("u > v").distinct(), "edges")
-    stars = None
-    while True:
-        marked = edges.join(_unfinished(edges).withColumn("open", F.lit(True)), "v", "left").select("u", "v", F.coalesce("open", F.lit(False)).alias("open"))
-        marked = stored(marked, "marked")
-        ended = marked.where("not open").select("u", "v")
-        stars = ended if stars is None else stars.union(ended)
-        edges = marked.where("open").select("u", "v")
-        if edges.isEmpty():
-            break
-        edges = stored(_small_star(_large_star(edges)), "edges")
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    stars = edges.where("false")
+    while edges.count() > few:
+        open_ = _unfinished(edges).withColumn("open", F.lit(True))
+        marked = stored(edges.join(open_, "v", "left").select("u", "v", F.coalesce("open", F.lit(False)).alias("open")), "marked")
+        stars = stars.union(marked.where("not open").select("u", "v"))
+        edges = stored(_small_star(_large_star(marked.where("open").select("u", "v"))), "edges")
+    leaves = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    centres = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return leaves.union(centres).union(edges.coalesce(1).mapInArrow(_joined, "node long, component long"))

@@ -8,8 +8,9 @@ points i at most ``length`` tokens before j; the minimum slides with j, so a mon
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
-import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -27,59 +28,173 @@ SENTENCE_PENALTY, INSIDE_PENALTY, INSIDE_EVERY = 4, 16, 64
 GROUP_TOKENS = 1 << 20
 CACHE_WORDS = 600_000
 
-#: texts of these characters alone split into pieces that the tokenizer treats one by one: letters without a special
-#: lower case, ASCII without the apostrophe (contractions) and without other control characters
-_PLAIN = re.compile("[\t\n\x0b\x0c\r -&(-~À-ÖØ-öø-įıĲ-ſ]*")
-_PIECE = re.compile("[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
-_CHUNK = re.compile("[^ \t\n\r]+")
+SLOTS = 1 << 21
+JOINED = 64
+
+#: what this module knows of a tokenizer: white space parts a text, and words of letters, digits and other ASCII are split on.
+#: A file with another normaliser, splitter or word end is refused.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+#: by byte: 0 white space, 1 letters (bytes over 127 are letters in a plain word), 2 digits, 3 other ASCII
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+#: bytes of a word that isn't plain: control characters, the apostrophe (contractions), letters outside of U+00C0 to U+017F
+_ODD = np.ones(256, bool)
+_ODD[[*range(32, 39), *range(40, 127), 9, 10, 11, 12, 13, *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = False
+
+
+def split_points(block: T.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, plain) of the pieces that the tokenizer treats one by one.
+
+    A plain word is cut into runs of letters, single digits and runs of other characters; any other word is one piece, which
+    the tokenizer may cut on. Plain: ASCII and the letters from U+00C0 to U+017F without the one whose lower case is two characters;
+    no apostrophe and no start of a special token.
+    """
+    data = block.data
+    if not len(data):
+        return block.starts, block.ends, np.zeros(0, bool)
+    before, after = np.concatenate([[0], data[:-1]]), np.concatenate([data[1:], [0]])
+    odd = _ODD[data] | ((before == 0xC3) & ((data == 0x97) | (data == 0xB7))) | ((before == 0xC4) & (data == 0xB0)) | ((data == 60) & (after == 124))
+    so_far = np.concatenate([[0], np.cumsum(odd)])
+    plain = so_far[block.ends] == so_far[block.starts]
+    kind = _KIND[data]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[block.starts[plain]], inside[block.ends[plain]] = 1, -1
+    both = np.intersect1d(block.starts[plain], block.ends[plain], assume_unique=True)
+    inside[both] = 0  # one word ends where the next document begins with another
+    within = np.cumsum(inside[:-1]) > 0
+    cut = within & ((kind == 2) | (kind != np.concatenate([[0], kind[:-1]])))
+    cut[block.starts] = True
+    starts = np.flatnonzero(cut)
+    word = np.searchsorted(block.starts, starts, side="right") - 1
+    ends = np.minimum(np.concatenate([starts[1:], [len(data)]]), block.ends[word])
+    return starts, ends, plain[word]
 
 
 class Encoder:
-    """Ids of whole texts, by a tokenizer that treats the pieces of a text one by one; pieces are encoded once and kept."""
+    """Ids of whole texts, by a tokenizer that treats the pieces of a text one by one.
+
+    Pieces are told apart by 64-bit hashes; each is encoded once and kept in a table of open addressing, which starts anew
+    when it holds ``CACHE_WORDS``.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        _check(path)
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.lengths, self.ends = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        self.flat, self.length, self.end = self.ids[0], self.lengths[0], self.ends[0]
-        self.first = np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.place]
-        if not new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.place.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32)])
-        self.length = np.concatenate([self.length, np.fromiter(map(len, found), np.int64, len(found))])
-        self.end = np.concatenate([self.end, np.fromiter((p[-1] in ".!?" or "." in p for p in new), bool, len(new))])
-        self.first = np.concatenate([[0], np.cumsum(self.length)])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, places after a sentence) of each text."""
-        pieces = []
-        for text in texts:
-            plain = "<|" not in text and _PLAIN.fullmatch(text)
-            pieces.append(_PIECE.findall(text.lower()) if plain else _CHUNK.findall(text))
-        if len(self.place) > CACHE_WORDS:
+        self.keys, self.values, self.count, self.used = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), 0, 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.first, self.size, self.end = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of the pieces, -1 for those that are new."""
+        out = np.full(len(hashes), -1, np.int64)
+        at = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        live = np.arange(len(hashes))
+        while len(live):
+            have = self.keys[at[live]]
+            hit = have == hashes[live]
+            out[live[hit]] = self.values[at[live[hit]]]
+            live = live[~hit & (have != 0)]
+            at[live] = (at[live] + 1) & (SLOTS - 1)
+        return out
+
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> None:
+        """Adds new distinct pieces."""
+        n, m = len(hashes), len(ids)
+        while self.used + m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + n > len(self.first):
+            self.first, self.size, self.end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.end))
+        self.flat[self.used : self.used + m] = ids
+        place = slice(self.count, self.count + n)
+        self.first[place] = self.used + np.cumsum(sizes) - sizes
+        self.size[place], self.end[place] = sizes, ends
+        at = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        live = np.arange(n)
+        while len(live):
+            free = live[self.keys[at[live]] == 0]
+            self.keys[at[free]] = hashes[free]
+            won = free[self.keys[at[free]] == hashes[free]]  # of several that want one slot the last got it
+            self.values[at[won]] = self.count + won
+            lost = np.ones(n, bool)
+            lost[won] = False
+            live = live[lost[live]]
+            at[live] = (at[live] + 1) & (SLOTS - 1)
+        self.count, self.used = self.count + n, self.used + m
+
+    def _learn(self, block: T.Block, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> None:
+        for kind in (True, False):
+            new = np.flatnonzero(plain == kind)
+            if not len(new):
+                continue
+            raw, bounds = block.spans(starts[new], ends[new])
+            if kind:  # many in one string: each piece's last id closes a word
+                cuts = [*bounds[:-1:JOINED].tolist(), int(bounds[-1])]
+                texts = [raw[a:b].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            else:
+                texts = [raw[a : b - 1].tobytes().decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+            if kind:
+                stops = np.flatnonzero(self.closes[ids]) + 1
+                if len(stops) != len(new):
+                    raise ValueError("a piece doesn't end with a closing id")
+                sizes = np.diff(np.concatenate([[0], stops]))
+            else:
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+            last = raw[bounds[1:] - 2]
+            dots = np.concatenate([[0], np.cumsum(raw == 46)])
+            closes = np.isin(last, (46, 33, 63)) | (dots[bounds[1:]] > dots[bounds[:-1]])
+            self._keep(hashes[new], ids, sizes, closes)
+
+    def encode(self, block: T.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, bounds, sentences): the ids of the block's documents, those of document k at ``bounds[k]:bounds[k+1]``, and
+        the places after a sentence."""
+        starts, ends, plain = split_points(block)
+        hashes = block.span_hashes(starts, ends, T._LOWER)  # the tokenizer lower-cases
+        hashes[hashes == 0] = 1
+        if self.count > CACHE_WORDS:
             self._clear()
-        missing = set()
-        for p in pieces:
-            missing.update(p)
-        self._learn([p for p in missing if p not in self.place])
-        for p in pieces:
-            at = np.fromiter(map(self.place.__getitem__, p), np.int64, len(p))
-            size = self.length[at]
-            ends = np.cumsum(size)
-            n = int(ends[-1]) if len(ends) else 0
-            index = np.arange(n) + np.repeat(self.first[at] - (ends - size), size)
-            yield self.flat[index], ends[self.end[at]]
+        at = self._find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            distinct, index = np.unique(hashes[new], return_index=True)
+            if self.count + len(distinct) > SLOTS // 2:
+                self._clear()
+                distinct, index = np.unique(hashes, return_index=True)
+                new = np.arange(len(hashes))
+            index = new[index]
+            for k in range(0, len(index), SLOTS // 2):
+                self._learn(block, distinct[k : k + SLOTS // 2], starts[index[k : k + SLOTS // 2]], ends[index[k : k + SLOTS // 2]], plain[index[k : k + SLOTS // 2]])
+            at[new] = self._find(hashes[new])
+        size = self.size[at]
+        after = np.cumsum(size)
+        n = int(after[-1]) if len(after) else 0
+        ids = self.flat[np.arange(n) + np.repeat(self.first[at] - (after - size), size)]
+        bounds = np.concatenate([[0], after])[np.searchsorted(starts, block.offsets)]
+        return ids, bounds, after[self.end[at]]
+
+
+def _check(path: str) -> None:
+    with open(path) as f:
+        made = json.load(f)
+    steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    if steps != NORMALIZERS or splits != [SPLIT] or made["model"].get("end_of_word_suffix") != WORD_END or any("<|" not in t["content"] for t in made["added_tokens"]):
+        raise ValueError(f"{path}: a tokenizer of another kind; only lower-case word BPE with {WORD_END} is supported")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -206,9 +321,11 @@ def _run(path: str, length: int):
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1)
             for block in T.blocks(texts):
-                part = [x or "" for x in texts.slice(block.first, block.rows).to_pylist()]
-                for doc, (ids, ends) in zip(docs.slice(block.first, block.rows).to_pylist(), enc.encode(part), strict=True):
-                    packer.add(doc, np.append(ids, np.uint32(END_ID)), ends)
+                ids, bounds, sentences = enc.encode(block)
+                marks = np.searchsorted(sentences, bounds, side="right")
+                of_docs = docs.slice(block.first, block.rows).to_pylist()
+                for doc, a, b, x, y in zip(of_docs, bounds[:-1].tolist(), bounds[1:].tolist(), marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+                    packer.add(doc, np.append(ids[a:b], np.uint32(END_ID)), sentences[x:y] - a)
                 if packer.pieces:
                     yield out()
         packer.close()

@@ -95,12 +95,23 @@ class Block:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
 
     def word_hashes(self, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
-        table = table if table is not None else _LOWER if lower else _TABLE
+        return self.span_hashes(self.starts, self.ends, table if table is not None else _LOWER if lower else _TABLE)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
         n = len(self.data)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(table[self.data] * powers(_P, n), out=sums[1:])
         inverse = powers(pow(_P, -1, 2**64), n + 1)
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the spans one after the other with a space after each, and their bounds."""
+        sizes = ends - starts + 1
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], sizes)
+        out = self.data[np.minimum(at, max(0, len(self.data) - 1))]
+        out[bounds[1:] - 1] = 32
+        return out, bounds
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES, most: int = BLOCK_ROWS) -> Iterator[Block]:

@@ -159,9 +159,33 @@ def test_tokens_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     texts = ["Don't STOP—now… it's 1,234.5", "école ÉCOLE İstanbul ſtraße", "a<|endoftext|>b", "x" * 9000, "日本 ́é ﬁ ½", "tab\tnew\nline\x0b\x1cend\xa0nbsp", "", "p.!?q ### ’s 's"] * 2
+    texts += ["ab", "cd ef", "<| x|>", "a× b÷c", "ŸÖÜ ŉ Ĳ", "The THE the", "1st 2.5 v3.1!"]
     t = Tokenizer.from_file(packing.default_tokenizer())
-    for text, (ids, _) in zip(texts, packing.Encoder(packing.default_tokenizer()).encode(texts), strict=True):
-        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+    block = next(T.blocks(pa.array(texts)))
+    ids, bounds, sentences = packing.Encoder(packing.default_tokenizer()).encode(block)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert len(sentences) and set(sentences) <= set(range(1, len(ids) + 1))
+
+
+def test_tokens_of_a_corpus_are_the_tokenizers_whatever_is_cached(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(120).collect()]
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "CACHE_WORDS", 500)
+    enc = packing.Encoder(packing.default_tokenizer())
+    for block in T.blocks(pa.array(texts), 20_000):
+        ids, bounds, _ = enc.encode(block)
+        for k in range(block.rows):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == t.encode(texts[block.first + k], add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="another kind"):
+        packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_cuts_cost_the_least():
