@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -305,6 +306,69 @@ def test_leaks_with_substitutions_are_found(spark):
     assert got == {i: [i % 10] for i in range(1, 40, 2)}
 
 
+def leaks(d, i):
+    """(matched, evidence) of a document's and an item's words: every diagonal where a mask's open places agree, by plain loops."""
+    if len(i) < decontam.MIN_WORDS:
+        there = any(d[j : j + len(i)] == i for j in range(len(d)))
+        return len(i), there and len(i) > 0 and (len(i) >= decontam.ALONE or len(d) == len(i))
+    masks, covered, longest = decontam.MASKS, set(), 0
+    for diagonal in range(-len(i), len(d)):
+        same = [j for j in range(len(i)) if 0 <= j + diagonal < len(d) and d[j + diagonal] == i[j]]
+        on = set(same)
+        whole = lambda j, m: j + len(m) <= len(i) and 0 <= j + diagonal and j + diagonal + len(m) <= len(d)
+        if not any(whole(j, m) and all(bit == "0" or j + k in on for k, bit in enumerate(m)) for m in masks for j in range(len(i))):
+            continue
+        j = 0
+        while j < len(i):
+            if j not in on:
+                j += 1
+                continue
+            score, best, end, k = 0, 0, j, j
+            while k < len(i) and 0 <= k + diagonal < len(d):
+                score += 1 if k in on else -decontam.MISMATCH
+                if score < 0:
+                    break
+                if score > best:
+                    best, end = score, k + 1
+                k += 1
+            got = [x for x in range(j, end) if x in on]
+            if len(got) >= decontam.MIN_WORDS // 2:
+                covered.update(got)
+                longest = max(longest, len(got))
+            j = end
+    return len(covered), len(covered) >= decontam.MIN_WORDS and (2 * len(covered) >= len(i) or longest >= decontam.LONG_STRETCH)
+
+
+def test_contamination_matches_brute_force(spark):
+    rng = random.Random(21)
+    few = [f"w{k}" for k in range(25)]
+    items = [[rng.choice(few) for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 12, 30, 60]))] for _ in range(40)]
+    items += [["tick", "tock"] * 12, ["tick"] * 20, items[9][:], items[-1][:]]
+    docs = []
+    for k in range(120):
+        d = [rng.choice(few) for _ in range(rng.randint(0, 60))]
+        if k % 3:
+            part = items[rng.randrange(len(items))]
+            part = [w if rng.random() > 0.12 else "other" for w in part[rng.randint(0, len(part) // 2) :]]
+            at = rng.randint(0, len(d))
+            d[at:at] = part
+        docs.append(d)
+    docs += [items[0][:], items[2][:], ["tick"] * 40, ["tock", "tick"] * 9, []]
+    rows = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    want = {k: [j for j, i in enumerate(items) if leaks(d, i)[1]] for k, d in enumerate(docs)}
+    got = {r["doc_id"]: r["items"] for r in decontam.report(rows, bench).collect()}
+    assert got == want and sum(map(bool, want.values())) > 40
+
+
+def test_periodic_texts_take_seconds():
+    words = lambda text: decontam.tokens(next(T.blocks(pa.array([text]))))[0]
+    started = time.time()
+    assert decontam.match(words("again " * 20_000), words("again " * 1_000))[0] == 1_000
+    assert decontam.match(words("to and fro " * 60_000), words("to and fro " * 3_000))[0] == 9_000
+    assert time.time() - started < 20
+
+
 def test_surrogates_keep_identity_kind_and_format(spark):
     rows = [
         (1, "Mr. John Smith and Mrs Anna Lee: call +1 (509) 555-6973, card 4111 1111 1111 1111, ip 10.1.2.3, key token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""),
