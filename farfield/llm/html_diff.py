@@ -1,39 +1,49 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into text lines at its block elements. Pages are ordered by host and path, so that the different pages just
-before and after (``NEAR`` each) have the nearest URLs of the host; the longest common subsequence of the lines of two
-pages holds what they share. A line is deleted if a near page shares it; inside what a page marks as its article, where
-single equal lines are text that repeats, if ``SEVERAL`` near pages do. Near pages that are copies don't count. Elements
-that are never part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-are left out by their tag, role, class or id before the comparison, as such lines often differ from page to page.
-
-A page that shares most of the text (of the article, where one is marked) is a copy. Without a mark it may be a short text
-under a large template instead: then what is not shared differs in its words, and a third page has the template, too.
+A page is cut into text lines at its block elements; a line has its text and its path, the elements above it with their
+classes and ids. Pages are ordered by host, path and the rest of the URL, so that the different pages just before and after
+(``NEAR`` each) have the nearest URLs of the host. Two pages are aligned by longest common subsequences.
+
+- Lines of equal text that are aligned are shared, and go: those outside of a marked article (``article``, ``main``) if one near page
+  shares them, those inside if ``SEVERAL`` do. Near pages that are copies don't count.
+- Furniture whose words differ from page to page is aligned by path. A line whose path names furniture (by class, id or role)
+  goes if a near page has a line at the same place; a name alone deletes nothing where there is a near page to compare with.
+  A page that is alone on its host has none: there the name decides.
+- Elements that are no text by the meaning of their tag (scripts, styles, forms, ``nav``, ``aside``, ``header`` and ``footer`` outside of
+  an article) are left out before the comparison.
+
+A near page is a copy if what it doesn't share is mostly the same text in slightly other lines, and a template if what it
+doesn't share differs in its words; see ``is_copy``.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option canvas".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button menu dialog figcaption".split())
+_DIGITS = re.compile(r"[0-9]+")
+RAW = frozenset("script style noscript template textarea title iframe svg object select canvas".split())
+DROPPED = RAW | frozenset("head nav header footer aside form button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
 SPACED = frozenset("br wbr img hr input".split())
-#: words of a class or id that name furniture
+#: words of a class or id that name furniture, and roles that do
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
@@ -43,30 +53,34 @@ _CLOSES |= {"li": frozenset(["li", "p"]), "dd": frozenset(["dd", "dt", "p"]), "d
 _SCOPE = frozenset("article aside body div footer form header html li main nav ol section table td th ul".split())
 NEAR = 2
 SEVERAL = 2
-COPY_SHARE = 0.6
-Line = tuple[str, bool]
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED and not (tag == "header" and in_article):
-        return True
-    for m in _ATTRIBUTE.finditer(attributes):
+class Line(NamedTuple):
+    text: str
+    article: bool  # whether the page marks it as its article
+    place: str  # the path of the elements above it
+    named: str  # the path down to the outermost element that names furniture, or ""
+
+
+def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
+    """(the element with its class and id, whether it is hidden, whether it names furniture)."""
+    own, hidden, named = [tag], False, False
+    for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and FURNITURE.intersection(_WORDS.findall(value)):
-            return True
-    return False
+        hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) is not None
+        if name in ("class", "id", "role"):
+            own.append(f"{name}={_DIGITS.sub('0', value)}")
+            listed = value in ROLES if name == "role" else FURNITURE.intersection(_WORDS.findall(value))
+            named |= bool(listed) and tag not in ("html", "body", "article", "main")
+    return "|".join(own), hidden, named
 
 
 def lines(page: str) -> list[Line]:
-    """The text lines of a page outside its furniture, in order: (text, whether the page marks it as its article)."""
+    """The text lines of a page in order, without the elements that are no text by their tag."""
     out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture (own or above), article (own or above)
-    hidden = article = False
+    stack: list[tuple[str, bool, bool, str, str]] = []  # tag; hidden, in the article, path, named path (own or above)
+    hidden, article, place, named = False, False, "", ""
     at = 0
 
     def flush() -> None:
@@ -74,13 +88,13 @@ def lines(page: str) -> list[Line]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((text, article))
+                out.append(Line(text, article, place, named))
             parts.clear()
 
     def close(depth: int) -> None:
-        nonlocal hidden, article
+        nonlocal hidden, article, place, named
         del stack[depth:]
-        hidden, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        hidden, article, place, named = stack[-1][1:] if stack else (False, False, "", "")
 
     lower = None
     while m := _TOKEN.search(page, at):
@@ -119,8 +133,13 @@ def lines(page: str) -> list[Line]:
                     break
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, hidden or _furniture(tag, attributes, article), article or tag in MAIN))
-        hidden, article = stack[-1][1], stack[-1][2]
+        own, unseen, listed = _attributes(tag, attributes) if attributes else (tag, False, False)
+        if tag in BLOCKS or attributes:
+            place = f"{place}/{own}"
+        named = named or (place if listed else "")
+        hidden = hidden or unseen or tag in DROPPED and not (tag == "header" and article)
+        article = article or tag in MAIN
+        stack.append((tag, hidden, article, place, named))
     if not hidden and at < len(page):
         parts.append(page[at:])
     flush()
@@ -152,48 +171,71 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def _templated(own: list[str], other: list[str], shared: set[int], thirds: list[set[int]]) -> bool:
-    """Whether two pages that share most of their text are different texts under one template."""
-    rest = [own[i] for i in range(len(own)) if i not in shared]
-    theirs = Counter(other) - Counter(own[i] for i in shared)
-    a, b = ({w for line in lines_ for w in line.lower().split()} for lines_ in (rest, theirs))
-    if not a or not b or 2 * len(a & b) > min(len(a), len(b)):
+def is_copy(own: list[Line], other: list[Line], shared: set[int], thirds: list[set[int]]) -> bool:
+    """Whether a near page is the same text again, and no other text under the same template.
+
+    What the two don't share decides: nothing on one side, or three quarters of the words, is an edit. Other words are another text,
+    but if most of the page (of its article, where one is marked) is shared, only if a third page shares it as well, or
+    there is no article: one page alone can't tell a long shared text from a template.
+    """
+    marked = any(line.article for line in own)
+    size = lambda found: sum(len(own[i].text) for i in found if own[i].article or not marked)
+    if 2 * size(shared) <= size(range(len(own))):
         return False
-    size = lambda found: sum(len(own[i]) for i in found)
-    return any(2 * size(shared & t) > size(shared) for t in thirds)
-
-
-def difference(own: list[Line], near: list[list[Line]]) -> str:
-    """The lines of a page that its near pages don't share, joined by one space."""
-    distinct = [n for k, n in enumerate(near) if n and n != own and n not in near[:k]]
-    texts = [text for text, _ in own]
-    others = [[text for text, _ in n] for n in distinct]
-    found = [common(texts, other) for other in others]
-    marked = any(article for _, article in own)
-    size = sum(len(text) for text, article in own if article or not marked)
+    rest = [own[i].text for i in range(len(own)) if i not in shared]
+    theirs = Counter(line.text for line in other) - Counter(own[i].text for i in shared)
+    a, b = ({w for text in texts for w in text.lower().split()} for texts in (rest, theirs))
+    if not a or not b or 4 * len(a & b) > 3 * min(len(a), len(b)):
+        return True
+    return marked or not any(2 * size(shared & t) > size(shared) for t in thirds)
+
+
+def difference(own: list[Line], near: list[list[Line]]) -> list[bool]:
+    """Which lines of a page stay beside its near pages.
+
+    Lines that name furniture are aligned by path, all others by text. Near pages that are alike in those others count once.
+    """
+    plain = [i for i, line in enumerate(own) if not line.named]
+    rest = [own[i] for i in plain]
     times: Counter[int] = Counter()
-    for k, shared in enumerate(found):
-        most = sum(len(own[i][0]) for i in shared if own[i][1] or not marked) > COPY_SHARE * size
-        if not most or not marked and _templated(texts, others[k], shared, found[:k] + found[k + 1 :]):
-            times.update(shared)
-    return " ".join(text for i, (text, article) in enumerate(own) if times[i] < (SEVERAL if article else 1))
+    others: dict[tuple, list[Line]] = {}
+    for page in near:
+        lines_ = [line for line in page if not line.named]
+        others.setdefault(tuple(line.text for line in lines_), lines_)
+    others.pop(tuple(line.text for line in rest), None)
+    found = [common([line.text for line in rest], list(texts)) for texts in others]
+    for k, (other, shared) in enumerate(zip(others.values(), found, strict=True)):
+        if not is_copy(rest, other, shared, found[:k] + found[k + 1 :]):
+            times.update(plain[i] for i in shared)
+    listed = [i for i, line in enumerate(own) if line.named]
+    gone = set(listed)
+    if listed and near:
+        met: set[str] = set()
+        for page in near:
+            aligned = common([own[i].named for i in listed], [line.named for line in page if line.named])
+            met.update(own[listed[j]].named for j in aligned)
+        gone = {i for i in listed if own[i].named in met}
+    return [i not in gone and times[i] < (SEVERAL if line.article else 1) for i, line in enumerate(own)]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by host and path. Pages of equal lines in a row are one entry; it is held back until ``NEAR`` more
-    entries of its host are read."""
-    host = None
-    run: list[tuple[list[Line], list[tuple]]] = []  # entries of the host: lines, (page_id, url) of the pages
+    """Rows come ordered by part, host and path. Pages of equal html in a row are one entry; it is held back until ``NEAR``
+    more entries of its host are read. Pages of context are compared with and not returned."""
+    now = None
+    run: list[tuple[int, list[Line], list[tuple]]] = []  # entries of the host: hash, lines, (page_id, url) of the pages
     at = 0  # the first of them that is held back
     rows: list[tuple] = []
 
     def settle(last: bool) -> None:
         nonlocal at
         while at < len(run) - (0 if last else NEAR):
-            own, pages = run[at]
-            text = difference(own, [n for n, _ in run[max(0, at - NEAR) : at] + run[at + 1 : at + 1 + NEAR]])
-            rows.extend((page_id, url, text) for page_id, url in pages)
-            pages.clear()
+            _, own, pages = run[at]
+            if pages:
+                stays = difference(own, [n for _, n, _ in run[max(0, at - NEAR) : at] + run[at + 1 : at + 1 + NEAR]])
+                text = " ".join(line.text for line, stay in zip(own, stays, strict=True) if stay)
+                removed = len(own) - sum(stays)
+                rows.extend((page_id, url, text, removed) for page_id, url in pages)
+                pages.clear()
             at += 1
         if at > NEAR:
             del run[: at - NEAR]
@@ -202,25 +244,25 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(k: int) -> pa.RecordBatch:
         cols = list(zip(*rows[:k], strict=True))
         del rows[:k]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["page_id", "url", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_removed"])
 
     for batch in batches:
-        columns = [batch.column(i) for i in range(4)]
+        columns = [batch.column(c) for c in ("part", "host", "context", "h", "page_id", "url", "html")]
         for i in range(batch.num_rows):
-            page_id, url, page, now = (c[i].as_py() for c in columns)
-            if now != host:
+            part, host, context, h, page_id, url, page = (c[i].as_py() for c in columns)
+            if now != (part, host):
                 settle(True)
-                host, at = now, 0
+                now, at = (part, host), 0
                 run.clear()
             if page is None:
-                rows.append((page_id, url, ""))
+                if not context:
+                    rows.append((page_id, url, "", 0))
             else:
-                found = lines(page)
-                if run and run[-1][0] == found:
-                    run[-1][1].append((page_id, url))
-                else:
-                    run.append((found, [(page_id, url)]))
+                if not run or run[-1][0] != h:
+                    run.append((h, lines(page), []))
                     settle(False)
+                if not context:
+                    run[-1][2].append((page_id, url))
             while len(rows) >= 1000:
                 yield batch_of(1000)
     settle(True)
@@ -228,23 +270,94 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(1000)
 
 
+KEYS = ("host", "path", "url", "page_id", "h")
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the sorted keys of each part: the first row, and the first and last ``NEAR`` + 1 runs of equal (host, h), a row for each."""
+    first, head, tail, before = None, [], [], None
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in KEYS]
+        for row in zip(*columns, strict=True):
+            first = first or row
+            entry = (row[0], row[4])
+            if entry != before:
+                if len(head) <= NEAR:
+                    head.append(row)
+                tail.append(row)
+                del tail[: -NEAR - 1]
+                before = entry
+            else:
+                tail[-1] = row
+    part = TaskContext.get().partitionId()
+    if first:
+        rows = [("first", first), *(("head", r) for r in head), *(("tail", r) for r in tail)]
+        columns = list(zip(*((part, i, kind, *r) for i, (kind, r) in enumerate(rows)), strict=True))
+        types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "i", "kind", *KEYS])
+
+
+def _borders(ends: list) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first key of each part, and for the rows near a border the parts that need them as context."""
+    parts: dict[int, dict[str, list[tuple]]] = {}
+    for r in sorted(ends, key=lambda r: (r["part"], r["i"])):
+        parts.setdefault(r["part"], {"first": [], "head": [], "tail": []})[r["kind"]].append(tuple(r[c] for c in KEYS))
+    order = [parts[p] for p in sorted(parts)]
+    needed: dict[tuple, list[int]] = {}
+    for p in range(len(order)):
+        for step, kind in ((-1, "tail"), (1, "head")):
+            host = order[p]["head"][0][0] if step < 0 else order[p]["tail"][-1][0]
+            beyond = (row for q in (range(p - 1, -1, -1) if step < 0 else range(p + 1, len(order))) for row in order[q][kind][::step])
+            seen: list[int] = []
+            for row in beyond:
+                if row[0] != host or len(seen) > NEAR:
+                    break
+                if not seen or seen[-1] != row[4]:
+                    seen.append(row[4])
+                    needed.setdefault(row, []).append(p)
+    return [x["first"][0] for x in order], needed
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every page.
+    """(page_id, url, text, n_chars, n_removed) for every page; n_removed: lines that the comparison deleted.
 
-    Pages are dealt out by ranges of (host, path), so a host with very many pages is split by path. Null html: empty
-    text. Null or odd urls share a host of their own. Repeated rows count as each other's copies: nothing is deleted
-    between them. A page alone on its host keeps all lines outside its furniture. Of two pages alone on their host that
-    mark no article and share most of their text nothing is deleted: no third page tells a template from a copy. Other
-    columns are ignored.
+    The keys of the pages are ordered by (host, path, url, page_id) first; that gives the borders of the parts and, for each
+    border, which pages on its other side are near (a few rows a part reach the driver). Then the pages are dealt out to
+    parts, with the near ones of the next parts as context, so a host with very many pages is split by path and what is near
+    doesn't depend on the parts. Null html: empty text. Null or odd urls share a host of their own. Pages of equal html that follow
+    each other are one entry; equal texts in other html are copies, and nothing is deleted between them. Lines that come more
+    than once on a page are aligned one to one. A page alone on its host keeps all lines that no name marks as furniture. Of two
+    pages alone on their host that share most of their text nothing shared is deleted: no third page tells a template from a
+    copy. Other columns are ignored; no rows give no rows.
     """
+    spark = pages.sparkSession
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
+        F.col("url").cast("string").alias("given"),
         F.col("html").cast("string").alias("html"),
         F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
-    )
-    keys = ("host", "path", "url", "page_id")
-    near = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("page_id", "url", "html", "host")
-    return near.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+        url.alias("url"),
+    ).withColumn("h", F.xxhash64("html"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.where("html is not null").select(*KEYS).withColumn("page_id", F.coalesce("page_id", F.lit(-(1 << 63))))
+    kinds = "part int, i int, kind string, host string, path string, url string, page_id long, h long"
+    firsts, needed = _borders(keyed.repartitionByRange(n, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_ends, kinds).collect())
+    shared = spark.sparkContext.broadcast((firsts, needed))
+
+    @F.pandas_udf("array<long>")
+    def places(host: pd.Series, path: pd.Series, url: pd.Series, page_id: pd.Series, h: pd.Series) -> pd.Series:
+        first, near = shared.value
+        out = []
+        for row in zip(host, path, url, page_id.tolist(), h.tolist(), strict=True):
+            own = max(0, bisect_right(first, row) - 1)
+            out.append([2 * own, *(2 * p + 1 for p in near.get(row, ()) if p != own)])
+        return pd.Series(out)
+
+    dealt = rows.withColumn("at", F.explode(places("host", "path", "url", F.coalesce("page_id", F.lit(-(1 << 63))), "h")))
+    dealt = dealt.select(F.shiftright("at", 1).alias("part"), (F.col("at") % 2 == 1).alias("context"), *KEYS, "given", "html")
+    sorted_ = dealt.repartition(n, "part").sortWithinPartitions("part", *KEYS)
+    sorted_ = sorted_.select("part", "host", "context", "h", "page_id", F.col("given").alias("url"), "html")
+    out = sorted_.mapInArrow(_extract, "page_id long, url string, text string, n_removed long")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed")

@@ -1,23 +1,28 @@
 """PII surrogates in DataFrame and SQL functions alone.
 
-Entities are found by one pattern and brought to a canonical form (digits of a number, lower-cased address). Each distinct
-entity gets one surrogate from a keyed SHA-512: of the same kind, script and format, a name of the same gender. A
-surrogate must differ from all other surrogates and from all entities of its kind in the table; one that doesn't is drawn
-again with the next attempt number. Equal entities therefore read alike everywhere, different ones stay different. Each
-mention is then written in its own format, and the text is put together from what lies between the mentions.
+Entities are found by one pattern and brought to a canonical form (digits of a number, lower-cased address; a name is its
+given name and its family name, each an entity of its own). Each distinct entity gets one surrogate from a keyed SHA-512:
+of the same kind, script and format, a given name of the same gender. A surrogate must differ from all other surrogates
+and from all entities of its kind in the table; one that doesn't is drawn again with the next attempt number, and longer as
+attempts go on. Equal entities therefore read alike everywhere, different ones stay different, and Mr. John Smith, Mr. Smith
+and Dr. Smith stay one family. Each mention is then written in its own format, and the text is put together from what lies
+between the mentions.
+
+Card numbers must satisfy their check digit, IBANs get a right one. Names are found after a form of address only; birth
+dates after a word for birth; addresses as number and street. Names without any of these are not found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farfield.llm.scratch import stored
+from farfield.llm.scratch import free_names, stored
 
 DEFAULT_KEY = "farfield"
 MAX_ATTEMPTS = 64
 
-#: fixed values: forms of address by gender, and names by gender and script
+#: fixed values: forms of address by gender, names by gender and script, syllables and letters by script
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|г-н"
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Srta|г-жа"
 OPEN_TITLES = "Dr|Prof"
@@ -26,89 +31,150 @@ GIVEN = {
     "f": "Ada Alice Anna Bella Clara Diana Edith Elena Emma Flora Grace Hanna Ida Irene Julia Karla Laura Lena Lucia Maria Martha Nina Nora Olga Paula Rosa Sara Sofia Theresa Vera",
 }
 GIVEN_CYRILLIC = {"m": "Андрей Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Сергей Тимур", "f": "Алла Анна Вера Галина Дарья Елена Жанна Зоя Ирина Кира Лидия Мария Нина Ольга Раиса София"}
+GIVEN_GREEK = {"m": "Αλέξης Ανδρέας Γιώργος Δημήτρης Ηλίας Κώστας Μάριος Νίκος Πέτρος Σταύρος", "f": "Αγγελική Άννα Βασιλική Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα"}
 SYLLABLES = "bar bel cor dan del fer gar hol kar lan lor mar mel nor pel ras rol sel tan tor val ver vin wal"
 SYLLABLES_CYRILLIC = "бар вел гор дан дор зар кал кор лан лев мар мел нов пет рад сол тар вол"
+SYLLABLES_GREEK = "βαρ γαλ δημ θαν καλ λαμ μαν νικ παν ραλ σαρ τσι φαν χρι"
+LETTERS = {
+    "[a-z]": "abcdefghijklmnopqrstuvwxyz",
+    "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "[\\p{IsCyrillic}]": "абвгдежзиклмнопрстуфхцчшэюя",
+    "[\\p{IsGreek}]": "αβγδεζηθικλμνξοπρστυφχψω",
+    "[\\p{IsHan}]": "安白成大东方高国海和华金立林美明宁平清山石田文小新",
+    "[\\p{IsHiragana}]": "あいうえおかきくけこさしすせそたちつてとなにのはひふへほまみむめもやゆよ",
+    "[\\p{IsKatakana}]": "アイウエオカキクケコサシスセソタチツテトナニノハヒフヘホマミムメモヤユヨ",
+    "[\\p{IsHangul}]": "가나다라마바사아자차카타파하고노도로모보소오조",
+    "[\\p{IsArabic}]": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "[\\p{IsHebrew}]": "אבגדהוזחטיכלמנסעפצקרשת",
+    "[\\p{L}]": "àâäçèéêëîïñóôöùûü",
+}
 
-_LAST = r"\p{Lu}[\p{L}'’-]+"
-NAME = rf"\b(?:{MALE_TITLES}|{FEMALE_TITLES}|{OPEN_TITLES})\.? {_LAST}(?: {_LAST})?"
+_TITLES = f"{MALE_TITLES}|{FEMALE_TITLES}|{OPEN_TITLES}"
+_PART = r"(?:\p{Lu}[\p{L}\p{M}'’-]+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,4}|[\p{Lo}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]][\p{L}\p{M}]*)"
+NAME = rf"\b(?:{_TITLES})\.? {_PART}(?: {_PART})?"
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_/+-]{12,}|\b[0-9a-fA-F]{32,}\b"
+_WORD_BEFORE = "(?i:token|secret|password|passwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']?"
+_PREFIX = "(?:AKIA|ASIA|gh[pousr]_|sk-|xox[baprs]-)"
+SECRET = rf"(?<={_WORD_BEFORE})[A-Za-z0-9_/+-]{{12,}}|\b{_PREFIX}[A-Za-z0-9-]{{16,}}|\b[0-9a-fA-F]{{32,}}\b"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
-IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+IP = r"(?<![\d.])(?<!(?i:version|release|ver|v)[ .]?)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+IP6 = r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-PATTERN = "|".join((SECRET, EMAIL, IBAN, IP, SSN, PHONE, CARD, NAME))
-#: every match holds one of these, and a text without any is not searched further
-HINT = rf"[0-9@]|\b(?:{MALE_TITLES}|{FEMALE_TITLES}|{OPEN_TITLES})\.? \p{{Lu}}|(?i:token|secret|passw|api.?key) ?[=:]|[a-fA-F]{{32}}"
+BIRTH = r"(?<=(?i:born|born on|dob|date of birth|geboren am|né le|née le):? )(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)"
+_STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd"
+ADDRESS = rf"\b\d{{1,5}} \p{{Lu}}\p{{L}}+ (?:{_STREETS})\b|\b\p{{Lu}}\p{{L}}+(?:straße|strasse|gasse|platz) \d{{1,4}}\b"
+PATTERN = "|".join((SECRET, EMAIL, IBAN, IP6, IP, SSN, BIRTH, PHONE, CARD, ADDRESS, NAME))
+#: every match holds a digit, an at sign, one of these words, or 32 letters; a text without any is not searched further
+WORDS = "Mr Ms Miss Herr Frau Monsieur Madame Mme Señor Sr Sra Srta Dr Prof г-н г-жа AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ sk- xox".split()
+HINT = r"[0-9@]|(?i:token|secret|passw|api.?key) {0,2}[=:]|[a-fA-F]{32}"
+MARKS = ("\ue000", "\ue001", "\ue002", "\ue003")
+
+
+def _sql(pattern: str) -> str:
+    """A pattern as it stands in a SQL string."""
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _luhn(text: str) -> str:
+    """The sum of the check digit rule over a string of digits, modulo 10."""
+    return f"""aggregate(transform(filter(split(reverse({text}), ''), x -> x != ''), (x, j) -> case when j % 2 = 0 then cast(x as int)
+        when cast(x as int) > 4 then 2 * cast(x as int) - 9 else 2 * cast(x as int) end), 0, (a, b) -> a + b) % 10"""
 
-KIND = r"""case
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '')"
+KIND = f"""case
     when m like '%@%' then 'email'
-    when m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' then 'ip'
-    when m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' then 'ssn'
-    when m rlike '^([+(]|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$)' then 'phone'
-    when m rlike '^[0-9][0-9 -]*$' and length(regexp_replace(m, '[^0-9]', '')) between 13 and 19 then 'card'
-    when m rlike '^[^0-9]+$' and m like '% %' then 'name'
-    when m rlike '^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}$' and not m rlike '^[0-9A-F]{32,}$' then 'iban'
+    when m rlike '^[0-9A-Fa-f:]+$' and m like '%:%' then 'ip6'
+    when m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then 'ip'
+    when m rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}})$' then 'birth'
+    when m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn'
+    when m rlike '^([+(]|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}$)' then 'phone'
+    when m rlike '^[0-9][0-9 -]*$' and length({_DIGITS}) between 13 and 19 then
+        case when before rlike '{_sql(_WORD_BEFORE)}$' then 'secret' when {_luhn(_DIGITS)} = 0 then 'card' else 'none' end
+    when m rlike '{_sql("^(?:" + ADDRESS + ")$")}' then 'address'
+    when m rlike '{_sql("^(?:" + _TITLES + ")[.]? ")}' then 'name'
+    when m rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]{{11,}}$' and not m rlike '^[0-9A-F]{{32,}}$' then 'iban'
     else 'secret' end"""
-_TITLE = rf"^(?:{MALE_TITLES}|{FEMALE_TITLES}|{OPEN_TITLES})[.]? "
-CANON = rf"""case
-    when kind in ('phone', 'card', 'ssn') then regexp_replace(m, '[^0-9]', '')
-    when kind = 'email' then lower(m)
-    when kind = 'iban' then replace(m, ' ', '')
-    when kind = 'name' then concat(case when m rlike '^({MALE_TITLES})\\b' then 'm' when m rlike '^({FEMALE_TITLES})\\b' then 'f' else 'o' end, ':', lower(regexp_replace(m, r'{_TITLE}', '')))
-    when kind = 'secret' and m rlike '^[0-9a-fA-F]+$' then lower(m)
-    else m end"""
+
+_NAMES = f"regexp_replace(m, '{_sql('^(?:' + _TITLES + ')[.]? ')}', '')"
+_GENDER = f"case when m rlike '{_sql('^(?:' + MALE_TITLES + ')[. ]')}' then 'm' when m rlike '{_sql('^(?:' + FEMALE_TITLES + ')[. ]')}' then 'f' else 'o' end"
+#: a family name without its feminine ending
+_FAMILY = lambda x: f"regexp_replace(lower({x}), '(ов|ев|ёв|ин)а$', '$1')"
+#: the entities of a mention, in order: (kind, canon)
+ENTITIES = f"""case
+    when kind = 'none' then filter(array(named_struct('kind', kind, 'canon', m)), x -> false)
+    when kind = 'name' and {_NAMES} like '% %' then array(named_struct('kind', 'given', 'canon', concat({_GENDER}, ':', lower(split({_NAMES}, ' ')[0]))), named_struct('kind', 'family', 'canon', {_FAMILY(f"split({_NAMES}, ' ')[1]")}))
+    when kind = 'name' then array(named_struct('kind', 'family', 'canon', {_FAMILY(_NAMES)}))
+    when kind in ('phone', 'card', 'ssn') then array(named_struct('kind', kind, 'canon', {_DIGITS}))
+    when kind in ('email', 'ip6', 'address') then array(named_struct('kind', kind, 'canon', lower(m)))
+    when kind = 'iban' then array(named_struct('kind', kind, 'canon', replace(m, ' ', '')))
+    when kind = 'birth' and m like '%-%' then array(named_struct('kind', kind, 'canon', m))
+    when kind = 'birth' then array(named_struct('kind', kind, 'canon', concat_ws('-', split(m, '[./]')[2], lpad(split(m, '[./]')[1], 2, '0'), lpad(split(m, '[./]')[0], 2, '0'))))
+    when m rlike '^[0-9a-fA-F]+$' then array(named_struct('kind', kind, 'canon', lower(m)))
+    else array(named_struct('kind', kind, 'canon', m)) end"""
 
 #: digits of the digest d as numbers under 65536, as many as there are asked for by place i
 _R = "cast(conv(substring(d, pmod(i * 4, 124) + 1, 4), 16, 10) as int)"
 _AT = lambda n: f"cast(conv(substring(d, {n * 4 + 1}, 4), 16, 10) as int)"
-_SWAP = f"""case
-    when c rlike '[0-9]' then cast({_R} % 10 as string)
-    when c rlike '[a-z]' then substring('abcdefghijklmnopqrstuvwxyz', {_R} % 26 + 1, 1)
-    when c rlike '[A-Z]' then substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {_R} % 26 + 1, 1)
-    when c rlike '[\\\\p{{IsCyrillic}}]' then substring('абвгдежзиклмнопрстуфхцчшэюя', {_R} % 27 + 1, 1)
-    when c rlike '[\\\\p{{IsGreek}}]' then substring('αβγδεζηθικλμνξοπρστυφχψω', {_R} % 24 + 1, 1)
-    when c rlike '[\\\\p{{IsHan}}]' then substring('安白成大东方高国海和华金立林美明宁平清山石田文小新', {_R} % 25 + 1, 1)
-    when c rlike '[\\\\p{{L}}]' then substring('àâäçèéêëîïñóôöùûü', {_R} % 17 + 1, 1)
-    else c end"""
+_SWAP = "case when c rlike '[0-9]' then cast({r} % 10 as string) " + " ".join(f"when c rlike '{_sql(p)}' then substring('{x}', {{r}} % {len(x)} + 1, 1)" for p, x in LETTERS.items()) + " else c end"
 
 
-def _swapped(text: str, digest: str) -> str:
-    """``text`` with each letter and digit replaced by another of its class."""
-    return f"array_join(transform(split({text}, ''), (c, i) -> {_SWAP.replace('substring(d,', f'substring({digest},')}), '')"
+def _swapped(text: str, digest: str = "d") -> str:
+    """``text`` with each letter and digit replaced by another of its class and script."""
+    return f"array_join(transform(split({text}, ''), (c, i) -> {_SWAP.replace('{r}', _R.replace('substring(d,', f'substring({digest},'))}), '')"
 
 
-def _luhn(text: str) -> str:
-    """The sum of the check digit rule over a string of digits, modulo 10."""
-    return f"""aggregate(transform(filter(split(reverse({text}), ''), x -> x != ''), (x, j) -> case when j % 2 = 0 then cast(x as int)
-        when cast(x as int) > 4 then 2 * cast(x as int) - 9 else 2 * cast(x as int) end), 0, (a, b) -> a + b) % 10"""
+def _hexed(text: str) -> str:
+    return f"array_join(transform(split({text}, ''), (c, i) -> case when c rlike '[0-9a-f]' then substring(d, pmod(i * 5, 127) + 1, 1) else c end), '')"
 
 
-def _pick(words: str, n: int) -> str:
+def _pick(words: str, n: str) -> str:
+    """One of some words by the number at place n of the digest."""
     items = words.split()
     quoted = ", ".join(f"'{w}'" for w in items)
-    return f"element_at(array({quoted}), {_AT(n)} % {len(items)} + 1)"
+    return f"element_at(array({quoted}), cast(conv(substring(d, ({n}) * 4 + 1, 4), 16, 10) as int) % {len(items)} + 1)"
+
+
+def _syllables(words: str, least: int) -> str:
+    """So many syllables, and one more after every fourth attempt."""
+    return f"array_join(transform(sequence(2, {least + 1} + attempt div 4), n -> {_pick(words, 'n')}), '')"
+
+
+def _check_digits(iban: str) -> str:
+    """The two check digits of an IBAN whose own are 00."""
+    moved = f"concat(substring({iban}, 5), substring({iban}, 1, 2), '00')"
+    rest = f"aggregate(filter(split({moved}, ''), c -> c != ''), 0, (a, c) -> case when c rlike '[0-9]' then (a * 10 + cast(c as int)) % 97 else (a * 100 + ascii(c) - 55) % 97 end)"
+    return f"lpad(cast(98 - {rest} as string), 2, '0')"
+
+
+_SCRIPTS = (("[\\p{IsCyrillic}]", GIVEN_CYRILLIC, SYLLABLES_CYRILLIC, 2, "ов"), ("[\\p{IsGreek}]", GIVEN_GREEK, SYLLABLES_GREEK, 2, "ης"), ("[\\p{IsLatin}]", GIVEN, SYLLABLES, 3, ""))
 
 
 def _surrogates(entities: DataFrame) -> DataFrame:
-    """Adds s, the canonical surrogate of (kind, canon) for the digest d."""
+    """Adds s, the surrogate of (kind, canon) for the digest d."""
     digits = f"array_join(transform(split(canon, ''), (c, i) -> case when c = '' then '' when i = 0 then case when kind = 'ssn' then cast(1 + {_R} % 8 as string) else c end when i = 1 and kind = 'phone' then cast(2 + {_R} % 8 as string) else cast({_R} % 10 as string) end), '')"
     octets = [f"cast({'1 + ' if k in (0, 3) else ''}{_AT(k)} % {(223, 256, 256, 254)[k]} as string)" for k in range(4)]
     kept = "case when canon like '10.%' then 1 when canon like '192.168.%' then 2 when canon like '127.%' then 1 else 0 end"
     ip = "concat_ws('.', " + ", ".join(f"case when {kept} > {k} then split(canon, '[.]')[{k}] else {octets[k]} end" for k in range(4)) + ")"
     local, domain = "substring_index(canon, '@', 1)", "substring_index(canon, '@', -1)"
     last = f"substring_index({domain}, '.', -1)"
-    email = f"concat({_swapped(local, 'd')}, '@', {_swapped(f'substring({domain}, 1, length({domain}) - length({last}))', 'dd')}, {last})"
-    family = lambda s: f"concat({', '.join(_pick(s, k) for k in (2, 3, 4))}, case when attempt > 0 then {_pick(s, 5)} else '' end)"
-    given = lambda g: f"case when gender = 'm' then {_pick(g['m'], 0)} when gender = 'f' or {_AT(1)} % 2 = 0 then {_pick(g['f'], 0)} else {_pick(g['m'], 0)} end"
-    name = " ".join(
-        f"when canon rlike '{script}' then case when canon like '% %' then concat({given(g)}, ' ', initcap({family(s)})) else initcap({family(s)}) end"
-        for script, g, s in (("[\\\\p{IsCyrillic}]", GIVEN_CYRILLIC, SYLLABLES_CYRILLIC), (".", GIVEN, SYLLABLES))
-    )
-    hexed = "array_join(transform(split(canon, ''), (c, i) -> case when c = '' then '' else substring(d, pmod(i * 5, 127) + 1, 1) end), '')"
-    card = f"concat(substring({digits}, 1, length(canon) - 1), case when {_luhn('canon')} = 0 then cast((10 - {_luhn(f'''concat(substring({digits}, 1, length(canon) - 1), '0')''')}) % 10 as string) else substring({digits}, length(canon), 1) end)"
-    return entities.withColumn("gender", F.expr("case when kind = 'name' then substring(canon, 1, 1) end")).withColumn(
+    email = f"concat({_swapped(local)}, '@', {_swapped(f'substring({domain}, 1, length({domain}) - length({last}))', 'dd')}, {last})"
+    body = f"substring({digits}, 1, length(canon) - 1)"
+    card = f"concat({body}, cast((10 - {_luhn(f'''concat({body}, '0')''')}) % 10 as string))"
+    plain_iban = f"concat(substring(canon, 1, 2), '00', {_swapped('substring(canon, 5)')})"
+    iban = f"concat(substring(canon, 1, 2), {_check_digits(plain_iban)}, {_swapped('substring(canon, 5)')})"
+    birth = f"concat_ws('-', cast(1930 + {_AT(0)} % (76 + 100 * attempt) as string), lpad(cast(1 + {_AT(1)} % 12 as string), 2, '0'), lpad(cast(1 + {_AT(2)} % 28 as string), 2, '0'))"
+    number = f"cast(1 + {_AT(0)} % cast(pow(10, length(regexp_extract(canon, '[0-9]+', 0))) - 1 as int) as string)"
+    address = f"concat({number}, '|', {_syllables(SYLLABLES, 2)})"
+    family = " ".join(f"when canon rlike '{_sql(script)}' then concat({_syllables(words, n)}, '{end}')" for script, _, words, n, end in _SCRIPTS)
+    gender = f"case when canon like 'm:%' then 'm' when canon like 'f:%' or {_AT(1)} % 2 = 0 then 'f' else 'm' end"
+    more = lambda words: f"case when attempt < 4 then '' else {_syllables(words, 0)} end"
+    given = " ".join(f"when canon rlike '^..*{_sql(script)}' and {gender} = '{g}' then concat({_pick(names[g], '0')}, {more(words)})" for script, names, words, _, _ in reversed(_SCRIPTS[:2]) for g in "mf")
+    given += " " + " ".join(f"when substring(canon, 3) rlike '{_sql(_SCRIPTS[2][0])}' and {gender} = '{g}' then concat({_pick(GIVEN[g], '0')}, {more(SYLLABLES)})" for g in "mf")
+    secret = f"case when canon rlike '^[0-9a-f]*[a-f][0-9a-f]*$' then {_hexed('canon')} else concat(regexp_extract(canon, '^{_PREFIX}', 0), {_swapped(f'''regexp_replace(canon, '^{_PREFIX}', '')''')}) end"
+    return entities.withColumn(
         "s",
         F.expr(
             f"""case kind
@@ -116,48 +182,83 @@ def _surrogates(entities: DataFrame) -> DataFrame:
             when 'phone' then {digits}
             when 'ssn' then {digits}
             when 'ip' then {ip}
+            when 'ip6' then {_hexed("canon")}
             when 'email' then {email}
-            when 'iban' then concat(substring(canon, 1, 2), {_swapped("substring(canon, 3)", "d")})
-            when 'name' then case {name} end
-            else case when canon rlike '^[0-9a-f]+$' then {hexed} else {_swapped("canon", "d")} end end"""
+            when 'iban' then {iban}
+            when 'birth' then {birth}
+            when 'address' then {address}
+            when 'family' then case {family} else {_swapped("canon")} end
+            when 'given' then case {given} else {_swapped("substring(canon, 3)")} end
+            else {secret} end"""
         ),
     )
 
 
-#: one digit after the other of s in the places of the digits (or letters and digits) of m
+#: one letter or digit after the other of s in the places of the letters and digits of m
 _FILL = """aggregate(split(m, ''), named_struct('t', cast('' as string), 'j', 1), (a, c) ->
-    case when c rlike '[0-9A-Za-z]' then named_struct('t', concat(a.t, substring(s, a.j, 1)), 'j', a.j + 1)
+    case when c rlike '[0-9A-Za-z]' then named_struct('t', concat(a.t, substring(s[0], a.j, 1)), 'j', a.j + 1)
          else named_struct('t', concat(a.t, c), 'j', a.j) end).t"""
-MENTION = rf"""case
+
+
+def _cased(part: str, s: str) -> str:
+    """A name's surrogate in the case of the name, and with its feminine ending."""
+    ended = f"concat({s}, case when lower({part}) rlike '(ов|ев|ёв|ин)а$' and {s} rlike 'ов$' then 'а' else '' end)"
+    return f"case when {part} = upper({part}) and {part} != lower({part}) and length({part}) > 1 then upper({ended}) else initcap({ended}) end"
+
+
+_FIRST, _LAST = f"split({_NAMES}, ' ')[0]", f"split({_NAMES}, ' ')[size(split({_NAMES}, ' ')) - 1]"
+MENTION = f"""case
+    when kind = 'none' then m
     when kind in ('phone', 'card', 'ssn', 'iban') then {_FILL}
-    when kind = 'name' then concat(regexp_extract(m, r'{_TITLE}', 0), s)
-    when kind in ('email', 'secret') and m = upper(m) and m != lower(m) then upper(s)
-    else s end"""
+    when kind = 'name' then concat(regexp_extract(m, '{_sql("^(?:" + _TITLES + ")[.]? ")}', 0), case when size(s) = 2 then concat({_cased(_FIRST, "s[0]")}, ' ') else '' end, {_cased(_LAST, "s[size(s) - 1]")})
+    when kind = 'birth' and not m like '%-%' then concat(substring(s[0], 9, 2), substring(regexp_extract(m, '[./]', 0), 1, 1), substring(s[0], 6, 2), substring(regexp_extract(m, '[./]', 0), 1, 1), substring(s[0], 1, 4))
+    when kind = 'address' and m rlike '^[0-9]' then concat(split(s[0], '[|]')[0], ' ', initcap(split(s[0], '[|]')[1]), ' ', substring_index(m, ' ', -1))
+    when kind = 'address' then concat(initcap(split(s[0], '[|]')[1]), regexp_extract(m, '(straße|strasse|gasse|platz)', 1), ' ', split(s[0], '[|]')[0])
+    when kind = 'email' and m = upper(m) and m != lower(m) then upper(s[0])
+    when kind in ('secret', 'ip6') and lower(m) rlike '^[0-9a-f:]+$' then array_join(zip_with(split(m, ''), split(s[0], ''), (a, b) -> case when a rlike '[A-F]' or m = upper(m) then upper(b) else b end), '')
+    else s[0] end"""
+
 
+def _may(text: Column) -> Column:
+    found = text.rlike(HINT)
+    for word in WORDS:
+        found = found | text.contains(word)
+    return F.coalesce(found, F.lit(False))
 
-def _rows(docs: DataFrame) -> DataFrame:
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.withColumn("text", F.col("text").cast("string")).withColumn("__key", key).withColumn("__may", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
+
+def _pieces(text: Column) -> Column:
+    """The text cut at its mentions: what lies between them at even places, the mentions at odd ones.
+
+    The pattern runs once and sets a mark that the text doesn't hold on both sides of a mention. A text that holds all
+    ``MARKS`` is cut by two runs.
+    """
+    mark = F.coalesce(*[F.when(~text.contains(m), F.lit(m)) for m in MARKS])
+    once = F.split(F.regexp_replace(text, F.lit(f"({PATTERN})"), F.concat(mark, F.lit("$1"), mark)), mark, -1)
+    found = F.concat(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array(F.lit("")))
+    twice = F.flatten(F.zip_with(F.split(text, PATTERN, -1), found, lambda p, m: F.array(p, m)))
+    return F.when(mark.isNotNull(), once).otherwise(F.slice(twice, F.lit(1), F.size(twice) - 1))
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """(key, at, m, kind, canon): every mention in the texts, in order."""
-    found = rows.where("__may").select(F.col("__key").alias("key"), F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("at", "m"))
-    return found.withColumn("kind", F.expr(KIND)).withColumn("canon", F.expr(CANON))
+    """(key, at, m, kind, entities) of (key, text): every mention, in order of at."""
+    pieces = rows.select("key", _pieces(F.col("text")).alias("p")).where("size(p) > 1")
+    listed = F.expr("filter(transform(p, (x, i) -> named_struct('at', i, 'm', x, 'before', case when i > 0 then right(p[i - 1], 24) else '' end)), x -> x.at % 2 = 1)")
+    found = pieces.select("key", F.inline(listed)).withColumn("kind", F.expr(KIND))
+    return found.select("key", "at", "m", "kind", F.expr(ENTITIES).alias("entities"))
 
 
 def mapping(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, s) for distinct (kind, canon): surrogates that meet no entity and no other surrogate of their kind."""
     entities = stored(entities.select("kind", "canon").distinct(), "entities")
-    names = entities.select("kind", F.expr("case when kind = 'name' then substring(canon, 3) else canon end").alias("s_key"))
-    taken = names.distinct().withColumn("clash", F.lit(True))
+    taken = entities.select("kind", F.expr("case when kind = 'given' then substring(canon, 3) else canon end").alias("s_key")).distinct().withColumn("clash", F.lit(True))
     left, done = entities, None
     for attempt in range(MAX_ATTEMPTS):
-        digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", F.when(F.col("kind") == "name", F.expr("substring(canon, 3)")).otherwise(F.col("canon")), F.lit(str(attempt))), 512)
+        digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon", F.lit(str(attempt))), 512)
         domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index("canon", "@", -1)), 512)
         drawn = _surrogates(left.withColumns({"d": digest, "dd": domain, "attempt": F.lit(attempt)})).withColumn("s_key", F.lower("s")).select("kind", "canon", "s", "s_key")
-        drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("kind", "s_key").orderBy("canon")))
-        drawn = stored(drawn.join(taken, ["kind", "s_key"], "left").withColumn("ok", F.col("clash").isNull() & (F.col("place") == 1)).drop("clash", "place"), "drawn")
+        first = drawn.groupBy("kind", "s_key").agg(F.min("canon").alias("first"))
+        ok = F.col("clash").isNull() & (F.col("first") == F.col("canon"))
+        drawn = stored(drawn.join(first, ["kind", "s_key"]).join(taken, ["kind", "s_key"], "left").withColumn("ok", ok).drop("clash", "first"), "drawn")
         good = drawn.where("ok").select("kind", "canon", "s")
         done = good if done is None else done.union(good)
         left = drawn.where("not ok").select("kind", "canon")
@@ -170,20 +271,31 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
 def surrogate(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """``docs``, all columns, with each PII mention in ``text`` replaced, and n_entities (int) added.
 
-    Texts without PII come back as they are, null as null. Repeated rows and null ids get the same replacements. The
-    surrogates depend on ``key`` and on the distinct entities of the table alone, not on how it is partitioned. No rows
-    give no rows. Other columns pass through (an n_entities of the input is replaced); names that start with two underscores
-    are kept for this operator.
+    Texts without PII come back as they are, null as null. Repeated rows and null ids get the same replacements. A given
+    name of unknown gender takes that which the table knows for it, if it is one. The surrogates depend on ``key`` and on
+    the distinct entities of the table alone, not on how it is partitioned. The mentions of a document are gathered in one
+    row: as many as its text holds. No rows give no rows. Other columns pass through, whatever their names (an n_entities of
+    the input is replaced).
     """
-    rows = _rows(docs)
-    found = mentions(rows)
-    known = stored(found, "mentions")
-    written = known.join(mapping(known, key), ["kind", "canon"]).select("key", "at", F.expr(MENTION).alias("w"))
-    per_doc = written.groupBy(F.col("key").alias("__pk")).agg(F.array_sort(F.collect_set(F.struct("at", "w"))).alias("__found"))
-    hit = rows.where("__may").join(per_doc, F.col("__key") == F.col("__pk"), "left")
-    pieces = F.split("text", PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(pieces, F.col("__found.w"), lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
-    hit = hit.withColumn("n_entities", F.coalesce(F.size("__found"), F.lit(0))).withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(rebuilt))
-    names = [*[c for c in docs.columns if c != "n_entities"], "n_entities"]
-    clean = rows.where("not __may").withColumn("n_entities", F.lit(0))
-    return hit.select(*names).union(clean.select(*names))
+    id_, found_, n_ = free_names(docs, "key", "found", "n")
+    text = F.col("text").cast("string")
+    rows = docs.withColumn("text", text).withColumn(id_, F.xxhash64(F.col("doc_id").cast("long"), text))
+    may = _may(F.col("text"))
+    known = stored(mentions(rows.where(may).select(F.col(id_).alias("key"), "text")), "mentions")
+    parts = known.select("key", "at", F.posexplode("entities").alias("j", "e")).select("key", "at", "j", "e.kind", "e.canon")
+    gendered = parts.where("kind = 'given' and canon not like 'o:%'").groupBy(F.substring("canon", 3, 1_000_000).alias("given"))
+    gendered = gendered.agg(F.min(F.substring("canon", 1, 1)).alias("one"), F.max(F.substring("canon", 1, 1)).alias("other")).where("one = other").select("given", "one")
+    open_ = F.expr("case when kind = 'given' and canon like 'o:%' then substring(canon, 3) end")
+    parts = parts.withColumn("given", open_).join(gendered, "given", "left").withColumn("canon", F.when(F.col("one").isNotNull(), F.concat("one", F.lit(":"), "given")).otherwise(F.col("canon")))
+    parts = stored(parts.select("key", "at", "j", "kind", "canon"), "parts")
+    drawn = parts.join(mapping(parts, key), ["kind", "canon"]).groupBy("key", "at").agg(F.array_sort(F.collect_set(F.struct("j", "s"))).alias("s"))
+    drawn = drawn.withColumn("s", F.col("s.s"))
+    written = known.select("key", "at", "m", "kind").distinct().join(drawn, ["key", "at"]).select("key", "at", F.expr(MENTION).alias("w"))
+    per_doc = written.groupBy(F.col("key").alias(id_)).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias(found_))
+    hit = rows.where(may).join(per_doc, id_, "left")
+    replaced = F.transform(_pieces(F.col("text")), lambda p, i: F.coalesce(F.try_element_at(found_, i), p))
+    hit = hit.withColumn(n_, F.coalesce(F.when(F.col(found_).isNotNull(), F.size(found_)), F.lit(0)))
+    hit = hit.withColumn("text", F.when(F.col(found_).isNull(), F.col("text")).otherwise(F.array_join(replaced, "")))
+    names = [c for c in docs.columns if c != "n_entities"]
+    clean = rows.where(~may).select(*names, F.lit(0).alias("n_entities"))
+    return hit.select(*names, F.col(n_).alias("n_entities")).union(clean)
