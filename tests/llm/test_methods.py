@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -295,6 +296,69 @@ def test_mpeg_reader_resynchronises():
     assert mpeg.crc16(b"123456789") == 0xAEE7
 
 
+def frame(version, layer, index, rate=0, padding=0, mode=0, crc=False):
+    """A frame of zeros: version 3 is MPEG-1, 2 MPEG-2, 0 MPEG-2.5; its length by the formulas of the standard."""
+    head = bytes([0xFF, 0xE0 | version << 3 | (4 - layer) << 1 | (not crc), index << 4 | rate << 2 | padding << 1, mode << 6])
+    hertz = (44100, 48000, 32000)[rate] // (1 if version == 3 else 2 if version == 2 else 4)
+    kbits = (mpeg.BITRATES_1 if version == 3 else mpeg.BITRATES_2)[layer][index]
+    size = (12 * kbits * 1000 // hertz + padding) * 4 if layer == 1 else (72 if layer == 3 and version != 3 else 144) * kbits * 1000 // hertz + padding
+    return head + bytes(size - 4)
+
+
+@pytest.mark.parametrize(("version", "layer", "index", "rate", "samples"), [(3, 1, 4, 0, 384), (3, 2, 7, 2, 1152), (3, 3, 9, 0, 1152), (2, 3, 8, 1, 576), (0, 3, 3, 2, 576), (2, 2, 5, 0, 1152), (2, 1, 2, 0, 384)])
+def test_mpeg_reader_takes_all_versions_and_layers(version, layer, index, rate, samples):
+    frames = [frame(version, layer, index, rate, k % 2, 3) for k in range(7)]
+    stream = b"junk\xff\xfb" + b"".join(frames) + b"TAG" + bytes(125)
+    s = mpeg.read(stream)
+    assert s.offsets == [6 + sum(map(len, frames[:k])) for k in range(7)] and s.skipped_bytes == 6 and s.samples == 7 * samples
+    hertz = (44100, 48000, 32000)[rate] // (1 if version == 3 else 2 if version == 2 else 4)
+    assert s.duration_us == 7 * samples * 1_000_000 // hertz and s.rate == hertz
+    assert s.seek(0) == s.offsets[0] and s.seek(samples * 3_000_000 // hertz + 1) == s.offsets[3] and s.seek(s.duration_us + 9) is None
+
+
+def test_mpeg_tables_and_tags():
+    base = frame(3, 3, 9)
+    body = base * 5
+    points = bytes(range(100))
+    for flags, fields, want in ((0b1111, (5).to_bytes(4, "big") + (2090).to_bytes(4, "big") + points + bytes(4), (5, 2090, 100)), (0b0010, (2090).to_bytes(4, "big"), (None, 2090, 0)), (0b0001, (5).to_bytes(4, "big"), (5, None, 0)), (0, b"", (None, None, 0))):
+        first = bytearray(base)
+        table = b"Xing" + flags.to_bytes(4, "big") + fields
+        first[36 : 36 + len(table)] = table
+        s = mpeg.read(bytes(first) + body)
+        assert (s.table_frames, s.table_bytes, len(s.table_points)) == want and len(s.offsets) == 5
+        assert not s.table_points or s.table_points[99] == 99 * 2090 // 256
+    first = bytearray(base)
+    table = b"VBRI" + bytes(6) + (2090).to_bytes(4, "big") + (5).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + b"".join(x.to_bytes(2, "big") for x in (100, 110, 120))
+    first[36 : 36 + len(table)] = table
+    s = mpeg.read(bytes(first) + body)
+    assert (s.table_frames, s.table_bytes, s.table_points) == (5, 2090, [0, 200, 420])
+    text = "\x03naïve\x00".encode() + b"v" * 200
+    field = b"TXXX" + bytes([0, 0, len(text) >> 7, len(text) & 127]) + b"\0\0" + text
+    extended = bytes([0, 0, 0, 6, 1, 0])
+    size = len(extended) + len(field)
+    tag = b"ID3\x04\x00\x40" + bytes([0, 0, size >> 7, size & 127]) + extended + field
+    s = mpeg.read(tag + body)
+    assert s.tags == {"naïve": "v" * 200} and s.offsets[0] == len(tag)
+    assert mpeg.read(None).offsets == [] and mpeg.read(b"").duration_us == 0
+
+
+def test_media_values_match_plain_bytes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = dict(docs.collect())
+    got = {r["doc_id"]: r for r in QUERIES["op9_media_columns"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    media = {r["doc_id"]: bytes(r["media"]) for r in mpeg.encode(docs).collect()}
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        payload = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media[i]), hashlib.sha256(media[i]).hexdigest())
+        assert r["frames"] == len(r["seek_offsets"]) and r["duration_us"] == 24_000 * r["frames"] and all(media[i][o : o + 2] == b"\xff\xfa" for o in r["seek_offsets"])
+    null = mpeg.describe(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).first()
+    assert null["frames"] == 0 and null["media_bytes"] == 0 and null["payload_bytes"] == 0
+
+
 def test_held_out_languages_and_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     r = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
