@@ -68,13 +68,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 4.0, batch: int = 32, max_error: float = 0.005, seed: int = 7) -> Model | None:
-    """Descent on four fifths of the rows, calibration on the rest (on all rows if there are under 50)."""
-    if not texts:
+def train(x: np.ndarray, langs: list[str], epochs: int = 30, rate: float = 4.0, batch: int = 32, max_error: float = 0.005, seed: int = 7) -> Model | None:
+    """Descent on four fifths of the rows (bags and their languages), calibration on the rest (on all rows if there are under 50)."""
+    if not len(x):
         return None
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
-    x = np.concatenate([bags(b) for b in T.blocks(pa.array(texts, pa.large_string()), most=256)])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     cut = len(y) * 4 // 5 if len(y) >= 50 else len(y)
@@ -132,6 +131,24 @@ def _predict(model):
     return run
 
 
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in T.blocks(batch.column(1), most=256):
+            rows = slice(block.first, block.first + block.rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(2)[rows], *T.sparse(bags(block))], names=["o", "lang", "at", "x"])
+
+
+def fit(docs: DataFrame, held_mod: int = 4, held_rest: int = 2, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """A model of at most ``sample_rows`` labelled rows, picked by a hash of the id; only their bags, of at most BUCKETS numbers
+    each, reach the driver, however long the texts are."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = rows.where("doc_id is not null and lang is not null and text is not null").where(crc_mod("doc_id", held_mod) != held_rest)
+    picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = known.join(F.broadcast(picked.distinct()), "doc_id").select(F.xxhash64("doc_id", "text").alias("o"), "text", "lang")
+    found = sample.mapInArrow(_bagged, "o long, lang string, at array<int>, x array<float>").orderBy("o").limit(sample_rows).toArrow().to_pandas()
+    return train(T.dense(found["at"].tolist(), found["x"].tolist(), BUCKETS), found["lang"].tolist())
+
+
 def identify(docs: DataFrame, held_mod: int = 4, held_rest: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row; ``docs`` has doc_id, text and lang.
 
@@ -139,11 +156,8 @@ def identify(docs: DataFrame, held_mod: int = 4, held_rest: int = 2, sample_rows
     not ``held_rest``. Null text, a text without a letter, or no labelled row at all: ``und`` with score 0. Very long
     texts are read whole. A null doc_id is never held out and never learned from. Repeated rows are answered alike.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = F.coalesce(crc_mod("doc_id", held_mod) == held_rest, F.lit(False))
-    known = rows.where(~held & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = known.join(F.broadcast(picked.distinct()), "doc_id").select("text", "lang", F.xxhash64("doc_id", "text").alias("o")).orderBy("o").limit(sample_rows).toArrow()
-    model = train(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
+    model = fit(docs, held_mod, held_rest, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

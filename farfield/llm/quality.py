@@ -93,14 +93,10 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def train(texts: list[str | None], labels: list[int], rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model | None:
-    if not texts:
+def train(x: np.ndarray, labels: list[int], rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model | None:
+    """A model of labelled counts (rows x WIDTH)."""
+    if not len(x):
         return None
-    x = np.empty((len(texts), WIDTH), np.float32)
-    at = 0
-    for block in T.blocks(pa.array(texts, pa.large_string()), **BLOCK):
-        x[at : at + block.rows] = counts(block)
-        at += block.rows
     weight = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     np.sqrt(x, out=x)
     x *= weight
@@ -124,14 +120,23 @@ def _score(model):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in T.blocks(batch.column(1), **BLOCK):
+            rows = slice(block.first, block.first + block.rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(2)[rows], *T.sparse(counts(block))], names=["o", "quality", "at", "x"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held_rest: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model of at most ``sample_rows`` labelled rows, picked by a hash of the id; only they reach the driver."""
+    """A model of at most ``sample_rows`` labelled rows, picked by a hash of the id; only their counts, of at most WIDTH
+    numbers each, reach the driver, however long the texts are."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = marks.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_mod("doc_id", held_mod) != held_rest))
     picked = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(sample_rows).select("text", "quality").toArrow()
-    return train(sample.column("text").to_pylist(), sample.column("quality").to_pylist())
+    sample = rows.join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id", "text").alias("o"), "text", "quality")
+    found = sample.mapInArrow(_counted, "o long, quality int, at array<int>, x array<float>").orderBy("o").limit(sample_rows).toArrow().to_pandas()
+    return train(T.dense(found["at"].tolist(), found["x"].tolist(), WIDTH), found["quality"].tolist())
 
 
 def score(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held_rest: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

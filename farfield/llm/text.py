@@ -155,3 +155,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def sparse(rows: np.ndarray) -> list[pa.Array]:
+    """The places and values other than zero of each row of a matrix, as two list columns."""
+    row, at = np.nonzero(rows)
+    ends = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), rows[row, at].astype(np.float32))]
+
+
+def dense(places: list[np.ndarray], values: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(places), width), np.float32)
+    for k, (at, x) in enumerate(zip(places, values, strict=True)):
+        out[k, at] = x
+    return out

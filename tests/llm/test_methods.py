@@ -367,6 +367,76 @@ def test_held_out_languages_and_quality(spark):
     assert (q.predicted == q.quality).mean() > 0.9
 
 
+def test_language_scores_match_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.fit(docs)
+    rows = docs.where("length(text) < 400").select("doc_id", "text").limit(60).collect()
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for r in rows:
+        folded = [b + 32 if 65 <= b <= 90 else 32 if b < 128 and not 97 <= b <= 122 else b for b in r["text"].encode()]
+        bag = Counter()
+        for order in langid.ORDERS:
+            for i in range(len(folded) - order + 1):
+                h = 2166136261 + order
+                for b in folded[i : i + order]:
+                    h = (h ^ b) * 16777619 % 2**32
+                bag[(h ^ h >> 15) % langid.BUCKETS] += 1
+        total = sum(bag.values())
+        z = [(sum(n / total * float(m.table[k, j]) for k, n in bag.items()) + float(m.bias[j])) / m.temperature for j in range(len(m.langs))]
+        p = [math.exp(x - max(z)) for x in z]
+        best = max(range(len(p)), key=p.__getitem__)
+        if any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == m.langs[best] and got[r["doc_id"]]["score"] == pytest.approx(p[best] / sum(p), rel=1e-3)
+        else:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+
+
+def test_quality_scores_match_plain_neighbours(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.fit(docs, labels)
+    rows = docs.select("doc_id", "text").limit(150).collect()
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    for r in rows:
+        block = next(T.blocks(pa.array([r["text"] or ""])))
+        v = np.sqrt(quality.counts(block)[0].astype(float)) * m.weight @ m.axes.astype(float)
+        v /= max(np.linalg.norm(v), 1e-9)
+        votes = sorted(((float(np.dot(v, m.vectors[:, j])), j) for j in range(len(m.labels))), reverse=True)[: m.neighbours]
+        weights = [max(c, 0) ** 8 + 1e-9 for c, _ in votes]
+        assert got[r["doc_id"]] == pytest.approx(sum(w * m.labels[j] for w, (_, j) in zip(weights, votes, strict=True)) / sum(weights), abs=2e-3)
+
+
+def test_scores_match_a_plain_backoff_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").limit(60)
+    texts = dict(docs.select("doc_id", "text").collect())
+    stream = {i: b"".join(w + b" " for w in words(t)) + b"\n" for i, t in texts.items()}
+    n = [Counter() for _ in range(lm.ORDER)]
+    for i, s in stream.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            s = b"\n" * (lm.ORDER - 1) + s
+            for at in range(lm.ORDER - 1, len(s)):
+                for k in range(lm.ORDER):
+                    n[k][s[at - k : at + 1]] += 1
+    after = [{} for _ in range(lm.ORDER)]
+    for k in range(lm.ORDER):
+        for gram, c in n[k].items():
+            total, kinds = after[k].get(gram[:-1], (0, 0))
+            after[k][gram[:-1]] = (total + c, kinds + 1)
+
+    def p(context, byte):
+        """The probability of a byte: absolute discounting, backing off to the shorter context."""
+        k = len(context)
+        lower = 1 / 256 if k == 0 else p(context[1:], byte)
+        total, kinds = after[k].get(context, (0, 0))
+        if total < (lm.LEAST if k else 1):
+            return lower
+        return (max(n[k][context + byte] - lm.DISCOUNT, 0) + lm.DISCOUNT * kinds * lower) / total
+
+    for r in lm.score(docs).collect():
+        s = b"\n" * (lm.ORDER - 1) + stream[r["doc_id"]]
+        want = sum(math.log10(p(s[at - lm.ORDER + 1 : at], s[at : at + 1])) for at in range(lm.ORDER - 1, len(s)))
+        assert r["score"] == pytest.approx(want, rel=1e-5)
+
+
 def test_scores_match_plain_counting(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
     texts = dict(docs.select("doc_id", "text").collect())
@@ -574,6 +644,56 @@ def test_pipeline_matches_its_stages(spark):
     assert set(pieces.doc_id) == want and len(want) > 500
 
 
+def test_pipeline_matches_plain_loops_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, near copies, leaks and personal data, through all stages, with columns of any name."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    base = [[rng.choice(VOCABULARY) for _ in range(120)] for _ in range(12)]
+    item = [rng.choice(VOCABULARY) for _ in range(40)]
+    texts = [" ".join(b) for b in base] + [" ".join(mutated(rng, b, 0.01)) for b in base[:5]] + [" ".join(base[0])] * 2
+    texts += [" ".join(base[6][:40] + item + base[6][40:]), "write to john@mail.example or +1 (509) 555-6973 today " + " ".join(base[7][:30]), "", None, "one two"]
+    rows = [(i, t, "en", "s", len(t or ""), "x", 1) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, "a text without an id " + " ".join(base[8][:20]), None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, __key long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in ((i, words(t)) for i, t in enumerate(texts))}
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                o = len(shingles[a] & shingles[b])
+                if o and 100 * o >= 80 * (len(shingles[a]) + len(shingles[b]) - o):
+                    root[a] = root[b] = min(root[a], root[b])
+    stay = {i for i in range(len(texts)) if root[i] == i and not leaks(words(texts[i]), [w.encode() for w in item])[1]} | {None}
+    assert set(kept) == stay and len(docs.collect()) == len(stay)
+    private = next(i for i, t in enumerate(texts) if t and "@" in t)
+    assert "john@" not in kept[private] and "555-6973" not in kept[private] and all(kept[i] == texts[i] for i in stay - {private, None})
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for i in stay:
+        mine = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"])
+        ids = [*t.encode(kept[i] or "", add_special_tokens=False).ids, packing.END_ID]
+        assert mine[0]["doc_tokens"] == len(ids) and [r["ids_crc32"] for r in mine] == [zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in mine]
+
+
+def test_pipeline_takes_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert {f"op{i}_" for i in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} and "pipeline" in names
