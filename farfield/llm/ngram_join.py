@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ HOT = 32
 #: which rows of an entry may pair: all, those that don't link with their hub, those that do with those that don't
 ALONE, PEERS, AROUND = 0, 1, 2
 KEY = ["kind", "hub", "gram", "class"]
-ORDERS = ("d", "xxhash64(node, 1)", "xxhash64(node, 2)")
+ORDERS = ("d", "xxhash64(node, 1)")
+PARTS = 2
+SEEN = 1 << 18
 _SET, _PART, _LEVEL = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -115,9 +117,12 @@ def signatures(found: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out), np.concatenate(need)
 
 
-def _rows(k: int, num: int, den: int, sign: bool):
+def _rows(k: int, num: int, den: int, part: int | None):
+    """(doc_id, th, n, check, node) of every row; with a part, only (node, sigs, needs) of rows with a set and an id: the
+    signatures of that part. Sets that a task has had already are left out as far as it remembers them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = _bounds(num, den)
+        bounds, seen = _bounds(num, den), set()
         for batch in batches:
             for block in T.blocks(batch.column(1)):
                 sets = shingle_sets(block, k)
@@ -126,14 +131,29 @@ def _rows(k: int, num: int, den: int, sign: bool):
                 with np.errstate(over="ignore"):
                     one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                     two = np.array([T.mix(s ^ _SET).sum(dtype=np.uint64) for s in sets], np.uint64)
-                columns = [ids, hashes, pa.array([len(s) for s in sets], pa.int64()), pa.array(T.signed(one)), pa.array(T.signed(T.mix(one ^ T.mix(two))))]
-                if sign:
-                    each = [signatures(s, bounds) for s in sets]
-                    ends = pa.array(np.cumsum([0, *(len(x) for x, _ in each)]), pa.int32())
-                    for k_, kind in ((0, np.uint64), (1, np.int32)):
-                        values = np.concatenate([np.zeros(0, kind), *(x[k_] for x in each)])
-                        columns.append(pa.ListArray.from_arrays(ends, pa.array(T.signed(values) if not k_ else values)))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "check", "node", "sigs", "needs"][: len(columns)])
+                node = T.signed(T.mix(one ^ T.mix(two)))
+                if part is None:
+                    columns = [ids, hashes, pa.array([len(s) for s in sets], pa.int64()), pa.array(T.signed(one)), pa.array(node)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "check", "node"])
+                    continue
+                new = []
+                for i, (x, named) in enumerate(zip(node.tolist(), ids.is_valid().to_pylist(), strict=True)):
+                    if named and len(sets[i]) and x not in seen:
+                        seen.add(x)
+                        new.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                each = []
+                for i in new:
+                    sigs, needs = signatures(sets[i], bounds)
+                    held = (sigs >> np.uint64(1)) % np.uint64(PARTS) == part
+                    each.append((sigs[held], needs[held]))
+                ends = pa.array(np.cumsum([0, *(len(x) for x, _ in each)]), pa.int32())
+                columns = [pa.array(node[new])]
+                for k_, kind in ((0, np.uint64), (1, np.int32)):
+                    values = np.concatenate([np.zeros(0, kind), *(x[k_] for x in each)])
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(T.signed(values) if not k_ else values)))
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "sigs", "needs"])
 
     return run
 
@@ -216,9 +236,14 @@ class JaccardJoin:
         self.k, self.num, self.den = k, num, den
         self.rows = id_text(docs).withColumn("th", F.xxhash64("text"))
 
-    def _sets(self, sign: bool) -> DataFrame:
-        schema = "doc_id long, th long, n long, check long, node long" + ", sigs array<long>, needs array<int>" * sign
-        return self.rows.select("doc_id", "text", "th").mapInArrow(_rows(self.k, self.num, self.den, sign), schema)
+    def _sets(self) -> DataFrame:
+        return self.rows.select("doc_id", "text", "th").mapInArrow(_rows(self.k, self.num, self.den, None), "doc_id long, th long, n long, check long, node long")
+
+    def _met_signatures(self, part: int) -> DataFrame:
+        """(sig, node, need): the signatures of a part that more than one node has."""
+        found = self.rows.select("doc_id", "text", "th").mapInArrow(_rows(self.k, self.num, self.den, part), "node long, sigs array<long>, needs array<int>")
+        each = found.select("node", F.explode(F.arrays_zip("sigs", "needs")).alias("z")).select("node", F.col("z.sigs").alias("sig"), F.col("z.needs").alias("need"))
+        return _several(each, "sig", "node").drop("low").distinct()
 
     def _texts(self, keys: DataFrame) -> DataFrame:
         """(node, text) of the nodes in ``keys`` (node, rep, th)."""
@@ -327,11 +352,10 @@ class JaccardJoin:
 
     def groups(self) -> DataFrame:
         """(doc_id, th, n_shingles, component_id) for every row; th is a hash of the text."""
-        sets = stored(self._sets(sign=False), "sets")
-        signed = self._sets(sign=True).where("n > 0 and doc_id is not null").groupBy("node").agg(F.first(F.struct("sigs", "needs")).alias("s"))
-        signed = signed.select("node", F.explode(F.arrays_zip("s.sigs", "s.needs")).alias("z")).select("node", F.col("z.sigs").alias("sig"), F.col("z.needs").alias("need"))
+        sets = stored(self._sets(), "sets")
+        # signatures are dealt into parts that are joined one after the other, so that a part of them is on disk at a time
+        met = reduce(DataFrame.union, [stored(self._met_signatures(part), "met") for part in range(PARTS)])
         side = F.col("sig").bitwiseAND(1).alias("side")
-        met = stored(_several(signed, "sig", "node").drop("low"), "met")
         enough = met.groupBy("node", side).agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("node", "side")
         shared = stored(_several(met.select("sig", "node", side).join(enough, ["node", "side"]).select("sig", "node"), "sig", "node").withColumnRenamed("low", "hub"), "shared")
         places = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th"))
