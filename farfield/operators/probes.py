@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from farfield.functions.columns import ratio
 from farfield.operators import metrics as M
 from farfield.operators.ranks import systematic_order
 
-NEIGHBOUR_LIMIT = 200_000  # training rows that a neighbour probe may broadcast
+BLOCK_BYTES = 64 << 20  # training vectors that are broadcast, or that one task holds
+PRODUCT_ROWS = 256  # rows whose distances to a block are taken at a time
 
 
 def balance_weights(df: DataFrame, label: str) -> DataFrame:
@@ -32,11 +34,16 @@ def weight_summary(df: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def standardiser(train: DataFrame, x: str) -> DataFrame:
-    """(means, stds): population moments of each dimension of the training vectors; a constant one gets 1."""
-    long = train.select(F.posexplode(x).alias("d", "v"))
-    per = long.groupBy("d").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    entry = F.array_sort(F.collect_list(F.struct("d", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s"))))
-    return per.agg(entry.alias("e")).select(F.transform("e", lambda z: z["m"]).alias("means"), F.transform("e", lambda z: z["s"]).alias("stds"))
+    """(means, stds): population moments of each dimension of the training vectors; a constant one gets 1.
+
+    One aggregate over vectors: what is shuffled are partial sums, a row for each task.
+    """
+    vectors = train.select(array_to_vector(F.col(x).cast("array<double>")).alias("v"))
+    m = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("m"))
+    pair = F.arrays_zip(vector_to_array("m.mean").alias("m"), vector_to_array("m.variance").alias("s"))
+    scale = lambda z: F.sqrt(z["s"] * (n - 1) / n)  # noqa: E731 - the variance is that of a sample
+    n = F.col("m.count").cast("double")
+    return m.select(F.transform(pair, lambda z: z["m"]).alias("means"), F.transform(pair, lambda z: F.when(scale(z) > 0, scale(z)).otherwise(1.0)).alias("stds"))
 
 
 def standardised(df: DataFrame, moments: DataFrame, x: str) -> DataFrame:
@@ -81,43 +88,84 @@ def fit(train: DataFrame, label: str, x: str = "x", family: str = "logistic", c:
         ready.unpersist()
 
 
+def _nearest(q: np.ndarray, v: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, places) of the ``depth`` rows of v nearest to each row of q, by cosine; rows are of length 1."""
+    d, at = np.empty((len(q), depth)), np.empty((len(q), depth), np.int64)
+    for k in range(0, len(q), PRODUCT_ROWS):
+        far = np.maximum(1 - q[k : k + PRODUCT_ROWS] @ v.T, 0)
+        near = np.argpartition(far, depth - 1, axis=1)[:, :depth]
+        d[k : k + PRODUCT_ROWS], at[k : k + PRODUCT_ROWS] = np.take_along_axis(far, near, axis=1), near
+    return d, at
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    v = np.stack(rows.map(np.asarray)).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _votes(d: np.ndarray, labels: np.ndarray, classes: list) -> np.ndarray:
+    """Class shares by 1 / distance; an exact match leaves only exact matches."""
+    exact = d <= 1e-15
+    weight = np.where(exact.any(axis=1, keepdims=True), exact.astype(float), 1 / np.maximum(d, 1e-15))
+    p = np.stack([(weight * (labels == c)).sum(axis=1) for c in classes], axis=1)
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def neighbours(train: DataFrame, test: DataFrame, label: str, key: str, x: str = "x", k: int = 20) -> DataFrame:
     """(key, classes, probs, pred): cosine k-nearest neighbours on standardised features, votes weighted by 1 / distance.
 
-    The training rows are broadcast after a check of their number; a larger training set raises, as the probe is defined
-    for label budgets.
+    Training vectors of at most ``BLOCK_BYTES`` are broadcast. More of them are dealt into blocks of that size, the test rows into
+    chunks, and every block meets every chunk in a task of its own; the nearest of each block are merged by test row. Both
+    ways are exact. ``key`` tells the test rows apart.
     """
     n = train.count()
-    if not 1 < n <= NEIGHBOUR_LIMIT:
-        raise ValueError(f"{n} training rows: a neighbour probe takes 2 to {NEIGHBOUR_LIMIT}")
+    if n < 2:
+        raise ValueError("a neighbour probe takes two training rows")
     moments = standardiser(train, x)
-    held = standardised(train, moments, x).select(label, x).toPandas()
-    classes = sorted(held[label].unique().tolist())
-    vectors = np.stack(held[x].map(np.asarray)).astype(np.float64)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    votes = (held[label].to_numpy()[:, None] == np.array(classes)[None, :]).astype(float)
-    shared = train.sparkSession.sparkContext.broadcast((vectors, votes, classes))
-    depth = min(k, n - 1)
-    kind = test.schema[key].dataType.simpleString()
-    label_kind = train.schema[label].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, w, names = shared.value
+    depth, width = min(k, n - 1), train.agg(F.max(F.size(x))).first()[0]
+    classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
+    kind, label_kind = test.schema[key].dataType.simpleString(), train.schema[label].dataType.simpleString()
+    out = f"{key} {kind}, classes array<{label_kind}>, probs array<double>, pred {label_kind}"
+    held, asked = standardised(train, moments, x).select(label, x), standardised(test, moments, x).select(key, x)
+
+    def voted(keys: pd.Series, d: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+        p = _votes(d, labels, classes)
+        return pd.DataFrame({key: keys, "classes": [classes] * len(keys), "probs": list(p), "pred": [classes[i] for i in p.argmax(axis=1)]})
+
+    blocks = -(-n * width * 8 // BLOCK_BYTES)
+    if blocks == 1:
+        rows = held.toPandas()
+        shared = train.sparkSession.sparkContext.broadcast((_unit(rows[x]), rows[label].to_numpy()))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            v, names = shared.value
+            for f in frames:
+                if len(f):
+                    d, at = _nearest(_unit(f[x]), v, depth)
+                    yield voted(f[key], d, names[at])
+
+        return asked.mapInPandas(run, out)
+    chunks = max(1, -(-test.count() * width * 8 // BLOCK_BYTES))
+    deal = lambda n_: F.pmod(F.xxhash64(x), F.lit(n_)).cast("int")
+    every = lambda n_: F.explode(F.sequence(F.lit(0), F.lit(n_ - 1)))
+    left = asked.withColumn("__c", deal(chunks)).withColumn("__b", every(blocks))
+    right = held.withColumn("__b", deal(blocks)).withColumn("__c", every(chunks))
+
+    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({key: q[key][:0], "d": [], "y": []})
+        d, at = _nearest(_unit(q[x]), _unit(v[x]), min(depth, len(v)))
+        return pd.DataFrame({key: q[key], "d": list(d), "y": list(v[label].to_numpy()[at])})
+
+    near = left.groupBy("__b", "__c").cogroup(right.groupBy("__b", "__c")).applyInPandas(meet, f"{key} {kind}, d array<double>, y array<{label_kind}>")
+    best = near.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "y")))), 1, depth).alias("z")).select(key, "z.d", "z.y")
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            q = np.stack(f[x].map(np.asarray)).astype(np.float64)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-            far = np.maximum(1 - q @ v.T, 0)
-            near = np.argsort(far, axis=1, kind="stable")[:, :depth]
-            d = np.take_along_axis(far, near, axis=1)
-            exact = d <= 1e-15
-            weight = np.where(exact.any(axis=1, keepdims=True), exact.astype(float), 1 / np.maximum(d, 1e-15))
-            p = np.einsum("ij,ijk->ik", weight, w[near])
-            p /= p.sum(axis=1, keepdims=True)
-            yield pd.DataFrame({key: f[key], "classes": [names] * len(f), "probs": list(p), "pred": [names[i] for i in p.argmax(axis=1)]})
-
-    return standardised(test, moments, x).select(key, x).mapInPandas(run, f"{key} {kind}, classes array<{label_kind}>, probs array<double>, pred {label_kind}")
+            if len(f):
+                yield voted(f[key], np.stack(f["d"].map(np.asarray)), np.stack(f["y"].map(np.asarray)))
+
+    return best.mapInPandas(merge, out)
 
 
 def binary_predictions(predicted: DataFrame, threshold: float, positive=1) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from farfield.plans import catalogue, design, fits, inputs, results, scores
+from farfield.plans import catalogue, design, fits, inputs, results, scores, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (scores, design, results, inputs, fits, catalogue):
+for _module in (scores, design, results, inputs, fits, catalogue, tables):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

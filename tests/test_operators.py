@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from farfield.functions import columns as C
-from farfield.operators import analytics, budgets, metrics, series, spatial, splits
+from farfield.operators import analytics, budgets, cells, dense, metrics, policies, probes, series, spatial, splits
 from farfield.sources import files
 
 
@@ -235,3 +235,76 @@ def test_geography_reads_all_samples(spark, monkeypatch, name):
     monkeypatch.setattr(spatial, "leave_one_out", lambda df, *a: (seen.append(df), plain(df, *a))[1])
     __import__("__spark_entry__").queries()[name](spark, "/root/testdata/sf0.001")
     assert seen[0].count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+
+
+def _separable(spark, n=240):
+    rng = random.Random(5)
+    rows = [(i, i % 3, i % 4, [float(rng.gauss(4 * (i % 3 == k), 1)) for k in range(3)] + [1.0]) for i in range(n)]
+    return spark.createDataFrame(rows, "k long, y int, grp int, x array<double>")
+
+
+def test_neighbours_in_blocks_are_those_of_one_block(spark, monkeypatch):
+    rows = _separable(spark)
+    train, test = rows.where("k % 3 != 1 or k % 4 = 1"), rows.where("k % 5 = 0")
+    one = {r["k"]: (r["pred"], [round(p, 9) for p in r["probs"]]) for r in probes.neighbours(train, test, "y", "k", k=7).collect()}
+    monkeypatch.setattr(probes, "BLOCK_BYTES", 800)
+    assert {r["k"]: (r["pred"], [round(p, 9) for p in r["probs"]]) for r in probes.neighbours(train, test, "y", "k", k=7).collect()} == one
+
+
+def test_cells_are_fitted_scored_and_failures_logged(spark):
+    rows = _separable(spark)
+    train, test = rows.where("k % 4 != 0"), rows.where("k % 4 = 0")
+    cell = lambda name, d: d.select(F.lit(name).alias("cell"), "k")
+    members = cell("source_full", train).union(cell("allocation@50", train.where("k % 2 = 1"))).union(cell("source_plus_target@50", train.where("y = 1")))
+    for family in ("logistic", "knn"):
+        out = cells.run_cells(rows, members, test, "y", "k", family=family)
+        scores = {r["cell"]: r["macro_f1"] for r in cells.score_cells(out, "multiclass").collect()}
+        assert set(scores) == {"source_full", "allocation@50"} and min(scores.values()) > 0.9
+        log = cells.failure_log(spark, out).collect()
+        assert [(r["cell"], r["probe_family"]) for r in log] == [("source_plus_target@50", family)] and "two classes" in log[0]["reason"]
+    assert {r["cell"]: r["n_train"] for r in cells.fit_facts(spark, out).collect()} == {"source_full": 180, "allocation@50": 120}
+    predict, facts = cells.fit_multiclass(train, test, "y", "k", tuning=True)
+    assert facts["tuned_on"] == "validation" and facts["grid_size"] == 5 and facts["probe_value"] in cells.FAMILIES["logistic"].grid
+    assert cells.balanced_accuracy(predict(test), "y") > 0.9
+    assert cells.fit_multiclass(train, None, "y", "k", tuning=True, tune_internal=True)[1]["tuned_on"] == "internal"
+    with pytest.raises(ValueError, match="unknown probe family"):
+        cells.fit_family(train, "y", "k", "x", "forest", 1.0, 0)
+
+
+def test_sizes_policies_documents_and_collections(spark, tmp_path):
+    policies.check_sizes(10, [("a", 4), ("b", 6)])
+    for bad in ([("a", 4), ("a", 6)], [("a", -1), ("b", 11)], [("a", 4), ("b", 5)]):
+        with pytest.raises(ValueError):
+            policies.check_sizes(10, bad)
+    table = {r["benchmark"]: r for r in policies.policy_table(spark, {"pastis": 99}).collect()}
+    assert table["pastis"]["max_budget"] == 99 and table["pastis"]["label_unit"] == "patches" and table["eurocropsml"]["max_budget"] is None
+    document = {"seeds": [0, 1], "roles": {"f1": "diagnostic"}}
+    policies.write_document(spark, f"{tmp_path}/log", document)
+    policies.write_document(spark, f"{tmp_path}/log", document | {"more": None})
+    assert policies.read_document(spark, f"{tmp_path}/log") == document | {"more": None}
+    rows = spark.createDataFrame([("m", "b", 0, 1.5, "gone")], "model string, benchmark string, seed int, importance double, extra string")
+    policies.append_importance(rows, f"{tmp_path}/importance")
+    policies.append_importance(rows, f"{tmp_path}/importance")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/importance")
+    assert back.columns == policies.IMPORTANCE and back.count() == 2 and back.first()["importance"] == "1.5"
+    known = policies.Collections()
+    known.register("numbers", lambda s, root: s.range(int(root)))
+    assert known.load(spark, "numbers", "7").count() == 7
+    with pytest.raises(ValueError, match="no collection"):
+        known.load(spark, "letters", "")
+    with pytest.raises(ValueError, match="there already"):
+        known.register("numbers", None)
+
+
+def test_patch_metadata_and_files(spark, tmp_path):
+    feature = '{"type": "Feature", "properties": {"ID_PATCH": %d, "Fold": %d, "TILE": "t31tfm"}, "geometry": {"type": "Polygon", "coordinates": [[[2.0, 45.0], [2.1, 45.0], [2.1, 45.1]]]}}'
+    (tmp_path / "metadata.geojson").write_text('{"type": "FeatureCollection", "features": [' + ", ".join(feature % (i, i % 3 + 1) for i in range(6)) + "]}")
+    (tmp_path / "data").mkdir()
+    for i in (0, 1, 4, 5):
+        (tmp_path / "data" / f"S2_{i}.npy").write_bytes(b"x")
+    patches = dense.patch_metadata(spark, str(tmp_path / "metadata.geojson"))
+    files = dense.listing(spark, str(tmp_path / "data"), "*.npy")
+    have, gone = dense.present_patches(patches, files, "patch", F.concat(F.lit("S2_"), F.col("patch").cast("string"), F.lit(".npy")), [1, 2])
+    assert {r["patch"] for r in have.collect()} == {0, 1, 4} and [(r["patch"], r["file"]) for r in gone.collect()] == [(3, "S2_3.npy")]
+    named = spark.createDataFrame([("/e/fold_1/a_7_1_0.labels.npy",), ("/e/fold_1/12_1_0.labels.npy",), ("/e/x.npy",)], "path string").select(dense.tile_identity(F.col("path")).alias("t")).collect()
+    assert [r["t"] and tuple(r["t"]) for r in named] == [(None, 1, 0), (12, 1, 0), None]
