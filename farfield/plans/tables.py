@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from farfield.operators import cells as X
 from farfield.operators import dense as D
+from farfield.operators import figures as G
 from farfield.operators import policies as P
 from farfield.operators import splits as S
 from farfield.plans.fixtures import load, plain, rounded
@@ -159,3 +160,61 @@ def f8_neighbour_cells(spark, sf_dir):
 def f8_binary_cells(spark, sf_dir):
     _, out = _cells(spark, sf_dir, "binary", "logistic")
     return X.score_cells(out, "binary").select("cell", "auc", "f1", "calibrated_f1", "n_test")
+
+
+#: result rows with all that tells cells apart; some cells come twice, some scores are missing
+_RESULTS = """select l_orderkey * 10 + l_linenumber as row_id, case l_partkey % 4 when 0 then 'cropharvest' when 1 then 'eurocropsml' when 2 then 'breizhcrops' else 'pastis' end as bench, case l_suppkey % 3 when 0 then 'raw' when 1 then 'presto' else 'galileo' end as model,
+    case l_orderkey % 3 when 0 then 'logistic' when 1 then 'mlp' else 'knn' end as probe_family, case l_partkey % 3 when 0 then 'random_id' when 1 then 'geographic_ood' else 'official' end as split_regime, case when l_linenumber % 2 = 0 then 'full' else 'test' end as evaluation_split,
+    case l_orderkey % 2 when 0 then 0e0 else 1e0 end as label_budget, concat('region', cast(l_suppkey % 5 as {s})) as holdout, cast(l_orderkey % 4 as int) as seed, case l_quantity % 3 when 0 then '25k' when 1 then '50k' else '100k' end as cap,
+    cast(l_quantity as double) / 50 as calibrated_f1, case when l_partkey % 11 > 0 then cast(l_discount as double) end as macro_f1, cast(l_tax as double) as miou, cast(l_discount as double) / 2 as ece, cast(l_tax as double) * 3 as nll from {lineitem}"""
+_RESULTS_SPARK, _RESULTS_SQL = _RESULTS.replace("{s}", "string"), _RESULTS.replace("{s}", "varchar")
+_SCORE = "case bench when 'cropharvest' then calibrated_f1 when 'pastis' then miou else macro_f1 end"
+_OOD = "split_regime = 'geographic_ood' and evaluation_split = 'full' and label_budget = 0"
+_DEPLOY = "case when split_regime = 'random_id' then evaluation_split = 'test' and label_budget = 1 else evaluation_split = 'full' and label_budget = 0 end"
+
+
+def _results(spark, sf_dir):
+    return load(spark, sf_dir, _RESULTS_SPARK)
+
+
+@query(f"with r as ({_RESULTS_SQL}) select bench, model, probe_family, round(avg({_SCORE}), 6) as score, count({_SCORE}) as n from r where {_OOD} group by 1, 2, 3 having count({_SCORE}) > 0")
+def h29_family_means(spark, sf_dir):
+    return rounded(G.means(_results(spark, sf_dir), G.ood_cell(), ["bench", "model", "probe_family"]))
+
+
+@query(
+    f"""with r as ({_RESULTS_SQL}), u as (select * from (select *, row_number() over (partition by cap, model, bench, probe_family, split_regime, evaluation_split, label_budget, holdout, seed order by row_id desc) as k from r) where k = 1),
+    m as (select probe_family, model, cap, avg({_SCORE}) as score from u where {_OOD} group by 1, 2, 3 having count({_SCORE}) > 0), w as (select probe_family, model, max(score) - min(score) as swing from m group by 1, 2)
+    select probe_family, round(max(swing), 6) as max_swing from w group by 1"""
+)
+def h29_budget_swing(spark, sf_dir):
+    return rounded(G.budget_swing(G.last_of_cell(_results(spark, sf_dir), "row_id", ["cap"]), "cap"))
+
+
+@query(f"with r as ({_RESULTS_SQL}) select bench, split_regime, round(avg({_SCORE}), 6) as score, count({_SCORE}) as n from r where {_DEPLOY} and probe_family = 'logistic' group by 1, 2 having count({_SCORE}) > 0")
+def h29_regime_means(spark, sf_dir):
+    return rounded(G.means(_results(spark, sf_dir), G.deployment_cell() & (F.col("probe_family") == "logistic"), ["bench", "split_regime"]))
+
+
+@query(f"with r as ({_RESULTS_SQL}), p as (select bench, holdout, avg({_SCORE}) as score from r where {_OOD} group by 1, 2 having count({_SCORE}) > 0) select bench, holdout, round(score, 6) as score, cast(row_number() over (partition by bench order by score, holdout) - 1 as int) as place, round(avg(score) over (partition by bench), 6) as mean_of_regions from p")
+def h29_region_means(spark, sf_dir):
+    return rounded(G.region_means(_results(spark, sf_dir)))
+
+
+_GAP = " union all ".join(f"select model, '{m}' as metric, round(avg({m}) filter (where split_regime = 'random_id' and {_DEPLOY}), 6) as id, round(avg({m}) filter (where {_OOD}), 6) as ood from r group by 1" for m in ("ece", "nll"))
+
+
+@query(f"with r as ({_RESULTS_SQL}) select * from ({_GAP}) where id is not null and ood is not null")
+def h29_calibration_gap(spark, sf_dir):
+    return rounded(G.calibration_gap(_results(spark, sf_dir), ["ece", "nll"]))
+
+
+@query(f"with r as ({_RESULTS_SQL}), a as (select model, avg({_SCORE}) as native from r where {_OOD} and seed < 2 group by 1), b as (select model, avg({_SCORE}) as optical from r where {_OOD} and seed > 1 group by 1) select a.model, round(native, 6) as native, round(optical, 6) as optical, round(native - optical, 6) as difference from a join b on a.model = b.model")
+def h29_native_against_optical(spark, sf_dir):
+    rows = _results(spark, sf_dir)
+    return rounded(G.native_against_optical(rows.where("seed < 2"), rows.where("seed > 1").withColumn("bench", F.concat("bench", F.lit("__s2only")))))
+
+
+@query(f"with r as ({_RESULTS_SQL}), p as (select probe_family, cap, avg({_SCORE}) as score from r where {_OOD} group by 1, 2) select a.probe_family, round(a.score, 6) as from_score, round(b.score, 6) as to_score, round(b.score - a.score, 6) as delta from p a join p b on a.probe_family = b.probe_family where a.cap = '25k' and b.cap = '100k'")
+def h29_budget_scaling(spark, sf_dir):
+    return rounded(G.scaling(_results(spark, sf_dir), "cap", "25k", "100k"))
