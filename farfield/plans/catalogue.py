@@ -8,6 +8,7 @@ from farfield.functions import columns as C
 from farfield.operators import budgets as B
 from farfield.operators import catalogue as K
 from farfield.operators import metrics as M
+from farfield.plans.design import GREAT_CIRCLE_KM
 from farfield.plans.fixtures import BINARY, PIXELS, SAMPLES, load, plain, rounded
 from farfield.plans.results import ROWS
 
@@ -163,10 +164,14 @@ def d26_universe_problems(spark, sf_dir):
     return K.universe_problems(tiles, load(spark, sf_dir, _EXPECTED), "tile")
 
 
-@query(f"with {_S}, n as (select count(*) as n from s) select cast(k.k as int) as seed, 'random_id' as regime, n as total from n cross join (select 0 as k union all select 1) k")
+@query(
+    f"""with {_S}, n as (select count(*) as n from s), g as (select a.region as holdout, count(distinct b.sample_id) as gone from s a join s b on a.region <> b.region and {GREAT_CIRCLE_KM} <= 25e0 group by 1),
+    h as (select 'random_id' as regime, 'all' as holdout, n as total from n union all select 'geographic_ood', d.region, n - coalesce(gone, 0) from (select distinct region from s) d cross join n left join g on g.holdout = d.region)
+    select cast(k.k as int) as seed, regime, holdout, total from h cross join (select 0 as k union all select 1) k"""
+)
 def d31_generated_splits(spark, sf_dir):
     made = K.generate(load(spark, sf_dir, SAMPLES), "sample_id", "label", "region", [0, 1], 25.0)
-    return made.where("regime = 'random_id'").groupBy("seed", "regime").agg(F.count_distinct("sample_id").alias("total"))
+    return made.groupBy("seed", "regime", "holdout").agg(F.count_distinct("sample_id").alias("total"))
 
 
 #: an order of each region's samples, with one fault a region: an id that isn't there, one left out, one twice, a gap
@@ -186,11 +191,11 @@ def e6_balanced_patches(spark, sf_dir):
     return K.balanced_patches(patches, "g", "k", 50, 0)
 
 
-@query(f"with {_S} select region, case when sample_id % 3 = 0 then 'target_label_pool' else 'source_train' end as partition, count(*) as n from s group by 1, 2")
+@query(f"with {_S} select region, sample_id as stable_id, case when sample_id % 3 = 0 then 'target_label_pool' else 'source_train' end as partition from s")
 def e20_positions(spark, sf_dir):
     rows = load(spark, sf_dir, SAMPLES).withColumn("partition", F.when(F.col("sample_id") % 3 == 0, "target_label_pool").otherwise("source_train"))
     access = B.label_access(rows, ["region"], "sample_id", 0)
-    return K.positions(access, rows, ["region"], "sample_id").groupBy("region", "partition").agg(F.count("*").alias("n"))
+    return K.positions(access, rows, ["region"], "sample_id").select("region", "stable_id", "partition")
 
 
 @query(f"with b as ({BINARY}) select cell, round(avg((prob - y_true) * (prob - y_true)), 6) as value from b group by 1")

@@ -113,16 +113,16 @@ def d6_partition_multilabel(spark, sf_dir):
     return S.partition_multilabel(sets, "labels", "sample_id", {"train": n - 2 * (n // 10), "val": n // 10, "test": n // 10}, SEED).select("sample_id", "partition")
 
 
-_KM = "2e0 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+GREAT_CIRCLE_KM = "2e0 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
-@query(f"with {_S} select a.domain as holdout, b.sample_id from s a join s b on a.domain <> b.domain and {_KM} <= {KM}e0 group by 1, 2")
+@query(f"with {_S} select a.domain as holdout, b.sample_id from s a join s b on a.domain <> b.domain and {GREAT_CIRCLE_KM} <= {KM}e0 group by 1, 2")
 def d13_distance_purge(spark, sf_dir):
     return G.leave_one_out(_samples(spark, sf_dir), "sample_id", "domain", KM)[1]
 
 
 @query(
-    f"""with {_S}, g as (select a.domain as holdout, b.sample_id from s a join s b on a.domain <> b.domain and {_KM} <= {KM}e0 group by 1, 2)
+    f"""with {_S}, g as (select a.domain as holdout, b.sample_id from s a join s b on a.domain <> b.domain and {GREAT_CIRCLE_KM} <= {KM}e0 group by 1, 2)
     select d.domain as holdout, s.sample_id, case when s.domain = d.domain then 'target' else 'source' end as role from s cross join (select distinct domain from s) d left join g on g.holdout = d.domain and g.sample_id = s.sample_id where g.sample_id is null"""
 )
 def d10_leave_one_domain_out(spark, sf_dir):
@@ -139,7 +139,7 @@ def _leaves(spark, sf_dir):
 
 
 @query(
-    f"""with {_S}, g as (select a.region as holdout, b.sample_id from s a join s b on a.region <> b.region and {_KM} <= {KM}e0 group by 1, 2)
+    f"""with {_S}, g as (select a.region as holdout, b.sample_id from s a join s b on a.region <> b.region and {GREAT_CIRCLE_KM} <= {KM}e0 group by 1, 2)
     select d.region as holdout, case when g.sample_id is null then 'assigned' else 'purged' end as status, case when g.sample_id is null then '' else 'near_ood' end as reason, count(*) as n
     from s cross join (select distinct region from s) d left join g on g.holdout = d.region and g.sample_id = s.sample_id group by 1, 2, 3"""
 )
@@ -313,12 +313,12 @@ def e14_allocation_audit(spark, sf_dir):
     return B.allocation_audit(access, rows, ["region"], "sample_id", "label", _BUDGET)
 
 
-@query(f"with {_S}, {_ASSIGN}, y as (select * from x where partition = 'source_train'), {_systematic('y', 'region', 'label', 'sweep', 'q')}, n as (select region, count(*) as n from y group by 1), f as (select * from (values (1e-1), (5e-1), (1e0)) as t(fraction)) select q.region, fraction, count(*) as n from q join n on q.region = n.region cross join f where o < case when fraction >= 1 then n else least(n - 1, greatest(2, cast(round_even(n * fraction, 0) as bigint))) end group by 1, 2")
+@query(f"with {_S}, {_ASSIGN}, y as (select * from x where partition = 'source_train'), {_systematic('y', 'region', 'label', 'sweep', 'q')}, n as (select region, count(*) as n from y group by 1), f as (select * from (values (1e-1), (5e-1), (1e0)) as t(fraction)) select q.region, fraction, sample_id from q join n on q.region = n.region cross join f where o < case when fraction >= 1 then n else least(n - 1, greatest(2, cast(round_even(n * fraction, 0) as bigint))) end")
 def e17_source_budget_sweep(spark, sf_dir):
     rows = _samples(spark, sf_dir)
     part = F.when(F.col("sample_id") % 10 == 0, "target_test").when(F.col("sample_id") % 10 <= 2, "target_label_pool").otherwise("source_train")
     swept = B.budget_sweep(rows.withColumn("partition", part), ["region"], "label", "sample_id", (0.1, 0.5, 1.0), SEED)
-    return swept.groupBy("region", "fraction").agg(F.count("*").alias("n"))
+    return swept.select("region", "fraction", "sample_id")
 
 
 @query(f"with {_S}, {_ASSIGN}, {_POOLS}, b as (select * from (values (0e0), (5e0), (2e-1), (-1e0)) as t(budget)), g as (select region, budget, 'source' as origin, n_source as n from po cross join b where budget <> -1 union all select region, budget, 'target', case when budget = -1 then n_target when budget = 0 then 0 when budget < 1 then greatest(1, cast(round_even(n_target * budget, 0) as bigint)) else least(n_target, cast(budget as bigint)) end from po cross join b) select region, budget, origin, cast(n as bigint) as n from g where n > 0")
