@@ -26,9 +26,9 @@ from farfield.llm.scratch import id_text
 END_ID = 2
 SENTENCE_PENALTY, INSIDE_PENALTY, INSIDE_EVERY = 4, 16, 64
 GROUP_TOKENS = 1 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 JOINED = 64
 
 #: what this module knows of a tokenizer: white space parts a text, and words of letters, digits and other ASCII are split on.

@@ -152,43 +152,50 @@ def _check_digits(iban: str) -> str:
 _SCRIPTS = (("[\\p{IsCyrillic}]", GIVEN_CYRILLIC, SYLLABLES_CYRILLIC, 2, "ов"), ("[\\p{IsGreek}]", GIVEN_GREEK, SYLLABLES_GREEK, 2, "ης"), ("[\\p{IsLatin}]", GIVEN, SYLLABLES, 3, ""))
 
 
+#: the part of an entity whose letters and digits are swapped one by one
+_RAW = f"""case kind when 'email' then substring_index(canon, '@', 1) when 'iban' then substring(canon, 5) when 'given' then substring(canon, 3)
+    when 'secret' then regexp_replace(canon, '^{_PREFIX}', '') else canon end"""
+_NUMBER = f"array_join(transform(split(canon, ''), (c, i) -> case when c = '' then '' when i = 0 then case when kind = 'ssn' then cast(1 + {_R} % 8 as string) else c end when i = 1 and kind = 'phone' then cast(2 + {_R} % 8 as string) else cast({_R} % 10 as string) end), '')"
+
+
 def _surrogates(entities: DataFrame) -> DataFrame:
-    """Adds s, the surrogate of (kind, canon) for the digest d."""
-    digits = f"array_join(transform(split(canon, ''), (c, i) -> case when c = '' then '' when i = 0 then case when kind = 'ssn' then cast(1 + {_R} % 8 as string) else c end when i = 1 and kind = 'phone' then cast(2 + {_R} % 8 as string) else cast({_R} % 10 as string) end), '')"
+    """Adds s, the surrogate of (kind, canon) for the digest d. What several kinds share is a column of its own."""
     octets = [f"cast({'1 + ' if k in (0, 3) else ''}{_AT(k)} % {(223, 256, 256, 254)[k]} as string)" for k in range(4)]
     kept = "case when canon like '10.%' then 1 when canon like '192.168.%' then 2 when canon like '127.%' then 1 else 0 end"
     ip = "concat_ws('.', " + ", ".join(f"case when {kept} > {k} then split(canon, '[.]')[{k}] else {octets[k]} end" for k in range(4)) + ")"
-    local, domain = "substring_index(canon, '@', 1)", "substring_index(canon, '@', -1)"
+    domain = "substring_index(canon, '@', -1)"
     last = f"substring_index({domain}, '.', -1)"
-    email = f"concat({_swapped(local)}, '@', {_swapped(f'substring({domain}, 1, length({domain}) - length({last}))', 'dd')}, {last})"
-    body = f"substring({digits}, 1, length(canon) - 1)"
-    card = f"concat({body}, cast((10 - {_luhn(f'''concat({body}, '0')''')}) % 10 as string))"
-    plain_iban = f"concat(substring(canon, 1, 2), '00', {_swapped('substring(canon, 5)')})"
-    iban = f"concat(substring(canon, 1, 2), {_check_digits(plain_iban)}, {_swapped('substring(canon, 5)')})"
+    host = _swapped(f"substring({domain}, 1, length({domain}) - length({last}))", "dd")
+    body, unchecked = "substring(digits, 1, length(canon) - 1)", "concat(substring(canon, 1, 2), '00', swapped)"
+    card = f"concat({body}, cast((10 - {_luhn(f'concat({body}, 0)')}) % 10 as string))"
+    iban = f"concat(substring(canon, 1, 2), {_check_digits(unchecked)}, swapped)"
     birth = f"concat_ws('-', cast(1930 + {_AT(0)} % (76 + 100 * attempt) as string), lpad(cast(1 + {_AT(1)} % 12 as string), 2, '0'), lpad(cast(1 + {_AT(2)} % 28 as string), 2, '0'))"
     number = f"cast(1 + {_AT(0)} % cast(pow(10, length(regexp_extract(canon, '[0-9]+', 0))) - 1 as int) as string)"
     address = f"concat({number}, '|', {_syllables(SYLLABLES, 2)})"
-    family = " ".join(f"when canon rlike '{_sql(script)}' then concat({_syllables(words, n)}, '{end}')" for script, _, words, n, end in _SCRIPTS)
+    family = " ".join(f"when raw rlike '{_sql(script)}' then concat({_syllables(words, n)}, '{end}')" for script, _, words, n, end in _SCRIPTS)
     gender = f"case when canon like 'm:%' then 'm' when canon like 'f:%' or {_AT(1)} % 2 = 0 then 'f' else 'm' end"
-    more = lambda words: f"case when attempt < 4 then '' else {_syllables(words, 0)} end"
-    given = " ".join(f"when canon rlike '^..*{_sql(script)}' and {gender} = '{g}' then concat({_pick(names[g], '0')}, {more(words)})" for script, names, words, _, _ in reversed(_SCRIPTS[:2]) for g in "mf")
-    given += " " + " ".join(f"when substring(canon, 3) rlike '{_sql(_SCRIPTS[2][0])}' and {gender} = '{g}' then concat({_pick(GIVEN[g], '0')}, {more(SYLLABLES)})" for g in "mf")
-    secret = f"case when canon rlike '^[0-9a-f]*[a-f][0-9a-f]*$' then {_hexed('canon')} else concat(regexp_extract(canon, '^{_PREFIX}', 0), {_swapped(f'''regexp_replace(canon, '^{_PREFIX}', '')''')}) end"
-    return entities.withColumn(
+    given = " ".join(
+        f"when raw rlike '{_sql(script)}' then concat(case when {gender} = 'm' then {_pick(names['m'], '0')} else {_pick(names['f'], '0')} end, case when attempt < 4 then '' else {_syllables(words, 0)} end)"
+        for script, names, words, _, _ in _SCRIPTS
+    )
+    secret = "case when canon rlike '^[0-9a-f]*[a-f][0-9a-f]*$' then hexed else concat(substring(canon, 1, length(canon) - length(raw)), swapped) end"
+    shared = entities.withColumn("raw", F.expr(_RAW))
+    shared = shared.withColumns({"swapped": F.expr(_swapped("raw")), "digits": F.expr(f"case when kind in ('card', 'phone', 'ssn') then {_NUMBER} end"), "hexed": F.expr(f"case when kind in ('ip6', 'secret') then {_hexed('canon')} end")})
+    return shared.withColumn(
         "s",
         F.expr(
             f"""case kind
             when 'card' then {card}
-            when 'phone' then {digits}
-            when 'ssn' then {digits}
+            when 'phone' then digits
+            when 'ssn' then digits
             when 'ip' then {ip}
-            when 'ip6' then {_hexed("canon")}
-            when 'email' then {email}
+            when 'ip6' then hexed
+            when 'email' then concat(swapped, '@', {host}, {last})
             when 'iban' then {iban}
             when 'birth' then {birth}
             when 'address' then {address}
-            when 'family' then case {family} else {_swapped("canon")} end
-            when 'given' then case {given} else {_swapped("substring(canon, 3)")} end
+            when 'family' then case {family} else swapped end
+            when 'given' then case {given} else swapped end
             else {secret} end"""
         ),
     )
