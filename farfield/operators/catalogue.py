@@ -137,14 +137,6 @@ def universe_problems(tiles: DataFrame, expected: DataFrame, tile: str) -> DataF
     return have.join(expected, tile, "full").where("not (n <=> expected)").select(tile, "n", "expected")
 
 
-#: fixed values: population, purge radius and caps of each benchmark
-POLICIES = (("cropharvest", "sample", 67692, 50.0, True), ("eurocropsml", "sample", 706661, 25.0, False), ("breizhcrops", "sample", 608263, 5.0, False), ("pastis", "patch", 2433, 25.0, False))
-
-
-def policy_table(spark) -> DataFrame:
-    return spark.createDataFrame(POLICIES, "benchmark string, unit string, population long, purge_km double, footprint boolean")
-
-
 def regime_ledger(declared: DataFrame, ran: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     """(keys, kind): declared regimes that didn't run; with ``strict`` such a row raises."""
     gone = declared.join(ran.select(*keys).distinct(), keys, "left_anti")
