@@ -52,17 +52,17 @@ LETTERS = {
 _TITLES = f"{MALE_TITLES}|{FEMALE_TITLES}|{OPEN_TITLES}"
 _PART = r"(?:\p{Lu}[\p{L}\p{M}'’-]+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,4}|[\p{Lo}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]][\p{L}\p{M}]*)"
 NAME = rf"\b(?:{_TITLES})\.? {_PART}(?: {_PART})?"
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _WORD_BEFORE = "(?i:token|secret|password|passwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']?"
 _PREFIX = "(?:AKIA|ASIA|gh[pousr]_|sk-|xox[baprs]-)"
-SECRET = rf"(?<={_WORD_BEFORE})[A-Za-z0-9_/+-]{{12,}}|\b{_PREFIX}[A-Za-z0-9-]{{16,}}|\b[0-9a-fA-F]{{32,}}\b"
+SECRET = rf"(?=[A-Za-z0-9_/+-]{{12}})(?<={_WORD_BEFORE})[A-Za-z0-9_/+-]{{12,}}|\b{_PREFIX}[A-Za-z0-9-]{{16,}}|\b[0-9a-fA-F]{{32,}}\b"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
-IP = r"(?<![\d.])(?<!(?i:version|release|ver|v)[ .]?)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+IP = r"(?=\d)(?<![\d.])(?<!(?i:version|release|ver|v)[ .]?)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 IP6 = r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-BIRTH = r"(?<=(?i:born|born on|dob|date of birth|geboren am|né le|née le):? )(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)"
+BIRTH = r"(?=\d)(?<=(?i:born|born on|dob|date of birth|geboren am|né le|née le):? )(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)"
 _STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd"
 ADDRESS = rf"\b\d{{1,5}} \p{{Lu}}\p{{L}}+ (?:{_STREETS})\b|\b\p{{Lu}}\p{{L}}+(?:straße|strasse|gasse|platz) \d{{1,4}}\b"
 PATTERN = "|".join((SECRET, EMAIL, IBAN, IP6, IP, SSN, BIRTH, PHONE, CARD, ADDRESS, NAME))
