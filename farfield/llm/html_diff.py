@@ -53,6 +53,7 @@ _CLOSES |= {"li": frozenset(["li", "p"]), "dd": frozenset(["dd", "dt", "p"]), "d
 _SCOPE = frozenset("article aside body div footer form header html li main nav ol section table td th ul".split())
 NEAR = 2
 SEVERAL = 2
+PART_BYTES = 32 << 20  # html of a part
 
 
 class Line(NamedTuple):
@@ -340,7 +341,8 @@ def extract(pages: DataFrame) -> DataFrame:
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
         url.alias("url"),
     ).withColumn("h", F.xxhash64("html"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
     keyed = rows.where("html is not null").select(*KEYS).withColumn("page_id", F.coalesce("page_id", F.lit(-(1 << 63))))
     kinds = "part int, i int, kind string, host string, path string, url string, page_id long, h long"
     firsts, needed = _borders(keyed.repartitionByRange(n, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_ends, kinds).collect())
