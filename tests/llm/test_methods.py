@@ -532,7 +532,7 @@ def test_contamination_matches_brute_force(spark):
     items = [[rng.choice(few) for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 12, 30, 60]))] for _ in range(40)]
     items += [["tick", "tock"] * 12, ["tick"] * 20, items[9][:], items[-1][:]]
     docs = []
-    for k in range(120):
+    for k in range(240):
         d = [rng.choice(few) for _ in range(rng.randint(0, 60))]
         if k % 3:
             part = items[rng.randrange(len(items))]
