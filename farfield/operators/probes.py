@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -66,8 +66,8 @@ class Probe:
         return out.withColumns({"classes": names, "pred": best}).drop("__f", "__p", "__r", "__i", "__y", self.x)
 
 
-def fit(train: DataFrame, label: str, x: str = "x", family: str = "logistic", c: float = 1.0, layers: tuple[int, ...] = (256, 128), seed: int = 0, max_iter: int = 200) -> Probe:
-    """Standardise and fit: ``logistic`` (L2, weighted by inverse class frequency) or ``mlp`` (two sigmoid layers, unweighted)."""
+def fit(train: DataFrame, label: str, x: str = "x", c: float = 1.0, max_iter: int = 200) -> Probe:
+    """Standardise and fit one linear probe by Spark ML: L2, weighted by inverse class frequency. ``joint`` fits many, and networks."""
     moments = standardiser(train, x)
     classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
     if len(classes) < 2:
@@ -75,14 +75,8 @@ def fit(train: DataFrame, label: str, x: str = "x", family: str = "logistic", c:
     index = F.array_position(F.array(*[F.lit(k) for k in classes]), F.col(label)) - 1
     ready = standardised(balance_weights(train, label), moments, x).select(array_to_vector(x).alias("__f"), index.cast("double").alias("__i"), "weight").cache()
     try:
-        if family == "logistic":
-            total = ready.agg(F.sum("weight")).first()[0]
-            est = LogisticRegression(featuresCol="__f", labelCol="__i", weightCol="weight", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y", standardization=False, regParam=1 / (c * total), maxIter=max_iter)
-        elif family == "mlp":
-            width = len(ready.first()["__f"])
-            est = MultilayerPerceptronClassifier(featuresCol="__f", labelCol="__i", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y", layers=[width, *layers, len(classes)], seed=seed, maxIter=max_iter)
-        else:
-            raise ValueError(f"unknown probe family {family!r}")
+        total = ready.agg(F.sum("weight")).first()[0]
+        est = LogisticRegression(featuresCol="__f", labelCol="__i", weightCol="weight", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y", standardization=False, regParam=1 / (c * total), maxIter=max_iter)
         return Probe(est.fit(ready), moments, classes, x)
     finally:
         ready.unpersist()
@@ -187,7 +181,7 @@ def calibrated(train: DataFrame, validation: DataFrame | None, label: str, key:
             source, fit_rows, tune = "train", train, train
     best = None
     for c in grid:
-        probe = fit(fit_rows, label, x, c=c, seed=seed)
+        probe = fit(fit_rows, label, x, c=c)
         scored = binary_predictions(probe.predict(tune), 0.5).withColumn("__cell", F.lit(1)).withColumn("y_true", F.col(label).cast("int"))
         score = M.auc(scored, ["__cell"]).first()
         value = score["auc"] if score and score["auc"] is not None else 0.0

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farfield.operators import cells as X
 from farfield.operators import metrics as M
 from farfield.operators import probes as P
 from farfield.plans.fixtures import BINARY, PIXELS, load, plain, rounded
@@ -51,10 +52,67 @@ def f1_logistic_probe(spark, sf_dir):
     return P.prediction_rows(out, {"probe_family": "logistic"}, "vec_id", "label", "grp")
 
 
-@query()
+#: the votes of the k nearest training rows of each cell for each asked row; {members}: (cell, vec_id), {asked}: a condition, {ks}: (k)
+_VOTES = """mem as ({members}), tr as (select cell, e.* from mem join {embeddings} e on e.vec_id = mem.vec_id),
+    mo as (select cell, d, avg(v) as m, stddev_pop(v) as s from (select cell, unnest(embedding)::double as v, unnest(range(len(embedding))) as d from tr) group by 1, 2),
+    mm as (select cell, list(m order by d) as ms, list(case when s > 0 then s else 1 end order by d) as ss from mo group by 1),
+    za as (select cell, vec_id, label, list_transform(range(1, len(ms) + 1), lambda i: (embedding[i]::double - ms[i]) / ss[i]) as z from tr join mm using (cell)),
+    zb as (select cell, vec_id, label, list_transform(range(1, len(ms) + 1), lambda i: (embedding[i]::double - ms[i]) / ss[i]) as z from {embeddings}, mm where {asked}),
+    near as (select b.cell, b.vec_id, b.label as truth, a.label, greatest(1 - list_cosine_similarity(a.z, b.z), 1e-15) as dist, row_number() over (partition by b.cell, b.vec_id order by list_cosine_similarity(a.z, b.z) desc) as place from zb b join za a using (cell)),
+    kk as ({ks}), votes as (select cell, vec_id, truth, k, label, sum(1 / dist) as w from near, kk where place <= k group by 1, 2, 3, 4, 5),
+    share as (select *, w / sum(w) over (partition by cell, vec_id, k) as p, row_number() over (partition by cell, vec_id, k order by w desc, label) as best from votes)"""
+
+
+def _votes(members: str, asked: str, ks: str) -> str:
+    return _VOTES.replace("{members}", members).replace("{asked}", asked).replace("{ks}", ks)
+
+
+_CELLS = "select 'source_full' as cell, vec_id from {embeddings} where vec_id % 5 <> 0 union all select 'allocation@50', vec_id from {embeddings} where vec_id % 5 <> 0 and vec_id % 2 = 0"
+
+
+@query(f"with {_votes('select 1 as cell, vec_id from {embeddings} where vec_id % 5 <> 0', 'vec_id % 5 = 0', 'select 20 as k')} select vec_id, label, round(p, 6) as prob, cast(best = 1 as int) as is_pred from share")
 def f3_neighbour_probe(spark, sf_dir):
     train, test = _features(spark, sf_dir)
-    return P.neighbours(train, test, "label", "vec_id").select("vec_id", "pred", "probs")
+    out = P.neighbours(train, test, "label", "vec_id").select("vec_id", "pred", F.explode(F.arrays_zip("classes", "probs")).alias("z"))
+    return rounded(out.where("z.probs > 0").select("vec_id", F.col("z.classes").alias("label"), F.col("z.probs").alias("prob"), F.when(F.col("z.classes") == F.col("pred"), 1).otherwise(0).alias("is_pred")))
+
+
+@query(f"with {_votes(_CELLS, 'vec_id % 5 = 0', 'select 20 as k')} select cell, vec_id as sample_id, label as pred from share where best = 1")
+def f8_neighbour_cells(spark, sf_dir):
+    """Two cells by one search; each standardises and votes by its own members."""
+    _, out = cell_run(spark, sf_dir, "multiclass", "knn")
+    return out.predictions.select("cell", "sample_id", F.col("pred").cast("int").alias("pred"))
+
+
+@query(
+    f"""with {_votes("select 1 as cell, vec_id from {embeddings} where vec_id % 5 > 1", "vec_id % 5 < 2", "select unnest([5, 10, 20, 50, 100]) as k")},
+    recall as (select k, truth, avg(cast(label = truth as int)) as r from share where best = 1 and vec_id % 5 = 1 group by 1, 2),
+    chosen as (select k from recall group by 1 order by round(avg(r), 9) desc, k limit 1)
+    select vec_id, cast(k as double) as probe_value, label as pred from share where best = 1 and vec_id % 5 = 0 and k = (select k from chosen)"""
+)
+def f6_tuned_neighbours(spark, sf_dir):
+    """The number of neighbours is chosen on validation rows: votes of 5 to 100 are prefixes of one search."""
+    rows = load(spark, sf_dir, "select vec_id, label, embedding as x from {embeddings}")
+    train, held, test = rows.where("vec_id % 5 > 1"), rows.where("vec_id % 5 = 1"), rows.where("vec_id % 5 = 0")
+    predict, facts = X.fit_multiclass(train, held, "label", "vec_id", family="knn", tuning=True)
+    return predict(test).select("vec_id", F.lit(facts["probe_value"]).alias("probe_value"), F.col("pred").cast("int").alias("pred"))
+
+
+@query()
+def f2_network_probe(spark, sf_dir):
+    """Two rectified layers with weight decay and class weights, trained by gradients that tasks add up."""
+    train, test = _features(spark, sf_dir)
+    return X.fit_family(train, "label", "vec_id", "x", "mlp", 1e-3, 0)(test)
+
+
+def cell_run(spark, sf_dir, task: str, family: str):
+    rows = load(spark, sf_dir, "select vec_id, label, cast(vec_id % 5 as int) as grp, embedding as x from {embeddings}")
+    if task == "binary":
+        rows = rows.withColumn("label", F.when(F.col("label") < 5, 1).otherwise(0))
+    train, test = rows.where("vec_id % 5 != 0"), rows.where("vec_id % 5 = 0")
+    one = F.col("label") == (1 if task == "binary" else 0)
+    members = train.select(F.lit("source_full").alias("cell"), "vec_id").union(train.where("vec_id % 2 = 0").select(F.lit("allocation@50"), "vec_id")).union(train.where(one).select(F.lit("one_class@50"), "vec_id"))
+    return test, X.run_cells(rows, members, test, "label", "vec_id", task=task, family=family)
 
 
 @query()

@@ -9,6 +9,7 @@ from farfield.operators import dense as D
 from farfield.operators import figures as G
 from farfield.operators import policies as P
 from farfield.operators import splits as S
+from farfield.plans.fits import cell_run
 from farfield.plans.fixtures import load, plain, rounded
 
 QUERIES: dict = {}
@@ -132,33 +133,17 @@ def e3_cap_seeds(spark, sf_dir):
     return rows.select("o_orderkey", P.cap_seed(F.lit("b"), F.col("seed"), F.col("o_orderpriority"), F.col("holdout"), F.lit("source"), F.col("o_custkey")).alias("cap_seed"))
 
 
-def _cells(spark, sf_dir, task: str, family: str):
-    rows = load(spark, sf_dir, "select vec_id, label, cast(vec_id % 5 as int) as grp, embedding as x from {embeddings}")
-    if task == "binary":
-        rows = rows.withColumn("label", F.when(F.col("label") < 5, 1).otherwise(0))
-    train, test = rows.where("vec_id % 5 != 0"), rows.where("vec_id % 5 = 0")
-    one = F.col("label") == (1 if task == "binary" else 0)
-    members = train.select(F.lit("source_full").alias("cell"), "vec_id").union(train.where("vec_id % 2 = 0").select(F.lit("allocation@50"), "vec_id")).union(train.where(one).select(F.lit("one_class@50"), "vec_id"))
-    return test, X.run_cells(rows, members, test, "label", "vec_id", task=task, family=family)
-
-
 @query("select * from (values ('allocation@50', 'ok'), ('one_class@50', 'failed'), ('source_full', 'ok')) as t(cell, status) where (select count(*) from {embeddings}) > 0")
 def f8_multiclass_cells(spark, sf_dir):
     """Two cells are fitted and scored; the third has one class and is in the failure log."""
-    _, out = _cells(spark, sf_dir, "multiclass", "logistic")
+    _, out = cell_run(spark, sf_dir, "multiclass", "logistic")
     scored = X.score_cells(out, "multiclass").select("cell", F.when(F.col("balanced_accuracy").between(0, 1), "ok").otherwise("no score").alias("status"))
     return scored.union(X.failure_log(spark, out).select("cell", F.lit("failed").alias("status")))
 
 
-@query("with p as (select vec_id from {embeddings} where vec_id % 5 = 0) select cell, count(*) as n_test from p cross join (select 'source_full' as cell union all select 'allocation@50') c group by 1")
-def f8_neighbour_cells(spark, sf_dir):
-    _, out = _cells(spark, sf_dir, "multiclass", "knn")
-    return out.predictions.groupBy("cell").agg(F.count_distinct("sample_id").alias("n_test"))
-
-
 @query()
 def f8_binary_cells(spark, sf_dir):
-    _, out = _cells(spark, sf_dir, "binary", "logistic")
+    _, out = cell_run(spark, sf_dir, "binary", "logistic")
     return X.score_cells(out, "binary").select("cell", "auc", "f1", "calibrated_f1", "n_test")
 
 
