@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import random
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farfield.functions.columns import ceil_div
-from farfield.operators.ranks import shuffled, sized, systematic_order
+from farfield.functions.columns import ceil_div, hash_order
+from farfield.operators.allocation import allocate
+from farfield.operators.ranks import ranked, shuffled, sized, systematic_order, unit_range
+from farfield.sources.scratch import cut
 
 
 def source_sizes(n: int) -> tuple[int, int, int]:
@@ -55,78 +54,6 @@ def partition_target(df: DataFrame, by: list[str], label: str, key: str, seed: i
     return held.unionByName(free)
 
 
-def allocate(counts: dict[tuple, int], capacities: tuple[int, ...], seed: int = 0, moves: int = 200_000) -> dict[tuple, list[int]]:
-    """Integer shares of each (class, region) cell for each part: exact capacities, and every class and every region
-    within one of its quota in each part.
-
-    Starts from floors, hands out what is left by the largest remainder, then swaps pairs of rows between parts while
-    that brings marginals closer. The table is as large as classes times regions, never as the data.
-    """
-    total, parts = sum(counts.values()), range(len(capacities))
-    if sum(capacities) != total:
-        raise ValueError("the sizes of the parts must add up to the number of rows")
-    cells = sorted(counts, key=repr)
-    share = {c: [counts[c] * capacities[p] // total for p in parts] for c in cells}
-    free = {p: capacities[p] - sum(share[c][p] for c in cells) for p in parts}
-    rest = {c: counts[c] - sum(share[c]) for c in cells}
-    wants = sorted(((-(counts[c] * capacities[p] % total), repr(c), c, p) for c in cells for p in parts))
-    while any(rest.values()):
-        for _, _, c, p in wants:
-            if rest[c] and free[p]:
-                share[c][p] += 1
-                rest[c] -= 1
-                free[p] -= 1
-    sums = {(a, v): [0] * len(capacities) for a in (0, 1) for v in {c[a] for c in cells}}
-    size = defaultdict(int)
-    for c in cells:
-        for a in (0, 1):
-            size[a, c[a]] += counts[c]
-            for p in parts:
-                sums[a, c[a]][p] += share[c][p]
-
-    def off(key: tuple, p: int, x: int) -> int:
-        low = size[key] * capacities[p] // total
-        high = -(-size[key] * capacities[p] // total)
-        return max(0, low - x, x - high)
-
-    rng = random.Random(seed)
-    bad = sum(off(k, p, sums[k][p]) for k in sums for p in parts)
-    for _ in range(moves):
-        if not bad:
-            return share
-        key, p = rng.choice([(k, p) for k in sums for p in parts if off(k, p, sums[k][p])])
-        over = sums[key][p] * total > size[key] * capacities[p]
-        q = rng.choice([x for x in parts if x != p])
-        give, take = (p, q) if over else (q, p)
-        mine = [c for c in cells if c[key[0]] == key[1] and share[c][give]]
-        others = [c for c in cells if c[key[0]] != key[1] and share[c][take]]
-        if not mine or not others:
-            continue
-        one, two = rng.choice(mine), rng.choice(others)
-        changed = {(a, c[a]) for c in (one, two) for a in (0, 1)}
-        before = sum(off(k, x, sums[k][x]) for k in changed for x in (give, take))
-        for a in (0, 1):
-            sums[a, one[a]][give] -= 1
-            sums[a, one[a]][take] += 1
-            sums[a, two[a]][take] -= 1
-            sums[a, two[a]][give] += 1
-        after = sum(off(k, x, sums[k][x]) for k in changed for x in (give, take))
-        if after < before or after == before and rng.random() < 0.5:
-            for c, x, y in ((one, give, take), (two, take, give)):
-                share[c][x] -= 1
-                share[c][y] += 1
-            bad += after - before
-        else:
-            for a in (0, 1):
-                sums[a, one[a]][give] += 1
-                sums[a, one[a]][take] -= 1
-                sums[a, two[a]][take] += 1
-                sums[a, two[a]][give] -= 1
-    if bad:
-        raise ValueError("no allocation meets the marginals of classes and regions")
-    return share
-
-
 def partition_source(df: DataFrame, label: str, region: str, key: str, seed: int, names: tuple[str, ...] = ("source_train", "source_val", "source_test"), sizes: tuple[int, ...] | None = None) -> DataFrame:
     """Adds partition: exact sizes, with each class and each region within one of its quota in every part.
 
@@ -134,7 +61,7 @@ def partition_source(df: DataFrame, label: str, region: str, key: str, seed: int
     """
     counts = {(r[0], r[1]): r[2] for r in df.groupBy(label, region).agg(F.count("*")).collect()}
     total = sum(counts.values())
-    share = allocate(counts, sizes or source_sizes(total), seed)
+    share = allocate(counts, sizes or source_sizes(total))
     spark = df.sparkSession
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     bounds = spark.createDataFrame([(*c, *[sum(x[: i + 1]) for i in range(len(x))]) for c, x in share.items()], f"__l {fields[label]}, __g {fields[region]}, " + ", ".join(f"__b{i} long" for i in range(len(names))))
@@ -166,7 +93,7 @@ def rarest_label(df: DataFrame, labels: str, key: str) -> DataFrame:
     return long.join(counts, "label").groupBy(key).agg(F.min(F.struct("c", "label"))["label"].alias("stratum"))
 
 
-def partition_multilabel(df: DataFrame, labels: str, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
+def partition_by_rarest(df: DataFrame, labels: str, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
     """Adds partition: label sets dealt out at exact sizes, by the systematic order over each row's rarest label."""
     rows = df.join(rarest_label(df, labels, key), key, "left")
     order = systematic_order(rows, [], ["stratum"], seed, "multilabel", key, "__o")
@@ -177,6 +104,91 @@ def partition_multilabel(df: DataFrame, labels: str, key: str, sizes: dict[str,
     return order.withColumn("partition", part).drop("__o", "stratum")
 
 
+def dealt(count: int, wants: dict[str, float], room: dict[str, int]) -> dict[str, int]:
+    """How many of ``count`` rows each part gets, if they go one by one to the part that wants most and has room.
+
+    Parts are brought down to one level of what they still want, and the few rows left go one by one; on ties to the part
+    with more room, then to the first.
+    """
+    low, high = min(wants.values()) - count - 1, max(wants.values())
+    fill = lambda level: {p: max(0, min(room[p], int(-(-(wants[p] - level) // 1)))) for p in wants}
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (low, middle) if sum(fill(middle).values()) <= count else (middle, high)
+    got = fill(high)
+    for _ in range(count - sum(got.values())):
+        best = max((p for p in wants if got[p] < room[p]), key=lambda p: (wants[p] - got[p], room[p] - got[p]))
+        got[best] += 1
+    return got
+
+
+def _by_labels(rows: DataFrame, label, rarest: list, key: str, seed: int) -> DataFrame:
+    """Adds __o: the place of each row by its two rarest labels besides ``label``, then by hash."""
+    none = len(rarest)
+    if none:
+        place = F.create_map(*[F.lit(x) for k, v in enumerate(rarest) for x in (v, k)])
+        others = F.array_sort(F.transform(F.filter("__set", lambda x: x != F.lit(label)), lambda x: place[x]))
+    else:
+        others = F.array().cast("array<int>")
+    rows = rows.withColumns({"__a": F.coalesce(F.get(others, F.lit(0)), F.lit(none)), "__b": F.coalesce(F.get(others, F.lit(1)), F.lit(none)), "__h": hash_order(seed, "multilabel", F.col(key))})
+    spread = (F.col("__a") * (none + 1) + F.col("__b")) * 256 + F.conv(F.substring("__h", 1, 2), 16, 10).cast("int")
+    return ranked(rows, [], ["__a", "__b", "__h", key], spread, "__o").drop("__a", "__b", "__h")
+
+
+def _spread(place: Column, n: int, got: dict[str, int], seed: int) -> Column:
+    """The part of each place below ``n``: parts have ``got`` places each, as evenly spaced as can be, smallest parts first."""
+    parts = sorted(got, key=lambda p: (got[p], p))
+    out = F.lit(None).cast("string")
+    for k, p in enumerate(parts[:-1]):
+        start = (seed * 7919 + k * 104729) % n
+        before, after = (F.call_function("div", x * got[p] + start, F.lit(n)) for x in (place, place + 1))
+        out = F.when(out.isNotNull(), out).when(after > before, p)
+        place, n = place - before, n - got[p]
+        if n == 0:
+            return out
+    return F.coalesce(out, F.lit(parts[-1]))
+
+
+def partition_multilabel(df: DataFrame, labels: str, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
+    """Adds partition: iterative stratification of label sets at exact sizes.
+
+    In each round the label that the fewest rows without a part have (on ties the least) is dealt out: the parts that want
+    most of it get its rows, spread evenly over an order in which rows with the same next rarest labels stand together. What
+    parts want of all labels follows from what they got. Rows without labels come last. A round works on the rows of one label and leaves
+    the rest as they are; only counts by label and part reach the driver. Rows are as many as the sizes together, or it raises.
+    """
+    rows = df.withColumn("__set", F.array_sort(F.array_distinct(F.coalesce(labels, F.array().cast(df.schema[labels].dataType)))))
+    rows = cut(rows, "unplaced")
+    total = rows.count()
+    if total != sum(sizes.values()):
+        raise ValueError(f"the sizes sum to {sum(sizes.values())}, the rows are {total}")
+    left = {r["label"]: r["n"] for r in rows.select(F.explode("__set").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    wants = {label: {p: n * size / max(1, total) for p, size in sizes.items()} for label, n in left.items()}
+    room = dict(sizes)
+    done = None
+    while total:
+        label = min((x for x in left if left[x]), key=lambda x: (left[x], x), default=None)
+        has = F.array_contains("__set", F.lit(label)) if label is not None else F.lit(True)
+        now = rows.where(has)
+        n = left[label] if label is not None else total
+        got = dealt(n, wants[label] if label is not None else {p: float(r) for p, r in room.items()}, room)
+        order = _by_labels(now, label, sorted((x for x in left if left[x]), key=lambda x: (left[x], x)), key, seed)
+        part = _spread(F.col("__o"), n, got, seed)
+        placed = cut(order.withColumn("partition", part).drop("__o"), "placed")
+        for p, k in got.items():
+            room[p] -= k
+        for r in placed.select("partition", F.explode("__set").alias("label")).groupBy("partition", "label").agg(F.count("*").alias("n")).collect():
+            wants[r["label"]][r["partition"]] -= r["n"]
+            left[r["label"]] -= r["n"]
+        done = placed if done is None else done.unionByName(placed)
+        total -= n
+        if total:
+            rows = cut(rows.where(~has), "unplaced")
+    if done is None:
+        done = rows.withColumn("partition", F.lit(None).cast("string"))
+    return done.drop("__set")
+
+
 def random_split(df: DataFrame, label: str, region: str, key: str, seed: int) -> DataFrame:
     """The whole population as source parts, no target."""
     return partition_source(df, label, region, key, seed)

@@ -110,7 +110,30 @@ _PATCH = f"px as ({PIXELS}), pl as (select distinct l_orderkey as sample_id, y_t
 def d6_partition_multilabel(spark, sf_dir):
     sets = load(spark, sf_dir, PIXELS).groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.array_sort(F.collect_set("y_true")).alias("labels"))
     n = sets.count()
-    return S.partition_multilabel(sets, "labels", "sample_id", {"train": n - 2 * (n // 10), "val": n // 10, "test": n // 10}, SEED).select("sample_id", "partition")
+    return S.partition_by_rarest(sets, "labels", "sample_id", {"train": n - 2 * (n // 10), "val": n // 10, "test": n // 10}, SEED).select("sample_id", "partition")
+
+
+_SETS = "select cast(p_size % 7 as int) as a, cast(p_partkey % 5 + 3 as int) as b, cast(p_partkey % 11 as int) as c, p_partkey from {part}"
+
+
+@query(
+    f"""with p as ({_SETS}), l as (select p_partkey, unnest(list_distinct(case when p_partkey % 13 = 0 then [] when c > 7 then [a] when c > 4 then [a, b] else [a, b, c] end)) as label from p),
+    n as (select count(*) as n from p), s as (select 'train' as partition, n - 2 * (n // 10) as size, n from n union all select 'val', n // 10, n from n union all select 'test', n // 10, n from n)
+    select partition, label, count(*) as n_label, cast(max(size) as bigint) as size, true as within from l cross join s group by 1, 2"""
+)
+def d6_iterative_shares(spark, sf_dir):
+    """Label sets dealt out round by round: in every part each label is within four rows, or a hundredth of it, of its quota."""
+    rows = load(spark, sf_dir, _SETS)
+    sets = F.expr("array_distinct(case when p_partkey % 13 = 0 then cast(array() as array<int>) when c > 7 then array(a) when c > 4 then array(a, b) else array(a, b, c) end)")
+    rows = rows.select("p_partkey", sets.alias("labels"))
+    n = rows.count()
+    sizes = {"train": n - 2 * (n // 10), "val": n // 10, "test": n // 10}
+    out = S.partition_multilabel(rows, "labels", "p_partkey", sizes, SEED).select("partition", F.explode("labels").alias("label"))
+    have = out.groupBy("label").pivot("partition", list(sizes)).count().fillna(0)
+    have = have.withColumn("n_label", sum((F.col(p) for p in sizes), F.lit(0).cast("long")))
+    parts = F.explode(F.array(*(F.struct(F.lit(p).alias("partition"), F.col(p).alias("k"), F.lit(size).cast("long").alias("size")) for p, size in sizes.items())))
+    out = have.select("label", "n_label", parts.alias("z")).select("label", "n_label", "z.*")
+    return out.select("partition", "label", "n_label", "size", (F.abs(F.col("k") - F.col("n_label") * F.col("size") / n) <= F.greatest(F.lit(4.0), F.col("n_label") / 100)).alias("within"))
 
 
 GREAT_CIRCLE_KM = "2e0 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"

@@ -24,7 +24,7 @@ def test_allocation_meets_sizes_and_marginals(seed):
     counts = {k: v for k, v in counts.items() if v}
     n = sum(counts.values())
     sizes = splits.source_sizes(n)
-    share = splits.allocate(counts, sizes, seed)
+    share = splits.allocate(counts, sizes)
     assert [sum(x[p] for x in share.values()) for p in range(3)] == list(sizes)
     assert all(sum(share[c]) == counts[c] for c in counts)
     for a in (0, 1):
