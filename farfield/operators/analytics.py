@@ -106,48 +106,6 @@ def bootstrap_mean(values: DataFrame, by: list[str], unit: str, value: str, repl
     return base.join(out, by).select(*by, "mean", F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"), "n_units")
 
 
-def sample_bootstrap(rows: DataFrame, by: list[str], side: Column, seed: str, region: str, key: list[str], order: str, sums: dict[str, Column], metric: Column, replicates: int = 1000, draw: int = 0) -> DataFrame:
-    """(by, id, ood, delta, lo, hi, n_seeds): a hierarchical bootstrap (seed, region, row) of ID minus OOD.
-
-    ``side`` is 'id', 'ood' or null (not used); ``metric`` is a function of the sums of ``sums``. Rows are first reduced to
-    the last of each (region, key) within a seed; seeds are never merged. The estimate is the mean over the seeds that have
-    both sides. A replicate draws seeds with replacement, and for each drawn seed and side its regions with replacement;
-    the rows of each drawn region weigh by hashed Poisson draws, so a replicate is grouped sums and never a copy of the
-    rows in one place. What is broadcast are the drawn regions.
-    """
-    held = rows.withColumn("__side", side).where("__side in ('id', 'ood')").withColumns({f"__s_{k}": c.cast("double") for k, c in sums.items()})
-    names = [f"__s_{k}" for k in sums]
-    last = held.groupBy(*by, "__side", seed, region, *key).agg(F.max_by(F.struct(*names), order).alias("v"))
-    last = last.select(*by, "__side", F.col(seed).alias("__seed"), F.col(region).alias("__region"), *key, *[F.col(f"v.{n}").alias(n) for n in names])
-    scored = lambda df, cells, weight: df.groupBy(*cells).agg(*[F.sum(weight * F.col(n)).alias(n[4:]) for n in names]).withColumn("m", finite(metric))
-    sides = lambda df, cells: df.groupBy(*cells).agg(*[F.max(F.when(F.col("__side") == x, F.col("m"))).alias(x) for x in ("id", "ood")]).where("id is not null and ood is not null")
-    per_seed = sides(scored(last, [*by, "__seed", "__side"], F.lit(1)), [*by, "__seed"])
-    point = per_seed.groupBy(*by).agg(F.avg("id").alias("id"), F.avg("ood").alias("ood"), F.avg(F.col("id") - F.col("ood")).alias("delta"), F.count("*").alias("n_seeds"))
-    # regions of each (seed, side), and the seeds that have both sides
-    cells = last.groupBy(*by, "__seed", "__side").agg(F.array_sort(F.collect_set("__region")).alias("regions"))
-    seeds = cells.groupBy(*by, "__seed").agg(F.count("*").alias("k")).where("k = 2").groupBy(*by).agg(F.array_sort(F.collect_set("__seed")).alias("seeds"))
-    pick = lambda items, *parts: F.element_at(items, F.floor(_uniform(F.lit(draw), *parts) * F.size(items)).cast("int") + 1)
-    drawn = seeds.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.size("seeds"))))
-    drawn = drawn.select(*by, "b", "j", pick(F.col("seeds"), F.lit("seed"), F.col("b"), F.col("j"), *[F.col(c) for c in by]).alias("__seed"))
-    drawn = drawn.join(cells, [*by, "__seed"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("regions"))))
-    place = [F.lit("region"), F.col("b"), F.col("j"), F.col("i"), F.col("__side"), *[F.col(c) for c in by]]
-    drawn = drawn.withColumn("__region", pick(F.col("regions"), *place))
-    lists = drawn.groupBy(*by, "__seed", "__side", "__region").agg(F.collect_list(F.struct("b", "j", "i")).alias("draws"))
-    u = _uniform(F.lit(draw), F.lit("row"), F.col("d.b"), F.col("d.j"), F.col("d.i"), F.col("__side"), F.col("__seed"), F.col("__region"), *[F.col(k) for k in key])
-    limits, total, p = [], 0.0, 2.718281828459045**-1
-    for k in range(1, 8):
-        total += p
-        limits.append(total)
-        p /= k
-    weight = F.lit(0)
-    for x in limits:
-        weight = weight + F.when(u >= x, 1).otherwise(0)
-    draws = last.join(F.broadcast(lists), [*by, "__seed", "__side", "__region"]).withColumn("d", F.explode("draws")).withColumn("w", weight)
-    deltas = sides(scored(draws.withColumns({"b": F.col("d.b"), "j": F.col("d.j")}), [*by, "b", "j", "__side"], F.col("w")), [*by, "b", "j"])
-    means = deltas.groupBy(*by, "b").agg(F.avg(F.col("id") - F.col("ood")).alias("m"))
-    return point.join(means.groupBy(*by).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")), by, "left").select(*by, "id", "ood", "delta", "lo", "hi", "n_seeds")
-
-
 def confound_pair(df: DataFrame, a: str, b: str, max_levels: int = 30) -> DataFrame:
     """One row: entropies, mutual information normalised by their geometric mean, how far a determines b, and the table."""
     cells = df.groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").cast("double").alias("n"))

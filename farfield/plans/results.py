@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farfield.operators import analytics as A
-from farfield.plans.fixtures import load, plain, rounded
+from farfield.operators import bootstrap as B
+from farfield.plans.fixtures import BINARY, load, plain, rounded
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,7 +95,31 @@ def h7_region_bootstrap(spark, sf_dir):
 def h8_sample_bootstrap(spark, sf_dir):
     side = F.when(F.col("regime") == "random_id", "id").when(F.col("regime") == "geographic_ood", "ood")
     sums, mean = {"total": F.col("value"), "n": F.lit(1)}, F.col("total") / F.when(F.col("n") > 0, F.col("n"))
-    return rounded(A.sample_bootstrap(_rows(spark, sf_dir), ["model"], side, "seed", "holdout", ["row_id"], "row_id", sums, mean))
+    return rounded(B.sample_bootstrap(_rows(spark, sf_dir), ["model"], side, "seed", "holdout", ["row_id"], "row_id", sums, mean))
+
+
+_SIDED = f"select *, sample_id % 3 as seed, case when (sample_id * 31) % 5 < 2 then 'id' else 'ood' end as side from ({BINARY})"
+_COUNT = "sum(case when pred_default = {p} and y_true = {y} then 1 else 0 end)"
+_TP, _FP, _FN, _TN = (_COUNT.format(p=p, y=y) for p, y in ((1, 1), (1, 0), (0, 1), (0, 0)))
+
+
+@query(
+    f"""with r as ({_SIDED}), a as (select cell, side, seed, avg(rk) filter (where y_true = 1) as mr, sum(y_true) as np, count(*) - sum(y_true) as nn from (select *, rank() over (partition by cell, side, seed order by prob) + (count(*) over (partition by cell, side, seed, prob) - 1) / 2e0 as rk from r) group by 1, 2, 3),
+    e as (select cell, side, seed, sum(abs(h - c)) / sum(n) as ece from (select cell, side, seed, {" + ".join(f"case when prob >= {k * 0.1!r}e0 then 1 else 0 end" for k in range(1, 10))} as bin, sum(cast(y_true as double)) as h, sum(prob) as c, count(*) as n from r group by 1, 2, 3, 4) group by 1, 2, 3),
+    f as (select cell, side, seed, 2e0 * {_TP} / nullif(2 * {_TP} + {_FP} + {_FN}, 0) as f1, avg((prob - y_true) * (prob - y_true)) as brier from r group by 1, 2, 3),
+    m as (select cell, side, seed, 'auc' as metric, (mr - (np + 1) / 2e0) / nullif(nn, 0) as v from a union all select cell, side, seed, 'ece', ece from e union all select cell, side, seed, 'f1', f1 from f union all select cell, side, seed, 'brier', brier from f),
+    p as (select cell, metric, seed, max(case when side = 'id' then v end) as id, max(case when side = 'ood' then v end) as ood from m group by 1, 2, 3)
+    select cell, metric, round(avg(id), 6) as id, round(avg(ood), 6) as ood, round(avg(id - ood), 6) as delta, count(*) as n_seeds, true as has_interval from p where id is not null and ood is not null group by 1, 2"""
+)
+def h8_rank_bootstrap(spark, sf_dir):
+    """AUC and calibration error beside metrics of sums: estimates over seeds, and an interval of 200 replicates."""
+    rows = load(spark, sf_dir, _SIDED)
+    count = lambda p, y: F.when((F.col("pred_default") == p) & (F.col("y_true") == y), 1).otherwise(0)
+    sums = {"tp": count(1, 1), "fp": count(1, 0), "fn": count(0, 1), "square": F.pow(F.col("prob") - F.col("y_true"), 2), "n": F.lit(1)}
+    base = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    metrics = {"auc": F.col("auc"), "ece": F.col("ece"), "f1": 2 * F.col("tp") / F.when(base > 0, base), "brier": F.col("square") / F.when(F.col("n") > 0, F.col("n"))}
+    out = B.sample_bootstrap(rows, ["cell"], F.col("side"), "seed", "grp", ["sample_id"], "sample_id", sums, metrics, replicates=200, scored=(F.col("y_true"), F.col("prob")))
+    return rounded(out.select("cell", "metric", "id", "ood", "delta", "n_seeds", (F.col("lo") <= F.col("hi")).alias("has_interval")))
 
 
 def _confound(table: str, a: str, b: str) -> str:

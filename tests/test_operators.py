@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from farfield.functions import columns as C
-from farfield.operators import analytics, budgets, cells, dense, metrics, policies, probes, series, spatial, splits
+from farfield.operators import analytics, bootstrap, budgets, cells, dense, metrics, policies, probes, series, spatial, splits
 from farfield.sources import files
 
 
@@ -210,7 +210,7 @@ def test_sample_bootstrap_keeps_seeds_and_regions(spark):
     rows = [("m", s, x, f"{x}{g}", i, t, s / 10 + (g / 10 if x == "ood" else 0.5)) for s in range(3) for x in ("id", "ood") for g in range(4 if x == "ood" else 1) for i in range(20) for t in (0, 1)]
     rows = [(*r[:6], r[6] if r[5] else 99.0) for r in rows]  # of repeated rows the last counts
     df = spark.createDataFrame(rows, "c string, seed int, side string, region string, id int, t int, v double")
-    got = analytics.sample_bootstrap(df, ["c"], F.col("side"), "seed", "region", ["id"], "t", {"s": F.col("v"), "n": F.lit(1)}, F.col("s") / F.col("n")).first()
+    got = bootstrap.sample_bootstrap(df, ["c"], F.col("side"), "seed", "region", ["id"], "t", {"s": F.col("v"), "n": F.lit(1)}, F.col("s") / F.col("n")).first()
     assert got["n_seeds"] == 3 and abs(got["id"] - 0.6) < 1e-9 and abs(got["ood"] - 0.25) < 1e-9 and abs(got["delta"] - 0.35) < 1e-9
     # each seed's mean of four drawn regions has a deviation of 0.056, three of them 0.032
     assert 0.25 < got["lo"] < 0.32 < 0.38 < got["hi"] < 0.45
