@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farfield.functions.columns import EARTH_KM, finite, haversine_km, hash_order, sphere
+from farfield.operators.proximity import purged
 from farfield.sources.scratch import cut
 
 
@@ -59,12 +60,6 @@ def near_pairs(source: DataFrame, target: DataFrame, key: str, radius_km: float,
     return joined.select(*[F.col(f"s.{b}") for b in by], F.col(f"s.{key}"), F.col("__tk").alias("target_key"), "km")
 
 
-def purged(source: DataFrame, target: DataFrame, key: str, radius_km: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, key): source rows at most ``radius_km`` from any target row. Targets are first thinned to distinct points."""
-    points = target.select(*by, F.col("lat"), F.col("lon")).distinct().withColumn(key, F.lit(None).cast(source.schema[key].dataType))
-    return near_pairs(source, points, key, radius_km, by=by).select(*by, key).distinct()
-
-
 def leave_one_out(samples: DataFrame, key: str, domain: str, radius_km: float) -> tuple[DataFrame, DataFrame]:
     """For each domain in turn as the holdout: (holdout, key, role) of source and target rows, and (holdout, key) purged.
 

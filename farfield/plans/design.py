@@ -152,6 +152,47 @@ def d10_leave_one_domain_out(spark, sf_dir):
     return G.leave_one_out(_samples(spark, sf_dir), "sample_id", "domain", KM)[0].select("holdout", "sample_id", "role")
 
 
+#: samples whose domains lie side by side, so that their outer points are near each other
+NEARBY = """select c.c_custkey as sample_id, n.n_name as domain, r.r_name as region, c.c_mktsegment as label,
+    cast(c.c_nationkey % 5 as double) * 2e0 + cast((c.c_custkey * 3701) % 240 as double) / 1e2 + 4e1 as lat, cast(c.c_nationkey // 5 as double) * 3e0 + cast((c.c_custkey * 9101) % 350 as double) / 1e2 - 1e1 as lon
+    from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey join {region} r on n.n_regionkey = r.r_regionkey"""
+_NEARBY_SPARK, _N, NEAR_KM = NEARBY.replace("c.c_nationkey // 5", "c.c_nationkey div 5"), f"s as ({NEARBY})", 25.0
+_NEAR = f"g as (select a.domain as holdout, b.sample_id from s a join s b on a.domain <> b.domain and abs(a.lat - b.lat) < 1 and {GREAT_CIRCLE_KM} <= {NEAR_KM}e0 group by 1, 2)"
+
+
+def _nearby(spark, sf_dir):
+    return load(spark, sf_dir, _NEARBY_SPARK)
+
+
+@query(f"with {_N}, {_NEAR} select * from g")
+def d13_border_purge(spark, sf_dir):
+    """Domains that touch: the source points along the borders are purged, by cells and not by pairs."""
+    return G.leave_one_out(_nearby(spark, sf_dir), "sample_id", "domain", NEAR_KM)[1]
+
+
+@query(f"with {_N}, {_NEAR} select d.domain as holdout, s.sample_id, case when s.domain = d.domain then 'target' else 'source' end as role from s cross join (select distinct domain from s) d left join g on g.holdout = d.domain and g.sample_id = s.sample_id where g.sample_id is null")
+def d10_border_roles(spark, sf_dir):
+    return G.leave_one_out(_nearby(spark, sf_dir), "sample_id", "domain", NEAR_KM)[0].select("holdout", "sample_id", "role")
+
+
+@query(
+    f"""with s as (select * replace (case when sample_id % 97 = 0 then null else lat end as lat, case when sample_id % 89 = 0 then null else domain end as domain) from ({NEARBY})),
+    g as (select a.domain as holdout, b.sample_id from s a join s b on a.domain <> b.domain and abs(a.lat - b.lat) < 1 and {GREAT_CIRCLE_KM} <= {NEAR_KM}e0 group by 1, 2)
+    select d.domain as holdout, case when s.domain is null then 'excluded' when g.sample_id is not null then 'purged' when s.lat is null then 'excluded' else 'assigned' end as status,
+        case when s.domain is null then 'unknown_domain' when g.sample_id is not null then 'near_ood' when s.lat is null then 'no_coords' else '' end as reason, count(*) as n
+    from s cross join (select distinct domain from s where domain is not null) d left join g on g.holdout = d.domain and g.sample_id = s.sample_id group by 1, 2, 3"""
+)
+def d19_border_leaves(spark, sf_dir):
+    """Leaves with all three states: rows without coordinates or domain are excluded, border rows purged, the rest assigned."""
+    samples = _nearby(spark, sf_dir).withColumns({"lat": F.when(F.col("sample_id") % 97 != 0, F.col("lat")), "domain": F.when(F.col("sample_id") % 89 != 0, F.col("domain"))})
+    kept, gone = G.leave_one_out(samples, "sample_id", "domain", NEAR_KM)
+    placed = kept.where("lat is not null")
+    assigned = placed.select("holdout", "sample_id", F.when(F.col("role") == "source", "source_train").otherwise("target_test").alias("partition"))
+    nothing = gone.where("false").withColumn("reason", F.lit(""))
+    rows = S.leaves(samples, cut(assigned, "assigned"), gone.withColumn("reason", F.lit("near_ood")), nothing, "sample_id", "domain")
+    return rows.groupBy("holdout", "status", "reason").agg(F.count("*").alias("n"))
+
+
 def _leaves(spark, sf_dir):
     samples = _samples(spark, sf_dir)
     kept, gone = G.leave_one_out(samples, "sample_id", "region", KM)
