@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from farfield.functions.columns import ceil_div, hash_order
 from farfield.operators.allocation import allocate
-from farfield.operators.ranks import ranked, shuffled, sized, systematic_order, unit_range
+from farfield.operators.ranks import ranked, shuffled, sized, systematic_order
 from farfield.sources.scratch import cut
 
 
