@@ -1,14 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
 A text is its words (A-Z lower-cased) with a space after each and an end mark. Byte n-grams up to ``ORDER``, counted over
-all training texts, are smoothed by absolute discounting; contexts become states, n-grams become arcs, and each state has
-a failure arc to its longest proper suffix with the weight that makes its arcs sum to one. A context is a state if it
-comes ``LEAST`` times, so the states grow with the corpus.
+all training texts, are smoothed by absolute discounting. A context of up to ``ORDER - 1`` bytes that comes ``LEAST`` times is
+a state, so the states grow with the corpus; a byte seen after it is an arc with its smoothed probability; every other byte takes
+the failure arc to the longest proper suffix, whose weight makes the state's probabilities sum to one.
 
-The state depends on the last ``ORDER - 1`` bytes alone, so the weight of a step is a function of the n-gram of ORDER bytes
-that ends there. The failure arcs are closed into a table (n-gram, weight) of all n-grams of the corpus, made order by
-order with shuffles on contexts and suffixes. A table of at most ``MOST`` n-grams is broadcast; of a larger one those that
-have a share of 1 / MOST or more are, and all other steps are joined with it. The score of a text is the sum of its steps.
+Arcs are sparse, keyed by (state, byte), and found by hashing. A text is walked from left to right: the state is carried, failure arcs
+are followed until an arc reads the byte, and the weights are added up. Long texts are walked in stretches side by side;
+``ORDER - 1`` bytes before a stretch settle its state. Held-out texts add nothing to the automaton.
+
+An automaton of at most ``MOST`` arcs is broadcast. Of a larger one the most frequent arcs are; a walk is sure where it reads an arc of
+a state of full length. The other steps leave the walk as n-grams of ``ORDER`` bytes, and their failure arcs are followed by joins,
+order by order, over the states of the whole automaton (``by_failure``).
 
 Word counts for the base score are exact: the words of a share of ``HEAD_SHARE`` or more are broadcast (at most
 1 / HEAD_SHARE), all others are joined.
@@ -17,7 +20,6 @@ Word counts for the base score are exact: the words of a share of ``HEAD_SHARE``
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ MOST = 1 << 22
 HEAD_SHARE = 1e-6
 DISCOUNT = 0.75
 END = 10  # closes a text; a word holds no such byte
-STRETCH = 1024
+STRETCH = 256
+WALK_BYTES = 1 << 21  # of texts walked side by side
 MERGE_GRAMS = 1 << 21
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -75,10 +78,7 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _count(kind: str):
-    """(key, n): byte n-grams or words with their counts, added up within a task as far as a bounded table allows.
-
-    For n-grams a second column may mark held-out texts: their n-grams come with a count of 0.
-    """
+    """(key, n): byte n-grams or words with their counts, added up within a task as far as a bounded table allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
@@ -88,17 +88,9 @@ def _count(kind: str):
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "n"])
 
         for batch in batches:
-            held = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else np.zeros(batch.num_rows, bool)
             for block in T.blocks(batch.column(0)):
                 if kind == "grams":
-                    stream, bounds = streams(block)
-                    found = packed(stream, bounds)
-                    apart = np.repeat(held[block.first : block.first + block.rows], np.diff(bounds))
-                    if apart.any():
-                        k = np.unique(found[apart])
-                        keys.append(k), counts.append(np.zeros(len(k), np.int64))
-                        size += len(k)
-                        found = found[~apart]
+                    found = packed(*streams(block))
                 else:
                     found = np.concatenate([T.signed(block.word_hashes(lower=True)), np.full(block.rows, END_WORD)])
                 k, c = np.unique(found, return_counts=True)
@@ -118,57 +110,89 @@ def _count(kind: str):
 END_WORD = np.int64(-(2**62) + 11)  # stands for the end among word hashes
 
 
-@dataclass(frozen=True)
+class Places:
+    """Where each of a set of distinct non-negative numbers stands in its array: a hash table with open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys if len(keys) else np.full(1, -1, np.int64)
+        bits = max(4, (2 * len(self.keys) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        at, left = self._first(self.keys), np.arange(len(self.keys))
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            rest = self.slots[at] != left
+            at, left = (at[rest] + 1) & self.mask, left[rest]
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return T.signed((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each, or -1."""
+        at = self._first(wanted)
+        out = self.slots[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != wanted))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            out[open_] = self.slots[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[out[open_]] != wanted[open_])]
+        return out
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(ORDER + 1)], np.int64)
+_LENGTH = 8 * (ORDER - 1)  # a state is its context, with the length above it; an arc is its state, then the byte
+
+
 class Automaton:
-    """States by context. step[s, b] and weight[s, b]: the state after byte b in state s, and the log10 probability.
+    """States and arcs with log10 weights. ``key``: of the arcs (state, byte); ``fail``: the weight of the failure arc of the arc's state.
 
-    The dense form, for small corpora; ``closed`` holds the same weights for any corpus.
+    ``bottom`` is the weight of a byte that even the empty context has no arc for. With each arc goes the length of the state that it
+    leads to, the longest suffix that is one; failure arcs lead to the suffix one byte shorter, which always is one.
     """
 
-    step: np.ndarray
-    weight: np.ndarray
-    start: int
-
-    @staticmethod
-    def build(contexts: list[np.ndarray], arcs: list[tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT) -> Automaton:
-        """contexts[k]: packed contexts of k bytes that are states (contexts[0] holds 0); arcs[k]: (packed context and next byte, count)."""
-        contexts = [np.sort(c) for c in contexts]
-        first = np.cumsum([0, *map(len, contexts)])
-        total = int(first[-1])
-        step, weight = np.zeros((total, 256), np.int32), np.zeros((total, 256))
-
-        def state_of(value: np.ndarray, length: int) -> np.ndarray:
-            """The state of the longest suffix, of at most ``length`` bytes, that is one."""
-            out = np.zeros(len(value), np.int64)
-            for k in range(1, length + 1):
-                suffix = value & ((1 << 8 * k) - 1)
-                at = np.minimum(np.searchsorted(contexts[k], suffix), max(0, len(contexts[k]) - 1))
-                if len(contexts[k]):
-                    out = np.where(contexts[k][at] == suffix, first[k] + at, out)
-            return out
-
-        for k in range(len(contexts)):
-            gram, n = arcs[k]
-            at = np.searchsorted(contexts[k], gram >> 8)
-            ok = (at < len(contexts[k])) & (contexts[k][np.minimum(at, max(0, len(contexts[k]) - 1))] == gram >> 8) if len(contexts[k]) else np.zeros(len(gram), bool)
-            gram, n, at, byte = gram[ok], n[ok].astype(float), at[ok], gram[ok] & 255
-            rows = np.arange(first[k], first[k + 1])
-            sums = np.bincount(at, weights=n, minlength=len(rows))
-            kinds = np.bincount(at, minlength=len(rows))
-            share = np.divide(discount * kinds, sums, out=np.ones(len(rows)), where=sums > 0)
-            lower = np.full((len(rows), 256), 1 / 256) if k == 0 else weight[state_of(contexts[k], k - 1)]
-            weight[rows] = share[:, None] * lower
-            weight[first[k] + at, byte] += np.maximum(n - discount, 0) / sums[at]
-            step[rows] = 0 if k == 0 else step[state_of(contexts[k], k - 1)]
-        for k in range(len(contexts)):
-            longest = min(k + 1, len(contexts) - 1)
-            for byte in range(256):
-                step[first[k] : first[k + 1], byte] = state_of((contexts[k] << 8) | byte, longest)
-        begin = int(state_of(np.array([int.from_bytes(bytes([END] * (len(contexts) - 1)), "big")]), len(contexts) - 1)[0])
-        return Automaton(step, np.log10(weight).astype(np.float32), begin)
-
-    def walk(self, stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The log10 probability of each byte of a block's documents, given all that is before it in its document."""
+    def __init__(self, key: np.ndarray, weight: np.ndarray, fail: np.ndarray, bottom: float):
+        self.arcs, self.weight, self.bottom = Places(key), weight.astype(np.float32), np.float32(bottom)
+        states, at = np.unique(key >> 8, return_index=True)
+        self.states, self.fail = Places(states), fail[at].astype(np.float32)
+        self.target = self._longest(key & _MASKS[ORDER], np.minimum((key >> 8 + _LENGTH) + 1, ORDER - 1))
+        full = np.full(1, int.from_bytes(bytes([END] * ORDER), "big"), np.int64)
+        length = int(self._longest(full, np.full(1, ORDER - 1))[0])
+        self.start = length << _LENGTH | int(full[0] & _MASKS[length])
+
+    def _longest(self, value: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The length of the longest suffix, of at most ``most`` bytes, that is a state."""
+        out = np.zeros(len(value), np.int8)
+        for k in range(1, ORDER):
+            held = self.states.find(k << _LENGTH | value & _MASKS[k]) >= 0
+            out[held & (most >= k)] = k
+        return out
+
+    def read(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the states after a byte, its log10 probabilities, whether an arc of a state of full length read it)."""
+        cell = state << 8 | byte
+        at = self.arcs.find(cell)
+        hit = at >= 0
+        weight = np.where(hit, self.weight[at], np.float32(0))
+        length = np.where(hit, self.target[at], 0).astype(np.int64)
+        sure = hit & (state >> _LENGTH == ORDER - 1)
+        open_ = np.flatnonzero(~hit)
+        now = state[open_]
+        while len(open_):  # failure arcs
+            at = self.states.find(now)
+            depth = now >> _LENGTH
+            weight[open_] += np.where(depth == 0, self.bottom, np.where(at >= 0, self.fail[at], np.float32(0)))
+            open_, now, depth = open_[depth > 0], now[depth > 0], depth[depth > 0] - 1
+            now = depth << _LENGTH | now & _MASKS[depth]
+            at = self.arcs.find(now << 8 | byte[open_])
+            hit = at >= 0
+            weight[open_[hit]] += self.weight[at[hit]]
+            length[open_[hit]] = self.target[at[hit]]
+            open_, now = open_[~hit], now[~hit]
+        return length << _LENGTH | cell & _MASKS[length], weight, sure
+
+    def walk(self, stream: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte of a block's documents: its log10 probability after all that is before it in its document, and ``sure``."""
         sizes = np.diff(bounds)
         parts = -(-sizes // STRETCH)
         doc = np.repeat(np.arange(len(sizes)), parts)
@@ -178,57 +202,76 @@ class Automaton:
         order = np.argsort(-length, kind="stable")
         at, lead, length = (bounds[doc] + begin - lead)[order], lead[order], length[order]
         state = np.where(lead > 0, 0, self.start)
-        out = np.zeros(len(stream), np.float32)
+        out, sure = np.zeros(len(stream), np.float32), np.zeros(len(stream), bool)
         live = len(at)
-        flat_step, flat_weight = self.step.ravel(), self.weight.ravel()
         for k in range(int(length[0]) if len(length) else 0):
             while live and length[live - 1] <= k:
                 live -= 1
             here = at[:live] + k
-            cell = state[:live] * 256 + stream[here]
+            state[:live], weight, whole = self.read(state[:live], stream[here].astype(np.int64))
             counts = lead[:live] <= k
-            out[here[counts]] = flat_weight[cell[counts]]
-            state[:live] = flat_step[cell]
-        return out
-
-
-def fit(train: DataFrame) -> Automaton:
-    """The dense automaton of the texts of a small ``train`` (text): all its states and their arcs reach the driver."""
-    grams = stored(train.select("text").mapInArrow(_count("grams"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    contexts, arcs = [], []
-    for k in range(ORDER):
-        found = grams.groupBy(F.expr(f"key & {(1 << 8 * (k + 1)) - 1}L").alias("gram")).agg(F.sum("n").alias("n"))
-        if k == 0:
-            contexts.append(np.zeros(1, np.int64))
-            rows = found.toArrow()
-        else:
-            found = found.withColumn("context", F.shiftright("gram", 8))
-            states = found.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST).select("context")
-            rows = found.join(states, "context").select("gram", "n").toArrow()
-            contexts.append(np.unique(rows.column("gram").to_numpy() >> 8))
-        arcs.append((rows.column("gram").to_numpy(), rows.column("n").to_numpy()))
-    return Automaton.build(contexts, arcs)
+            out[here[counts]], sure[here[counts]] = weight[counts], whole[counts]
+        return out, sure
 
 
-def closed(grams: DataFrame) -> DataFrame:
-    """(key, n, weight) for each n-gram of ``grams`` (key, n): the log10 probability of its last byte after the others."""
-    lower = None
+def levels(grams: DataFrame) -> list[DataFrame]:
+    """For each order, (gram, n, p, fail, state): the n-grams of ``grams`` (key, n), the probability of the last byte after the others,
+    the weight of their failure arc, and whether they are a state. A context that is none passes on what its suffix gives."""
+    out: list[DataFrame] = []
     for k in range(ORDER):
-        mask = (1 << 8 * (k + 1)) - 1
-        counts = grams.groupBy(F.expr(f"key & {mask}L").alias("gram")).agg(F.sum("n").alias("n"))
+        counts = grams.groupBy(F.expr(f"key & {_MASKS[k + 1]}L").alias("gram")).agg(F.sum("n").alias("n"))
         context = Window.partitionBy(F.shiftright("gram", 8))
-        level = counts.withColumns({"total": F.sum("n").over(context), "kinds": F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(context)})
-        if lower is None:
-            level = level.withColumn("lower", F.lit(1 / 256))
+        level = counts.withColumns({"total": F.sum("n").over(context), "kinds": F.count("*").over(context)})
+        if k:
+            level = level.withColumn("suffix", F.expr(f"gram & {_MASKS[k]}L")).join(out[-1].select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
         else:
-            level = level.withColumn("suffix", F.expr(f"gram & {mask >> 8}L")).join(lower, "suffix")
+            level = level.withColumn("lower", F.lit(1 / 256))
         own = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("lower")
-        least = LEAST if k else 1
-        p = F.when(F.col("total") >= least, own / F.col("total")).otherwise(F.col("lower"))
-        lower = level.select(F.col("gram").alias("suffix"), "n", p.alias("lower"))
-        if k < ORDER - 1:
-            lower = lower.drop("n")
-    return lower.select(F.col("suffix").alias("key"), "n", F.log10("lower").cast("float").alias("weight"))
+        state = F.col("total") >= (LEAST if k else 1)
+        level = level.select("gram", "n", F.when(state, own / F.col("total")).otherwise(F.col("lower")).alias("p"), (DISCOUNT * F.col("kinds") / F.col("total")).alias("fail"), state.alias("state"))
+        out.append(stored(level.where("state") if k == ORDER - 1 else level, f"order{k + 1}"))
+    return out
+
+
+def arcs(orders: list[DataFrame]) -> DataFrame:
+    """(key, n, weight, fail) of all arcs of the automaton: the key is the length of the state, its context and the byte."""
+    parts = [level.where("state").select((F.col("gram") + F.lit(k << _LENGTH + 8)).alias("key"), "n", F.log10("p").cast("float").alias("weight"), F.log10("fail").cast("float").alias("fail")) for k, level in enumerate(orders)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionAll(part)
+    return whole
+
+
+def frequent(whole: DataFrame) -> tuple[DataFrame, bool]:
+    """The arcs to broadcast, at most ``MOST``, and whether these are all. Of more, those whose count reaches the least power of
+    two that leaves no more than MOST; with an arc, those of the suffixes and of the contexts it passes are in as well."""
+    sizes = sorted(whole.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("size")).collect(), reverse=True)
+    held = 0
+    for row in sizes:  # a row for each power of two
+        held += row["size"]
+        if held > MOST:
+            return whole.where(F.col("n") >= F.lit(2 ** (row["power"] + 1))), False
+    return whole, True
+
+
+def by_failure(steps: DataFrame, orders: list[DataFrame], bottom: float) -> DataFrame:
+    """(gram, weight) for the distinct n-grams of ``ORDER`` bytes in ``steps`` (gram): failure arcs followed by joins, longest context first."""
+
+    def follow(now: DataFrame, k: int) -> DataFrame:
+        # the arcs of a state are at most 256
+        arc = F.struct(F.expr("gram & 255L"), F.log10("p"))
+        states = orders[k].where("state").groupBy(F.shiftright("gram", 8).alias("context")).agg(F.log10(F.first("fail")).alias("fail"), F.map_from_entries(F.collect_list(arc)).alias("arcs"))
+        now = now.withColumn("context", F.expr(f"shiftright(gram, 8) & {_MASKS[k]}L")).join(states, "context", "left")
+        read = F.coalesce("weight", F.col("passed") + F.try_element_at("arcs", F.expr("gram & 255L")))
+        return now.select("gram", read.alias("weight"), (F.col("passed") + F.coalesce("fail", F.lit(0.0))).alias("passed"))
+
+    first = stored(follow(steps.select("gram").distinct().select("gram", F.lit(None).cast("double").alias("weight"), F.lit(0.0).alias("passed")), ORDER - 1), "failing")
+    rest = first.where("weight is null")
+    for k in range(ORDER - 2, 0, -1):
+        rest = follow(rest, k)
+    root = orders[0].select(F.col("gram").alias("byte"), F.log10("p").alias("own"))  # at most 256 rows
+    rest = rest.join(F.broadcast(root), F.expr("gram & 255L") == F.col("byte"), "left")
+    return first.where("weight is not null").select("gram", "weight").unionAll(rest.select("gram", F.coalesce("weight", F.col("passed") + F.coalesce("own", F.lit(bottom)))))
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,14 +282,13 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _score(steps, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, weights = steps.value
+        automaton, whole = steps.value
         keys, logs, end, least = head.value
         for batch in batches:
-            for block in T.blocks(batch.column(1)):
+            for block in T.blocks(batch.column(1), WALK_BYTES):
                 stream, bounds = streams(block)
-                found, place = np.unique(packed(stream, bounds), return_inverse=True)
-                at, held = _place(grams, found)
-                score = np.add.reduceat(np.where(held, weights[at], np.float32(0)).astype(float)[place], bounds[:-1])
+                weight, sure = automaton.walk(stream, bounds)
+                score = np.add.reduceat(np.where(sure | whole, weight, np.float32(0)).astype(float), bounds[:-1])
                 at, known = _place(keys, T.signed(block.word_hashes(lower=True)))
                 owner = block.document_of_word()
                 base = np.bincount(owner[known], weights=logs[at[known]], minlength=block.rows)
@@ -273,15 +315,16 @@ def _rare_words(head):
 
 
 def _rare_steps(steps):
-    """(gram, key, times) of the n-grams that the broadcast table doesn't hold."""
+    """(gram, key, times) of the steps where the walk is not sure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = steps.value[0]
+        automaton = steps.value[0]
         for batch in batches:
             for block in T.blocks(batch.column(1)):
                 stream, bounds = streams(block)
                 found, place = np.unique(packed(stream, bounds), return_inverse=True)
-                rare = np.flatnonzero(~_place(grams, found)[1][place])
+                # a walk is sure just where the automaton holds the arc of full length
+                rare = np.flatnonzero((automaton.arcs.find((ORDER - 1 << _LENGTH + 8) + found) < 0)[place])
                 owner = np.searchsorted(bounds, rare, side="right") - 1
                 pairs, times = np.unique(place[rare] * block.rows + owner, return_counts=True)
                 rows = pa.array(pairs % block.rows + block.first)
@@ -318,25 +361,27 @@ def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2) -> DataFrame:
         keys, logs = np.array([np.iinfo(np.int64).max]), np.zeros(1)
     end = float(np.log10(end_count + 1.0) - scale)
     head = spark.sparkContext.broadcast((keys, logs, end, -float(scale)))
-    grams = stored(rows.select("text", "held_out").mapInArrow(_count("grams"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    arcs = stored(closed(grams), "arcs")
-    size, total = arcs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    often = F.col("n") >= total / MOST if size > MOST else F.lit(True)
-    frequent = arcs.where(often).select("key", "weight").toArrow()
-    order = np.argsort(frequent.column("key").to_numpy())
-    columns = [frequent.column(c).to_numpy()[order] for c in ("key", "weight")] if len(order) else [np.full(1, -1), np.zeros(1, np.float32)]
-    steps = spark.sparkContext.broadcast(columns)
+    grams = stored(train.mapInArrow(_count("grams"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    orders = levels(grams)
+    held, whole = frequent(arcs(orders))
+    rows_ = held.select("key", "weight", "fail").toArrow()
+    kinds = orders[0].count()
+    read = orders[0].agg(F.sum("n")).first()[0]
+    bottom = float(np.log10((DISCOUNT * kinds / read if read else 1.0) / 256))
+    automaton = Automaton(*(rows_.column(c).to_numpy() for c in ("key", "weight", "fail")), bottom)
+    steps = spark.sparkContext.broadcast((automaton, whole))
     texts = rows.select("key", "text")
     main = texts.mapInArrow(_score(steps, head), "key long, n_tokens long, head_known long, head_base double, head_score double")
     own = F.log10(F.col("n") + 1.0) - float(scale)
     # a row that repeats k times sends its words and n-grams k times
     rare = texts.mapInArrow(_rare_words(head), "word long, key long").join(words.where(F.col("n") < HEAD_SHARE * n), "word")
     per_key = rare.groupBy("key").agg(F.count("*").alias("known"), F.sum(own).alias("logs"))
-    if size > MOST:
-        rest = texts.mapInArrow(_rare_steps(steps), "gram long, key long, times long").join(arcs.where(~often).select(F.col("key").alias("gram"), "weight"), "gram")
-        per_key = per_key.join(rest.groupBy("key").agg(F.sum(F.col("times") * F.col("weight").cast("double")).alias("steps")), "key", "full")
-    else:
+    if whole:
         per_key = per_key.withColumn("steps", F.lit(0.0))
+    else:
+        rest = stored(texts.mapInArrow(_rare_steps(steps), "gram long, key long, times long"), "steps")
+        weights = by_failure(rest, orders, bottom)
+        per_key = per_key.join(rest.join(weights, "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("weight")).alias("steps")), "key", "full")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"))
     joined = main.join(copies.join(per_key, "key", "left"), "key")
     each = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))

@@ -405,7 +405,9 @@ def test_quality_scores_match_plain_neighbours(spark):
         assert got[r["doc_id"]] == pytest.approx(sum(w * m.labels[j] for w, (_, j) in zip(weights, votes, strict=True)) / sum(weights), abs=2e-3)
 
 
-def test_scores_match_a_plain_backoff_model(spark):
+@pytest.mark.parametrize("most", [lm.MOST, 1000, 20])  # the whole automaton walked; most steps, nearly all steps by joins
+def test_scores_match_a_plain_backoff_model(spark, monkeypatch, most):
+    monkeypatch.setattr(lm, "MOST", most)
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").limit(60)
     texts = dict(docs.select("doc_id", "text").collect())
     stream = {i: b"".join(w + b" " for w in words(t)) + b"\n" for i, t in texts.items()}
@@ -449,30 +451,46 @@ def test_scores_match_plain_counting(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
 
 
+def automaton_of(docs):
+    grams = docs.select("text").mapInArrow(lm._count("grams"), "key long, n long").groupBy("key").agg({"n": "sum"}).toDF("key", "n")
+    orders = lm.levels(grams)
+    rows = lm.arcs(orders).select("key", "weight", "fail").toArrow()
+    read = orders[0].agg({"n": "sum"}).first()[0]
+    return lm.Automaton(*(rows.column(c).to_numpy() for c in ("key", "weight", "fail")), math.log10(lm.DISCOUNT * orders[0].count() / read / 256))
+
+
 def test_automaton_sums_to_one_and_walks_like_a_loop(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200)
-    a = lm.fit(docs)
-    assert np.abs((10.0**a.weight).sum(axis=1) - 1).max() < 1e-5
+    a = automaton_of(docs)
+    for state in [0, a.start, *a.states.keys[:: len(a.states.keys) // 200].tolist()]:
+        _, weight, _ = a.read(np.full(256, state), np.arange(256))
+        assert (10.0 ** weight.astype(float)).sum() == pytest.approx(1, abs=1e-5)
     texts = ["the of and", "", "é " * 2000, docs.first()["text"]]
-    block = next(T.blocks(pa.array(texts)))
-    stream, bounds = lm.streams(block)
-    got = a.walk(stream, bounds)
+    stream, bounds = lm.streams(next(T.blocks(pa.array(texts))))
+    got, _ = a.walk(stream, bounds)
     for k in range(len(texts)):
-        state = a.start
+        state = np.array([a.start])
         for at in range(bounds[k], bounds[k + 1]):
-            assert got[at] == a.weight[state, stream[at]]
-            state = a.step[state, stream[at]]
+            state, weight, _ = a.read(state, stream[at : at + 1].astype(np.int64))
+            assert got[at] == weight[0]
 
 
-def test_scores_use_every_state_of_the_corpus(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
-    texts = dict(docs.select("doc_id", "text").collect())
-    a = lm.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 != 2").select("text"))
-    stream, bounds = lm.streams(next(T.blocks(pa.array(list(texts.values())), 1 << 30)))
-    expected = dict(zip(texts, np.add.reduceat(a.walk(stream, bounds).astype(float), bounds[:-1]), strict=True))
-    for most in (lm.MOST, 1000):  # all steps from the broadcast table, and most steps from the join
-        monkeypatch.setattr(lm, "MOST", most)
-        assert {r["doc_id"]: r["score"] for r in lm.score(docs).collect()} == pytest.approx(expected, rel=1e-5)
+def test_held_out_texts_add_nothing_to_the_automaton(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
+    sizes = []
+    monkeypatch.setattr(lm, "frequent", lambda whole, made=lm.frequent: sizes.append(whole.count()) or made(whole))
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    more = docs.unionAll(spark.createDataFrame([(held, "zq xj vk " * 50)], docs.schema))
+    a, b = ({r["doc_id"]: r["score"] for r in lm.score(d).collect()} for d in (docs, more))
+    assert sizes[0] == sizes[1] and a == {i: s for i, s in b.items() if i != held}
+
+
+def test_places_find_what_they_hold():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 56, 5000))
+    places = lm.Places(keys)
+    assert (places.find(keys) == np.arange(len(keys))).all() and (places.find(np.setdiff1d(rng.integers(0, 1 << 56, 5000), keys)) == -1).all()
+    assert (lm.Places(keys[:0]).find(keys) == -1).all()
 
 
 def test_leaks_with_substitutions_are_found(spark):
