@@ -8,7 +8,8 @@ classes and ids. Pages are ordered by host, path and the rest of the URL, so tha
   shares them, those inside if ``SEVERAL`` do. Near pages that are copies don't count.
 - Furniture whose words differ from page to page is aligned by path. A line whose path names furniture (by class, id or role)
   goes if a near page has a line at the same place; a name alone deletes nothing where there is a near page to compare with.
-  A page that is alone on its host has none: there the name decides.
+  A page that is alone on its host has none: there the name decides. Inside of a marked article a class or id names furniture
+  only as a whole (``comment-list``, not ``comment-on-the-law``), a header or banner is the article's own, and its first heading stays.
 - Elements that are no text by the meaning of their tag (scripts, styles, forms, ``nav``, ``aside``, ``header`` and ``footer`` outside of
   an article) are left out before the comparison.
 
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_PLAIN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)  # quotes do not hide a ">"
+MISQUOTED = 16  # after so many tags whose quotes don't close, quotes of the page count no more
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -47,6 +50,10 @@ SPACED = frozenset("br wbr img hr input".split())
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: words that may stand beside these in a name inside of an article
+NEUTRAL = frozenset("area article author bar block body bottom box container content count entry feed footer form header icons inline inner item items left link links list main meta news note outer page panel post posts reader right section site slot text thread title top unit user wrap wrapper zone".split())
+OWN = frozenset("banner header masthead".split())  # an article may have these itself
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 _CLOSES = {tag: frozenset("p".split()) for tag in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 _CLOSES |= {"li": frozenset(["li", "p"]), "dd": frozenset(["dd", "dt", "p"]), "dt": frozenset(["dd", "dt", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
@@ -59,11 +66,22 @@ PART_BYTES = 32 << 20  # html of a part
 class Line(NamedTuple):
     text: str
     article: bool  # whether the page marks it as its article
-    place: str  # the path of the elements above it
-    named: str  # the path down to the outermost element that names furniture, or ""
+    place: int  # stands for the path of the elements above it
+    named: int  # stands for the path down to the outermost element that names furniture; 0: none
 
 
-def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
+def _names(value: str, article: bool) -> bool:
+    """Whether a class or id names furniture; inside of an article only by whole names."""
+    if not article:
+        return not FURNITURE.isdisjoint(_WORDS.findall(value))
+    for name in value.split():
+        listed = FURNITURE.intersection(found := _WORDS.findall(name))
+        if listed - OWN and all(word in listed or word in NEUTRAL for word in found):
+            return True
+    return False
+
+
+def _attributes(tag: str, raw: str, article: bool) -> tuple[str, bool, bool]:
     """(the element with its class and id, whether it is hidden, whether it names furniture)."""
     own, hidden, named = [tag], False, False
     for m in _ATTRIBUTE.finditer(raw):
@@ -71,78 +89,110 @@ def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
         hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) is not None
         if name in ("class", "id", "role"):
             own.append(f"{name}={_DIGITS.sub('0', value)}")
-            listed = value in ROLES if name == "role" else FURNITURE.intersection(_WORDS.findall(value))
-            named |= bool(listed) and tag not in ("html", "body", "article", "main")
+            listed = value in ROLES if name == "role" else _names(value, article)
+            named |= listed and tag not in ("html", "body", "article", "main")
     return "|".join(own), hidden, named
 
 
 def lines(page: str) -> list[Line]:
-    """The text lines of a page in order, without the elements that are no text by their tag."""
+    """The text lines of a page in order, without the elements that are no text by their tag.
+
+    The time grows with the page alone: a search that finds nothing isn't made again, paths are hashed step by step, and the
+    open elements are counted by scope, so that the stack is searched only for what is there to be closed.
+    """
     out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, str, str]] = []  # tag; hidden, in the article, path, named path (own or above)
-    hidden, article, place, named = False, False, "", ""
-    at = 0
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag; hidden, in the article, path, named path (own or above)
+    hidden, article, place, named = False, False, 0, 0
+    scopes: list[tuple[str, Counter[str]]] = [("", Counter())]  # the open scopes, each with the open elements right in it
+    opened: Counter[str] = Counter()
+    titled = False  # whether the article has had a heading
+    absent: set[str] = set()  # raw elements that no tag closes any more
+    misquoted = at = 0
+    last = page.rfind(">") + 1
 
     def flush() -> None:
+        nonlocal titled
         if parts:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Line(text, article, place, named))
+                own = article and not titled and bool(stack) and stack[-1][0] in HEADINGS
+                titled = titled or own
+                out.append(Line(text, article, place, 0 if own else named))
             parts.clear()
 
     def close(depth: int) -> None:
-        nonlocal hidden, article, place, named
-        del stack[depth:]
-        hidden, article, place, named = stack[-1][1:] if stack else (False, False, "", "")
+        nonlocal hidden, article, place, named, titled
+        while len(stack) > depth:
+            tag = stack.pop()[0]
+            if tag in _SCOPE:
+                scopes.pop()
+            scopes[-1][1][tag] -= 1
+            opened[tag] -= 1
+        hidden, article, place, named = stack[-1][1:] if stack else (False, False, 0, 0)
+        titled = titled and article
 
     lower = None
-    while m := _TOKEN.search(page, at):
+    while m := (_TOKEN if misquoted < MISQUOTED else _PLAIN).search(page, at, last):
         if not hidden and m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        if page.startswith("<!--", m.start()) and not page.endswith("-->", m.start(), at):
+            at = len(page)  # a comment that never ends
+        slash, tag, attributes, *other = m.groups("")
+        if other and other[1]:
+            slash, tag, attributes = other
+            misquoted += 1
+        tag = tag.lower()
         if not tag:
             continue
-        ends, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        ends = slash == "/"
         if tag in SPACED and not hidden:
             parts.append(" ")
         if tag in BLOCKS:
             flush()
         if ends:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and (tag in _SCOPE or not any(s[0] in _SCOPE for s in stack[depth + 1 :])):
+            if opened[tag] if tag in _SCOPE else scopes[-1][1][tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
                 close(depth)
             continue
         if tag in VOID:
             continue
         if tag in RAW:
             lower = page.lower() if lower is None else lower
-            end = lower.find("</" + tag, at)
+            end = -1 if tag in absent else lower.find("</" + tag, at)
             if end < 0:
+                absent.add(tag)
                 at = len(page) if tag in ("script", "style", "textarea", "title") else at
                 continue
             stop = page.find(">", end)
             at = len(page) if stop < 0 else stop + 1
             continue
         if closes := _CLOSES.get(tag):
-            for k in range(len(stack) - 1, -1, -1):
+            k = len(stack) - 1
+            while k >= 0 and (scopes[-1][0] in closes or any(scopes[-1][1][c] > 0 for c in closes)):
                 if stack[k][0] in closes:
                     close(k)
-                elif stack[k][0] in _SCOPE:
-                    break
+                k -= 1
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
-        own, unseen, listed = _attributes(tag, attributes) if attributes else (tag, False, False)
+        own, unseen, listed = _attributes(tag, attributes, article) if attributes else (tag, False, False)
         if tag in BLOCKS or attributes:
-            place = f"{place}/{own}"
-        named = named or (place if listed else "")
+            place = hash((place, own)) or 1
+        named = named or (place if listed else 0)
         hidden = hidden or unseen or tag in DROPPED and not (tag == "header" and article)
         article = article or tag in MAIN
         stack.append((tag, hidden, article, place, named))
+        opened[tag] += 1
+        scopes[-1][1][tag] += 1
+        if tag in _SCOPE:
+            scopes.append((tag, Counter()))
     if not hidden and at < len(page):
-        parts.append(page[at:])
+        rest = page.find("<!--", at)
+        parts.append(page[at : rest if rest >= 0 else len(page)])
     flush()
     return out
 

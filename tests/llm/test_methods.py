@@ -493,6 +493,33 @@ def test_places_find_what_they_hold():
     assert (lm.Places(keys[:0]).find(keys) == -1).all()
 
 
+@pytest.mark.parametrize("name", ["section-header", "article-header", "notice", "ad-hoc", "comment-on-the-law", "news-banner", "plain"])
+def test_names_in_an_article_leave_its_heading(name):
+    page = "<body><div class='{0}'><b>outer</b></div><article><div class='{0}'><h2>Heading {1}</h2></div><p>Text {1} of its own.</p><div class='comment-list ads'><h2>Said {1}</h2>by a reader {1}</div></article></body>"
+    pages = [html_diff.lines(page.format(name, w)) for w in ("one", "two", "three", "four", "five")]
+    for k, own in enumerate(pages):
+        near = [pages[j] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(pages)]
+        for beside in (near, []):  # a page alone on its host has names only
+            kept = [line.text for line, stay in zip(own, html_diff.difference(own, beside), strict=True) if stay]
+            assert [t for t in kept if t != "outer"] == [own[1].text, own[2].text] and own[1].text.startswith("Heading")
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a href='" * 110_000, "<a '>'\"" * 100_000, "<div>" * 50_000 + "x" + "</p>" * 50_000, "<svg>" * 100_000, "<b>" * 50_000 + "<p>x" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<!" * 300_000],
+    ids=["quotes", "misquoted", "nested", "raw", "closing", "scoped", "declarations"],
+)
+def test_broken_pages_take_time_by_their_length(page):
+    begin = time.process_time()
+    html_diff.lines(page)
+    assert time.process_time() - begin < 10  # a rescan for each tag takes minutes
+
+
+def test_a_comment_that_never_ends_hides_the_rest():
+    assert [line.text for line in html_diff.lines("<p>a <b>b</b><!-- c <p>d</p> e")] == ["a b"]
+    assert [line.text for line in html_diff.lines("<p>a<!-- c")] == ["a"] and [line.text for line in html_diff.lines("no tag < here")] == ["no tag < here"]
+
+
 def test_leaks_with_substitutions_are_found(spark):
     rng = random.Random(9)
     items = [[rng.choice(VOCABULARY) for _ in range(30)] for _ in range(10)]
