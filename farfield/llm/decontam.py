@@ -232,14 +232,31 @@ def match(d: np.ndarray, i: np.ndarray) -> tuple[int, int, int] | None:
 HITS = "key long, item long, matched long, item_words long, first_word long, last_word long"
 
 
+ITEM_WORDS = 1 << 20  # words of items that a task keeps
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, item, text) come ordered by key, first the document (null item), then the items to compare it with."""
     names = [x.split()[0] for x in HITS.split(", ")]
+    words = lambda column, k: tokens(next(T.blocks(column.slice(k, 1))))[0]
+    d = np.zeros(0, np.uint64)
+    kept: dict[int, np.ndarray] = {}
+    size = 0
     for batch in batches:
         out = []
-        for k in range(batch.num_rows):
-            d, i = (tokens(next(T.blocks(batch.column(c).slice(k, 1))))[0] for c in (2, 3))
-            if found := match(d, i):
-                out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), found[0], len(i), *found[1:]))
+        keys, items, texts = (batch.column(c) for c in range(3))
+        for k, (key, item) in enumerate(zip(keys.to_pylist(), items.to_pylist(), strict=True)):
+            if item is None:
+                d = words(texts, k)
+                continue
+            if item not in kept:
+                i = words(texts, k)
+                size += len(i)
+                if size > ITEM_WORDS:
+                    kept, size = {}, len(i)
+                kept[item] = i
+            if found := match(d, kept[item]):
+                out.append((key, item, found[0], len(kept[item]), *found[1:]))
         columns = list(zip(*out, strict=True)) if out else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
@@ -267,7 +284,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = rows.select("key", "text").mapInArrow(_doc_seeds(field, lengths), "seed long, key long")
     pairs = stored(hits.join(keys, "seed").select("key", "item").distinct(), "pairs")
     texts = rows.select("key", F.col("text").alias("doc_text")).join(pairs.select("key").distinct(), "key").dropDuplicates(["key"])
-    both = pairs.join(texts, "key").join(classes.withColumnRenamed("text", "item_text"), "item").select("key", "item", "doc_text", "item_text")
+    # each document is sent and cut into words once, whatever the number of its items
+    rows = texts.select("key", F.lit(None).cast("long").alias("item"), F.col("doc_text").alias("text"))
+    both = rows.unionAll(pairs.join(classes, "item").select("key", "item", "text")).repartition("key").sortWithinPartitions("key", "item")
     return both.mapInArrow(_verify, HITS).join(items.select("item", "item_id").distinct(), "item").drop("item")
 
 

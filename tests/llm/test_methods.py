@@ -520,6 +520,21 @@ def test_a_comment_that_never_ends_hides_the_rest():
     assert [line.text for line in html_diff.lines("<p>a<!-- c")] == ["a"] and [line.text for line in html_diff.lines("no tag < here")] == ["no tag < here"]
 
 
+def test_a_document_is_cut_into_words_once_for_all_its_items(monkeypatch):
+    rng = random.Random(4)
+    items = {i: " ".join(rng.choice(VOCABULARY) for _ in range(30)) for i in range(40)}
+    docs = {k: " ".join(items[i] for i in range(k, 40, 3)) for k in range(3)}
+    rows = [(k, i, docs[k] if i is None else items[i]) for k in docs for i in (None, *items)]
+    cut, tokens = [], decontam.tokens
+    monkeypatch.setattr(decontam, "tokens", lambda block: cut.append(block.rows) or tokens(block))
+    for room, times in ((decontam.ITEM_WORDS, 3 + 40), (600, 3 + 3 * 40)):  # items kept for the task, and let go
+        monkeypatch.setattr(decontam, "ITEM_WORDS", room)
+        cut.clear()
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 17], strict=True)], names=["key", "item", "text"]) for at in range(0, len(rows), 17)]
+        got = {(r["key"], r["item"]) for b in decontam._verify(iter(batches)) for r in b.to_pylist() if r["matched"] == 30}
+        assert got == {(k, i) for k in docs for i in range(k, 40, 3)} and len(cut) == times
+
+
 def test_leaks_with_substitutions_are_found(spark):
     rng = random.Random(9)
     items = [[rng.choice(VOCABULARY) for _ in range(30)] for _ in range(10)]
