@@ -1,31 +1,38 @@
 """PII surrogates in DataFrame and SQL functions alone.
 
 Entities are found by one pattern and brought to a canonical form (digits of a number, lower-cased address; a name is its
-given name and its family name, each an entity of its own). Each distinct entity gets one surrogate from a keyed SHA-512:
+given names and its family name, each an entity of its own). Each distinct entity gets one surrogate from a keyed SHA-512:
 of the same kind, script and format, a given name of the same gender. A surrogate must differ from all other surrogates
 and from all entities of its kind in the table; one that doesn't is drawn again with the next attempt number, and longer as
-attempts go on. Equal entities therefore read alike everywhere, different ones stay different, and Mr. John Smith, Mr. Smith
+attempts go on, so that no format runs out of places. Equal entities therefore read alike everywhere, different ones stay different, and Mr. John Smith, Mr. Smith
 and Dr. Smith stay one family. Each mention is then written in its own format, and the text is put together from what lies
 between the mentions.
 
-Card numbers must satisfy their check digit, IBANs get a right one. Names are found after a form of address only; birth
-dates after a word for birth; addresses as number and street. Names without any of these are not found.
+Card numbers must satisfy their check digit, IBANs get a right one. Names are found after a form of address, over up to four
+parts with initials and particles (Dr. John F. van der Berg): the last part is the family name, the others are given names,
+particles stay, and an initial moves along its alphabet by a step that the key sets. Once a document has a name with a form
+of address, the words of that name are replaced wherever the document has them as they are there or in capitals, unless it has
+the word in lower case too (Mr. Brown, a brown bear: only the addressed one goes). Birth dates are found after a word for
+birth, addresses as number and street. Names of people whom their document never addresses so aren't found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farfield.llm.scratch import free_names, stored
 
 DEFAULT_KEY = "farfield"
-MAX_ATTEMPTS = 64
 
 #: fixed values: forms of address by gender, names by gender and script, syllables and letters by script
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|г-н"
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Srta|г-жа"
 OPEN_TITLES = "Dr|Prof"
+PARTICLES = "von|van|vom|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|zu|zur|bin|al"
 GIVEN = {
     "m": "Adam Arthur Bruno Carl Daniel David Edgar Emil Felix George Hugo Ian Jonas Karl Leo Louis Martin Max Nils Oscar Otto Paul Peter Robert Simon Theo Thomas Victor Walter Xavier",
     "f": "Ada Alice Anna Bella Clara Diana Edith Elena Emma Flora Grace Hanna Ida Irene Julia Karla Laura Lena Lucia Maria Martha Nina Nora Olga Paula Rosa Sara Sofia Theresa Vera",
@@ -50,15 +57,21 @@ LETTERS = {
 }
 
 _TITLES = f"{MALE_TITLES}|{FEMALE_TITLES}|{OPEN_TITLES}"
-_PART = r"(?:\p{Lu}[\p{L}\p{M}'’-]+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,4}|[\p{Lo}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]][\p{L}\p{M}]*)"
-NAME = rf"\b(?:{_TITLES})\.? {_PART}(?: {_PART})?"
+_INNER = r"['’-](?!s\b)(?=\p{L})"
+_PART = rf"(?:\p{{Lu}}(?:[\p{{L}}\p{{M}}]|{_INNER})+|[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]{{1,4}}|[\p{{Lo}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]][\p{{L}}\p{{M}}]*)"
+_BEFORE_PART = rf"(?:\p{{Lu}}\. )*(?:(?:{PARTICLES}) )*(?!(?:{_TITLES})\b)"
+NAME = rf"\b(?:{_TITLES})\.? {_BEFORE_PART}{_PART}(?: {_BEFORE_PART}{_PART}){{0,3}}"
+#: what stands in a name without being a part of it
+_BETWEEN = rf"^(?:\p{{Lu}}\.|{PARTICLES})$"
+#: places where a word begins or ends
+_EDGE = rf"(?<![\p{{L}}\p{{M}}])(?<!\p{{L}}['’-])(?=\p{{L}})|(?<=[\p{{L}}\p{{M}}])(?![\p{{L}}\p{{M}}]|{_INNER})"
 EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _WORD_BEFORE = "(?i:token|secret|password|passwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']?"
 _PREFIX = "(?:AKIA|ASIA|gh[pousr]_|sk-|xox[baprs]-)"
 SECRET = rf"(?=[A-Za-z0-9_/+-]{{12}})(?<={_WORD_BEFORE})[A-Za-z0-9_/+-]{{12,}}|\b{_PREFIX}[A-Za-z0-9-]{{16,}}|\b[0-9a-fA-F]{{32,}}\b"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 IP = r"(?=\d)(?<![\d.])(?<!(?i:version|release|ver|v)[ .]?)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-IP6 = r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
+IP6 = r"(?<![0-9A-Za-z:])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
@@ -102,11 +115,13 @@ _NAMES = f"regexp_replace(m, '{_sql('^(?:' + _TITLES + ')[.]? ')}', '')"
 _GENDER = f"case when m rlike '{_sql('^(?:' + MALE_TITLES + ')[. ]')}' then 'm' when m rlike '{_sql('^(?:' + FEMALE_TITLES + ')[. ]')}' then 'f' else 'o' end"
 #: a family name without its feminine ending
 _FAMILY = lambda x: f"regexp_replace(lower({x}), '(ов|ев|ёв|ин)а$', '$1')"
+#: the parts of a name in order, without initials and particles
+_NAMED = f"filter(split({_NAMES}, ' '), x -> not x rlike '{_sql(_BETWEEN)}')"
 #: the entities of a mention, in order: (kind, canon)
 ENTITIES = f"""case
     when kind = 'none' then filter(array(named_struct('kind', kind, 'canon', m)), x -> false)
-    when kind = 'name' and {_NAMES} like '% %' then array(named_struct('kind', 'given', 'canon', concat({_GENDER}, ':', lower(split({_NAMES}, ' ')[0]))), named_struct('kind', 'family', 'canon', {_FAMILY(f"split({_NAMES}, ' ')[1]")}))
-    when kind = 'name' then array(named_struct('kind', 'family', 'canon', {_FAMILY(_NAMES)}))
+    when kind = 'name' then transform({_NAMED}, (x, i) -> case when i < size({_NAMED}) - 1 then named_struct('kind', 'given', 'canon', concat({_GENDER}, ':', lower(x)))
+        else named_struct('kind', 'family', 'canon', {_FAMILY("x")}) end)
     when kind in ('phone', 'card', 'ssn') then array(named_struct('kind', kind, 'canon', {_DIGITS}))
     when kind in ('email', 'ip6', 'address') then array(named_struct('kind', kind, 'canon', lower(m)))
     when kind = 'iban' then array(named_struct('kind', kind, 'canon', replace(m, ' ', '')))
@@ -127,6 +142,7 @@ def _swapped(text: str, digest: str = "d") -> str:
 
 
 def _hexed(text: str) -> str:
+    """``text`` with each hexadecimal digit replaced by one of the digest."""
     return f"array_join(transform(split({text}, ''), (c, i) -> case when c rlike '[0-9a-f]' then substring(d, pmod(i * 5, 127) + 1, 1) else c end), '')"
 
 
@@ -155,32 +171,38 @@ _SCRIPTS = (("[\\p{IsCyrillic}]", GIVEN_CYRILLIC, SYLLABLES_CYRILLIC, 2, "ов")
 #: the part of an entity whose letters and digits are swapped one by one
 _RAW = f"""case kind when 'email' then substring_index(canon, '@', 1) when 'iban' then substring(canon, 5) when 'given' then substring(canon, 3)
     when 'secret' then regexp_replace(canon, '^{_PREFIX}', '') else canon end"""
-_NUMBER = f"array_join(transform(split(canon, ''), (c, i) -> case when c = '' then '' when i = 0 then case when kind = 'ssn' then cast(1 + {_R} % 8 as string) else c end when i = 1 and kind = 'phone' then cast(2 + {_R} % 8 as string) else cast({_R} % 10 as string) end), '')"
+#: places more than the entity has: none in the first attempts
+_MORE = "case when kind in ('family', 'given') then attempt div 4 else greatest(0, attempt - 7) div 4 end"
+_LONGER = "case when kind in ('family', 'given') then repeat(right(raw, 1), more) when kind = 'iban' then repeat('A', more) else repeat('a', more) end"
+_LONGER_HEX = """case when more = 0 then canon when kind = 'ip6' then concat(array_join(transform(split(canon, ':'), g -> case when g = '' then g else lpad(g, 4, '0') end), ':'), repeat('0', more - 1))
+    else concat(canon, repeat('0', more)) end"""
+_NUMBER = f"array_join(transform(split(concat(canon, repeat('0', more)), ''), (c, i) -> case when c = '' then '' when i = 0 then case when kind = 'ssn' then cast(1 + {_R} % 8 as string) else c end when i = 1 and kind = 'phone' then cast(2 + {_R} % 8 as string) else cast({_R} % 10 as string) end), '')"
 
 
 def _surrogates(entities: DataFrame) -> DataFrame:
     """Adds s, the surrogate of (kind, canon) for the digest d. What several kinds share is a column of its own."""
     octets = [f"cast({'1 + ' if k in (0, 3) else ''}{_AT(k)} % {(223, 256, 256, 254)[k]} as string)" for k in range(4)]
-    kept = "case when canon like '10.%' then 1 when canon like '192.168.%' then 2 when canon like '127.%' then 1 else 0 end"
+    kept = "case when attempt >= 16 then 0 when canon like '10.%' then 1 when canon like '192.168.%' then 2 when canon like '127.%' then 1 else 0 end"
     ip = "concat_ws('.', " + ", ".join(f"case when {kept} > {k} then split(canon, '[.]')[{k}] else {octets[k]} end" for k in range(4)) + ")"
     domain = "substring_index(canon, '@', -1)"
     last = f"substring_index({domain}, '.', -1)"
     host = _swapped(f"substring({domain}, 1, length({domain}) - length({last}))", "dd")
-    body, unchecked = "substring(digits, 1, length(canon) - 1)", "concat(substring(canon, 1, 2), '00', swapped)"
+    body, unchecked = "substring(digits, 1, length(digits) - 1)", "concat(substring(canon, 1, 2), '00', swapped)"
     card = f"concat({body}, cast((10 - {_luhn(f'concat({body}, 0)')}) % 10 as string))"
     iban = f"concat(substring(canon, 1, 2), {_check_digits(unchecked)}, swapped)"
     birth = f"concat_ws('-', cast(1930 + {_AT(0)} % (76 + 100 * attempt) as string), lpad(cast(1 + {_AT(1)} % 12 as string), 2, '0'), lpad(cast(1 + {_AT(2)} % 28 as string), 2, '0'))"
     number = f"cast(1 + {_AT(0)} % cast(pow(10, length(regexp_extract(canon, '[0-9]+', 0))) - 1 as int) as string)"
     address = f"concat({number}, '|', {_syllables(SYLLABLES, 2)})"
     family = " ".join(f"when raw rlike '{_sql(script)}' then concat({_syllables(words, n)}, '{end}')" for script, _, words, n, end in _SCRIPTS)
-    gender = f"case when canon like 'm:%' then 'm' when canon like 'f:%' or {_AT(1)} % 2 = 0 then 'f' else 'm' end"
+    known = " ".join(f"when substring(canon, 3) in ({', '.join(repr(x.lower()) for names in (GIVEN, GIVEN_CYRILLIC, GIVEN_GREEK) for x in names[g].split())}) then '{g}'" for g in "mf")
+    gender = f"case when canon like 'm:%' then 'm' when canon like 'f:%' then 'f' {known} when {_AT(1)} % 2 = 0 then 'f' else 'm' end"
     given = " ".join(
         f"when raw rlike '{_sql(script)}' then concat(case when {gender} = 'm' then {_pick(names['m'], '0')} else {_pick(names['f'], '0')} end, case when attempt < 4 then '' else {_syllables(words, 0)} end)"
         for script, names, words, _, _ in _SCRIPTS
     )
     secret = "case when canon rlike '^[0-9a-f]*[a-f][0-9a-f]*$' then hexed else concat(substring(canon, 1, length(canon) - length(raw)), swapped) end"
-    shared = entities.withColumn("raw", F.expr(_RAW))
-    shared = shared.withColumns({"swapped": F.expr(_swapped("raw")), "digits": F.expr(f"case when kind in ('card', 'phone', 'ssn') then {_NUMBER} end"), "hexed": F.expr(f"case when kind in ('ip6', 'secret') then {_hexed('canon')} end")})
+    shared = entities.withColumns({"raw": F.expr(_RAW), "more": F.expr(f"cast({_MORE} as int)")})
+    shared = shared.withColumns({"swapped": F.expr(_swapped(f"concat(raw, {_LONGER})")), "digits": F.expr(f"case when kind in ('card', 'phone', 'ssn') then {_NUMBER} end"), "hexed": F.expr(f"case when kind in ('ip6', 'secret') then {_hexed(_LONGER_HEX)} end")})
     return shared.withColumn(
         "s",
         F.expr(
@@ -201,10 +223,10 @@ def _surrogates(entities: DataFrame) -> DataFrame:
     )
 
 
-#: one letter or digit after the other of s in the places of the letters and digits of m
+#: one letter or digit after the other of s in the places of the letters and digits of m, and what is left over at the end
 _FILL = """aggregate(split(m, ''), named_struct('t', cast('' as string), 'j', 1), (a, c) ->
     case when c rlike '[0-9A-Za-z]' then named_struct('t', concat(a.t, substring(s[0], a.j, 1)), 'j', a.j + 1)
-         else named_struct('t', concat(a.t, c), 'j', a.j) end).t"""
+         else named_struct('t', concat(a.t, c), 'j', a.j) end, a -> concat(a.t, substring(s[0], a.j)))"""
 
 
 def _cased(part: str, s: str) -> str:
@@ -213,11 +235,29 @@ def _cased(part: str, s: str) -> str:
     return f"case when {part} = upper({part}) and {part} != lower({part}) and length({part}) > 1 then upper({ended}) else initcap({ended}) end"
 
 
-_FIRST, _LAST = f"split({_NAMES}, ' ')[0]", f"split({_NAMES}, ' ')[size(split({_NAMES}, ' ')) - 1]"
-MENTION = f"""case
+_CAPITALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+
+
+def _initial(x: str, key: str) -> str:
+    """An initial moved along its alphabet by a step that the key sets: equal ones stay equal, different ones different."""
+    step = int(hashlib.sha512(f"{key}|initial".encode()).hexdigest(), 16)
+    moved = [letters[1 + step % (len(letters) - 1) :] + letters[: 1 + step % (len(letters) - 1)] for letters in _CAPITALS]
+    return f"translate({x}, '{''.join(_CAPITALS)}', '{''.join(moved)}')"
+
+
+def _name(key: str) -> str:
+    """A name written from s: particles stay, initials move, each part is the next surrogate."""
+    return f"""substring(aggregate(split({_NAMES}, ' '), named_struct('t', cast('' as string), 'j', 0), (a, x) ->
+        case when x rlike '{_sql(_BETWEEN)}' then named_struct('t', concat(a.t, ' ', case when x like '%.' then {_initial("x", key)} else x end), 'j', a.j)
+             else named_struct('t', concat(a.t, ' ', {_cased("x", "s[a.j]")}), 'j', a.j + 1) end).t, 2)"""
+
+
+def _mention(key: str) -> str:
+    """A mention m written from its surrogates s, in its own format."""
+    return f"""case
     when kind = 'none' then m
     when kind in ('phone', 'card', 'ssn', 'iban') then {_FILL}
-    when kind = 'name' then concat(regexp_extract(m, '{_sql("^(?:" + _TITLES + ")[.]? ")}', 0), case when size(s) = 2 then concat({_cased(_FIRST, "s[0]")}, ' ') else '' end, {_cased(_LAST, "s[size(s) - 1]")})
+    when kind = 'name' then concat(regexp_extract(m, '{_sql("^(?:" + _TITLES + ")[.]? ")}', 0), {_name(key)})
     when kind = 'birth' and not m like '%-%' then concat(substring(s[0], 9, 2), substring(regexp_extract(m, '[./]', 0), 1, 1), substring(s[0], 6, 2), substring(regexp_extract(m, '[./]', 0), 1, 1), substring(s[0], 1, 4))
     when kind = 'address' and m rlike '^[0-9]' then concat(split(s[0], '[|]')[0], ' ', initcap(split(s[0], '[|]')[1]), ' ', substring_index(m, ' ', -1))
     when kind = 'address' then concat(initcap(split(s[0], '[|]')[1]), regexp_extract(m, '(straße|strasse|gasse|platz)', 1), ' ', split(s[0], '[|]')[0])
@@ -247,19 +287,21 @@ def _pieces(text: Column) -> Column:
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """(key, at, m, kind, entities) of (key, text): every mention, in order of at."""
-    pieces = rows.select("key", _pieces(F.col("text")).alias("p")).where("size(p) > 1")
+    """(key, at, m, kind, entities) of (key, p), p a text's pieces: every mention, in order of at."""
     listed = F.expr("filter(transform(p, (x, i) -> named_struct('at', i, 'm', x, 'before', case when i > 0 then right(p[i - 1], 24) else '' end)), x -> x.at % 2 = 1)")
-    found = pieces.select("key", F.inline(listed)).withColumn("kind", F.expr(KIND))
+    found = rows.where("size(p) > 1").select("key", F.inline(listed)).withColumn("kind", F.expr(KIND))
     return found.select("key", "at", "m", "kind", F.expr(ENTITIES).alias("entities"))
 
 
 def mapping(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, s) for distinct (kind, canon): surrogates that meet no entity and no other surrogate of their kind."""
+    """(kind, canon, s) for distinct (kind, canon): surrogates that meet no entity and no other surrogate of their kind.
+
+    What met one is drawn again, longer after a few attempts (private addresses leave their range), until all are settled.
+    """
     entities = stored(entities.select("kind", "canon").distinct(), "entities")
     taken = entities.select("kind", F.expr("case when kind = 'given' then substring(canon, 3) else canon end").alias("s_key")).distinct().withColumn("clash", F.lit(True))
     left, done = entities, None
-    for attempt in range(MAX_ATTEMPTS):
+    for attempt in count():
         digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon", F.lit(str(attempt))), 512)
         domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index("canon", "@", -1)), 512)
         drawn = _surrogates(left.withColumns({"d": digest, "dd": domain, "attempt": F.lit(attempt)})).withColumn("s_key", F.lower("s")).select("kind", "canon", "s", "s_key")
@@ -272,37 +314,56 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
         if left.isEmpty():
             return done
         taken = taken.union(drawn.where("ok").select("kind", "s_key", F.lit(True).alias("clash"))).distinct()
-    raise ValueError(f"no free surrogate after {MAX_ATTEMPTS} attempts: the format of some kind leaves too little room")
+
+
+#: (word, given, new) for the parts of a name m that is written as w, if their script has case, and the same in capitals
+_WRITTEN_PARTS = f"""case when kind = 'name' then filter(transform(zip_with(split({_NAMES}, ' '), split({_NAMES.replace("(m,", "(w,")}, ' '), (x, y) -> named_struct('word', x, 'new', y)),
+    (x, i) -> named_struct('word', x.word, 'given', i < size(split({_NAMES}, ' ')) - 1, 'new', x.new)), x -> x.word != lower(x.word) and not x.word rlike '{_sql(_BETWEEN)}') end"""
+_IN_CAPITALS = "concat(parts, transform(parts, x -> named_struct('word', upper(x.word), 'given', x.given, 'new', upper(x.new))))"
+
+
+def _per_document(written: DataFrame) -> DataFrame:
+    """(key, w, n, names): the mentions of a document in order, how many hold an entity, and the new form of each name's words."""
+    written = written.withColumn("parts", F.expr(_WRITTEN_PARTS)).withColumn("parts", F.expr(_IN_CAPITALS))
+    out = written.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("w"), F.count_if(F.col("kind") != "none").alias("n"), F.flatten(F.collect_list("parts")).alias("parts"))
+    out = out.withColumns({"w": F.col("w.w"), "parts": F.array_sort(F.array_distinct("parts"))})
+    first = F.expr("transform(filter(parts, (x, i) -> i = 0 or parts[i - 1].word != x.word), x -> named_struct('word', x.word, 'new', x.new))")
+    return out.select("key", "w", F.col("n").cast("int").alias("n"), F.when(F.size("parts") > 0, F.map_from_entries(first)).alias("names"))
 
 
 def surrogate(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """``docs``, all columns, with each PII mention in ``text`` replaced, and n_entities (int) added.
+    """``docs``, all columns, with each PII mention in ``text`` replaced, and n_entities (int, mentions replaced) added.
 
     Texts without PII come back as they are, null as null. Repeated rows and null ids get the same replacements. A given
-    name of unknown gender takes that which the table knows for it, if it is one. The surrogates depend on ``key`` and on
+    name of unknown gender takes that which the table knows for it, if it is one, else that of the lists of names. The surrogates depend on ``key`` and on
     the distinct entities of the table alone, not on how it is partitioned. The mentions of a document are gathered in one
-    row: as many as its text holds. No rows give no rows. Other columns pass through, whatever their names (an n_entities of
-    the input is replaced).
+    row: as many as its text holds. Its words are looked up among those of its addressed names that it also has without a
+    form of address; a word that is given and family name in one document is taken as the family name there. No rows give
+    no rows. Other columns pass through, whatever their names (an n_entities of the input is replaced).
     """
-    id_, found_, n_ = free_names(docs, "key", "found", "n")
-    text = F.col("text").cast("string")
-    rows = docs.withColumn("text", text).withColumn(id_, F.xxhash64(F.col("doc_id").cast("long"), text))
+    id_, p_, w_, names_, words_, n_ = free_names(docs, "key", "pieces", "written", "names", "words", "n")
+    names = [c for c in docs.columns if c != "n_entities"]
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(*names)
     may = _may(F.col("text"))
-    known = stored(mentions(rows.where(may).select(F.col(id_).alias("key"), "text")), "mentions")
+    pieces = rows.where(may).withColumns({id_: F.xxhash64(F.col("doc_id").cast("long"), "text"), p_: _pieces(F.col("text"))}).drop("text")
+    pieces = stored(pieces, "pieces")
+    known = stored(mentions(pieces.select(F.col(id_).alias("key"), F.col(p_).alias("p"))).dropDuplicates(["key", "at"]), "mentions")
     parts = known.select("key", "at", F.posexplode("entities").alias("j", "e")).select("key", "at", "j", "e.kind", "e.canon")
     gendered = parts.where("kind = 'given' and canon not like 'o:%'").groupBy(F.substring("canon", 3, 1_000_000).alias("given"))
     gendered = gendered.agg(F.min(F.substring("canon", 1, 1)).alias("one"), F.max(F.substring("canon", 1, 1)).alias("other")).where("one = other").select("given", "one")
     open_ = F.expr("case when kind = 'given' and canon like 'o:%' then substring(canon, 3) end")
     parts = parts.withColumn("given", open_).join(gendered, "given", "left").withColumn("canon", F.when(F.col("one").isNotNull(), F.concat("one", F.lit(":"), "given")).otherwise(F.col("canon")))
     parts = stored(parts.select("key", "at", "j", "kind", "canon"), "parts")
-    drawn = parts.join(mapping(parts, key), ["kind", "canon"]).groupBy("key", "at").agg(F.array_sort(F.collect_set(F.struct("j", "s"))).alias("s"))
+    drawn = parts.join(mapping(parts, key), ["kind", "canon"]).groupBy("key", "at").agg(F.array_sort(F.collect_list(F.struct("j", "s"))).alias("s"))
     drawn = drawn.withColumn("s", F.col("s.s"))
-    written = known.select("key", "at", "m", "kind").distinct().join(drawn, ["key", "at"]).select("key", "at", F.expr(MENTION).alias("w"))
-    per_doc = written.groupBy(F.col("key").alias(id_)).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias(found_))
-    hit = rows.where(may).join(per_doc, id_, "left")
-    replaced = F.transform(_pieces(F.col("text")), lambda p, i: F.coalesce(F.try_element_at(found_, i), p))
-    hit = hit.withColumn(n_, F.coalesce(F.when(F.col(found_).isNotNull(), F.size(found_)), F.lit(0)))
-    hit = hit.withColumn("text", F.when(F.col(found_).isNull(), F.col("text")).otherwise(F.array_join(replaced, "")))
-    names = [c for c in docs.columns if c != "n_entities"]
-    clean = rows.where(~may).select(*names, F.lit(0).alias("n_entities"))
-    return hit.select(*names, F.col(n_).alias("n_entities")).union(clean)
+    written = known.select("key", "at", "m", "kind").join(drawn, ["key", "at"], "left").select("key", "at", "m", "kind", F.expr(_mention(key)).alias("w"))
+    hit = pieces.join(_per_document(written).toDF(id_, w_, n_, names_), id_, "left")
+    # the words between the mentions, and of the names those that stand among them and are no common words
+    hit = hit.withColumn(words_, F.expr(f"case when {names_} is not null then transform({p_}, (x, i) -> case when i % 2 = 0 then split(x, '{_sql(_EDGE)}') else array('') end) end"))
+    live = f"""map_filter({names_}, (k, v) -> array_contains(array_intersect(map_keys({names_}), flatten({words_})), k)
+        and not array_contains(array_intersect(transform(map_keys({names_}), x -> lower(x)), flatten({words_})), lower(k)))"""
+    hit = hit.withColumn(names_, F.expr(live))
+    hit = hit.withColumn(n_, F.expr(f"coalesce({n_}, 0) + case when size({names_}) > 0 then size(filter(flatten({words_}), x -> map_contains_key({names_}, x))) else 0 end"))
+    between = f"case when size({names_}) > 0 then array_join(transform({words_}[i], y -> coalesce(try_element_at({names_}, y), y)), '') else x end"
+    hit = hit.withColumn("text", F.expr(f"array_join(transform({p_}, (x, i) -> case when i % 2 = 0 then {between} else {w_}[cast((i - 1) / 2 as int)] end), '')"))
+    return hit.select(*names, F.col(n_).alias("n_entities")).union(rows.where(~may).select(*names, F.lit(0).alias("n_entities")))

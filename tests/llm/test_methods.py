@@ -692,6 +692,138 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert len(got) == got.s.nunique() == 20_000 and not set(got.s) & set(got.canon)
 
 
+def test_names_of_several_parts_and_their_later_mentions(spark):
+    one, two, three, four = surrogates(
+        spark,
+        "Mr. John Paul Smith and Mrs. Anna von Berg met Dr. J. F. Kennedy. John said that Smith, Berg's friend, and SMITH left; Mr. Smith's car. Herr von Berg.",
+        "Mr. Brown saw a brown bear. Brown bears. Smith and John stay here.",
+        "using face::bad and fe80::1",
+        "Prof. Otto O'Brien-Lee, O'Brien-Lee's and Lee; Dr. Otto Dr. Anna Lee. г-н И. Петров, ПЕТРОВ и Петрова",
+    )
+    first, second, last, anna, berg, initials, kennedy = re.match(r"Mr\. (\w+) (\w+) (\w+) and Mrs\. (\w+) von (\w+) met Dr\. (\w\. \w\.) (\w+)\. ", one).groups()
+    assert one.endswith(f" {first} said that {last}, {berg}'s friend, and {last.upper()} left; Mr. {last}'s car. Herr von {berg}.")
+    assert {first, second} < set(pii.GIVEN["m"].split()) and first != second and anna in pii.GIVEN["f"].split() and initials[0] != "J" and initials[0] != initials[3] != "F" and kennedy != "Kennedy"
+    assert re.fullmatch(r"Mr\. (?!Brown)\w+ saw a brown bear\. Brown bears\. Smith and John stay here\.", two)
+    assert three.startswith("using face::bad and ") and "fe80" not in three
+    otto, family, later, lee, ivan, capitals = re.match(r"Prof\. (\w+) (\w+), (\w+)'s and (\w+); Dr\. \w+ Dr\. \w+ \w+\. г-н [А-ЯЁ]\. (\w+), (\w+) и Петрова$", four).groups()
+    assert otto in pii.GIVEN["m"].split() and family == later and lee not in ("Lee", family) and f" {lee}. г-н" in four and capitals == ivan.upper() != "ПЕТРОВ" and "г-н И." not in four
+
+
+@pytest.mark.parametrize("kind, canons", [("ip6", [f"{a:x}::{b:x}" for a in range(16) for b in range(16)]), ("family", list("王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董"))])
+def test_crowded_formats_grow_longer(spark, kind, canons):
+    got = pii.mapping(spark.createDataFrame([(kind, c) for c in canons], "kind string, canon string"), "k").toPandas()
+    assert len(got) == got.s.nunique() == len(canons) and not set(got.s) & set(canons)
+
+
+def plain_surrogates(entities, key):
+    """{(kind, canon): surrogate} by plain loops."""
+    entities, out, attempt = sorted(entities), {}, 0
+    taken = {(k, c[2:] if k == "given" else c) for k, c in entities}
+    lists = {g: [x.lower() for names in (pii.GIVEN, pii.GIVEN_CYRILLIC, pii.GIVEN_GREEK) for x in names[g].split()] for g in "mf"}
+    while entities:
+        drawn = {}
+        for kind, canon in entities:
+            hexa = lambda *parts: hashlib.sha512("|".join(parts).encode()).hexdigest()
+            d = hexa(key, kind, canon, str(attempt))
+            number = lambda i, d=d: int(d[4 * i % 124 :][:4], 16)
+            swap = lambda x, d: "".join(str(number(i, d) % 10) if c.isdigit() else chr(97 + number(i, d) % 26) if c.isalpha() else c for i, c in enumerate(x))
+            more = max(0, attempt - 7) // 4
+            syllables = lambda last: "".join(pii.SYLLABLES.split()[number(n) % len(pii.SYLLABLES.split())] for n in range(2, last + 1 + attempt // 4))
+            if kind in ("ssn", "phone"):
+                head = {0: str(1 + number(0) % 8)} if kind == "ssn" else {0: canon[0], 1: str(2 + number(1) % 8)}
+                s = "".join(head.get(i, str(number(i) % 10)) for i in range(len(canon) + more))
+            elif kind == "ip":
+                keep = 0 if attempt >= 16 else 2 if canon.startswith("192.168.") else canon.startswith(("10.", "127."))
+                s = ".".join(canon.split(".")[k] if k < keep else str((k in (0, 3)) + number(k) % (223, 256, 256, 254)[k]) for k in range(4))
+            elif kind == "email":
+                local, domain = canon.split("@")
+                host, last = domain.rsplit(".", 1)
+                s = swap(local + "a" * more, d) + "@" + swap(host + ".", hexa(key, "domain", domain)) + last
+            elif kind == "family":
+                s = syllables(4)
+            else:
+                gender = canon[0] if canon[0] in "mf" else next((g for g in "mf" if canon[2:] in lists[g]), "m" if number(1) % 2 else "f")
+                names = pii.GIVEN[gender].split()
+                s = names[number(0) % len(names)] + ("" if attempt < 4 else syllables(1))
+            drawn[kind, canon] = s
+        least = {}
+        for (kind, canon), s in sorted(drawn.items(), reverse=True):
+            least[kind, s.lower()] = canon
+        settled = {e: s for e, s in drawn.items() if (e[0], s.lower()) not in taken and least[e[0], s.lower()] == e[1]}
+        out.update(settled)
+        taken |= {(k, s.lower()) for (k, _), s in settled.items()}
+        entities, attempt = [e for e in entities if e not in settled], attempt + 1
+    return out
+
+
+def test_surrogates_match_brute_force(spark):
+    rng = random.Random(31)
+    given = [*"Alan Bert Carl Otto Paul Dora Edna Flora Gina Hilda Robin Kim".split(), *(f"Na{a}{b}" for a in "bcdfg" for b in "aeiou")]
+    families = [f"{a}{b}son" for a in ("Dal", "Ber", "Kor", "Mil", "Tan") for b in ("der", "lin", "mar", "vik")]
+    genders = {g: rng.choice("mf") for g in given[:10]} | {g: "mf" for g in given[10:]}
+    docs = []
+    for _ in range(80):
+        doc = []
+        for _ in range(rng.randint(0, 7)):
+            what = rng.choice(("name", "name", "name", "ssn", "phone", "ip", "email"))
+            digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+            if what == "name":
+                parts = rng.sample(given, rng.randint(0, 2))
+                title = rng.choice(("Dr.", "Prof.", "Mr.", "Frau"))
+                if any({"Mr.": "m", "Frau": "f"}.get(title, genders[g]) not in genders[g] for g in parts):
+                    title = "Dr."
+                doc.append(("name", title, rng.choice(("", "", "von ")), [*parts, rng.choice(families)]))
+            elif what == "ssn":
+                doc.append((what, f"{digits(3)}-{digits(2)}-{digits(4)}"))
+            elif what == "phone":
+                doc.append((what, f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"))
+            elif what == "ip":
+                doc.append((what, rng.choice(("10.0.0.", "192.168.7.", "81.2.3.")) + str(rng.randint(1, 250))))
+            else:
+                doc.append((what, f"{rng.choice('abc')}@{rng.choice('xyz')}.example"))
+        spoken = [rng.choice((*given, *families, "dalderson", "KORVIKSON")) for _ in range(rng.randint(0, 6))]
+        docs.append((doc, spoken))
+    mention = lambda e: e[1] if e[0] != "name" else f"{e[1]} {' '.join(e[3][:-1])}{' ' * (len(e[3]) > 1)}{e[2]}{e[3][-1]}"
+    texts = ["so, ".join(["", *(mention(e) + "; " for e in doc)]) + "then " + ", ".join(spoken) + "." for doc, spoken in docs]
+    by_title = {"Mr.": "m", "Frau": "f"}
+    said = {}
+    for doc, _ in docs:
+        for e in doc:
+            for g in e[3][:-1] if e[0] == "name" else ():
+                said.setdefault(g, set()).add(by_title.get(e[1], "o"))
+    canon = {}
+    for doc, _ in docs:
+        for e in doc:
+            if e[0] == "name":
+                for g in e[3][:-1]:
+                    own, table = by_title.get(e[1], "o"), said[g] - {"o"}
+                    canon[e[1], g] = ("given", f"{min(table) if own == 'o' and len(table) == 1 else own}:{g.lower()}")
+                canon[e[3][-1]] = ("family", e[3][-1].lower())
+            else:
+                canon[e[1]] = (e[0], e[1] if e[0] in ("ip", "email") else re.sub(r"\D", "", e[1]))
+    drawn = plain_surrogates(set(canon.values()), "key")
+    title_case = lambda s: s[0].upper() + s[1:].lower()
+    want = []
+    for doc, spoken in docs:
+        text, known = "", {}
+        for e in doc:
+            if e[0] == "name":
+                new = [title_case(drawn[canon[e[1], g]]) for g in e[3][:-1]] + [title_case(drawn[canon[e[3][-1]]])]
+                for old, n in zip(e[3], new):
+                    known.setdefault(old, set()).add(n)
+                text += "so, " + mention((e[0], e[1], e[2], new)) + "; "
+            else:
+                s = iter(drawn[canon[e[1]]])
+                text += "so, " + ("".join(next(s) if c.isdigit() else c for c in e[1]) if e[0] in ("ssn", "phone") else "".join(s)) + "; "
+        known |= {old.upper(): {min(n).upper()} for old, n in known.items()}
+        want.append(text + "then " + ", ".join(min(known[w]) if w in known and w.lower() not in spoken else w for w in spoken) + ".")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 5):
+        got = {r["doc_id"]: r["text"] for r in pii.surrogate(table.repartition(parts), "key").collect()}
+        assert got == dict(enumerate(want))
+    assert sum(a != b for a, b in zip(texts, want)) > 50 and any(w in t.split("then ")[1] for t in want for w in families)
+
+
 def test_pipeline_matches_its_stages(spark):
     import corpus_pipeline
 
