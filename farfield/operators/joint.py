@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farfield.operators.probes import BLOCK_BYTES, _nearest, standardiser
+from farfield.operators.nearest import CHUNK_ROWS, Nearest, meeting, searched, unit, vectors
+from farfield.operators.probes import BLOCK_BYTES, _votes, standardiser
 from farfield.sources.scratch import cut
 
 MODEL_BYTES = 16 << 20  # parameters that are sent to the tasks at once
@@ -394,72 +395,60 @@ def _scored(b: pa.RecordBatch, kept: list[str], model: int, own: np.ndarray, pro
     return pa.RecordBatch.from_arrays(columns, names=["model", *kept, "classes", "probs", "pred"])
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-
 def _by_neighbours(j: Joint, models: list[Model], targets: DataFrame, x: str, among: dict[int, int] | None, carry: tuple[str, ...]) -> DataFrame:
     """Votes of the nearest rows by cosine, weighted by 1 / distance; an exact match leaves only exact matches.
 
-    The training rows are dealt into blocks of at most BLOCK_BYTES by a hash of their keys; each block is sent to the tasks
-    in turn, which keep the DEPTH nearest of it for each (set, target), and those are merged by set and target.
+    Chunks of targets meet all training rows, which stream past them (``operators/nearest.py``); a task keeps as many nearest
+    rows of each (set, target) as the models of the set ask for.
     """
-    spark, kept, shift = targets.sparkSession, [j.key, *carry], j.shift
-    asked = targets.select(*kept, F.col(x).cast("array<double>").alias("x"), *(["m"] if among else []))
-    n = j.rows.count()
-    blocks = max(1, -(-n * max(1, len(shift)) * 8 // BLOCK_BYTES))
-    pairs = sorted({(models[k].place, among[k] if among else -1) for k in range(len(models))})
+    kept, shift = [j.key, *carry], j.shift
+    asked = targets.select(*kept, F.col(x).cast("array<double>").alias("__x"), *([F.col("m").alias("__m")] if among else []))
+    held = j.rows.select(F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("m").alias("__m"))
     fields = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in kept)
-    lists = None
-    for block in range(blocks):
-        rows = j.rows.where(F.pmod(F.xxhash64(j.key), F.lit(blocks)) == block).select("y", "x", "m").toArrow().combine_chunks()
-        held = [np.concatenate(c) for c in zip(*(part for b in rows.to_batches() for part in _decoded(b, shift)), strict=True)] if rows.num_rows else None
-        if held is None:
-            continue
-        sent = spark.sparkContext.broadcast((held, {p: j.moments[p] for p, _ in pairs}))
-
-        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            (y, v, m), moments = sent.value
-            trained = {p: (_unit(mo.ready(v[own])), y[own]) for p, mo in moments.items() if (own := _signs(m, p)).any()}
-            for batch in batches:
-                for a in range(0, batch.num_rows, BLOCK_ROWS):
-                    b = batch.slice(a, BLOCK_ROWS)
-                    q = np.asarray(b.column(len(kept)).flatten()).reshape(b.num_rows, -1) - shift
-                    bits = np.asarray(b.column(len(kept) + 1).flatten()).reshape(b.num_rows, -1) if among else None
-                    for place, of in pairs:
-                        own = np.flatnonzero(_signs(bits, of)) if among else np.arange(b.num_rows)
-                        if place in trained and len(own):
-                            units, labels = trained[place]
-                            d, at = _nearest(_unit(moments[place].ready(q[own])), units, min(DEPTH, len(units)))
-                            order = np.argsort(d, axis=1, kind="stable")
-                            d, names = np.take_along_axis(d, order, 1), labels[np.take_along_axis(at, order, 1)]
-                            ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * d.shape[1])
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(own), place, np.int32)), pa.array(np.full(len(own), of, np.int32)), *(b.column(k).take(pa.array(own)) for k in range(len(kept))), pa.ListArray.from_arrays(ends, pa.array(d.ravel())), pa.ListArray.from_arrays(ends, pa.array(names.ravel().astype(np.int32)))],
-                                names=["__place", "__of", *kept, "__d", "__y"],
-                            )
-
-        part = asked.mapInArrow(near, f"__place int, __of int, {fields}, __d array<double>, __y array<int>")
-        lists = part if lists is None else lists.union(part)
-    if blocks > 1:
-        both = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("__d", "__y")))), 1, DEPTH)
-        lists = lists.groupBy("__place", "__of", *kept).agg(both.alias("__z")).select("__place", "__of", *kept, "__z.__d", "__z.__y")
+    depths: dict[tuple[int, int], int] = {}
+    for k, model in enumerate(models):
+        pair = model.place, among[k] if among else -1
+        depths[pair] = max(depths.get(pair, 1), min(int(model.value), j.moments[model.place].n - 1, DEPTH))
+    moments = {p: j.moments[p] for p, _ in depths}
+
+    def begin(rows: pa.Table) -> tuple:
+        q, bits = vectors(rows, "__x") - shift, vectors(rows, "__m") if among else None
+        searches = {}
+        for (place, of), depth in depths.items():
+            own = np.flatnonzero(_signs(bits, of)) if among else np.arange(len(q))
+            if len(own) and moments[place].n:
+                searches[place, of] = own, Nearest(unit(moments[place].ready(q[own])), depth)
+
+        def see(b: pa.RecordBatch) -> None:
+            y, v, m = np.asarray(b.column("__y")), vectors(b, "__x") - shift, vectors(b, "__m")
+            for place in {p for p, _ in searches}:
+                if (mine := _signs(m, place)).any():
+                    units, labels = unit(moments[place].ready(v[mine])), y[mine]
+                    for (p, _), (_, near) in searches.items():
+                        if p == place:
+                            near.see(units, labels)
+
+        def found() -> Iterator[pa.RecordBatch]:
+            only = rows.select(kept).combine_chunks()
+            for (place, of), (own, near) in searches.items():
+                for a in range(0, len(own), BLOCK_ROWS):
+                    part = only.take(pa.array(own[a : a + BLOCK_ROWS])).combine_chunks()
+                    b = pa.RecordBatch.from_arrays([c.combine_chunks() for c in part.columns], names=kept)
+                    yield from votes(b, place, of, near.d[a : a + BLOCK_ROWS], near.y[a : a + BLOCK_ROWS])
+
+        return see, found
+
     label_type = "string" if isinstance(j.classes[0], str) else "long"
     names = np.array(j.classes)
     wanted = [(k, models[k].place, among[k] if among else -1, int(models[k].value), j.moments[models[k].place]) for k in range(len(models))]
 
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            place, of = np.asarray(b.column(0)), np.asarray(b.column(1))
-            only = pa.RecordBatch.from_arrays([b.column(2 + k) for k in range(len(kept))], names=kept)
-            for k, p, o, depth, mo in wanted:
-                own = np.flatnonzero((place == p) & (of == o))
-                if len(own):
-                    depth = max(1, min(depth, mo.n - 1, DEPTH))
-                    d, y = (np.asarray(b.column(len(kept) + c).take(pa.array(own)).flatten()).reshape(len(own), -1)[:, :depth] for c in (2, 3))
-                    exact = d <= 1e-15
-                    weight = np.where(exact.any(axis=1, keepdims=True), exact.astype(float), 1 / np.maximum(d, 1e-15))
-                    probs = np.stack([(weight * (y == c)).sum(axis=1) for c in mo.classes], axis=1)
-                    yield _scored(only, kept, k, own, probs / probs.sum(axis=1, keepdims=True), names[mo.classes])
-
-    return lists.mapInArrow(votes, f"model int, {fields}, classes array<{label_type}>, probs array<double>, pred {label_type}")
+    def votes(b: pa.RecordBatch, place: int, of: int, d: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, p, o, depth, mo in wanted:
+            if (p, o) == (place, of):
+                depth = max(1, min(depth, mo.n - 1, DEPTH))
+                probs = _votes(d[:, :depth], y[:, :depth], mo.classes)
+                yield _scored(b, kept, k, np.arange(b.num_rows), probs, names[mo.classes])
+
+    size = 8 * len(shift) + sum(8 * len(shift) + 12 * depth for depth in depths.values())
+    met = meeting(asked, held, j.key, min(CHUNK_ROWS, BLOCK_BYTES // max(1, size)))
+    return met.mapInArrow(lambda batches: searched(batches, begin), f"model int, {fields}, classes array<{label_type}>, probs array<double>, pred {label_type}")

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from farfield.functions.columns import ratio
 from farfield.operators import metrics as M
+from farfield.operators.nearest import CHUNK_ROWS, Nearest, meeting, searched, unit, vectors
 from farfield.operators.ranks import systematic_order
 
-BLOCK_BYTES = 64 << 20  # training vectors that are broadcast, or that one task holds
-PRODUCT_ROWS = 256  # rows whose distances to a block are taken at a time
+BLOCK_BYTES = 64 << 20  # asked vectors and their nearest rows that one task holds
 
 
 def balance_weights(df: DataFrame, label: str) -> DataFrame:
@@ -82,22 +83,7 @@ def fit(train: DataFrame, label: str, x: str = "x", c: float = 1.0, max_iter: in
         ready.unpersist()
 
 
-def _nearest(q: np.ndarray, v: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, places) of the ``depth`` rows of v nearest to each row of q, by cosine; rows are of length 1."""
-    d, at = np.empty((len(q), depth)), np.empty((len(q), depth), np.int64)
-    for k in range(0, len(q), PRODUCT_ROWS):
-        far = np.maximum(1 - q[k : k + PRODUCT_ROWS] @ v.T, 0)
-        near = np.argpartition(far, depth - 1, axis=1)[:, :depth]
-        d[k : k + PRODUCT_ROWS], at[k : k + PRODUCT_ROWS] = np.take_along_axis(far, near, axis=1), near
-    return d, at
-
-
-def _unit(rows: pd.Series) -> np.ndarray:
-    v = np.stack(rows.map(np.asarray)).astype(np.float64)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-
-def _votes(d: np.ndarray, labels: np.ndarray, classes: list) -> np.ndarray:
+def _votes(d: np.ndarray, labels: np.ndarray, classes: Iterable) -> np.ndarray:
     """Class shares by 1 / distance; an exact match leaves only exact matches."""
     exact = d <= 1e-15
     weight = np.where(exact.any(axis=1, keepdims=True), exact.astype(float), 1 / np.maximum(d, 1e-15))
@@ -108,9 +94,7 @@ def _votes(d: np.ndarray, labels: np.ndarray, classes: list) -> np.ndarray:
 def neighbours(train: DataFrame, test: DataFrame, label: str, key: str, x: str = "x", k: int = 20) -> DataFrame:
     """(key, classes, probs, pred): cosine k-nearest neighbours on standardised features, votes weighted by 1 / distance.
 
-    Training vectors of at most ``BLOCK_BYTES`` are broadcast. More of them are dealt into blocks of that size, the test rows into
-    chunks, and every block meets every chunk in a task of its own; the nearest of each block are merged by test row. Both
-    ways are exact. ``key`` tells the test rows apart.
+    Chunks of test rows meet all training rows, which stream past them (``operators/nearest.py``). ``key`` tells the test rows apart.
     """
     n = train.count()
     if n < 2:
@@ -118,48 +102,26 @@ def neighbours(train: DataFrame, test: DataFrame, label: str, key: str, x: str =
     moments = standardiser(train, x)
     depth, width = min(k, n - 1), train.agg(F.max(F.size(x))).first()[0]
     classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
-    kind, label_kind = test.schema[key].dataType.simpleString(), train.schema[label].dataType.simpleString()
-    out = f"{key} {kind}, classes array<{label_kind}>, probs array<double>, pred {label_kind}"
-    held, asked = standardised(train, moments, x).select(label, x), standardised(test, moments, x).select(key, x)
-
-    def voted(keys: pd.Series, d: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
-        p = _votes(d, labels, classes)
-        return pd.DataFrame({key: keys, "classes": [classes] * len(keys), "probs": list(p), "pred": [classes[i] for i in p.argmax(axis=1)]})
-
-    blocks = -(-n * width * 8 // BLOCK_BYTES)
-    if blocks == 1:
-        rows = held.toPandas()
-        shared = train.sparkSession.sparkContext.broadcast((_unit(rows[x]), rows[label].to_numpy()))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v, names = shared.value
-            for f in frames:
-                if len(f):
-                    d, at = _nearest(_unit(f[x]), v, depth)
-                    yield voted(f[key], d, names[at])
-
-        return asked.mapInPandas(run, out)
-    chunks = max(1, -(-test.count() * width * 8 // BLOCK_BYTES))
-    deal = lambda n_: F.pmod(F.xxhash64(x), F.lit(n_)).cast("int")
-    every = lambda n_: F.explode(F.sequence(F.lit(0), F.lit(n_ - 1)))
-    left = asked.withColumn("__c", deal(chunks)).withColumn("__b", every(blocks))
-    right = held.withColumn("__b", deal(blocks)).withColumn("__c", every(chunks))
-
-    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({key: q[key][:0], "d": [], "y": []})
-        d, at = _nearest(_unit(q[x]), _unit(v[x]), min(depth, len(v)))
-        return pd.DataFrame({key: q[key], "d": list(d), "y": list(v[label].to_numpy()[at])})
-
-    near = left.groupBy("__b", "__c").cogroup(right.groupBy("__b", "__c")).applyInPandas(meet, f"{key} {kind}, d array<double>, y array<{label_kind}>")
-    best = near.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "y")))), 1, depth).alias("z")).select(key, "z.d", "z.y")
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                yield voted(f[key], np.stack(f["d"].map(np.asarray)), np.stack(f["y"].map(np.asarray)))
-
-    return best.mapInPandas(merge, out)
+    kind, label_kind = test.schema[key].dataType.simpleString(), train.schema[label].dataType
+    place = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1).cast("int")
+    held = standardised(train, moments, x).select(place.alias("__y"), F.col(x).alias("__x"))
+    asked = standardised(test, moments, x).select(key, F.col(x).alias("__x"))
+    names, names_type = np.array(classes, dtype=object), to_arrow_type(label_kind)
+
+    def begin(rows: pa.Table) -> tuple:
+        near = Nearest(unit(vectors(rows, "__x")), depth)
+
+        def found() -> Iterator[pa.RecordBatch]:
+            p = _votes(near.d, near.y, range(len(classes)))
+            ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(classes))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(classes * len(p), names_type)), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))]
+            out = pa.Table.from_arrays([rows.column(key).combine_chunks(), *lists, pa.array(names[p.argmax(axis=1)], names_type)], names=[key, "classes", "probs", "pred"])
+            yield from out.to_batches()
+
+        return lambda b: near.see(unit(vectors(b, "__x")), np.asarray(b.column("__y"))), found
+
+    met = meeting(asked, held, key, min(CHUNK_ROWS, BLOCK_BYTES // (16 * width + 12 * depth)))
+    return met.mapInArrow(lambda batches: searched(batches, begin), f"{key} {kind}, classes array<{label_kind.simpleString()}>, probs array<double>, pred {label_kind.simpleString()}")
 
 
 def binary_predictions(predicted: DataFrame, threshold: float, positive=1) -> DataFrame:
