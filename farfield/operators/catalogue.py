@@ -18,6 +18,8 @@ OPTICAL = {"visible": ("b2", "b3", "b4"), "red_edge": ("b5", "b6", "b7", "b8a"),
 BUCKETS = {"native": 2, "minor_adaptation": 4, "moderate_adaptation": 6}
 
 
+PART_ROWS = 500_000  # pixels that a task counts at a time
+
 def provenance(stable_id: Column) -> Column:
     """The source of an id ``<index>_<source>.h5``."""
     stem = F.regexp_replace(stable_id, r"\.h5$", "")
@@ -120,8 +122,13 @@ def spatial_cluster_regime(samples: DataFrame, key: str, radius_km: float, k: in
 
 def fold_stats(pixels: DataFrame, by: list[str], patch: str, tile: list[str], label: str) -> DataFrame:
     """(by, n_pixels, n_patches, n_tiles, classes): a fold's size, and the count of each class as a map."""
-    per = pixels.groupBy(*by, patch, *tile, label).agg(F.count("*").alias("c"))
-    sizes = per.groupBy(*by).agg(F.sum("c").alias("n_pixels"), F.count_distinct(patch).alias("n_patches"), F.count_distinct(patch, *tile).alias("n_tiles"))
+    # patches are dealt out once, in parts of about PART_ROWS rows, and each is counted where it lies
+    parts = max(1, -(-pixels.count() // PART_ROWS))
+    per = pixels.select(*by, patch, *tile, label).repartition(parts, *by, patch).groupBy(*by, patch, *tile, label).agg(F.count("*").alias("c"))
+    named = F.when(F.greatest(*[F.col(t).isNull().cast("int") for t in (patch, *tile)], F.lit(0)) == 0, 1).otherwise(0)
+    tiles = per.groupBy(*by, patch, *tile).agg(F.sum("c").alias("c")).withColumn("t", named)
+    patches = tiles.groupBy(*by, patch).agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    sizes = patches.groupBy(*by).agg(F.sum("c").alias("n_pixels"), F.count(patch).alias("n_patches"), F.sum("t").alias("n_tiles"))
     classes = per.groupBy(*by, label).agg(F.sum("c").alias("c")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "c")))).alias("classes"))
     return sizes.join(classes, by)
 
