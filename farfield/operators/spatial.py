@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farfield.functions.columns import EARTH_KM, finite, haversine_km, hash_order, sphere
-from farfield.operators.proximity import purged
+from farfield.operators.proximity import close_places
 from farfield.sources.scratch import cut
 
 
@@ -63,14 +63,26 @@ def near_pairs(source: DataFrame, target: DataFrame, key: str, radius_km: float,
 def leave_one_out(samples: DataFrame, key: str, domain: str, radius_km: float) -> tuple[DataFrame, DataFrame]:
     """For each domain in turn as the holdout: (holdout, key, role) of source and target rows, and (holdout, key) purged.
 
-    One row of a pair for each holdout: the number of domains is small. A row without a domain takes no part.
+    One row of a pair for each holdout: the number of domains is small. A row without a domain takes no part. Places, not
+    rows, are compared; a row then carries the holdouts that it is purged from, so that pairs of row and holdout are made at
+    the end and never sorted or joined.
     """
     known = samples.where(F.col(domain).isNotNull() & ~F.col(domain).isin("unknown", "nan", ""))
+    known_places = known.where(finite(F.col("lat")).isNotNull() & finite(F.col("lon")).isNotNull()).select(F.col(domain).alias("holdout"), "lat", "lon")
+    places = cut(known_places.distinct(), "domains")
     holdouts = known.select(F.col(domain).alias("holdout")).distinct()
-    rows = known.crossJoin(F.broadcast(holdouts)).withColumn("role", F.when(F.col(domain) == F.col("holdout"), "target").otherwise("source"))
-    gone = cut(purged(rows.where("role = 'source'"), rows.where("role = 'target'"), key, radius_km, by=("holdout",)), "purged")
-    kept = rows.join(gone.withColumn("__gone", F.lit(1)), ["holdout", key], "left").where("__gone is null").drop("__gone")
-    return kept, gone
+    names = F.broadcast(holdouts.agg(F.array_sort(F.collect_list("holdout")).alias("__holdouts")))
+    sources = places.groupBy("lat", "lon").agg(F.min("holdout").alias("__a"), F.max("holdout").alias("__b")).crossJoin(F.broadcast(holdouts))
+    sources = sources.where("__a != holdout or __b != holdout").select("holdout", "lat", "lon")  # a place of one domain is no source of it
+    here, at = places.select("holdout", "lat", "lon"), ["holdout", "lat", "lon"]
+    around, _ = close_places(sources.join(here, at, "left_anti"), places, radius_km, ("holdout",))
+    around = around.unionByName(sources.join(here, at, "left_semi")).groupBy("lat", "lon").agg(F.collect_set("holdout").alias("__near"))
+    near = known.select(key, domain, "lat", "lon").join(around, ["lat", "lon"]).select(key, F.explode(F.filter("__near", lambda h: h != F.col(domain))).alias("holdout"))
+    near = cut(near.groupBy(key).agg(F.array_sort(F.collect_set("holdout")).alias("__gone")), "purged")
+    rows = known.join(near, key, "left").crossJoin(names)
+    left = F.filter("__holdouts", lambda h: ~F.array_contains(F.coalesce("__gone", F.array().cast(near.schema["__gone"].dataType)), h))
+    kept = rows.withColumn("holdout", F.explode(left)).drop("__holdouts", "__gone").withColumn("role", F.when(F.col(domain) == F.col("holdout"), "target").otherwise("source"))
+    return kept.select("holdout", key, *[c for c in samples.columns if c != key], "role"), near.select(F.explode("__gone").alias("holdout"), key)
 
 
 def _hull(points: np.ndarray) -> np.ndarray:

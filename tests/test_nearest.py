@@ -36,7 +36,7 @@ def test_a_task_holds_a_chunk_and_sees_every_row(spark):
 def test_screening_without_a_cap_compares_all_rows(spark):
     rng = np.random.default_rng(2)
     x, domain = rng.normal(size=(400, 5)), np.arange(400) % 3
-    rows = spark.createDataFrame([(k, int(d), [float(c) for c in v]) for k, (d, v) in enumerate(zip(domain, x, strict=True))], "k long, g int, x array<double>")
+    rows = spark.createDataFrame([(k, int(d), [float(c) for c in v]) for k, (d, v) in enumerate(zip(domain, x, strict=True))], "k long, zone int, x array<double>")
     far = np.where(domain[:, None] == domain, np.inf, np.linalg.norm(x[:, None] - x, axis=2)).min(axis=1)
-    got = {r["g"]: r["mean_nearest"] for r in analytics.screening(rows, "g", "k", cap=None).collect()}
+    got = {r["zone"]: r["mean_nearest"] for r in analytics.screening(rows, "zone", "k", cap=None).collect()}
     assert all(abs(got[d] - far[domain == d].mean()) < 1e-9 for d in range(3)) and len(got) == 3
