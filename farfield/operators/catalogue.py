@@ -11,6 +11,7 @@ from farfield.functions.columns import finite, hash_order
 from farfield.operators import metrics as M
 from farfield.operators import spatial, splits
 from farfield.operators.ranks import ranked, shuffled
+from farfield.sources.scratch import cut
 
 #: fixed values: terrain among the climate bands, groups of the optical bands, and the last rank of each adaptation bucket
 TERRAIN = ("elevation", "slope", "dem")
@@ -116,8 +117,7 @@ def dense_leave_one_out(patches: DataFrame, key: str, tile: str, radius_km: floa
 
 def spatial_cluster_regime(samples: DataFrame, key: str, radius_km: float, k: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Each coordinate cell in turn as a target without labels: (holdout, key, role) and what the purge removed."""
-    cells = spatial.cluster_cells(samples, key, k, seed)
-    return spatial.leave_one_out(samples.join(cells, key), key, "cluster", radius_km)
+    return spatial.leave_one_out(cut(spatial.in_cells(samples, key, k, seed), "cells"), key, "cluster", radius_km)
 
 
 def fold_stats(pixels: DataFrame, by: list[str], patch: str, tile: list[str], label: str) -> DataFrame:

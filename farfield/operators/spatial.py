@@ -162,45 +162,64 @@ def in_footprint(source: DataFrame, hulls: DataFrame, buffer_km: float, by: str
     return footprint_distance(source, hulls, by).where(F.col("hull_km") <= buffer_km)
 
 
-def cluster_cells(samples: DataFrame, key: str, k: int = 5, seed: int = 0, rounds: int = 25) -> DataFrame:
-    """(key, cluster): k coordinate cells named ``cluster_00`` and on by mean latitude, then longitude.
+def _located() -> Column:
+    return finite(F.col("lat")).isNotNull() & finite(F.col("lon")).isNotNull()
+
+
+def cell_labels(samples: DataFrame, key: str, k: int = 5, seed: int = 0, rounds: int = 25) -> Column:
+    """The coordinate cell of a row by its finite lat and lon, ``cluster_00`` and on by mean latitude, then longitude.
 
-    Lloyd's rounds over unit vectors as plain aggregates; the k centres are the only thing on the driver. The first centre
-    is the first row in hash order, each next one the row farthest from those there are, so the result doesn't depend on
+    Lloyd's rounds over unit vectors as plain aggregates; the k centres are the only thing on the driver. Rows are read twice:
+    for the first row in hash order, which is the first centre, and for the distinct places with their numbers of rows, over
+    which all rounds go. Each further centre is the place farthest from those there are, so the result doesn't depend on
     partitioning. Fewer than k distinct points, or an empty cell, raise.
     """
-    x, y, z = sphere(F.col("lat"), F.col("lon"))
-    points = samples.select(F.col(key), "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z")).where(finite(F.col("lat")).isNotNull() & finite(F.col("lon")).isNotNull())
+    located = samples.where(_located())
+    axes = sphere(F.col("lat"), F.col("lon"))
 
-    def gap(c: tuple) -> Column:
-        return F.round((F.col("x") - c[0]) ** 2 + (F.col("y") - c[1]) ** 2 + (F.col("z") - c[2]) ** 2, 12)
+    def gap(c: tuple, at: tuple[Column, ...]) -> Column:
+        return F.round(sum(((a - v) ** 2 for a, v in zip(at[1:], c[1:], strict=True)), (at[0] - c[0]) ** 2), 12)
 
-    first = points.orderBy(hash_order(seed, "cells", F.col(key)), key).select("x", "y", "z").first()
+    first = located.orderBy(hash_order(seed, "cells", F.col(key)), key).select(*[a.alias(n) for a, n in zip(axes, "xyz", strict=True)]).first()
     if first is None:
         raise ValueError("no point to cluster")
+    counted = located.groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    places = cut(counted.withColumns(dict(zip("xyz", axes, strict=True))), "clusters")
+    xyz = tuple(F.col(a) for a in "xyz")
     centres = [tuple(first)]
     while len(centres) < k:
-        far = points.select("x", "y", "z", F.least(*[gap(c) for c in centres], F.lit(9.0)).alias("g")).agg(F.max_by(F.struct("x", "y", "z", "g"), F.struct("g", "x", "y", "z")).alias("m")).first()["m"]
+        far = places.select("x", "y", "z", F.least(*[gap(c, xyz) for c in centres], F.lit(9.0)).alias("g")).agg(F.max_by(F.struct("x", "y", "z", "g"), F.struct("g", "x", "y", "z")).alias("m")).first()["m"]
         if far["g"] <= 0:
             raise ValueError(f"there are fewer than {k} distinct points")
         centres.append((far["x"], far["y"], far["z"]))
 
-    def nearest(df: DataFrame) -> DataFrame:
-        return df.withColumn("c", F.array_min(F.array(*[F.struct(gap(c).alias("g"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"])
+    def nearest(at: tuple[Column, ...]) -> Column:
+        return F.array_min(F.array(*[F.struct(gap(c, at).alias("g"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"]
+
+    def means(*columns: str) -> list:
+        return places.withColumn("c", nearest(xyz)).groupBy("c").agg(*[(F.sum(F.col(a) * F.col("n")) / F.sum("n")).alias(a) for a in columns]).collect()
 
     for _ in range(rounds):
-        means = nearest(points).groupBy("c").agg(*[F.avg(a).alias(a) for a in "xyz"]).collect()
-        if len(means) < k:
+        found = means(*"xyz")
+        if len(found) < k:
             raise ValueError("a cell is empty")
-        new = [tuple(round(r[a], 12) for a in "xyz") for r in sorted(means, key=lambda r: r["c"])]
+        new = [tuple(round(r[a], 12) for a in "xyz") for r in sorted(found, key=lambda r: r["c"])]
         if new == centres:
             break
         centres = new
-    labelled = nearest(points)
-    means = labelled.groupBy("c").agg(F.avg("lat").alias("a"), F.avg("lon").alias("b")).collect()
-    names = {r["c"]: f"cluster_{i:02d}" for i, r in enumerate(sorted(means, key=lambda r: (round(r["a"], 9), round(r["b"], 9))))}
-    label = F.element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), F.col("c"))
-    return labelled.select(key, label.alias("cluster"))
+    order = sorted(means("lat", "lon"), key=lambda r: (round(r["lat"], 9), round(r["lon"], 9)))
+    names = {r["c"]: f"cluster_{i:02d}" for i, r in enumerate(order)}
+    return F.element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), nearest(axes))
+
+
+def cluster_cells(samples: DataFrame, key: str, k: int = 5, seed: int = 0, rounds: int = 25) -> DataFrame:
+    """(key, cluster): the coordinate cell of each row with finite coordinates."""
+    return in_cells(samples, key, k, seed, rounds).select(key, "cluster")
+
+
+def in_cells(samples: DataFrame, key: str, k: int = 5, seed: int = 0, rounds: int = 25) -> DataFrame:
+    """The rows with finite coordinates and their coordinate cell as ``cluster``."""
+    return samples.where(_located()).withColumn("cluster", cell_labels(samples, key, k, seed, rounds))
 
 
 def geography_audit(source: DataFrame, target: DataFrame, hulls: DataFrame, key: str, buffer_km: float, search_km: float, by: str = "holdout") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 
 from farfield.operators import catalogue, proximity, spatial
@@ -32,3 +34,41 @@ def test_folds_are_counted_in_parts(spark, monkeypatch):
     want = rows.selectExpr("f", "p", "t").groupBy("f").agg({"*": "count"}).collect()
     plain = {r["f"]: (r["a"], r["b"], r["c"]) for r in spark.sql("select f, count(*) a, count(distinct p) b, count(distinct p, t) c from {r} group by f", r=rows).collect()}
     assert got == plain and len(want) == 3
+
+
+def test_cells_are_found_over_places_and_weigh_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    spots = [(rng.uniform(-60, 60), rng.uniform(-180, 180)) for _ in range(30)]
+    rows = [(k, *spots[min(int(rng.expovariate(0.15)), 29)]) for k in range(900)] + [(900, None, 1.0), (901, 1.0, float("nan"))]
+    df, sizes, plain = spark.createDataFrame(rows, "k long, lat double, lon double").repartition(5), {}, spatial.cut
+
+    def counted(frame, label):
+        out = plain(frame, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(spatial, "cut", counted)
+    got = {r["k"]: r["cluster"] for r in spatial.cluster_cells(df, "k", 3).collect()}
+
+    def vector(p):
+        a, b = math.radians(p[1]), math.radians(p[2])
+        return math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)
+
+    def gap(p, c):
+        return round(sum((x - y) ** 2 for x, y in zip(vector(p), c, strict=True)), 12)
+
+    def nearest(p):
+        return min(range(3), key=lambda i: gap(p, centres[i]))
+
+    def means(f):  # row by row
+        own = [[f(p) for p in rows[:900] if nearest(p) == i] for i in range(3)]
+        return [tuple(sum(v) / len(v) for v in zip(*o, strict=True)) for o in own]
+
+    centres = [vector(min(rows[:900], key=lambda p: hashlib.md5(f"0|cells|{p[0]}".encode()).hexdigest()))]
+    while len(centres) < 3:
+        centres.append(vector(max(rows[:900], key=lambda p: (min(gap(p, c) for c in centres), vector(p)))))
+    for _ in range(25):
+        centres = [tuple(round(v, 12) for v in c) for c in means(vector)]
+    order = sorted(range(3), key=lambda i: means(lambda p: p[1:])[i])
+    assert got == {p[0]: f"cluster_{order.index(nearest(p)):02d}" for p in rows[:900]}
+    assert sizes == {"clusters": len({p[1:] for p in rows[:900]})}  # the rounds go over places, not over rows
