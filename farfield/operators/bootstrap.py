@@ -3,7 +3,8 @@
 No row is ever copied for a replicate. The rows of each side and seed stand in ranges of their score; a task carries, for a
 block of rows, the weights of all replicates as a matrix, and adds up weighted sums, the sums of ten calibration bins, and
 for each replicate how much weight of positives stands above how much of negatives. What tasks emit is a few vectors over
-replicates; the vectors of consecutive ranges are merged in order, with the ties that meet at their borders.
+replicates; the vectors of consecutive ranges are merged in order, with the ties that meet at their borders. Without a
+score there are no ranks: rows stand in ranges of their region, and only the weighted sums are taken.
 """
 
 from __future__ import annotations
@@ -24,6 +25,16 @@ _MASK = (1 << 64) - 1
 _BELOW = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(12)])  # Poisson, mean 1
 
 
+def _stir(h: np.ndarray, p: np.ndarray | int, spare: np.ndarray) -> np.ndarray:
+    """A round of ``mixed`` in place."""
+    h ^= p
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= np.right_shift(h, np.uint64(29), out=spare)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= np.right_shift(h, np.uint64(32), out=spare)
+    return h
+
+
 def mixed(*parts: np.ndarray | int) -> np.ndarray:
     """A 64-bit hash of whole numbers, element by element."""
     with np.errstate(over="ignore"):
@@ -45,6 +56,16 @@ def poisson(h: np.ndarray) -> np.ndarray:
     return np.searchsorted(_BELOW, (h >> np.uint64(11)).astype(np.float64) / float(1 << 53), side="right").astype(np.float64)
 
 
+def _by_first_bits() -> np.ndarray:
+    """The Poisson draw of all hashes with the same first 12 bits; NaN where they differ."""
+    low = np.arange(1 << 12, dtype=np.uint64) << np.uint64(52)
+    least, most = poisson(low), poisson(low | np.uint64((1 << 52) - 1))
+    return np.where(least == most, least, np.nan)
+
+
+_DRAWN = _by_first_bits()
+
+
 class _Draws:
     """Which (replicate, slot, draw) take a region of a seed: the entries of a block of replicates, by slot."""
 
@@ -66,18 +87,50 @@ class _Draws:
             self.known[key] = slots[at], i
         return self.known[key]
 
+    def own(self, seed: int) -> np.ndarray:
+        """The slots that draw a seed; vectors over replicates hold these alone."""
+        return np.flatnonzero(self.seed == seed)
+
+    def drawn(self, slot: np.ndarray, i: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Entries by rows: the weights of ``mixed(draw, 3, row, b, j, i)``. Rounds over b and j are taken once for equal ones."""
+        new_slot = np.r_[True, slot[1:] != slot[:-1]]
+        b, j = (x[slot[new_slot]].astype(np.uint64) for x in (self.b, self.j))
+        new_b = np.r_[True, b[1:] != b[:-1]]
+        h = np.repeat(mixed(self.draw, 3, row)[None, :], new_b.sum(), axis=0)
+        spare = np.empty((len(slot), len(row)), np.uint64)
+        h = _stir(h, b[new_b][:, None], spare[: len(h)])[np.cumsum(new_b) - 1]
+        h = _stir(h, j[:, None], spare[: len(h)])[np.cumsum(new_slot) - 1]
+        h = _stir(h, i.astype(np.uint64)[:, None], spare)
+        w = _DRAWN[np.right_shift(h, np.uint64(52), out=spare).view(np.int64)]
+        open_ = np.isnan(w)
+        w[open_] = poisson(h[open_])
+        return w
+
     def weights(self, side: int, seed: int, region: np.ndarray, regions: int, row: np.ndarray) -> np.ndarray:
-        """Rows by slots: how often each slot takes each row."""
-        out = np.zeros((len(row), self.n * self.seeds))
+        """Rows by own slots: how often each slot takes each row."""
+        slots = self.own(seed)
+        out = np.zeros((len(row), len(slots)))
         for r in np.unique(region):
             slot, i = self.entries(side, seed, int(r), regions)
             if len(slot):
-                own = np.flatnonzero(region == r)
-                w = poisson(mixed(self.draw, 3, row[own][:, None], self.b[slot][None, :], self.j[slot][None, :], i[None, :]))
+                rows = np.flatnonzero(region == r)
                 starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-                out[np.ix_(own, slot[starts])] = np.add.reduceat(w, starts, axis=1)
+                out[np.ix_(rows, np.searchsorted(slots, slot[starts]))] = np.add.reduceat(self.drawn(slot, i, row[rows]), starts, axis=0).T
         return out
 
+    def add_sums(self, sums: np.ndarray, side: int, seed: int, region: np.ndarray, regions: int, row: np.ndarray, features: np.ndarray) -> None:
+        """Adds to ``sums`` (features by own slots) the weighted features of rows that come by region."""
+        slots = self.own(seed)
+        edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            slot, i = self.entries(side, seed, int(region[a]), regions)
+            if len(slot):
+                starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+                places = np.searchsorted(slots, slot[starts])
+                for k in range(a, b, BLOCK_ROWS):
+                    end = min(b, k + BLOCK_ROWS)
+                    sums[:, places] += np.add.reduceat(self.drawn(slot, i, row[k:end]) @ features[k:end], starts, axis=0).T
+
 
 class _Ranks:
     """Weights of positives above negatives, of rows that come by ascending score; equal scores count a half."""
@@ -107,8 +160,11 @@ class _Ranks:
         self.tail = (np.zeros_like(pos), np.zeros_like(neg))
 
 
-def _partials(frames: Iterator[pd.DataFrame], names: list[str], replicates: int, draw: int) -> Iterator[pd.DataFrame]:
-    """Rows by (group, side, seed) and score: for each, and each block of replicates, sums and ranks. Block -1: every row once."""
+def _partials(frames: Iterator[pd.DataFrame], names: list[str], replicates: int, draw: int, scored: bool = True) -> Iterator[pd.DataFrame]:
+    """Rows by (group, side, seed) and score: for each, and each block of replicates, sums and ranks. Block -1: every row once.
+
+    If not ``scored``, rows come by (group, side, seed) and region, and ranks and bins stay empty.
+    """
     edges = np.array(TEN_BINS)
     state: dict[tuple, dict] = {}
     place = 0
@@ -129,19 +185,32 @@ def _partials(frames: Iterator[pd.DataFrame], names: list[str], replicates: int,
                 yield emit(old)
                 place += 1
             own = state.setdefault(key, {"blocks": {}, "draws": {}})
+            for block in range(-(-replicates // REPLICATES)):
+                if block not in own["draws"]:
+                    own["draws"][block] = _Draws(draw, key[0], key[3], block * REPLICATES, min(replicates, (block + 1) * REPLICATES))
+            used = [-1, *(block for block, d in own["draws"].items() if len(d.own(key[2])))]
+            if not scored:
+                features = rows[names].to_numpy(float)
+                region, h, regions = rows["r"].to_numpy(), rows["h"].to_numpy(), int(rows["n_regions"].iloc[0])
+                for block in used:
+                    n = 1 if block < 0 else len(own["draws"][block].own(key[2]))
+                    s = own["blocks"].setdefault(block, {"sums": np.zeros((len(names), n)), "ranks": _Ranks(n), "tail": (np.zeros(n), np.zeros(n))})
+                    if block < 0:
+                        s["sums"] += features.sum(axis=0)[:, None]
+                    else:
+                        own["draws"][block].add_sums(s["sums"], key[1], key[2], region, regions, h, features)
+                continue
             for a in range(0, len(rows), BLOCK_ROWS):
                 part = rows.iloc[a : a + BLOCK_ROWS]
                 y, p = part["y"].to_numpy(float), part["p"].to_numpy(float)
                 bins = np.searchsorted(edges, p, side="right")
                 hot = np.eye(10)[bins]
                 features = np.hstack([part[names].to_numpy(float), hot, hot * y[:, None], hot * p[:, None]])
-                for block in range(-1, -(-replicates // REPLICATES)):
+                for block in used:
                     if block < 0:
                         w = np.ones((len(part), 1))
                     else:
-                        first, last = block * REPLICATES, min(replicates, (block + 1) * REPLICATES)
-                        draws = own["draws"].setdefault(block, _Draws(draw, key[0], key[3], first, last))
-                        w = draws.weights(key[1], key[2], part["r"].to_numpy(), int(part["n_regions"].iloc[0]), part["h"].to_numpy())
+                        w = own["draws"][block].weights(key[1], key[2], part["r"].to_numpy(), int(part["n_regions"].iloc[0]), part["h"].to_numpy())
                     s = own["blocks"].setdefault(block, {"sums": np.zeros((features.shape[1], w.shape[1])), "ranks": _Ranks(w.shape[1]), "tail": None})
                     s["sums"] += features.T @ w
                     starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
@@ -154,7 +223,7 @@ def _partials(frames: Iterator[pd.DataFrame], names: list[str], replicates: int,
         place += 1
 
 
-def _merged(rows: pd.DataFrame, n_sums: int) -> dict[str, np.ndarray]:
+def _merged(rows: pd.DataFrame, n_sums: int, scored: bool = True) -> dict[str, np.ndarray]:
     """The sums and the area of ordered partial results of one (group, side, seed, block)."""
     rows = rows.sort_values(["range", "at"])
     vectors = lambda r, *c: [np.frombuffer(r[x]) for x in c]
@@ -172,6 +241,9 @@ def _merged(rows: pd.DataFrame, n_sums: int) -> dict[str, np.ndarray]:
             sums, pos, neg = sums + s, pos + p, neg + n
         tail = (tail[0] + tp, tail[1] + tn) if tail is not None and r["first"] == r["last"] == last else (tp, tn)
         last = r["last"]
+    if not scored:
+        nothing = np.full(sums.shape[1], np.nan)
+        return {"sums": sums, "auc": nothing, "ece": nothing, "n": nothing}
     with np.errstate(invalid="ignore", divide="ignore"):
         auc = np.where(pos * neg > 0, above / (pos * neg), np.nan)
         n, hits, conf = (sums[n_sums - 30 + 10 * k : n_sums - 20 + 10 * k] for k in range(3))
@@ -221,9 +293,11 @@ def sample_bootstrap(
         F.xxhash64("__side", "__seed", "__region", *keys).alias("h"), F.col("v.__y").alias("y"), F.col("v.__p").alias("p"), *[F.col(f"v.{n}").alias(f"f_{n}") for n in names],
     )
     fields = [f"f_{n}" for n in names]
-    n_sums = len(names) + 30
-    # equal scores may lie on both sides of a border, so that one score is no hot range
-    ranged = ready.repartitionByRange("g", "side", "s", "p", "h").sortWithinPartitions("g", "side", "s", "p", "h")
+    has_score = scored is not None
+    n_sums = len(names) + (30 if has_score else 0)
+    # equal scores (or regions) may lie on both sides of a border, so that one is no hot range
+    place = ["g", "side", "s", "p" if has_score else "r", "h"]
+    ranged = ready.repartitionByRange(*place).sortWithinPartitions(*place)
     ranged = ranged.withColumn("range", F.spark_partition_id())
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,24 +310,23 @@ def sample_bootstrap(
                     number = int(f["range"].iloc[0])
                     yield f
 
-        for out in _partials(seen(), fields, replicates, draw):
+        for out in _partials(seen(), fields, replicates, draw, has_score):
             yield out.assign(range=number)
 
     vectors = ", ".join(f"{c} binary" for c in ("sums", "above", "pos", "neg", "hp", "hn", "tp", "tn"))
     parts = ranged.mapInPandas(partial, f"g long, side long, s long, n_seeds long, block int, at int, first double, last double, {vectors}, range int")
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        got = _merged(rows, n_sums)
+        got = _merged(rows, n_sums, has_score)
         g, side_, s, n_seeds, block = (int(rows[c].iloc[0]) for c in ("g", "side", "s", "n_seeds", "block"))
-        slots = np.arange(len(got["n"]))
         if block < 0:
-            b, j, own = np.array([-1]), np.array([s]), np.array([0])
+            b, j = np.array([-1]), np.array([s])
         else:
             draws = _Draws(draw, g, n_seeds, block * REPLICATES, min(replicates, (block + 1) * REPLICATES))
-            own = slots[draws.seed == s]
+            own = draws.own(s)
             b, j = draws.b[own], draws.j[own]
-        columns = {"g": g, "side": side_, "b": b, "j": j, "auc": got["auc"][own], "ece": got["ece"][own]}
-        return pd.DataFrame(columns | {n: got["sums"][k][own] for k, n in enumerate(names)})
+        columns = {"g": g, "side": side_, "b": b, "j": j, "auc": got["auc"], "ece": got["ece"]}
+        return pd.DataFrame(columns | {n: got["sums"][k] for k, n in enumerate(names)})
 
     found = parts.groupBy("g", "side", "s", "n_seeds", "block").applyInPandas(merge, "g long, side long, b long, j long, auc double, ece double" + "".join(f", `{n}` double" for n in names))
     metrics = metric if isinstance(metric, dict) else {"": metric}

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,49 @@ def test_no_rows_and_one_side(spark):
     _, df = table(spark)
     for rows in (df.where("false"), df.where("side = 'id'")):
         assert B.sample_bootstrap(rows, ["c"], F.col("side"), "seed", "region", ["id"], "id", {"n": F.lit(1)}, F.col("n"), 10).count() == 0
+
+
+def test_sums_without_a_score_are_those_of_a_plain_loop(spark):
+    rows = [("a", k % 3, f"r{k % 4}", ("id", "ood")[k % 5 > 1], k, k * 37 % 100 / 100) for k in range(300)]
+    df = spark.createDataFrame(rows, "c string, seed int, region string, side string, id int, v double").repartition(3)
+    r = B.sample_bootstrap(df, ["c"], F.col("side"), "seed", "region", ["id"], "id", {"t": F.col("v"), "n": F.lit(1)}, F.col("t") / F.when(F.col("n") > 0, F.col("n")), 150, 2).first()
+    g = spark.range(1).select(F.xxhash64(F.lit(2), F.lit("a"))).first()[0]
+    h = {k[0]: k[1] for k in df.select("id", F.xxhash64(F.when(F.col("side") == "id", 0).otherwise(1), "seed", "region", "id")).collect()}
+    cells = {(s, x): [q for q in rows if q[1] == s and q[3] == x] for s in range(3) for x in ("id", "ood")}
+    means = []
+    for b in range(150):
+        got = []
+        for j in range(3):
+            s, pair = int(B.picked(B.mixed(2, 1, g, np.array([b]), np.array([j])), 3)[0]), []
+            for side, x in enumerate(("id", "ood")):
+                own = cells[s, x]
+                hashes, place, v = np.array([h[q[4]] for q in own]), np.array([int(q[2][1]) for q in own]), np.array([q[5] for q in own])
+                w = np.zeros(len(own))
+                for i in range(4):
+                    at = int(B.picked(B.mixed(2, 2, g, side, np.array([b]), np.array([j]), np.array([i])), 4)[0])
+                    w += np.where(place == at, B.poisson(B.mixed(2, 3, hashes, b, j, i)), 0)
+                pair.append((w * v).sum() / w.sum())
+            got.append(pair[0] - pair[1])
+        means.append(np.mean(got))
+    delta = np.mean([np.mean([q[5] for q in cells[s, "id"]]) - np.mean([q[5] for q in cells[s, "ood"]]) for s in range(3)])
+    assert r["delta"] == pytest.approx(delta) and (r["lo"], r["hi"]) == (pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)))
+
+
+@pytest.mark.parametrize("scored", [{}, {"scored": False}])
+def test_a_task_holds_only_the_slots_that_draw_its_seed(scored):
+    rows = pd.DataFrame({"g": 5, "side": 1, "s": 1, "n_seeds": 3, "r": np.repeat([0, 1], 300), "n_regions": 2, "h": np.arange(600), "y": 0.0, "p": 0.5, "f_n": 1.0})
+    out = pd.concat(B._partials(iter([rows[:450], rows[450:]]), ["f_n"], 140, 0, **scored))
+    for block, n in ((0, 128), (1, 12)):
+        own = (B._Draws(0, 5, 3, block * 128, block * 128 + n).seed == 1).sum()
+        assert len(np.frombuffer(out[out.block == block].sums.item())) == own * (1 if scored else 31)
+
+
+def test_draws_by_first_bits_are_poisson_draws():
+    edges = (B._BELOW * (1 << 53)).astype(np.uint64) << np.uint64(11)
+    draws, row = B._Draws(0, 5, 3, 0, 128), np.arange(4000)
+    slot, i = draws.entries(1, 1, 0, 4)
+    want = B.poisson(B.mixed(0, 3, row[None, :], draws.b[slot][:, None], draws.j[slot][:, None], i[:, None]))
+    assert (draws.drawn(slot, i, row) == want).all() and want.max() > 5
+    near = np.concatenate([edges + np.uint64(k << 11) for k in (0, 1)] + [edges - np.uint64(1 << 11)])
+    fast = B._DRAWN[(near >> np.uint64(52)).astype(int)]
+    assert (np.isnan(fast) | (fast == B.poisson(near))).all()
